@@ -32,21 +32,24 @@ def run_stages(df: DataFrame, stages: Sequence[Stage]) -> DataFrame:
     return df
 
 
-def run_stages_in_array(urls: Column, first: str, stages: Sequence[Stage]) -> Column:
-    """The same over an array of strings; the result is an array of structs."""
-    names = [first]
-    out = F.transform(urls, lambda u: F.struct(u.alias(first)))
+def stage_structs(structs: Column, names: list[str], stages: Sequence[Stage]) -> tuple[Column, list[str]]:
+    """The same over an array of structs with the given field names; returns the array and its names."""
     for stage in stages:
         added: list[str] = []
 
-        def step(s: Column, stage: Stage = stage, names: list[str] = list(names), added: list[str] = added) -> Column:
+        def step(s: Column, stage: Stage = stage, names: list[str] = names, added: list[str] = added) -> Column:
             new = stage(lambda n: s[n])
             added.extend(new)
             return F.struct(*[s[n].alias(n) for n in names if n not in new], *[e.alias(n) for n, e in new.items()])
 
-        out = F.transform(out, step)
+        structs = F.transform(structs, step)
         names = [n for n in names if n not in added] + added
-    return out
+    return structs, names
+
+
+def run_stages_in_array(urls: Column, first: str, stages: Sequence[Stage]) -> Column:
+    """The same over an array of strings; the result is an array of structs."""
+    return stage_structs(F.transform(urls, lambda u: F.struct(u.alias(first))), [first], stages)[0]
 
 
 # --- URL parts ----------------------------------------------------------------------------
