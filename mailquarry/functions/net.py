@@ -32,16 +32,21 @@ def run_stages(df: DataFrame, stages: Sequence[Stage]) -> DataFrame:
     return df
 
 
+def _struct_step(stage: Stage, names: list[str]) -> tuple[Callable[[Column], Column], list[str]]:
+    added: list[str] = []
+
+    def step(s: Column) -> Column:
+        new = stage(lambda n: s[n])
+        added.extend(n for n in new if n not in added)
+        return F.struct(*[s[n].alias(n) for n in names if n not in new], *[e.alias(n) for n, e in new.items()])
+
+    return step, added
+
+
 def stage_structs(structs: Column, names: list[str], stages: Sequence[Stage]) -> tuple[Column, list[str]]:
     """The same over an array of structs with the given field names; returns the array and its names."""
     for stage in stages:
-        added: list[str] = []
-
-        def step(s: Column, stage: Stage = stage, names: list[str] = names, added: list[str] = added) -> Column:
-            new = stage(lambda n: s[n])
-            added.extend(new)
-            return F.struct(*[s[n].alias(n) for n in names if n not in new], *[e.alias(n) for n, e in new.items()])
-
+        step, added = _struct_step(stage, names)
         structs = F.transform(structs, step)
         names = [n for n in names if n not in added] + added
     return structs, names

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailquarry import lists as L
+from mailquarry.functions import rows as R
 from mailquarry.functions import text as X
 
 
@@ -110,5 +111,5 @@ def summary_findings() -> Column:
 
 def finding_rows(df: DataFrame, column: str, area: str) -> DataFrame:
     """Long table ``mail_id, area, pos, severity, title, detail`` of one findings column."""
-    return (df.select("mail_id", F.lit(area).alias("area"), F.posexplode(column).alias("pos", "f"))
+    return (R.explode_with_pos(df, ["mail_id", F.lit(area).alias("area")], column, "pos", "f")
             .select("mail_id", "area", "pos", "f.severity", "f.title", "f.detail"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailquarry.functions import net
+from mailquarry.functions import net, rows
 from mailquarry.functions import text as X
 from mailquarry.operators import unwrap
 from mailquarry.operators.mail import body_choice
@@ -66,15 +66,15 @@ def indicator_rows(arrays: DataFrame) -> DataFrame:
         F.lit("url").alias("ioc_type"), s["url"].alias("value"), s["current"].alias("cleaned"), s["method"].alias("method"), s["was_wrapped"].alias("was_wrapped")))
     everything = F.concat(plain("email", "sender_emails"), plain("ip", "sender_ips"), wrapped,
                           plain("domain", "domains"), plain("hash", "attachment_hashes"))
-    return arrays.select("mail_id", F.inline(everything))
+    return rows.explode_structs(arrays, ["mail_id"], everything, "ioc_type")
 
 
-def prevalence(rows: DataFrame, scores: DataFrame) -> DataFrame:
+def prevalence(iocs: DataFrame, scores: DataFrame) -> DataFrame:
     """Campaign view: mails per indicator with the range of their scores.
 
     A value occurs once per mail and type, so a plain count is the number of mails and a popular
     indicator is combined before the shuffle.
     """
-    return (rows.select("mail_id", "ioc_type", "value").join(scores.select("mail_id", "score"), "mail_id")
+    return (iocs.select("mail_id", "ioc_type", "value").join(scores.select("mail_id", "score"), "mail_id")
             .groupBy("ioc_type", "value")
             .agg(F.count("*").alias("n_mails"), F.min("score").alias("min_score"), F.max("score").alias("max_score")))

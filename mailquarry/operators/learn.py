@@ -137,7 +137,7 @@ def tune(name: str, df: DataFrame, trials: int = 50, k: int = 3, seed: int = 42,
 
 # --- neighbours and oversampling ----------------------------------------------------------
 
-MAX_BROADCAST_VALUES = 30_000_000       # 240 MB of doubles
+MAX_BROADCAST_VALUES = 4_000_000        # 32 MB of doubles
 
 
 def nearest(queries: DataFrame, points: DataFrame, k: int, id_col: str = "id", vec: str = "vec") -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailquarry.functions import net
+from mailquarry.functions import net, rows
 from mailquarry.functions import text as X
 
 # column -> header name
@@ -95,8 +95,7 @@ def _latin_escapes(c: Column) -> Column:
 
 def header_rows(df: DataFrame) -> DataFrame:
     """Child table ``mail_id, pos, name, value`` of all header lines, names in lower case."""
-    lines = split_head(df.select("mail_id", "raw_email")).select(
-        "mail_id", F.posexplode(F.split("head", "\n")).alias("pos", "line"))
+    lines = rows.explode_with_pos(split_head(df.select("mail_id", "raw_email")), ["mail_id"], F.split("head", "\n"), "pos", "line")
     return (lines.where(F.contains("line", F.lit(":")))
             .select("mail_id", "pos",
                     F.lower(F.substring_index("line", ":", 1)).alias("name"),
@@ -106,14 +105,17 @@ def header_rows(df: DataFrame) -> DataFrame:
 def with_fields(df: DataFrame) -> DataFrame:
     """Named header fields, the relay chain and the header dump, from ``head``."""
     head = F.col("head")
-    fields = [decode_words(header_value(head, name)).alias(col) for col, name in FIELDS.items() if col != "x_priority"]
-    priority = F.coalesce(F.nullif(header_value(head, "x-priority"), F.lit("")), header_value(head, "priority"))
-    return df.select(
-        *[c for c in df.columns if c != "head"], *fields,
-        priority.alias("x_priority"),
+    values = {col: header_value(head, name) for col, name in FIELDS.items()}
+    values["x_priority"] = F.coalesce(F.nullif(values["x_priority"], F.lit("")), header_value(head, "priority"))
+    others = [c for c in df.columns if c != "head"]
+    raw = df.select(
+        *others, *[v.alias(n) for n, v in values.items()],
         head.rlike(r"(?i)(?:^|\n)dkim-signature:").cast("int").alias("dkim_signed"),
         F.transform(header_values(head, "received"), lambda v: X.strip(v)).alias("received"),
         F.substring(head, 1, HEADER_DUMP).alias("header_raw"))
+    # Encoded words in a second projection, so that it refers to finished values.
+    return raw.select(*others, *[decode_words(F.col(n)).alias(n) for n in values], *[
+        c for c in raw.columns if c not in others and c not in values])
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -176,12 +178,12 @@ def mail_fields(df: DataFrame) -> DataFrame:
 
 def link_rows(mail: DataFrame) -> DataFrame:
     """Child table ``mail_id, pos, url``; positions start at 0."""
-    return mail.select("mail_id", F.posexplode("urls").alias("pos", "url"))
+    return rows.explode_with_pos(mail, ["mail_id"], "urls", "pos", "url")
 
 
 def relay_chain(mail: DataFrame) -> DataFrame:
     """Child table ``mail_id, pos, received``, newest relay first."""
-    return mail.select("mail_id", F.posexplode("received").alias("pos", "received"))
+    return rows.explode_with_pos(mail, ["mail_id"], "received", "pos", "received")
 
 
 def sender_ip(received: Column, prefixes: Iterable[str] = ("10.", "192.168.", "127.", "0.0.0.0")) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailquarry import lists as L
-from mailquarry.functions import net
+from mailquarry.functions import net, rows
 from mailquarry.operators.mail import sender_ip
 
 SALTS = 16
@@ -106,12 +106,12 @@ def rep_fraud(keys: DataFrame, fraud_rep: DataFrame) -> DataFrame:
 
 def primary_links(mail: DataFrame) -> DataFrame:
     """``mail_id, url``: the first link of each mail that has one."""
-    return mail.where(F.size("urls") > 0).select("mail_id", F.get("urls", F.lit(0)).alias("url"))
+    return rows.explode_values(mail, ["mail_id"], F.slice("urls", 1, 1), "url")
 
 
 def sender_ips(mail: DataFrame) -> DataFrame:
     """``mail_id, ip``: the sender address of each mail that has a public one."""
-    return mail.select("mail_id", sender_ip(F.col("received")).alias("ip")).where("ip IS NOT NULL")
+    return rows.explode_values(mail, ["mail_id"], F.array(sender_ip(F.col("received"))), "ip")
 
 
 def intel_features(mail: DataFrame, links: DataFrame, url_rep: DataFrame, blocklist: DataFrame, url_scan: DataFrame,

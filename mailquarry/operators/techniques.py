@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailquarry import lists as L
+from mailquarry.functions import rows as R
 from mailquarry.functions import text as X
 
 PHISHING_ENTRY = ["T1566", "T1566.001", "T1566.002", "T1566.003"]
@@ -23,7 +24,7 @@ def by_presence(arrays: DataFrame) -> DataFrame:
         F.when(present[kind], F.struct(F.lit(tid).alias("technique_id"), F.lit(name).alias("technique_name"),
                                        F.lit(tactic).alias("tactic"), F.lit(kind).alias("indicator")))
         for tid, name, tactic, kind in L.PRESENCE_TECHNIQUES])
-    return arrays.select("mail_id", F.inline(F.array_compact(found)))
+    return R.explode_structs(arrays, ["mail_id"], F.array_compact(found), "technique_id")
 
 
 def _technique(tid: str, name: str, tactic: str, confidence: Column, evidence: Column) -> Column:
@@ -114,7 +115,7 @@ def calibrate(df: DataFrame, threshold: float = L.PHISHING_THRESHOLD) -> DataFra
 
 def technique_rows(df: DataFrame) -> DataFrame:
     """Long table ``mail_id, technique_id, technique_name, tactic, confidence, evidence, url``."""
-    return df.select("mail_id", F.inline("techniques")).withColumn("url", technique_url(F.col("technique_id")))
+    return R.explode_structs(df, ["mail_id"], F.col("techniques"), "technique_id").withColumn("url", technique_url(F.col("technique_id")))
 
 
 def prevalence(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailquarry import lists as L
+from mailquarry.functions import rows as R
 from mailquarry.functions import text as X
 
 
@@ -79,7 +80,7 @@ def tfidf_vocabulary(docs: DataFrame, doc_id: str, text: str, size: int = L.TFID
     marks = F.concat(
         F.transform("terms", lambda x: F.struct(x.alias("term"), F.lit(1).cast("bigint").alias("tf"), F.lit(0).cast("bigint").alias("df"))),
         F.transform(F.array_distinct("terms"), lambda x: F.struct(x.alias("term"), F.lit(0).cast("bigint").alias("tf"), F.lit(1).cast("bigint").alias("df"))))
-    counts = (t.select(F.inline(marks)).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    counts = (R.explode_structs(t, [], marks, "term").groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
               .where(F.col("df") >= min_df))
     top = counts.orderBy(F.desc("tf"), "term").limit(size)
     n_docs = docs.agg(F.count("*").alias("_n"))
@@ -92,7 +93,7 @@ def tfidf_weights(docs: DataFrame, doc_id: str, text: str, vocabulary: DataFrame
 
     The vocabulary has a fixed size, so it is broadcast; all other terms are dropped before the shuffle.
     """
-    hits = (doc_terms(docs, doc_id, text).select("doc_id", F.explode("terms").alias("term"))
+    hits = (R.explode_values(doc_terms(docs, doc_id, text), ["doc_id"], "terms", "term")
             .join(F.broadcast(vocabulary.select("term", "idf")), "term")
             .groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
             .select("doc_id", "term", ((F.log(F.col("tf").cast("double")) + 1) * F.col("idf")).alias("w")))

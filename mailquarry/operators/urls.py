@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailquarry import lists as L
-from mailquarry.functions import net
+from mailquarry.functions import net, rows
 from mailquarry.functions import text as X
 
 # Letters outside Latin that look like Latin ones (Greek and Cyrillic blocks).
@@ -80,9 +80,9 @@ def url_features(mail: DataFrame, suffixes: Iterable[str] | None = None, first:
     staged = mail.select(*keep, F.size("urls").alias("url_count"), arr.alias("_u"))
     cols = []
     for f in L.URL_FEATURES:
-        values = F.transform("_u", lambda s, f=f: s[f].cast("double"))
-        total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-        cols.append(F.coalesce(F.array_max(values), F.lit(0.0)).alias(f"url_{f}_max"))
+        values = F.col(f"_u.{f}")           # the field of every struct, as an array
+        total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v.cast("double"))
+        cols.append(F.coalesce(F.array_max(values).cast("double"), F.lit(0.0)).alias(f"url_{f}_max"))
         cols.append(F.when(F.size("_u") == 0, F.lit(0.0)).otherwise(total / F.size("_u")).alias(f"url_{f}_mean"))
     return staged.select(*keep, F.greatest("url_count", F.lit(0)).alias("url_url_count"), *cols)
 
@@ -94,7 +94,7 @@ def mail_domains(mail: DataFrame, suffixes: Iterable[str] | None = None, links:
     """``mail_id, domain``: the first distinct registered domains among the first links of a mail."""
     arr = net.run_stages_in_array(F.slice("urls", 1, links), "url", net.domain_stages("url", suffixes))
     domains = F.array_distinct(F.filter(F.transform(arr, lambda s: s["domain"]), lambda d: d != ""))
-    return mail.select("mail_id", F.explode(F.slice(domains, 1, limit)).alias("domain"))
+    return rows.explode_values(mail, ["mail_id"], F.slice(domains, 1, limit), "domain")
 
 
 def whois_risk(domains: DataFrame, whois: DataFrame, as_of: str) -> DataFrame:
