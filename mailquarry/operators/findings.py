@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailquarry import lists as L
+from mailquarry.functions import net
 from mailquarry.functions import rows as R
 from mailquarry.functions import text as X
+from mailquarry.operators.urls import official_site
 
 
 def severity_rank(c: Column) -> Column:
@@ -52,28 +54,29 @@ def header_findings() -> Column:
     ])
 
 
-def address_findings() -> Column:
-    """Free mail, display-name brand, brand in a sub-domain, foreign Return-Path."""
+def with_address_findings(df: DataFrame) -> DataFrame:
+    """Add ``address_findings``: free mail, display-name brand, brand in a sub-domain, foreign Return-Path."""
     pattern = r"([a-zA-Z0-9_.%+\-]+)@([a-zA-Z0-9_.\-]+)"
-    domain = F.lower(F.regexp_extract("from_address", pattern, 2))
-    back = F.lower(F.regexp_extract("return_path", pattern, 2))
     shown = F.regexp_replace(X.strip(F.regexp_extract("from_address", r"^(.+?)\s*<", 1)), '^"+|"+$', "")
-    brand = X.first_present(F.lower(shown), L.BRAND_OFFICIAL)
-    site = F.lit(None).cast("string")
-    for b, official in L.BRAND_OFFICIAL.items():
-        site = F.when(brand == b, F.lit(official)).otherwise(site)
-    genuine = F.endswith(domain, site)
-    dots = F.length(domain) - F.length(F.replace(domain, F.lit("."), F.lit("")))
-    in_sub = X.first_present(F.substring_index(domain, ".", 1), L.BRAND_OFFICIAL)
-    in_root = X.contains_any(F.substring_index(domain, ".", -2), L.BRAND_OFFICIAL)
+    stages = [
+        lambda g: {"_domain": F.lower(F.regexp_extract(g("from_address"), pattern, 2)),
+                   "_back": F.lower(F.regexp_extract(g("return_path"), pattern, 2)), "_shown": F.lower(shown)},
+        lambda g: {"_first": F.substring_index(g("_domain"), ".", 1), "_root": F.substring_index(g("_domain"), ".", -2)},
+        lambda g: {"_brand": X.first_present(g("_shown"), L.BRAND_OFFICIAL), "_sub": X.first_present(g("_first"), L.BRAND_OFFICIAL)},
+        lambda g: {"_site": official_site(g("_brand"))},
+    ]
+    domain, back, brand, sub = (F.col(c) for c in ("_domain", "_back", "_brand", "_sub"))
+    genuine = F.endswith(domain, F.col("_site"))
     has = domain != ""
-    return _findings([
+    found = _findings([
         (has & domain.isin(L.FREEMAIL_FINDINGS), "MEDIUM", "From: free mail", domain),
         (has & brand.isNotNull() & ~genuine, "CRITICAL", "From: display name", F.concat_ws("|", brand, domain)),
         (has & brand.isNotNull() & genuine, "INFO", "From: official domain", F.concat_ws("|", brand, domain)),
-        (has & (dots >= 2) & in_sub.isNotNull() & ~in_root, "HIGH", "From: brand in sub-domain", F.concat_ws("|", in_sub, domain)),
+        (domain.rlike(r"\..*\.") & sub.isNotNull() & ~X.contains_any(F.col("_root"), L.BRAND_OFFICIAL), "HIGH",
+         "From: brand in sub-domain", F.concat_ws("|", sub, domain)),
         ((back != "") & has & (back != domain), "MEDIUM", "Return-Path: other domain", back),
     ])
+    return net.run_stages(df, stages).select(*df.columns, found.alias("address_findings"))
 
 
 def html_findings() -> Column:

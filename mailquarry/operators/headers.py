@@ -12,11 +12,19 @@ from mailquarry.functions import net
 from mailquarry.functions import text as X
 
 
-def _registered(address: Column, suffixes: Iterable[str] | None) -> Column:
-    """Registered domain of an address; the whole domain when the suffix is unknown."""
-    domain = F.lower(net.address_domain(address))
-    reg = net.registered_domain(domain, suffixes)
-    return F.when(reg == "", domain).otherwise(reg)
+def _address_stages(suffixes: Iterable[str] | None) -> list[net.Stage]:
+    """``_from``, ``_reply`` and ``_path``: registered domains, the whole domain where the suffix is unknown."""
+    fields = {"_from": "from_address", "_reply": "reply_to", "_path": "return_path"}
+
+    def reg(g, k: str) -> Column:
+        r = net.registered(g(k), g(f"{k}_s"))
+        return F.when(r == "", g(k)).otherwise(r)
+
+    return [
+        lambda g: {k: F.lower(net.address_domain(g(c))) for k, c in fields.items()},
+        lambda g: {f"{k}_s": net.suffix(g(k), suffixes) for k in fields},
+        lambda g: {k: reg(g, k) for k in fields},
+    ]
 
 
 def relay_diversity(received: Column) -> Column:
@@ -33,11 +41,8 @@ def relay_diversity(received: Column) -> Column:
 
 def auth_score(text: Column, check: str) -> Column:
     """Score of spf / dkim / dmarc in lower-cased result text, NULL when absent or unknown."""
-    word = F.regexp_extract(text, rf"\b{check}\s*=\s*(\w+)", 1)
-    out = F.lit(None).cast("int")
-    for name, score in L.AUTH_SCORES.items():
-        out = F.when(word == name, F.lit(score)).otherwise(out)
-    return out
+    scores = F.create_map(*[F.lit(v) for pair in L.AUTH_SCORES.items() for v in pair])
+    return F.element_at(scores, F.regexp_extract(text, rf"\b{check}\s*=\s*(\w+)", 1))
 
 
 def auth_columns(auth: Column, spf_header: Column, signed: Column) -> dict[str, Column]:
@@ -53,8 +58,7 @@ def auth_columns(auth: Column, spf_header: Column, signed: Column) -> dict[str,
 
 
 def message_id_suspicious(mid: Column) -> Column:
-    host = F.lower(F.regexp_replace(F.substring_index(mid, "@", -1), ">+$", ""))
-    freemail = X.any_of(F.startswith(host, F.lit(d)) for d in L.FREEMAIL)
+    freemail = F.lower(mid).rlike("(?:^|@)(?:" + "|".join(d.replace(".", r"\.") for d in L.FREEMAIL) + ")[^@]*$")
     return ((mid == "") | ~X.strip(mid).rlike("^<[^@]+@[^>]+>") | freemail).cast("int")
 
 
@@ -75,11 +79,7 @@ def header_features(mail: DataFrame, suffixes: Iterable[str] | None = None, stri
     """
     c = F.col
     # The registered domains first, so each is computed once.
-    staged = mail.select(
-        "*",
-        _registered(c("from_address"), suffixes).alias("_from"),
-        _registered(c("reply_to"), suffixes).alias("_reply"),
-        _registered(c("return_path"), suffixes).alias("_path"))
+    staged = net.run_stages(mail, _address_stages(suffixes))
     freemail = "|".join(d.replace(".", r"\.") for d in L.FREEMAIL)
     bad = r"[\r\x00]" if strict_injection else r"[\r\n\x00]"
     cols = {

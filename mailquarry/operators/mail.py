@@ -24,6 +24,7 @@ FIELDS = {
     "x_spam_status": "x-spam-status", "mime_version": "mime-version",
     "content_transfer_encoding": "content-transfer-encoding",
 }
+FREE_TEXT = ["from_address", "to_address", "reply_to", "return_path", "subject", "x_mailer", "user_agent", "list_unsubscribe"]
 HEADER_DUMP = 8192
 
 _HEADER_LINE = r"^(?:[!-9;-~]*:|[ \t]|From )"
@@ -113,9 +114,10 @@ def with_fields(df: DataFrame) -> DataFrame:
         head.rlike(r"(?i)(?:^|\n)dkim-signature:").cast("int").alias("dkim_signed"),
         F.transform(header_values(head, "received"), lambda v: X.strip(v)).alias("received"),
         F.substring(head, 1, HEADER_DUMP).alias("header_raw"))
-    # Encoded words in a second projection, so that it refers to finished values.
-    return raw.select(*others, *[decode_words(F.col(n)).alias(n) for n in values], *[
-        c for c in raw.columns if c not in others and c not in values])
+    # Encoded words occur in free text only. One lambda decodes these fields, in a projection of its own.
+    coded = F.array(*[F.col(n) for n in FREE_TEXT])
+    raw = raw.withColumn("_text", F.transform(coded, decode_words))
+    return raw.select(*[F.col("_text")[FREE_TEXT.index(c)].alias(c) if c in FREE_TEXT else F.col(c) for c in raw.columns if c != "_text"])
 
 
 def attribute(tag: Column, name: str) -> Column:

@@ -20,7 +20,7 @@ def fits_broadcast(df: DataFrame) -> bool:
     text = str(limit).lower()
     number = text.rstrip("kmgb")
     size = int(number) * units.get(text[len(number):] or "b", 1)
-    return 0 <= int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= size
+    return 0 <= int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= size
 
 
 def lookup_join(facts: DataFrame, dim: DataFrame, key: str, spread: str = "mail_id", salts: int = SALTS) -> DataFrame:

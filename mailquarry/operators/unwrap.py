@@ -15,10 +15,13 @@ from mailquarry.functions import text as X
 from mailquarry.operators.reputation import lookup_join
 
 MAX_PASSES = 6
+_SAFELINKS = r"(?i)^https?://[a-z0-9\-]+\.safelinks\.protection\.outlook\.com/"
+_MIMECAST = r"(?i)^https?://protect(?:-[a-z0-9]+)?\.mimecast\.com/s/"
+_BARRACUDA = r"(?i)^https?://links\.barracudanetworks\.com/"
 
 
 def _http_or_null(c: Column) -> Column:
-    return F.when(net.is_http(c), c)
+    return F.nullif(F.regexp_extract(c, "(?s)^(https?://.*)$", 1), F.lit(""))
 
 
 def _parts(g) -> dict[str, Column]:
@@ -26,37 +29,38 @@ def _parts(g) -> dict[str, Column]:
     return {"_host": F.lower(net.netloc(u)), "_path": net.path(u), "_query": net.query(u)}
 
 
-def _rule(target: Column, method: Column | str) -> Column:
-    m = F.lit(method) if isinstance(method, str) else method
-    return F.when(target.isNotNull() & (target != ""), F.struct(target.alias("target"), m.alias("method")))
-
-
-def _rules(g) -> dict[str, Column]:
+def _candidates(g) -> dict[str, Column]:
+    """Targets of all rules in order, NULL where a rule does not apply."""
     u, host, path, query = g("current"), g("_host"), g("_path"), g("_query")
-    safelinks = F.when(u.rlike(r"(?i)^https?://[a-z0-9\-]+\.safelinks\.protection\.outlook\.com/"),
-                       _http_or_null(X.unquote(X.unquote(X.unquote(net.query_param(query, "url"))))))
+    arg = lambda name: net.query_param(query, name)
     defense = F.contains(host, F.lit("urldefense.com")) | F.contains(host, F.lit("urldefense.proofpoint.com"))
     v3_path = F.contains(path, F.lit("/v3/__"))
-    v3 = F.when(defense & v3_path, _http_or_null(X.unquote(F.regexp_extract(u, r"/v3/__(.+?)__(?:;|$)", 1))))
-    hexed = X.unquote(F.regexp_replace(net.query_param(query, "u"), "-([0-9A-Fa-f]{2})", "%$1"))
-    v2 = F.when(defense & ~v3_path & F.contains(path, F.lit("/v2/url")),
-                _http_or_null(X.unquote(F.regexp_replace(hexed, "^(.*?)__", "$1//"))))
-    google = F.when(F.contains(host, F.lit("google.com")) & path.isin("/url", "/url/"),
-                    X.unquote(F.coalesce(net.query_param(query, "q"), net.query_param(query, "url"))))
-    barracuda = F.when(u.rlike(r"(?i)^https?://links\.barracudanetworks\.com/"),
-                       F.coalesce(*[X.unquote(_http_or_null(net.query_param(query, p))) for p in ("url", "u", "dest")]))
-    generic = []
-    for p in L.REDIRECT_PARAMS:
-        target = X.unquote(_http_or_null(net.query_param(query, p)))
-        other = F.lower(net.netloc(target))
-        generic.append(_rule(F.when((other != "") & (other != host), target), f"Redirect param (?{p}=)"))
-    plain = X.unquote(u)
-    percent = F.when(plain != u, _http_or_null(plain))
-    hit = F.coalesce(
-        _rule(safelinks, L.METHOD_SAFELINKS), _rule(v3, L.METHOD_PP_V3), _rule(v2, L.METHOD_PP_V2),
-        _rule(google, L.METHOD_GOOGLE), _rule(barracuda, L.METHOD_BARRACUDA), *generic,
-        _rule(percent, L.METHOD_PERCENT))
-    return {"_hit": hit}
+    hexed = X.unquote(F.regexp_replace(arg("u"), "-([0-9A-Fa-f]{2})", "%$1"))
+    rules = [
+        (u.rlike(_SAFELINKS), _http_or_null(X.unquote(X.unquote(X.unquote(arg("url"))))), L.METHOD_SAFELINKS),
+        (defense & v3_path, _http_or_null(X.unquote(F.regexp_extract(u, r"/v3/__(.+?)__(?:;|$)", 1))), L.METHOD_PP_V3),
+        (defense & ~v3_path & F.contains(path, F.lit("/v2/url")),
+         _http_or_null(X.unquote(F.regexp_replace(hexed, "^(.*?)__", "$1//"))), L.METHOD_PP_V2),
+        (F.contains(host, F.lit("google.com")) & path.isin("/url", "/url/"),
+         F.nullif(X.unquote(F.coalesce(arg("q"), arg("url"))), F.lit("")), L.METHOD_GOOGLE),
+        (u.rlike(_BARRACUDA), F.coalesce(*[X.unquote(_http_or_null(arg(p))) for p in ("url", "u", "dest")]), L.METHOD_BARRACUDA),
+        *[(F.contains(query, F.lit(f"{p}=")), X.unquote(_http_or_null(arg(p))), f"Redirect param (?{p}=)") for p in L.REDIRECT_PARAMS],
+        (F.contains(u, F.lit("%")), _http_or_null(X.unquote(u)), L.METHOD_PERCENT),
+    ]
+    return {"_targets": F.array(*[F.struct(F.when(cond, target).alias("target"), F.lit(m).alias("method")) for cond, target, m in rules])}
+
+
+def _rules(g) -> dict[str, Column]:
+    """The first rule with a target; generic parameters must lead to another host."""
+    u, host = g("current"), g("_host")
+
+    def usable(t: Column) -> Column:
+        other = F.lower(net.netloc(t["target"]))
+        generic = F.startswith(t["method"], F.lit("Redirect param"))
+        percent = t["method"] == L.METHOD_PERCENT
+        return t["target"].isNotNull() & (~generic | ((other != "") & (other != host))) & (~percent | (t["target"] != u))
+
+    return {"_hit": F.get(F.filter(g("_targets"), usable), F.lit(0))}
 
 
 def _apply(g) -> dict[str, Column]:
@@ -69,12 +73,7 @@ def _apply(g) -> dict[str, Column]:
     }
 
 
-def pass_stages() -> list[net.Stage]:
-    return [_parts, _rules, _apply]
-
-
-_MIMECAST = r"(?i)^https?://protect(?:-[a-z0-9]+)?\.mimecast\.com/s/"
-_BARRACUDA = r"(?i)^https?://links\.barracudanetworks\.com/"
+FIND = [_parts, _candidates, _rules]
 
 
 def _gateway(g) -> Column:
@@ -93,62 +92,64 @@ def _redirect_method(g) -> Column:
             .otherwise(F.lit(L.METHOD_SHORTENER)))
 
 
-def start(urls: DataFrame, url: str = "url") -> DataFrame:
-    return urls.select("*", X.strip(F.col(url)).alias("current"), F.lit(L.METHOD_NONE).alias("method"),
-                       F.lit(False).alias("was_wrapped"))
-
-
-def single_pass(urls: DataFrame) -> DataFrame:
-    """One unwrapping pass: ``cleaned, method, was_wrapped`` per URL."""
-    return _finish(net.run_stages(start(urls), pass_stages()), urls.columns)
+def _begin(url: Column) -> dict[str, Column]:
+    return {"current": X.strip(url), "method": F.lit(L.METHOD_NONE), "was_wrapped": F.lit(False)}
 
 
 def _finish(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*columns, F.col("current").alias("cleaned"), "method", "was_wrapped")
 
 
-def clean_urls(urls: DataFrame, redirects: DataFrame | None = None, passes: int = MAX_PASSES) -> DataFrame:
-    """Unwrap to the end: ``cleaned, method, was_wrapped`` per URL (feed distinct URLs).
+def cleaned_in_array(urls: Column, passes: int = MAX_PASSES) -> Column:
+    """Unwrap an array of links: array of ``url, current, method, was_wrapped``.
 
-    With ``redirects(url, location)`` every pass may also follow one observed redirect. Its rows are
-    one per URL; only HTTP targets count.
+    The passes are a fold over a constant range, so the expression holds one pass, not six copies.
     """
-    df = start(urls)
-    if redirects is not None:
-        usable = redirects.where(net.is_http(F.col("location"))).groupBy("url").agg(F.min("location").alias("_location"))
-        usable = usable.withColumnRenamed("url", "current")
-    for _ in range(passes):
-        df = net.run_stages(df, [_parts, _rules])
-        if redirects is not None:
-            df = lookup_join(df, usable, "current", spread="current")
-            follow = F.struct(F.col("_location").alias("target"), _redirect_method(F.col).alias("method"))
-            # A gateway link asks the server before the generic parameters are tried, a shortener after.
-            before = F.col("_hit").isNull() | (_gateway(F.col) & ~F.col("_hit.method").isin(
-                L.METHOD_SAFELINKS, L.METHOD_PP_V3, L.METHOD_PP_V2, L.METHOD_GOOGLE, L.METHOD_BARRACUDA))
-            use = _opaque(F.col) & F.col("_location").isNotNull() & before
-            df = df.withColumn("_hit", F.when(use, follow).otherwise(F.col("_hit"))).drop("_location")
-        df = net.run_stages(df, [_apply])
-    return _finish(df, urls.columns)
-
-
-def cleaned_in_array(urls: Column, passes: int = MAX_PASSES) -> Column:
-    """Unwrap the links of a mail inside its row: array of ``url, current, method, was_wrapped``."""
     fields = ["url", "current", "method", "was_wrapped"]
-    first = F.transform(urls, lambda u: F.struct(
-        u.alias("url"), X.strip(u).alias("current"), F.lit(L.METHOD_NONE).alias("method"), F.lit(False).alias("was_wrapped")))
+    first = F.transform(urls, lambda u: F.struct(u.alias("url"), *[e.alias(n) for n, e in _begin(u).items()]))
 
     def one_pass(links: Column) -> Column:
-        out, _ = net.stage_structs(links, fields, pass_stages())
+        out, _ = net.stage_structs(links, fields, [*FIND, _apply])
         return F.transform(out, lambda s: F.struct(*[s[n].alias(n) for n in fields]))
 
-    # Passes are a fold over a constant range, so the expression holds one pass, not six copies.
     return F.aggregate(F.sequence(F.lit(1), F.lit(passes)), first, lambda acc, _: one_pass(acc))
 
 
+def clean_urls(urls: DataFrame, redirects: DataFrame | None = None, passes: int = MAX_PASSES) -> DataFrame:
+    """Unwrap to the end: ``cleaned, method, was_wrapped`` per URL (feed distinct URLs).
+
+    With ``redirects(url, location)`` every pass may also follow one observed redirect. Its rows are
+    reduced to one per URL; only HTTP targets count.
+    """
+    columns = urls.columns
+    if redirects is None:
+        one = F.get(cleaned_in_array(F.array("url"), passes), F.lit(0))
+        return urls.withColumn("_c", one).select(
+            *columns, F.col("_c.current").alias("cleaned"), F.col("_c.method").alias("method"), F.col("_c.was_wrapped").alias("was_wrapped"))
+    usable = (redirects.where(F.col("location").rlike("^https?://")).groupBy("url").agg(F.min("location").alias("_location"))
+              .withColumnRenamed("url", "current"))
+    df = net.run_stages(urls, [lambda g: _begin(g("url"))])
+    for _ in range(passes):
+        df = lookup_join(net.run_stages(df, FIND), usable, "current", spread="current")
+        follow = F.struct(F.col("_location").alias("target"), _redirect_method(F.col).alias("method"))
+        # A gateway link asks the server before the generic parameters are tried, a shortener after.
+        before = F.col("_hit").isNull() | (_gateway(F.col) & ~F.col("_hit.method").isin(
+            L.METHOD_SAFELINKS, L.METHOD_PP_V3, L.METHOD_PP_V2, L.METHOD_GOOGLE, L.METHOD_BARRACUDA))
+        use = _opaque(F.col) & F.col("_location").isNotNull() & before
+        df = df.withColumn("_hit", F.when(use, follow).otherwise(F.col("_hit"))).drop("_location")
+        df = net.run_stages(df, [_apply]).select(*columns, "current", "method", "was_wrapped")
+    return _finish(df, columns)
+
+
+def single_pass(urls: DataFrame) -> DataFrame:
+    """One unwrapping pass: ``cleaned, method, was_wrapped`` per URL."""
+    return clean_urls(urls, passes=1)
+
+
 def cleaning_summary(cleaned: DataFrame, width: int = 80) -> DataFrame:
     """One readable line per wrapped URL."""
     def short(c: str) -> Column:
         return F.concat(F.substring(c, 1, width), F.when(F.length(c) > width, F.lit("…")).otherwise(F.lit("")))
 
-    return cleaned.where("was_wrapped").select(
-        "url", F.concat(F.lit("["), F.col("method"), F.lit("] "), short("url"), F.lit("\n  → Real destination: "), short("cleaned")).alias("line"))
+    line = F.concat(F.lit("["), F.col("method"), F.lit("] "), short("url"), F.lit("\n  → Real destination: "), short("cleaned"))
+    return cleaned.where("was_wrapped").select("url", line.alias("line"))

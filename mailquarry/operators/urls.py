@@ -31,7 +31,9 @@ def registered_domains(df: DataFrame, suffixes: Iterable[str] | None = None) ->
 
 
 def brand_in_subdomain(sub: Column, domain: Column) -> Column:
-    return X.any_of(F.contains(sub, F.lit(b)) & ~F.contains(domain, F.lit(b)) for b in dict.fromkeys(L.BRANDS))
+    """A brand in front of a registered domain that does not contain it."""
+    brands = F.array(*[F.lit(b) for b in dict.fromkeys(L.BRANDS)])
+    return (sub != "") & F.exists(brands, lambda b: F.contains(sub, b) & ~F.contains(domain, b))
 
 
 def tld_risk(suffix: Column) -> Column:
@@ -39,29 +41,32 @@ def tld_risk(suffix: Column) -> Column:
     return F.when(suffix.isin(L.RISK_TLDS), F.lit(1.0)).when(suffix.isin(L.SAFE_TLDS), F.lit(0.0)).otherwise(F.lit(0.5))
 
 
+def _lower(g) -> dict[str, Column]:
+    return {"low": F.lower(g("url")), "nlow": F.lower(g("netloc"))}
+
+
 def _lexical(g) -> dict[str, Column]:
-    u, n = g("url"), g("netloc")
-    low, nlow = F.lower(u), F.lower(n)
+    u, n, low = g("url"), g("netloc"), g("low")
     digits = F.length(n) - F.length(F.regexp_replace(n, "[0-9]", ""))
-    keywords = X.count_present(low, L.URL_KEYWORDS) + F.when(F.contains(n, F.lit("@")), F.lit(3)).otherwise(F.lit(0))
+    listed = F.filter(F.array(*[F.lit(k) for k in L.URL_KEYWORDS]), lambda k: F.contains(low, k))
     return {
         "domain_length": F.length(g("domain")),
         "subdomain_depth": F.when(g("subdomain") == "", F.lit(0)).otherwise(F.size(F.split(g("subdomain"), r"\."))),
         "hyphen_count": F.length(g("domain")) - F.length(F.replace(g("domain"), F.lit("-"), F.lit(""))),
         "digit_ratio": F.when(n == "", F.lit(0.0)).otherwise(digits / F.length(n)),
         "url_entropy": X.entropy(u),
-        "brand_in_subdomain": ((g("subdomain") != "") & brand_in_subdomain(g("subdomain"), g("domain"))).cast("int"),
+        "brand_in_subdomain": brand_in_subdomain(g("subdomain"), g("domain")).cast("int"),
         "tld_risk_score": tld_risk(g("suffix")),
         "is_ip_address": u.rlike(rf"^https?://{net.IPV4}").cast("int"),
         "punycode_detected": (F.contains(low, F.lit("xn--")) | n.rlike(LOOKALIKE_SCRIPT)).cast("int"),
-        "url_shortener": X.contains_any(nlow, L.SHORTENERS).cast("int"),
+        "url_shortener": X.contains_any(g("nlow"), L.SHORTENERS).cast("int"),
         "path_depth": F.regexp_count(net.path(u), F.lit("[^/]+")),
-        "suspicious_keywords_in_url": keywords,
+        "suspicious_keywords_in_url": F.size(listed) + F.when(F.contains(n, F.lit("@")), F.lit(3)).otherwise(F.lit(0)),
     }
 
 
 def lexical_stages(suffixes: Iterable[str] | None = None) -> list[net.Stage]:
-    return [*net.domain_stages("url", suffixes), _lexical]
+    return [*net.domain_stages("url", suffixes), _lower, _lexical]
 
 
 def url_lexical(urls: DataFrame, suffixes: Iterable[str] | None = None) -> DataFrame:
@@ -117,7 +122,7 @@ def cert_risk(domains: DataFrame, cert_log: DataFrame, as_of: str, cap: int | No
     used = cert_log if cap is None else cert_log.where(F.col("entry_no") <= cap)
     issuer, san = F.lower("issuer"), F.lower("san")
     age = F.date_diff(F.lit(as_of).cast("date"), F.col("not_before").cast("date"))
-    brand = X.any_of(F.contains(san, F.lit(b)) & ~F.contains(F.lower("domain"), F.lit(b)) for b in dict.fromkeys(L.BRANDS))
+    brand = brand_in_subdomain(san, F.col("domain"))
     per_domain = used.groupBy("domain").agg(
         F.min(age).alias("cert_age_days"),
         F.max((F.contains(issuer, F.lit("let's encrypt")) | F.contains(issuer, F.lit("lets encrypt"))).cast("int")).alias("cert_lets_encrypt"),
@@ -148,12 +153,10 @@ def worst_cert(per_domain: DataFrame) -> DataFrame:
 # --- triage -------------------------------------------------------------------------------
 
 def _triage_facts(g) -> dict[str, Column]:
-    u, low = g("url"), F.lower(g("url"))
-    nlow = F.lower(g("netloc"))
+    u, low, nlow = g("url"), g("low"), g("nlow")
     label, sub = g("label"), g("subdomain")
     digits = F.length(label) - F.length(F.regexp_replace(label, "[0-9]", ""))
     return {
-        "nlow": nlow,
         "brand_sub": X.first_present(sub, L.BRAND_OFFICIAL),
         "brand_dom": X.first_present(label, L.BRAND_OFFICIAL),
         "shortener": X.first_present(nlow, L.TRIAGE_SHORTENERS),
@@ -166,15 +169,13 @@ def _triage_facts(g) -> dict[str, Column]:
     }
 
 
-def _official(brand: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for b, site in L.BRAND_OFFICIAL.items():
-        out = F.when(brand == b, F.lit(site)).otherwise(out)
-    return out
+def official_site(brand: Column) -> Column:
+    sites = F.create_map(*[F.lit(v) for pair in L.BRAND_OFFICIAL.items() for v in pair])
+    return F.element_at(sites, brand)
 
 
 def _triage_sites(g) -> dict[str, Column]:
-    return {"site_sub": _official(g("brand_sub")), "site_dom": _official(g("brand_dom"))}
+    return {"site_sub": official_site(g("brand_sub")), "site_dom": official_site(g("brand_dom"))}
 
 
 def _triage_checks(g) -> dict[str, Column]:
@@ -190,7 +191,7 @@ def _triage_checks(g) -> dict[str, Column]:
         (2, "keywords", g("has_keyword")),
         (2, "digit_domain", (g("label") != "") & (g("digit_share") > 0.4)),
         (2, "high_entropy", g("entropy") > 5.2),
-        (3, "punycode", F.contains(F.lower(u), F.lit("xn--"))),
+        (3, "punycode", F.contains(g("low"), F.lit("xn--"))),
         (4, "credentials_in_host", F.contains(n, F.lit("@"))),
         (2, "odd_port", F.coalesce(~g("port").isin(0, 80, 443), F.lit(False))),
         (1, "nested_subdomain", g("sub_labels") >= 3),
@@ -214,7 +215,7 @@ def _triage_result(g) -> dict[str, Column]:
 
 
 def triage_stages(suffixes: Iterable[str] | None = None) -> list[net.Stage]:
-    return [*net.domain_stages("url", suffixes), _triage_facts, _triage_sites, _triage_checks, _triage_result]
+    return [*net.domain_stages("url", suffixes), _lower, _triage_facts, _triage_sites, _triage_checks, _triage_result]
 
 
 def url_triage(urls: DataFrame, suffixes: Iterable[str] | None = None) -> DataFrame:

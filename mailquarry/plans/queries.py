@@ -138,10 +138,11 @@ def src_mail_files(spark, d):
     return _digest(corpora.mail_folder(spark, f"{out}/n=*", 1, "files"))
 
 
-@query(_MD5_OUT.format(f"SELECT 0 AS label, 'mbox' AS source, md5({o.strip('text')}) AS h FROM documents"))
+@query(_MD5_OUT.format(f"SELECT 0 AS label, 'mbox' AS source, md5({o.strip("replace(text, chr(10) || 'From ', chr(10) || '>From ')")}) AS h FROM documents"))
 def src_mbox(spark, d):
     out = scratch(spark)
-    fx.table(spark, d, "documents").select(F.concat(F.lit("From daemon Mon Jun  3 10:00:00 2024\n"), "text", F.lit("\n")).alias("value")).write.text(out)
+    quoted = F.replace("text", F.lit("\nFrom "), F.lit("\n>From "))      # as mbox writers do
+    fx.table(spark, d, "documents").select(F.concat(F.lit("From daemon Mon Jun  3 10:00:00 2024\n"), quoted, F.lit("\n")).alias("value")).write.text(out)
     return _digest(corpora.mbox(spark, out, 0, "mbox"))
 
 
@@ -1089,7 +1090,7 @@ o.cte("af", _rows_sql([
 @query("SELECT mail_id, severity, title, detail FROM af", "af")
 def address_findings(spark, d):
     m = mail.mail_fields(fx.mail_raw(spark, d))
-    return findings.finding_rows(m.withColumn("f", findings.address_findings()), "f", "address").drop("area", "pos")
+    return findings.finding_rows(findings.with_address_findings(m), "address_findings", "address").drop("area", "pos")
 
 
 o.cte("xf", _rows_sql([
@@ -1120,7 +1121,7 @@ o.cte("first_bad", "SELECT mail_id, arg_min(url, rn) AS bad FROM (SELECT mail_id
 def summary_findings(spark, d):
     p = parsed(spark, d)
     df = features.scalar_features(p, keep=("mail_id", "from_address", "reply_to", "return_path", "x_mailer", "body_text", "body_html", "urls"))
-    df = df.select("*", findings.header_findings().alias("header_findings"), findings.address_findings().alias("address_findings"), findings.html_findings().alias("html_findings"),
+    df = findings.with_address_findings(df).select("*", findings.header_findings().alias("header_findings"), findings.html_findings().alias("html_findings"),
                    urls.triaged_links(indicators.links()).alias("triage"))
     return rows.explode_values(df, ["mail_id"], findings.summary_findings(), "summary")
 

@@ -79,7 +79,7 @@ def score_mails(parsed: DataFrame, snap: Snapshots, probability: Callable[[], Co
         df = df.select("*", F.lit(-1).alias("ai_is_phishing"), F.lit(-1.0).alias("ai_confidence"), F.lit(None).cast("string").alias("ai_brand"))
     df = reputation.tool_verdicts(df).withColumn("verdict", verdict.ml_verdict(F.col("prob"), L.PHISHING_THRESHOLD, L.UNCERTAIN_THRESHOLD))
     df = techniques.calibrate(techniques.with_techniques(df))
-    df = df.select("*", findings.header_findings().alias("header_findings"), findings.address_findings().alias("address_findings"),
+    df = findings.with_address_findings(df).select("*", findings.header_findings().alias("header_findings"),
                    findings.html_findings().alias("html_findings"), urls.triaged_links(F.col("ioc_urls"), suffixes).alias("triage"))
     df = df.withColumn("summary", findings.summary_findings()).withColumnRenamed("verdict", "ml_verdict")
     return verdict.composite_verdict(df)
