@@ -72,7 +72,7 @@ def feature_vector(table: DataFrame, names: Sequence[str] | None = None, tfidf:
         df = df.join(tfidf.withColumnRenamed("doc_id", "mail_id") if "doc_id" in tfidf.columns else tfidf, "mail_id", "left")
         df = df.withColumn("_tfidf", array_to_vector(F.when(F.col("tfidf").isNull(), F.array_repeat(F.lit(0.0), len(vocabulary))).otherwise(weights)))
         inputs.append("_tfidf")
-    out = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep").transform(df)
+    out = VectorAssembler(inputCols=inputs, outputCol="features").transform(df)
     return out.drop(*[c for c in out.columns if c.startswith("_v_")], "_embedding", "_tfidf", "tfidf")
 
 

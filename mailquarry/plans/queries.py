@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector
@@ -20,6 +17,7 @@ from mailquarry.operators.outlier import OutlierForest, minmax_scale
 from mailquarry.plans import fixtures as fx
 from mailquarry.plans import lookups, scoring
 from mailquarry.plans import oracles as o
+from mailquarry.plans.staging import scratch, written
 from mailquarry.sinks import exports
 from mailquarry.sources import corpora
 
@@ -47,6 +45,11 @@ def parsed(spark: SparkSession, d: str) -> DataFrame:
     return mail.parse_mail(fx.mail_raw(spark, d), mime=False)
 
 
+def mail_table(spark: SparkSession, d: str) -> DataFrame:
+    """Parsed mails, written once because several branches of a query read them."""
+    return written(parsed(spark, d))
+
+
 def curated(spark: SparkSession, d: str) -> DataFrame:
     df = clean.drop_blank(fx.corpus(spark, d)).withColumn("label", clean.label_strict(F.col("label")))
     return df.where("label IS NOT NULL")
@@ -84,7 +87,7 @@ def snapshots(spark: SparkSession, p: DataFrame) -> scoring.Snapshots:
 
 
 def full_features(spark: SparkSession, d: str) -> DataFrame:
-    p = parsed(spark, d)
+    p = mail_table(spark, d)
     return scoring.feature_table(p, snapshots(spark, p))
 
 
@@ -99,12 +102,6 @@ def scored_mails(spark: SparkSession, d: str) -> DataFrame:
     return snapshot(spark, lookups.SCORED, fx.table(spark, d, "documents"))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the session's checkpoint location; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return os.path.join(base, uuid.uuid4().hex)
-
-
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
@@ -167,7 +164,7 @@ def union_hetero(spark, d):
 @query(f"SELECT domain, count(*) AS n_links FROM (SELECT domain FROM mail_url JOIN url_dom USING (url) WHERE domain <> '') x WHERE domain NOT IN ({lookups.ALLOWLIST.format(src='dd')}) GROUP BY domain",
        "mail_url", "url_dom", "dd")
 def domain_allowlist(spark, d):
-    hosts = urls.registered_domains(links(spark, d)).where("domain <> ''").select("domain")
+    hosts = urls.registered_domains(mail.link_rows(mail_table(spark, d))).where("domain <> ''").select("domain")
     return corpora.not_in_allowlist(hosts, snapshot(spark, lookups.ALLOWLIST, hosts)).groupBy("domain").agg(F.count("*").alias("n_links"))
 
 
@@ -374,7 +371,7 @@ o.cte("dns_txt", lookups.DNS_TXT.format(src=_SENDERS), "addr")
   FROM {_SENDERS} s LEFT JOIN dns_txt USING (domain) GROUP BY domain""", "addr", "dns_txt")
 def dns_policy_join(spark, d):
     m = mail.mail_fields(fx.mail_raw(spark, d))
-    senders = rows.explode_values(m, [], F.array(F.lower(net.address_domain(F.col("from_address")))), "domain").where("domain <> ''").distinct()
+    senders = rows.explode_values(written(m), [], F.array(F.lower(net.address_domain(F.col("from_address")))), "domain").where("domain <> ''").distinct()
     return headers.dns_policy(senders, snapshot(spark, lookups.DNS_TXT, senders))
 
 
@@ -422,14 +419,14 @@ def url_mail_agg(spark, d):
 
 @query("SELECT mail_id, url_domain_age_days, url_domain_age_risk, url_registrar_risk FROM whois_mail", "whois_mail")
 def whois_risk(spark, d):
-    p = parsed(spark, d)
+    p = mail_table(spark, d)
     whois = snapshot(spark, lookups.WHOIS, link_domains(urls.distinct_urls(mail.link_rows(p))))
     return urls.worst_whois(urls.whois_risk(urls.mail_domains(p), whois, lookups.AS_OF))
 
 
 @query("SELECT mail_id, url_cert_age_days, url_cert_lets_encrypt, url_cert_brand_mismatch FROM cert_mail", "cert_mail")
 def cert_risk(spark, d):
-    p = parsed(spark, d)
+    p = mail_table(spark, d)
     log = snapshot(spark, lookups.CERT_LOG, link_domains(urls.distinct_urls(mail.link_rows(p))))
     return urls.worst_cert(urls.cert_risk(urls.mail_domains(p), log, lookups.AS_OF))
 
@@ -461,7 +458,7 @@ for _i in range(1, 7):
 
 @query("SELECT url, cur AS cleaned, method, wrapped AS was_wrapped FROM rd6", "rd6")
 def redirect_join(spark, d):
-    du = distinct_links(spark, d)
+    du = written(distinct_links(spark, d))
     return unwrap.clean_urls(du, snapshot(spark, lookups.REDIRECT_MAP, du))
 
 
@@ -582,21 +579,21 @@ def truncate_words(spark, d):
 @query("SELECT mail_id, pos::INT AS pos, m.url, coalesce(malicious, -1) AS vt_malicious, coalesce(suspicious, -1) AS vt_suspicious, coalesce(clean, -1) AS vt_clean, coalesce(reputation, 0) AS vt_reputation "
        "FROM mail_url m LEFT JOIN url_rep USING (url)", "mail_url", "url_rep")
 def rep_url(spark, d):
-    found = links(spark, d)
+    found = mail.link_rows(mail_table(spark, d))
     return reputation.rep_url(found, snapshot(spark, lookups.URL_REP, urls.distinct_urls(found)))
 
 
 @query("SELECT mail_id, m.domain, coalesce(malicious, -1) AS vt_malicious, coalesce(suspicious, -1) AS vt_suspicious, coalesce(clean, -1) AS vt_clean, coalesce(reputation, 0) AS vt_reputation "
        "FROM mail_dom m LEFT JOIN domain_rep USING (domain)", "mail_dom", "domain_rep")
 def rep_domain(spark, d):
-    p = parsed(spark, d)
+    p = mail_table(spark, d)
     return reputation.rep_domain(urls.mail_domains(p), snapshot(spark, lookups.DOMAIN_REP, link_domains(urls.distinct_urls(mail.link_rows(p)))))
 
 
 @query("SELECT m.mail_id, m.gsb_is_flagged, m.gsb_threat_count, listed FROM block_mail m JOIN (SELECT mail_id, max(coalesce(w.listed, -1)) AS listed FROM mail_url LEFT JOIN malware_urls w USING (url) GROUP BY 1) x USING (mail_id)",
        "block_mail", "mail_url", "malware_urls")
 def rep_blocklist(spark, d):
-    found = links(spark, d)
+    found = mail.link_rows(mail_table(spark, d))
     du = urls.distinct_urls(found)
     block = reputation.rep_blocklist(found, snapshot(spark, lookups.BLOCKLIST, du))
     listed = reputation.rep_malware_url(found, snapshot(spark, lookups.MALWARE_URLS, du)).groupBy("mail_id").agg(F.max("urlhaus_threat").alias("listed"))
@@ -606,32 +603,32 @@ def rep_blocklist(spark, d):
 @query(f"SELECT s.mail_id, s.ip, coalesce(score, -1) AS abuse_confidence_score, coalesce(reports, -1) AS abuse_total_reports, coalesce(is_tor, -1) AS abuse_is_tor "
        f"FROM sender s LEFT JOIN ip_rep r ON s.ip = r.ip AND NOT {o.has('s.ip', o.PRIVATE_REP)}", "sender", "ip_rep")
 def rep_ip(spark, d):
-    ips = reputation.sender_ips(mail.mail_fields(fx.mail_raw(spark, d)))
+    ips = reputation.sender_ips(mail_table(spark, d))
     return reputation.rep_ip(ips, snapshot(spark, lookups.IP_REP, ips.select("ip").distinct()))
 
 
 @query("SELECT mail_id, pos::INT AS pos, m.url, coalesce(malicious, -1) AS urlscan_malicious, coalesce(brand, -1) AS urlscan_brand_impersonated, coalesce(redirects, -1) AS urlscan_redirect_count "
        "FROM mail_url m LEFT JOIN url_scan USING (url)", "mail_url", "url_scan")
 def rep_scan(spark, d):
-    found = links(spark, d)
+    found = mail.link_rows(mail_table(spark, d))
     return reputation.rep_scan(found, snapshot(spark, lookups.URL_SCAN, urls.distinct_urls(found)))
 
 
 @query("SELECT mail_id, kind, key, fraud_score, fraud_flag FROM fraud_one", "fraud_one")
 def rep_fraud(spark, d):
-    keys = scoring.fraud_keys(parsed(spark, d))
+    keys = scoring.fraud_keys(mail_table(spark, d))
     return reputation.rep_fraud(keys, snapshot(spark, lookups.FRAUD_REP, keys.select("kind", F.col("key").alias("item")).distinct()))
 
 
 @query(f"SELECT mail_id, {', '.join(features.INTEL)} FROM intel", "intel")
 def intel_features(spark, d):
-    p = parsed(spark, d)
+    p = mail_table(spark, d)
     s = snapshots(spark, p)
     return reputation.intel_features(p, mail.link_rows(p), s.url_rep, s.blocklist, s.url_scan, s.malware_urls, s.ip_rep)
 
 
 def _tool_input(spark: SparkSession, d: str) -> DataFrame:
-    p = parsed(spark, d)
+    p = mail_table(spark, d)
     s = snapshots(spark, p)
     intel = reputation.intel_features(p, mail.link_rows(p), s.url_rep, s.blocklist, s.url_scan, s.malware_urls, s.ip_rep)
     fraud = scoring.fraud_scores(p, s.fraud_rep)
@@ -659,7 +656,7 @@ def tool_tally(spark, d):
   UNION ALL SELECT mail_id, key, 'Email', CASE WHEN fraud_score >= 75 THEN 'SUSPICIOUS' ELSE 'CLEAN' END, 'fraud ' || fraud_score || '/100', 'MEDIUM' FROM fraud_one WHERE kind = 'email' AND fraud_score <> -1""",
        "mail_url", "url_rep", "malware_urls", "sender", "ip_rep", "fraud_one")
 def evidence_table(spark, d):
-    p = parsed(spark, d)
+    p = mail_table(spark, d)
     s = snapshots(spark, p)
     shown = mail.link_rows(p.withColumn("urls", F.slice("urls", 1, 5)))      # the report shows five links per mail
     facts = reputation.rep_malware_url(reputation.rep_url(shown, s.url_rep), s.malware_urls)
@@ -850,13 +847,13 @@ o.cte("wrong", f"SELECT feat.*, CASE WHEN label = 1 THEN 'false_negative' ELSE '
 @query("SELECT mode, feature, mean_value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY mean_value DESC, feature) AS rank FROM (SELECT mode, feature, round(avg(value), 6) AS mean_value "
        f"FROM (UNPIVOT (SELECT mode, {', '.join(f'{c}::DOUBLE AS {c}' for c in _FAIL)} FROM wrong) ON {', '.join(_FAIL)} INTO NAME feature VALUE value) GROUP BY mode, feature)) WHERE rank <= 20", "wrong")
 def failure_modes(spark, d):
-    p = parsed(spark, d)
-    table = scoring.feature_table(p, snapshots(spark, p), keep=("mail_id", "label")).withColumn("prob", fixed_probability())
+    p = mail_table(spark, d)
+    table = written(scoring.feature_table(p, snapshots(spark, p), keep=("mail_id", "label")).withColumn("prob", fixed_probability()))
     return evaluate.failure_modes(table, _FAIL)
 
 
 def _attacked(spark: SparkSession, d: str) -> DataFrame:
-    raw = variants.all_variants(fx.mail_raw(spark, d).where("label = 1"))
+    raw = written(variants.all_variants(fx.mail_raw(spark, d).where("label = 1")))
     table = features.scalar_features(mail.parse_mail(raw, mime=False), keep=("mail_id", "label", "attack"))
     return table.withColumn("prob", fixed_probability())
 
@@ -1009,7 +1006,7 @@ def attack_simple(spark, d):
 
 
 def _technique_input(spark: SparkSession, d: str) -> DataFrame:
-    p = parsed(spark, d)
+    p = mail_table(spark, d)
     carry = ("mail_id", "raw_email", "from_address", "reply_to", "return_path", "received", "x_originating_ip", "body_text", "body_html", "urls", "attachments")
     table = scoring.feature_table(p, snapshots(spark, p), keep=carry).withColumn("prob", fixed_probability())
     df = table.withColumn("n_urls", F.size(indicators.links())).withColumn("n_attachments", F.size("attachments"))
@@ -1168,7 +1165,7 @@ o.cte("composite", f"""SELECT mail_id, adjusted AS adjusted_prob, CASE WHEN adju
 
 @query("SELECT mail_id, round(adjusted_prob, 6) AS adjusted_prob, verdict, reasons FROM composite", "composite")
 def verdict_composite(spark, d):
-    p = parsed(spark, d)
+    p = mail_table(spark, d)
     s = snapshots(spark, p)
     df = scoring.feature_table(p, s).withColumn("prob", fixed_probability())
     df = df.join(scoring.fraud_scores(p, s.fraud_rep), "mail_id", "left").fillna(-1)
@@ -1177,7 +1174,7 @@ def verdict_composite(spark, d):
 
 
 def analysed(spark: SparkSession, d: str) -> DataFrame:
-    p = parsed(spark, d)
+    p = mail_table(spark, d)
     return scoring.score_mails(p, snapshots(spark, p), fixed_probability)
 
 
