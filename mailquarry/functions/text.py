@@ -92,9 +92,12 @@ def strip_accents(c: Column) -> Column:
 
 
 def refang(c: Column) -> Column:
-    """Undo analyst-style defanging: hxxp, [://], [.], (.) and []."""
-    c = F.regexp_replace(c, "(?i)hxxp(s?)://", "http$1://")
+    """Undo analyst-style defanging: [://], hxxp, [.], (.) and [].
+
+    The separator comes first, so that ``hxxp[://]`` is recognised as well.
+    """
     c = F.replace(c, F.lit("[://]"), F.lit("://"))
+    c = F.regexp_replace(c, "(?i)hxxp(s?)://", "http$1://")
     return F.regexp_replace(c, r"\[\.?\]|\(\.\)", ".")
 
 

@@ -361,7 +361,7 @@ cte("ioc_ip", f"""SELECT DISTINCT mail_id, ip AS value FROM (SELECT mail_id, ip
 
 
 def refang(c: str) -> str:
-    return sub("replace(" + sub(c, "(?i)hxxp(s?)://", "http\\1://") + ", '[://]', '://')", r"\[\.?\]|\(\.\)", ".")
+    return sub(sub(f"replace({c}, '[://]', '://')", "(?i)hxxp(s?)://", "http\\1://"), r"\[\.?\]|\(\.\)", ".")
 
 
 cte("ioc_url", f"""SELECT DISTINCT mail_id, {sub("u", r'''[.,;)'"]+$''', "")} AS url FROM (

@@ -1013,7 +1013,7 @@ def _technique_input(spark: SparkSession, d: str) -> DataFrame:
     return df.withColumn("ai_brand", F.lit(None).cast("string")).withColumn("verdict", verdict.ml_verdict(F.col("prob")))
 
 
-_TID = "mail_id, technique_id, round(confidence::DOUBLE, 4) AS confidence"
+_TID = "mail_id, technique_id, round(round(confidence::DOUBLE, 6), 4) AS confidence"
 
 
 def _tid(df: DataFrame) -> DataFrame:
