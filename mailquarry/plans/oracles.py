@@ -374,25 +374,28 @@ def _target(t: str) -> str:
 
 def unwrap_pass(src: str) -> str:
     """One pass over ``src(url, cur, method, wrapped)``: the first rule with a target wins."""
-    http = lambda e: f"(SELECT CASE WHEN {_target('t')} THEN t END FROM (SELECT {e} AS t))"
+    http = lambda e: f"nullif({ext(e, '(?s)^(https?://.*)$', 1)}, '')"
     host, p = f"lower({netloc('cur')})", path("cur")
     defense = f"(contains({host}, 'urldefense.com') OR contains({host}, 'urldefense.proofpoint.com'))"
+    v2 = "url_decode(regexp_replace(url_decode(" + sub(param("cur", "u"), "-([0-9A-Fa-f]{2})", "%\\1") + "), " + lit("^(.*?)__") + ", " + lit("\\1//") + "))"
+    safelinks = "url_decode(url_decode(url_decode(" + param("cur", "url") + ")))"
     rules = [
-        (f"CASE WHEN {has('cur', '(?i)^https?://[a-z0-9-]+[.]safelinks[.]protection[.]outlook[.]com/')} THEN {http(f'url_decode(url_decode(url_decode({param('cur', 'url')})))')} END", lit(L.METHOD_SAFELINKS)),
-        (f"CASE WHEN {defense} AND contains({p}, '/v3/__') THEN {http('url_decode(' + ext('cur', '/v3/__(.+?)__(?:;|$)', 1) + ')')} END", lit(L.METHOD_PP_V3)),
-        (f"CASE WHEN {defense} AND NOT contains({p}, '/v3/__') AND contains({p}, '/v2/url') THEN {http('url_decode(regexp_replace(url_decode(' + sub(param('cur', 'u'), '-([0-9A-Fa-f]{2})', '%' + chr(92) + '1') + '), ' + lit('^(.*?)__') + ', ' + lit(chr(92) + '1//') + '))')} END", lit(L.METHOD_PP_V2)),
-        (f"CASE WHEN contains({host}, 'google.com') AND {p} IN ('/url', '/url/') THEN nullif(url_decode(coalesce({param('cur', 'q')}, {param('cur', 'url')})), '') END", lit(L.METHOD_GOOGLE)),
-        (f"CASE WHEN {has('cur', '(?i)^https?://links[.]barracudanetworks[.]com/')} THEN coalesce({', '.join('url_decode(' + http(param('cur', q)) + ')' for q in ('url', 'u', 'dest'))}) END", lit(L.METHOD_BARRACUDA)),
+        (f"CASE WHEN {has('cur', '(?i)^https?://[a-z0-9-]+[.]safelinks[.]protection[.]outlook[.]com/')} THEN {http(safelinks)} END", L.METHOD_SAFELINKS),
+        (f"CASE WHEN {defense} AND contains({p}, '/v3/__') THEN {http('url_decode(' + ext('cur', '/v3/__(.+?)__(?:;|$)', 1) + ')')} END", L.METHOD_PP_V3),
+        (f"CASE WHEN {defense} AND NOT contains({p}, '/v3/__') AND contains({p}, '/v2/url') THEN {http(v2)} END", L.METHOD_PP_V2),
+        (f"CASE WHEN contains({host}, 'google.com') AND {p} IN ('/url', '/url/') THEN nullif(url_decode(coalesce({param('cur', 'q')}, {param('cur', 'url')})), '') END", L.METHOD_GOOGLE),
+        (f"CASE WHEN {has('cur', '(?i)^https?://links[.]barracudanetworks[.]com/')} THEN coalesce({', '.join('url_decode(' + http(param('cur', q)) + ')' for q in ('url', 'u', 'dest'))}) END", L.METHOD_BARRACUDA),
+        *[(f"url_decode({http(param('cur', q))})", f"Redirect param (?{q}=)") for q in L.REDIRECT_PARAMS],
+        (f"CASE WHEN url_decode(cur) <> cur THEN {http('url_decode(cur)')} END", L.METHOD_PERCENT),
     ]
-    for q in L.REDIRECT_PARAMS:
-        t = f"url_decode({http(param('cur', q))})"
-        rules.append((f"(SELECT CASE WHEN lower({netloc('t')}) <> '' AND lower({netloc('t')}) <> {host} THEN t END FROM (SELECT {t} AS t))", lit(f"Redirect param (?{q}=)")))
-    rules.append((f"CASE WHEN url_decode(cur) <> cur THEN {http('url_decode(cur)')} END", lit(L.METHOD_PERCENT)))
+    last = 5 + len(L.REDIRECT_PARAMS)
     cols = ", ".join(f"{e} AS t{i}" for i, (e, _) in enumerate(rules))
-    method = "CASE " + " ".join(f"WHEN t{i} IS NOT NULL THEN {m}" for i, (_, m) in enumerate(rules)) + " END"
+    other = lambda i: f"lower({netloc(f't{i}')}) <> '' AND lower({netloc(f't{i}')}) <> {host}"
+    usable = ", ".join(f"CASE WHEN {other(i)} THEN t{i} END AS t{i}" if 5 <= i < last else f"t{i}" for i in range(len(rules)))
+    method = "CASE " + " ".join(f"WHEN t{i} IS NOT NULL THEN {lit(m)}" for i, (_, m) in enumerate(rules)) + " END"
     target = "coalesce(" + ", ".join(f"t{i}" for i in range(len(rules))) + ")"
     return (f"SELECT url, CASE WHEN t <> cur THEN t ELSE cur END AS cur, CASE WHEN t <> cur THEN m ELSE method END AS method, wrapped OR coalesce(t <> cur, false) AS wrapped "
-            f"FROM (SELECT url, cur, method, wrapped, {target} AS t, {method} AS m FROM (SELECT *, {cols} FROM {src}))")
+            f"FROM (SELECT url, cur, method, wrapped, {target} AS t, {method} AS m FROM (SELECT url, cur, method, wrapped, {usable} FROM (SELECT *, {cols} FROM {src})))")
 
 
 def unwrap_ctes(prefix: str, start: str, *deps: str) -> None:

@@ -1227,7 +1227,8 @@ _EV = {
     "T1598": "'external_form_action=True, suspicious_url_keywords=True'", "T1539": "'external_form_action=True, high_urgency=True'",
 }
 _ORD = ["T1566", "T1566.001", "T1566.002", "T1036", "T1204", "T1056", "T1027", "T1078", "T1071.003", "T1598", "T1539"]
-_ORD_SQL = "CASE technique_id " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(_ORD)) + " ELSE CASE feature " + " ".join(f"WHEN '{f}' THEN {20 + i}" for i, f in enumerate(L.FEATURE_TECHNIQUES)) + " END END"
+_ORD_SQL = ("CASE WHEN c.mail_id IS NULL THEN CASE technique_id " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(_ORD)) + " END ELSE CASE feature "
+            + " ".join(f"WHEN '{f}' THEN {20 + i}" for i, f in enumerate(L.FEATURE_TECHNIQUES)) + " END END")
 o.cte("map_hit", "SELECT mail_id, technique_id, arg_min(feature, i) AS feature FROM (" + " UNION ALL ".join(
     f"SELECT mail_id, '{v[0]}' AS technique_id, '{f}' AS feature, {i} AS i FROM rule_in WHERE {f} > 0" for i, (f, v) in enumerate(L.FEATURE_TECHNIQUES.items())) + ") GROUP BY 1, 2", "rule_in")
 o.cte("technique_text", f"""SELECT k.mail_id, {_ORD_SQL} AS ord, chr(10) || '[' || technique_id || '] ' || CASE WHEN c.mail_id IS NULL THEN {_NAME} ELSE CASE feature {" ".join(f"WHEN '{f}' THEN '{v[1]}'" for f, v in L.FEATURE_TECHNIQUES.items())} END END
