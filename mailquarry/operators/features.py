@@ -25,8 +25,7 @@ def scalar_features(mail: DataFrame, suffixes: Iterable[str] | None = None, keep
     """All named scalar features of parsed mails, one row per mail.
 
     The four families are chained as projections on the same row, so the mail is read once and nothing is
-    shuffled. Look-up results (``whois``, ``cert``, ``intel``: one row per ``mail_id``) are joined last;
-    columns that were not given, and mails without an answer, get the defaults.
+    shuffled. Look-up results are joined last, see :func:`with_lookups`.
     """
     carry = list(keep)
     needed = ["subject", "body_text", "body_html", "urls"]
@@ -37,14 +36,21 @@ def scalar_features(mail: DataFrame, suffixes: Iterable[str] | None = None, keep
     step = html.html_features(step, "body_html", suffixes, keep=[*dict.fromkeys([*carry, "subject", "body_text", *hdr, *url])])
     htm = [c for c in step.columns if c.startswith("html_")]
     out = text.text_features(step, "body_text", keep=tuple(dict.fromkeys([*carry, *hdr, *url, *htm])))
-    for extra in (whois, cert, intel):
-        if extra is not None:
-            out = out.join(extra, "mail_id", "left")
+    return with_lookups(out, whois, cert, intel).select(*carry, *SCALARS, *INTEL)
+
+
+def with_lookups(table: DataFrame, *answers: DataFrame | None) -> DataFrame:
+    """Join look-up features (one row per ``mail_id`` each); missing columns and answers get the defaults.
+
+    Join after the text columns are dropped: only narrow rows should meet the look-ups.
+    """
     defaults = {**{f"url_{n}": v for n, v in L.URL_NETWORK_FEATURES.items()}, **{f"intel_{n}": v for n, v in L.INTEL_DEFAULTS.items()}}
-    present = set(out.columns)
+    for a in answers:
+        if a is not None:
+            table = table.drop(*[c for c in a.columns if c != "mail_id"]).join(a, "mail_id", "left")
+    present = set(table.columns)
     filled = [F.coalesce(F.col(n), F.lit(v)).alias(n) if n in present else F.lit(v).alias(n) for n, v in defaults.items()]
-    plain = [c for c in out.columns if c not in defaults]
-    return out.select(*plain, *filled).select(*carry, *SCALARS, *INTEL)
+    return table.select(*[c for c in table.columns if c not in defaults], *filled)
 
 
 def text_for_model() -> Column:

@@ -74,7 +74,8 @@ def with_decoded_body(df: DataFrame) -> DataFrame:
     columns = [c for c in df.columns if c != "body"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "body")
     rows = df.select(*columns).mapInPandas(_decode_rows(columns), f"{schema}, parts array<{PART}>")
-    single = ~F.lower("content_type").rlike("^multipart/")
+    # A multipart container is no part itself, unless the parser found no parts in it.
+    single = ~F.lower("content_type").rlike("^multipart/") | F.startswith(F.get("parts", F.lit(0))["mime"], F.lit("multipart/"))
 
     def texts(kind: str):
         wanted = F.filter("parts", lambda p: ~p["is_attachment"] & (p["mime"] == kind))

@@ -82,7 +82,8 @@ def map_array(rules: Column) -> Column:
     for feature, (tid, name, tactic) in L.FEATURE_TECHNIQUES.items():
         on = F.coalesce(F.col(feature).cast("double") > 0, F.lit(False))
         fresh = on & ~F.array_contains(seen, tid) & ~earlier.get(tid, F.lit(False))
-        out.append(F.when(fresh, _technique(tid, name, tactic, F.lit(0.65), F.array(F.lit(feature)))))
+        out.append(F.when(fresh, _technique(tid, name, tactic, F.lit(0.65), F.array(
+            F.concat(F.lit(f"{feature}="), F.col(feature).cast("double").cast("string"))))))
         earlier[tid] = earlier.get(tid, F.lit(False)) | on
     return F.array_compact(F.array(*out))
 

@@ -135,11 +135,11 @@ def src_mail_files(spark, d):
     return _digest(corpora.mail_folder(spark, f"{out}/n=*", 1, "files"))
 
 
-@query(_MD5_OUT.format(f"SELECT 0 AS label, 'mbox' AS source, md5({o.strip("replace(text, chr(10) || 'From ', chr(10) || '>From ')")}) AS h FROM documents"))
+@query(_MD5_OUT.format(f"SELECT 0 AS label, 'mbox' AS source, md5({o.strip("replace(chr(10) || text, chr(10) || 'From ', chr(10) || '>From ')")}) AS h FROM documents"))
 def src_mbox(spark, d):
     out = scratch(spark)
-    quoted = F.replace("text", F.lit("\nFrom "), F.lit("\n>From "))      # as mbox writers do
-    fx.table(spark, d, "documents").select(F.concat(F.lit("From daemon Mon Jun  3 10:00:00 2024\n"), quoted, F.lit("\n")).alias("value")).write.text(out)
+    quoted = F.replace(F.concat(F.lit("\n"), "text"), F.lit("\nFrom "), F.lit("\n>From "))      # as mbox writers do
+    fx.table(spark, d, "documents").select(F.concat(F.lit("From daemon Mon Jun  3 10:00:00 2024"), quoted, F.lit("\n")).alias("value")).write.text(out)
     return _digest(corpora.mbox(spark, out, 0, "mbox"))
 
 
@@ -1007,9 +1007,7 @@ def attack_simple(spark, d):
 
 def _technique_input(spark: SparkSession, d: str) -> DataFrame:
     p = mail_table(spark, d)
-    carry = ("mail_id", "raw_email", "from_address", "reply_to", "return_path", "received", "x_originating_ip", "body_text", "body_html", "urls", "attachments")
-    table = scoring.feature_table(p, snapshots(spark, p), keep=carry).withColumn("prob", fixed_probability())
-    df = table.withColumn("n_urls", F.size(indicators.links())).withColumn("n_attachments", F.size("attachments"))
+    df = scoring.with_snapshots(scoring.mail_facts(p), p, snapshots(spark, p)).withColumn("prob", fixed_probability())
     return df.withColumn("ai_brand", F.lit(None).cast("string")).withColumn("verdict", verdict.ml_verdict(F.col("prob")))
 
 
@@ -1229,11 +1227,11 @@ _EV = {
 _ORD = ["T1566", "T1566.001", "T1566.002", "T1036", "T1204", "T1056", "T1027", "T1078", "T1071.003", "T1598", "T1539"]
 _ORD_SQL = ("CASE WHEN c.mail_id IS NULL THEN CASE technique_id " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(_ORD)) + " END ELSE CASE feature "
             + " ".join(f"WHEN '{f}' THEN {20 + i}" for i, f in enumerate(L.FEATURE_TECHNIQUES)) + " END END")
-o.cte("map_hit", "SELECT mail_id, technique_id, arg_min(feature, i) AS feature FROM (" + " UNION ALL ".join(
-    f"SELECT mail_id, '{v[0]}' AS technique_id, '{f}' AS feature, {i} AS i FROM rule_in WHERE {f} > 0" for i, (f, v) in enumerate(L.FEATURE_TECHNIQUES.items())) + ") GROUP BY 1, 2", "rule_in")
+o.cte("map_hit", "SELECT mail_id, technique_id, arg_min(feature, i) AS feature, arg_min(v, i) AS v FROM (" + " UNION ALL ".join(
+    f"SELECT mail_id, '{v[0]}' AS technique_id, '{f}' AS feature, {f}::DOUBLE AS v, {i} AS i FROM rule_in WHERE {f} > 0" for i, (f, v) in enumerate(L.FEATURE_TECHNIQUES.items())) + ") GROUP BY 1, 2", "rule_in")
 o.cte("technique_text", f"""SELECT k.mail_id, {_ORD_SQL} AS ord, chr(10) || '[' || technique_id || '] ' || CASE WHEN c.mail_id IS NULL THEN {_NAME} ELSE CASE feature {" ".join(f"WHEN '{f}' THEN '{v[1]}'" for f, v in L.FEATURE_TECHNIQUES.items())} END END
     || chr(10) || '  Tactic:     ' || {_TACTIC} || chr(10) || '  Confidence: ' || repeat('█', floor(confidence * 10)::INT) || ' ' || round_even(confidence * 100, 0)::INT || '%' || chr(10) || '  Evidence:   '
-    || CASE WHEN c.mail_id IS NULL THEN CASE technique_id {" ".join(f"WHEN '{t}' THEN {e}" for t, e in _EV.items())} END ELSE feature END || chr(10) || '  Reference:  https://attack.mitre.org/techniques/' || replace(technique_id, '.', '/') || '/' AS block
+    || CASE WHEN c.mail_id IS NULL THEN CASE technique_id {" ".join(f"WHEN '{t}' THEN {e}" for t, e in _EV.items())} END ELSE feature || '=' || v::VARCHAR END || chr(10) || '  Reference:  https://attack.mitre.org/techniques/' || replace(technique_id, '.', '/') || '/' AS block
   FROM technique_kept k JOIN rule_in USING (mail_id) LEFT JOIN map_hit USING (mail_id, technique_id) LEFT JOIN config_row c USING (mail_id, technique_id)""", "technique_kept", "rule_in", "map_hit", "config_row")
 
 

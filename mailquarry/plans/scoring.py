@@ -47,36 +47,57 @@ def fraud_scores(parsed: DataFrame, fraud_rep: DataFrame) -> DataFrame:
         best("email", "fraud_score").alias("fraud_email_score"), best("ip", "fraud_score").alias("fraud_ip_score"))
 
 
+def lookup_features(parsed: DataFrame, snap: Snapshots, suffixes: Iterable[str] | None = None) -> list[DataFrame]:
+    """Look-up features of the mails, one narrow table per kind with one row per mail."""
+    domains = urls.mail_domains(parsed, suffixes)
+    out = [reputation.intel_features(parsed, mail.link_rows(parsed), snap.url_rep, snap.blocklist, snap.url_scan, snap.malware_urls, snap.ip_rep)]
+    if snap.whois is not None:
+        out.append(urls.worst_whois(urls.whois_risk(domains, snap.whois, snap.as_of)))
+    if snap.cert_log is not None:
+        out.append(urls.worst_cert(urls.cert_risk(domains, snap.cert_log, snap.as_of)))
+    return out
+
+
 def feature_table(parsed: DataFrame, snap: Snapshots | None = None, suffixes: Iterable[str] | None = None,
                   keep: tuple[str, ...] = ("mail_id",)) -> DataFrame:
     """Named scalar features of parsed mails, with look-up features when snapshots are given."""
+    table = features.scalar_features(parsed, suffixes, keep)
     if snap is None:
-        return features.scalar_features(parsed, suffixes, keep)
-    domains = urls.mail_domains(parsed, suffixes)
-    whois = urls.worst_whois(urls.whois_risk(domains, snap.whois, snap.as_of)) if snap.whois is not None else None
-    cert = urls.worst_cert(urls.cert_risk(domains, snap.cert_log, snap.as_of)) if snap.cert_log is not None else None
-    intel = reputation.intel_features(parsed, mail.link_rows(parsed), snap.url_rep, snap.blocklist, snap.url_scan, snap.malware_urls, snap.ip_rep)
-    return features.scalar_features(parsed, suffixes, keep, whois, cert, intel)
+        return table
+    return features.with_lookups(table, *lookup_features(parsed, snap, suffixes)).select(*table.columns)
 
 
-def score_mails(parsed: DataFrame, snap: Snapshots, probability: Callable[[], Column],
-                suffixes: Iterable[str] | None = None) -> DataFrame:
-    """Verdict, probability, techniques, findings and indicator counts for every mail.
+def mail_facts(parsed: DataFrame, suffixes: Iterable[str] | None = None) -> DataFrame:
+    """Everything that follows from the mail alone: features and indicators, without the texts.
 
-    ``probability`` gives the model's probability from the feature columns. For a Spark ML model, score the
-    feature table first and pass the joined column.
+    One chain of projections; the bodies end here and are never shuffled.
     """
-    carry = ("mail_id", "raw_email", "from_address", "reply_to", "return_path", "x_mailer", "x_originating_ip", "received", "subject", "body_text", "body_html",
-             "urls", "attachments")
-    table = feature_table(parsed, snap, suffixes, carry).withColumn("prob", probability())
-    arrays = indicators.indicator_arrays(table, keep=tuple(c for c in table.columns if c not in ("body_html",)))
-    df = arrays.withColumn("n_urls", F.size("ioc_urls")).withColumn("n_attachments", F.size("attachments"))
+    fields = ("mail_id", "from_address", "reply_to", "return_path", "x_mailer", "subject")
+    raw = ("raw_email", "x_originating_ip", "received", "body_text", "body_html", "urls", "attachments")
+    table = features.scalar_features(parsed, suffixes, (*fields, *raw))
+    arrays = indicators.indicator_arrays(table, keep=tuple(c for c in table.columns if c not in raw))
+    return arrays.select("*", F.size("ioc_urls").alias("n_urls"), F.size("attachment_hashes").alias("n_attachments"))
+
+
+def with_snapshots(facts: DataFrame, parsed: DataFrame, snap: Snapshots, suffixes: Iterable[str] | None = None) -> DataFrame:
+    """Add look-up features, fraud scores and stored AI answers to the facts of the mails."""
+    df = features.with_lookups(facts, *lookup_features(parsed, snap, suffixes))
     df = df.join(fraud_scores(parsed, snap.fraud_rep), "mail_id", "left").fillna(
         -1, ["fraud_url_score", "fraud_url_flag", "fraud_email_score", "fraud_ip_score"])
     if snap.ai_answers is not None:
-        df = verdict.ai_answers(df, snap.ai_answers)
-    else:
-        df = df.select("*", F.lit(-1).alias("ai_is_phishing"), F.lit(-1.0).alias("ai_confidence"), F.lit(None).cast("string").alias("ai_brand"))
+        return verdict.ai_answers(df, snap.ai_answers)
+    return df.select("*", F.lit(-1).alias("ai_is_phishing"), F.lit(-1.0).alias("ai_confidence"), F.lit(None).cast("string").alias("ai_brand"))
+
+
+def score_mails(parsed: DataFrame, snap: Snapshots, probability: Callable[[], Column],
+                suffixes: Iterable[str] | None = None) -> DataFrame:
+    """Verdict, probability, techniques, findings and indicators for every mail.
+
+    ``probability`` gives the model's probability from the feature columns. For a Spark ML model, score the
+    feature table first and pass the joined column. ``parsed`` is read by several branches: pass a written
+    table.
+    """
+    df = with_snapshots(mail_facts(parsed, suffixes), parsed, snap, suffixes).withColumn("prob", probability())
     df = reputation.tool_verdicts(df).withColumn("verdict", verdict.ml_verdict(F.col("prob"), L.PHISHING_THRESHOLD, L.UNCERTAIN_THRESHOLD))
     df = techniques.calibrate(techniques.with_techniques(df))
     df = findings.with_address_findings(df).select("*", findings.header_findings().alias("header_findings"),
