@@ -63,7 +63,7 @@ def rule_array() -> Column:
         ("T1566.001", c("n_attachments") > 0, F.lit(0.85), number("attachment_count", c("n_attachments"))),
         ("T1566.002", c("n_urls") > 0, F.least(F.lit(0.5) + F.lit(0.1) * c("n_urls"), F.lit(0.95)), number("url_count", c("n_urls"))),
         ("T1036", F.size(brand) > 0, F.lit(0.80), brand),
-        ("T1204", urgency > 0.3, F.least(urgency, F.lit(0.9)), F.array(F.concat(F.lit("urgency_score="), F.format_string("%.3f", urgency)))),
+        ("T1204", urgency > 0.3, F.least(urgency, F.lit(0.9)), F.array(F.concat(F.lit("urgency_score="), F.format_string("%.3f", F.bround(urgency, 3))))),
         ("T1056", form, F.lit(0.75), F.array(F.lit("external_form_action=True"))),
         ("T1027", F.size(hidden) > 0, F.lit(0.70), hidden),
         ("T1078", keywords > 0, F.lit(0.60), number("suspicious_url_keywords", keywords)),
