@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 # Blanks that separate words: ASCII blanks plus the Unicode spaces.
 SPACE = r"\t\n\x0B\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# The same characters as a plain string.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), 0x20, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(c: Column) -> Column:
-    """Remove blanks of every kind at both ends."""
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    """Remove blanks of every kind at both ends (only the ends are looked at)."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def blank_to_empty(c: Column) -> Column:

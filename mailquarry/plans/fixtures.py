@@ -170,18 +170,19 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "pages", "benchmark", "labels", "conversations"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _spread(df: DataFrame) -> DataFrame:
     """Use all cores on a small file that comes as fewer splits; large tables are left as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _spread(df) if name in ("documents", "pages") else df
+
+
 def _view(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
-    return spark.sql(sql, **{n: _spread(table(spark, sf_dir, n)) for n in names})
+    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
