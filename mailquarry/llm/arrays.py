@@ -83,3 +83,27 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nda
 def owner(borders: np.ndarray, position: np.ndarray) -> np.ndarray:
     """Index of the text that holds each position."""
     return np.searchsorted(borders, position, side="right") - 1
+
+
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.arange(256, dtype=np.uint8) + np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), 32, 0).astype(np.uint8)
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z."""
+    return _LOWER[data]
+
+
+def words(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and stops of the maximal runs without ASCII white space, and the text of each."""
+    inside = ~_BLANK[data]
+    start = inside.copy()
+    start[1:] &= ~inside[:-1]
+    first = borders[:-1][borders[:-1] < borders[1:]]
+    start[first] = inside[first]
+    stop = inside.copy()
+    stop[:-1] &= ~inside[1:]
+    last = borders[1:][borders[:-1] < borders[1:]] - 1
+    stop[last] = inside[last]
+    begin = np.flatnonzero(start)
+    return begin, np.flatnonzero(stop) + 1, owner(borders, begin)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailquarry.llm import packing, tokenfiles
+from mailquarry.llm import langid, packing, quality, tokenfiles
 from mailquarry.plans.staging import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(column: str, divisor: int) -> Column:
+    """CRC-32 of an id as text, modulo the divisor; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+@query()
+def op3_quality(spark, sf_dir):
+    """Score and class of every document."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(remainder("doc_id", 5) != 0)
+    scored = quality.score(docs, quality.train(docs, labels))
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query()
 def op4_packing(spark, sf_dir):
     """Every piece of every packed document."""
@@ -39,6 +53,14 @@ def op4_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query()
+def op9_language(spark, sf_dir):
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.train(docs.where(remainder("doc_id", 4) != 2)))
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 @query()
 def op10_token_files(spark, sf_dir):
     """Every document as read back from the written dataset."""
