@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailquarry.llm import langid, packing, quality, tokenfiles
+from mailquarry.llm import decontaminate, exact, htmltext, langid, packing, quality, tokenfiles, urlrules
 from mailquarry.plans.staging import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,14 @@ def remainder(column: str, divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+@query("""SELECT doc_id, max(doc_id) OVER (PARTITION BY sha) AS keep_id, count(*) OVER (PARTITION BY sha) AS group_size,
+  doc_id = max(doc_id) OVER (PARTITION BY sha) AS kept, sha AS text_sha256
+  FROM (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS sha FROM documents)""")
+def op1_exact_dedup(spark, sf_dir):
+    """Group and keeper of every document."""
+    return exact.dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 @query()
 def op3_quality(spark, sf_dir):
     """Score and class of every document."""
@@ -53,6 +61,32 @@ def op4_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query()
+def op5_decontamination(spark, sf_dir):
+    """Every document and benchmark item that it holds, with the edit distance."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+RULES = [urlrules.Rule("com", "/", "allow"), urlrules.Rule("example.com", "/en/", "block"), urlrules.Rule("www.example.com", "/en/", "allow"),
+         urlrules.Rule("net", "/es/", "block"), urlrules.Rule("net", "/fr/", "block")]
+
+
+@query()
+def op6_url_rules(spark, sf_dir):
+    """Verdict on the URL of every page. The number in a path is the document that the page shows; its labels are those of the URL."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    shown = pages.select("url", F.regexp_extract(urlrules.path(), "/([0-9]{1,18})", 1).try_cast("long").alias("doc_id"))
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), "block").otherwise("allow")
+    labelled = shown.join(labels, "doc_id").select("url", bad.alias("verdict"))
+    return urlrules.judge(pages, RULES, labelled).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op7_main_text(spark, sf_dir):
+    """Main text of every page."""
+    return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query()
 def op9_language(spark, sf_dir):
     """Language of every document."""
