@@ -15,6 +15,8 @@ tasks first, and the join back to the rows is one to many, which adaptive execut
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,18 +102,23 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
     return found.select("doc_id", F.col("stay.doc_id").alias("keep_id"), F.col("n").alias("group_size"), stays.alias("kept"), F.col("sha").alias("text_sha256"), "locator")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. Only rows that may go are shuffled."""
+def without(docs: DataFrame, dropped: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``docs`` without the rows whose locators ``dropped`` returns, with all columns. Only rows that may go are shuffled."""
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_locator")
     try:
         rows = docs.select("*", place)
     except AnalysisException:
         docs = written(docs)
         rows = docs.select("*", place)
-    gone = written(dedup(docs, id_col, text_col).where("NOT kept").select(F.col("locator").alias("_locator")))
+    gone = written(dropped(docs).select(F.col("locator").alias("_locator")))
     n_gone = gone.count()
     if not n_gone:
         return docs
     marks = bitmap(gone, "_locator", n_gone)
     suspects = maybe(rows, "_locator", marks).join(gone, "_locator", "left_anti")
     return absent(rows, "_locator", marks).unionByName(suspects).drop("_locator")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns."""
+    return without(docs, lambda source: dedup(source, id_col, text_col).where("NOT kept"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailquarry.llm import decontaminate, exact, htmltext, langid, packing, quality, tokenfiles, urlrules
+from mailquarry.llm import decontaminate, exact, htmltext, langid, neardup, packing, quality, tokenfiles, urlrules
 from mailquarry.plans.staging import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,12 @@ def op7_main_text(spark, sf_dir):
     return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@query()
+def op8_near_duplicates(spark, sf_dir):
+    """Class of near-duplicates of every document."""
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 @query()
 def op9_language(spark, sf_dir):
     """Language of every document."""
