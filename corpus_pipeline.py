@@ -1,26 +1,50 @@
-"""The pipeline over ``documents``: stages that each take what the one before has kept."""
+"""The pipeline over ``documents``: stages that each take what the one before has kept.
+
+All but the last return the columns of ``documents``, and rows with nulls, empty texts or repeated ids pass by the rules
+that the operators state.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailquarry.llm import packing
-from mailquarry.llm.queries import TOKENIZER
+from mailquarry.llm import decontaminate, exact, langid, neardup, packing
+from mailquarry.llm.queries import TOKENIZER, table
 from mailquarry.plans.staging import written
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: those without a letter or without a clear winner go."""
+    return langid.known(docs, langid.train(docs))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text."""
+    return exact.keep_one(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return neardup.keep_one(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in windows of token ids."""
+    """Pieces of all documents in windows of token ids."""
     return packing.pack(docs, TOKENIZER)
 
 
-STAGES = [("packing", packed)]
-ORACLE_SQL = None           # language models and tokenizers have no SQL form; tests hold the stages against plain versions
+STAGES = [("language ID", language), ("exact dedup", exact_dedup), ("near-duplicates", near_dedup), ("decontamination", decontaminated), ("packing", packed)]
+ORACLE_SQL = None           # language models, edit distance and tokenizers have no SQL form; tests hold every stage against a plain version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage; every stage's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir))
     return docs

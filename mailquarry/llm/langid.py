@@ -30,6 +30,7 @@ from mailquarry.llm.arrays import lowered, slices, text_column, utf8
 
 TRAIN_DOCS = 4000           # documents per language, about
 MIN_CONTEXT = 8             # occurrences of a context of order three
+LEAST_SCORE = 0.5           # below, a text has no language in :func:`known`
 UND = "und"
 PREDICTED = "doc_id long, lang_pred string, score double"
 _LETTER = regex.compile(r"\p{L}")
@@ -163,6 +164,20 @@ def code_lengths(model: Model, data: np.ndarray, borders: np.ndarray) -> np.ndar
     return np.add.reduceat(bits, places[:-1], axis=0, dtype=np.float64)
 
 
+def _judged(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of every text."""
+    data, borders = utf8(texts)
+    bits = code_lengths(model, data, borders)
+    score = 1 / np.exp2(np.maximum(-1000, bits.min(1, keepdims=True) - bits)).sum(1)
+    low = lowered(data)
+    letters = np.concatenate([[0], np.cumsum((low >= 97) & (low <= 122))])[borders]
+    lang = np.array(model.langs, object)[bits.argmin(1)]
+    for k in np.flatnonzero(np.diff(letters) == 0):
+        if not _LETTER.search(texts[int(k)].as_py()):
+            lang[k], score[k] = UND, 0.0
+    return lang, score
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred and score of every row with columns doc_id and text."""
     if model is None:
@@ -173,17 +188,22 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         model = shared.value
         for batch in batches:
             for part in slices(batch):
-                texts = text_column(part)
-                data, borders = utf8(texts)
-                bits = code_lengths(model, data, borders)
-                best = bits.argmin(1)
-                score = 1 / np.exp2(np.maximum(-1000, bits.min(1, keepdims=True) - bits)).sum(1)
-                low = lowered(data)
-                letters = np.concatenate([[0], np.cumsum((low >= 97) & (low <= 122))])[borders]
-                lang = np.array(model.langs, object)[best]
-                for k in np.flatnonzero(np.diff(letters) == 0):
-                    if not _LETTER.search(texts[int(k)].as_py()):
-                        lang[k], score[k] = UND, 0.0
+                lang, score = _judged(model, text_column(part))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PREDICTED)
+
+
+def known(docs: DataFrame, model: Model | None, least: float = LEAST_SCORE) -> DataFrame:
+    """The documents with a language (score >= ``least``), with all their columns; none without a model."""
+    if model is None:
+        return docs.where("false")
+    shared = docs.sparkSession.sparkContext.broadcast(model)        # bounded by the sample, as in :func:`predict`
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                lang, score = _judged(shared.value, text_column(part))
+                yield part.filter(pa.array((lang != UND) & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailquarry.llm import decontaminate, exact, htmltext, langid, neardup, packing, quality, tokenfiles, urlrules
+from mailquarry.llm import decontaminate, exact, htmltext, langid, neardup, packing, quality, repeats, tokenfiles, urlrules
 from mailquarry.plans.staging import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op2_repeated_bytes(spark, sf_dir):
+    """What remains of every document without repeated strings of 400 bytes."""
+    return repeats.remove(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def remainder(column: str, divisor: int) -> Column:
     """CRC-32 of an id as text, modulo the divisor; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
