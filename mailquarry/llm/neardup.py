@@ -7,10 +7,11 @@ coordinate. Darts are drawn cell by cell (dyadic in weight and rank) and only up
 weight has enough of them, so a signature costs about as much as a look at each element. Equal coordinates are as likely
 as the weighted Jaccard similarity.
 
-Texts that share a band of coordinates are candidates. In every bucket all members are compared with one of them, and the
-links (similarity of the whole sets >= ``SIMILARITY``) are joined into components. Only buckets that still hold several
-components go on: there the members outside the largest component are compared with all members of other components, so
-no candidate link between different classes is lost and no group is compared all to all.
+Texts that share a band of coordinates are candidates. In every bucket all members are compared with its centre, the one
+that meets most others in all its buckets, and the links (similarity of the whole sets >= ``SIMILARITY``) are joined
+into components. Only buckets that still hold several components go on: there the members outside the largest
+component are compared with those members of other components that can be similar to them by the sizes of the sets, by
+what they can share and by sketches of the signatures (which pass 0.8 but for a chance of 1e-5). So no candidate link between different classes is lost, and no group is compared all to all.
 
 Exact copies are one node from the start. Texts of fewer words have their words as one element; texts without words, also null
 and empty ones, equal exact copies only. The smallest id of a class stays (nulls last, equal ids by locator). An empty table
@@ -36,6 +37,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4         # a pair of similarity 0.8 shares no band with a chance of 3e-6
 COORDINATES = BANDS * ROWS
+SIZE_STEP = 1.12            # ratio of successive size classes
+SKETCH = 1024               # coordinates of the sketches that tell pairs in mixed buckets apart
+SKETCH_ROWS = 64
+SURE = 4.5                  # standard deviations by which the sketches of a similar pair may differ more than expected
 SMALLEST_RANK = -8          # ranks below 2**-8 are one cell
 _UNIT = 2.0 ** -53
 
@@ -132,6 +137,30 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return mix(rows.sum(2) + np.arange(1, BANDS + 1, dtype=np.uint64) * K1).astype(np.int64)
 
 
+def sketch_limit(similarity: float) -> float:
+    """Differing bits up to which the sketches of two texts speak for this similarity: every second coordinate that differs shows."""
+    p = (1 - similarity) / 2
+    return SKETCH * p + SURE * np.sqrt(SKETCH * p * (1 - p))
+
+
+def _sketched(sets: DataFrame) -> DataFrame:
+    """One bit of each of SKETCH coordinates, as long integers (node, sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SKETCH_ROWS):
+                part = batch.slice(start, SKETCH_ROWS)
+                lists = part.column("elements")
+                element = lists.flatten().to_numpy().view(np.uint64)
+                owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                bits = mix(signatures(owner, element, np.ones(len(element)), part.num_rows, SKETCH)) >> np.uint64(63)
+                longs = np.packbits(bits.astype(np.uint8), axis=1).view("<i8")
+                out = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * longs.shape[1]), pa.array(longs.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column("node"), out], ["node", "sketch"])
+
+    return sets.select("node", "elements").mapInArrow(run, "node long, sketch array<long>")
+
+
 def weights(count: np.ndarray, counted: bool) -> np.ndarray:
     """Weight of each element: one, or how often it occurs."""
     return count.astype(np.float64) if counted else np.ones(len(count))
@@ -187,10 +216,6 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(ratio >= least).select("a", "b")
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-
-
 def classes(docs: DataFrame, similarity: float = SIMILARITY, counted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (the id that stays), class_size, kept, locator."""
     rows = located(docs, id_col, text_col)
@@ -209,27 +234,55 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, counted: bool = Fal
     return marked.select("doc_id", "locator", "th").join(answer, "th").select("doc_id", F.col("stay.doc_id").alias("class_id"), "class_size", kept.alias("kept"), "locator")
 
 
+def _partners(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """For each node the sizes (node, size, low, high) that the set of a similar text can have.
+
+    Elements that no other of these nodes has can't be shared, which leaves ``shared``; sets of sizes n and m are similar
+    only if they share at least (n + m) s / (1 + s). Nodes that can't have a partner are left out.
+    """
+    own = sets.join(nodes, "node")
+    single = (own.select("node", F.explode("elements").alias("element")).groupBy("element").agg(F.count("*").alias("k"), F.min("node").alias("node"))
+              .where("k = 1").groupBy("node").agg(F.count("*").alias("alone")))
+    known = own.select("node", F.size("elements").alias("size")).join(single, "node", "left")
+    most = (F.col("size") - F.coalesce("alone", F.lit(0))) * ((1 + similarity) / similarity) - F.col("size")
+    return (known.withColumn("low", F.ceil(F.col("size") * similarity - 1e-6)).withColumn("high", F.floor(F.least(most, F.col("size") / similarity) + 1e-6))
+            .where("low <= high").select("node", "size", "low", "high"))
+
+
+def _size_class(size: Column) -> Column:
+    return F.floor(F.log(size.cast("double")) / np.log(SIZE_STEP))
+
+
 def _components(rows: DataFrame, nodes: DataFrame, similarity: float, counted: bool) -> DataFrame | None:
     keys = nodes.select("node", F.explode("bands").alias("bucket"))
-    full = written(keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1").drop("n"))
+    full = written(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     members = written(keys.join(full, "bucket"))
-    stars = written(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+    central = members.groupBy("node").agg(F.sum("n").alias("weight"))           # texts near a group's centre meet more others
+    centre = members.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("centre"))
+    pairs = members.join(centre, "bucket").where("node <> centre")
+    stars = written(pairs.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct())
     if stars.isEmpty():
         return None
-    ends = written(_ends(stars))
+    ends = written(members.select("node").distinct())
     sets = _sets(rows, nodes, ends, ends.count(), counted)
     links = written(_similar(stars, sets, similarity))
     found = components(links)
 
     rooted = members if found is None else members.join(found, "node", "left")
-    rooted = written(rooted.select("bucket", "node", "least", (F.col("node") if found is None else F.coalesce("root", "node")).alias("root")))
+    rooted = written(rooted.select("bucket", "node", (F.col("node") if found is None else F.coalesce("root", "node")).alias("root")))
     shares = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     largest = shares.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
     mixed = written(rooted.join(largest.select("bucket", "largest"), "bucket"))
-    few = mixed.where("root <> largest").select("bucket", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    pairs = (few.join(mixed.select("bucket", F.col("node").alias("y"), F.col("root").alias("y_root"), "least"), "bucket")
-             .where("x_root <> y_root AND x <> least AND y <> least"))        # pairs with the least member are done
-    rest = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    able = written(_partners(mixed.select("node").distinct(), sets, similarity))
+    sized = mixed.join(able.join(_sketched(sets.join(able.select("node"), "node")), "node"), "node").withColumn("own", _size_class(F.col("size")))
+    wide = written(sized.withColumn("other", F.explode(F.sequence(_size_class(F.col("low")), _size_class(F.col("high"))))))
+    side = lambda df, tag, own, other: df.select(
+        "bucket", F.col("own").alias(own), F.col("other").alias(other), *[F.col(c).alias(f"{tag}_{c}") for c in ("node", "root", "size", "low", "high", "sketch")])
+    differ = sum((F.bit_count(F.col("x_sketch")[i].bitwiseXOR(F.col("y_sketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
+    few = side(wide.where("root <> largest"), "x", "first", "second")
+    pairs = few.join(side(wide, "y", "second", "first"), ["bucket", "first", "second"]).where(
+        "x_root <> y_root AND x_size BETWEEN y_low AND y_high AND y_size BETWEEN x_low AND x_high").where(differ <= sketch_limit(similarity))
+    rest = pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = written(_similar(rest, sets, similarity))
     return found if more.isEmpty() else components(links.unionByName(more))
 
