@@ -69,10 +69,9 @@ def features(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndar
     return key // BUCKETS, key % BUCKETS
 
 
-def ratios(owner: np.ndarray, bucket: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Log-count ratio of every bucket."""
-    p = SMOOTH + np.bincount(bucket[label[owner] == 1], minlength=BUCKETS)
-    q = SMOOTH + np.bincount(bucket[label[owner] == 0], minlength=BUCKETS)
+def ratios(without: np.ndarray, with_: np.ndarray) -> np.ndarray:
+    """Log-count ratio of every bucket, from the rows of class zero and of class one that have it."""
+    p, q = SMOOTH + with_, SMOOTH + without
     return np.log((p / p.sum()) / (q / q.sum()))
 
 
@@ -128,20 +127,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
 
-def fit(texts: pa.Array, label: np.ndarray, held: np.ndarray) -> Model:
-    """Model from the sample; ``held`` marks the rows for the curve."""
+def fit(rows: list[np.ndarray], label: np.ndarray, held: np.ndarray) -> Model:
+    """Model from the buckets of every row of the sample; ``held`` marks the rows for the curve."""
     if len(set(label.tolist())) < 2 or len(set(label[~held].tolist())) < 2:
         share = (label.sum() + 1) / (len(label) + 2) if len(label) else 0.5
         return Model(np.zeros(BUCKETS), np.zeros(BUCKETS + 1), 0.0, float(np.log(share / (1 - share))))
-    owner, bucket = features(*utf8(texts))
-    use = ~held[owner]
-    ratio = ratios(owner[use], bucket[use], label)
-    borders = np.searchsorted(owner, np.arange(len(label) + 1))
-    rows = [bucket[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)]
+    train = np.flatnonzero(~held)
+    seen = np.array([sum(np.bincount(rows[i], minlength=BUCKETS) for i in train if label[i] == c) for c in (0, 1)])
+    ratio = ratios(*seen)
     values = [ratio[r] / max(1e-12, np.linalg.norm(ratio[r])) for r in rows]
     sign = np.where(label == 1, 1.0, -1.0)
     weight_of = len(label) / (2 * np.maximum(1, np.bincount(label, minlength=2)))
-    train = np.flatnonzero(~held)
     w = descend([rows[i] for i in train], [values[i] for i in train], sign[train], COST * weight_of[label[train]])
     w[:-1] = (1 - MIX_MEAN) * w[:-1] + MIX_MEAN * np.abs(w[:-1]).mean()
     test = np.flatnonzero(held) if len(set(label[held].tolist())) == 2 else train
@@ -155,34 +151,37 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     known = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").select(F.col("doc_id").cast("long"), F.col("label").cast("int")).distinct()
     draw = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     chosen = known.where(draw * F.lit(known.count()) < rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")        # bounded by ``rows``
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")        # bounded by ``rows``
     held = F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(HELD_FOR_CURVE)) == 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = pa.Table.from_batches(list(batches)).combine_chunks() if batches is not None else None
-        label = parts.column("label").to_numpy().astype(np.int64)
-        texts = pa.concat_arrays(parts.column("text").chunks) if parts.num_rows else pa.array([], pa.string())
-        model = fit(texts, label, parts.column("held").to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays([pa.array([model.ratio.astype("<f8").tobytes()]), pa.array([model.weight.astype("<f8").tobytes()]),
-                                          pa.array([model.slope]), pa.array([model.offset])], ["ratio", "weight", "slope", "offset"])
-
-    ordered = sample.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label", held.alias("held")).repartition(1).sortWithinPartitions("doc_id", "text", "label")
-    found = ordered.mapInArrow(_one_task(run), "ratio binary, weight binary, slope double, offset double").collect()
+    def indicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                owner, bucket = features(*utf8(text_column(part)))
+                cut = np.searchsorted(owner, np.arange(1, part.num_rows))
+                rows = [b.astype("<i4").tobytes() for b in np.split(bucket, cut)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.binary()), part.column("label"), part.column("held")], ["doc_id", "buckets", "label", "held"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, label, held = [], [], []
+        for batch in batches:
+            rows += [np.frombuffer(b, "<i4") for b in batch.column("buckets").to_pylist()]
+            label += batch.column("label").to_pylist()
+            held += batch.column("held").to_pylist()
+        if rows:
+            m = fit(rows, np.array(label, np.int64), np.array(held, bool))
+            yield pa.RecordBatch.from_arrays([pa.array([m.ratio.astype("<f8").tobytes()]), pa.array([m.weight.astype("<f8").tobytes()]),
+                                              pa.array([m.slope]), pa.array([m.offset])], ["ratio", "weight", "slope", "offset"])
+
+    marked = sample.select("doc_id", "text", "label", held.alias("held")).mapInArrow(indicate, "doc_id long, buckets binary, label int, held boolean")
+    ordered = marked.repartition(1).sortWithinPartitions("doc_id", "buckets", "label")       # the bounded sample
+    found = ordered.mapInArrow(learn, "ratio binary, weight binary, slope double, offset double").collect()
     if not found:
-        return fit(pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, bool))
+        return fit([], np.zeros(0, np.int64), np.zeros(0, bool))
     m = found[0]
     return Model(np.frombuffer(m.ratio, "<f8"), np.frombuffer(m.weight, "<f8"), m.slope, m.offset)
 
 
-def _one_task(run):
-    """The function on all batches of a task at once; nothing for a task without rows."""
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            yield from run(iter(held))
-    return whole
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row with columns doc_id and text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)            # bounded by BUCKETS
