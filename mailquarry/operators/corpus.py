@@ -160,9 +160,9 @@ def corpus_manifest(df: DataFrame) -> DataFrame:
         F.sum((F.col("label") == 0).cast("bigint")).alias("legitimate"))
 
 
-def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """Balanced weight n / (classes * n_class) per label, a table with one row per class."""
+def class_weights(df: DataFrame, label: str = "label", digits: int | None = 6) -> DataFrame:
+    """Balanced weight n / (classes * n_class) per label, a table with one row per class; rounded for reports only."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("_n"), F.count("*").alias("_k"))
-    return (counts.join(F.broadcast(total))
-            .select(label, "n", F.round(F.col("_n") / (F.col("_k") * F.col("n")), 6).alias("weight")))
+    weight = F.col("_n") / (F.col("_k") * F.col("n"))
+    return counts.join(F.broadcast(total)).select(label, "n", (weight if digits is None else F.round(weight, digits)).alias("weight"))

@@ -39,7 +39,7 @@ def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def with_class_weight(df: DataFrame, label: str = "label") -> DataFrame:
     """Add the balanced ``weight``; the weight table has one row per class."""
-    return df.join(F.broadcast(class_weights(df, label).select(label, "weight")), label)
+    return df.join(F.broadcast(class_weights(df, label, digits=None).select(label, "weight")), label)
 
 
 def build(name: str, params: dict | None = None, seed: int = 42) -> Pipeline:
@@ -106,7 +106,7 @@ def random_grid(name: str, trials: int = 50, seed: int = 42) -> list[dict]:
     out = []
     for _ in range(trials):
         draw = {}
-        for key, space in L.SEARCH_SPACES[name].items():
+        for key, space in L.SEARCH_SPACES["gbt" if name in _GBT else name].items():
             if isinstance(space, list):
                 draw[key] = rng.choice(space)
             elif key in L.LOG_UNIFORM:

@@ -98,3 +98,10 @@ def test_random_grid_is_reproducible_and_in_range():
     a, b = learn.random_grid("rf", 20), learn.random_grid("rf", 20)
     assert a == b
     assert all(100 <= p["n_estimators"] <= 500 and p["max_features"] in ("sqrt", "log2") for p in a)
+
+
+def test_every_model_has_a_search_space_and_exact_weights(spark):
+    for name in learn.MODELS:
+        assert len(learn.random_grid(name, trials=2)) == 2
+    df = spark.createDataFrame([(0,)] * 3 + [(1,)] * 4, "label int")
+    assert {r.label: r.weight for r in learn.with_class_weight(df).distinct().collect()} == {0: 7 / 6, 1: 7 / 8}
