@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 K1 = np.uint64(0x9E3779B97F4A7C15)      # odd multipliers of the hash functions below
 K2 = np.uint64(0xBF58476D1CE4E5B9)
 K3 = np.uint64(0x94D049BB133111EB)

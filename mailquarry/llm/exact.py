@@ -27,7 +27,7 @@ from mailquarry.plans.staging import scratch, written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SETTINGS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
             "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-            "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+            "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
             "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}          # no preallocated files in each partition's store
 FILES_PER_BATCH = 1000
 
