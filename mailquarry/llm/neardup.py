@@ -274,14 +274,15 @@ def _components(rows: DataFrame, nodes: DataFrame, similarity: float, counted: b
     largest = shares.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
     mixed = written(rooted.join(largest.select("bucket", "largest"), "bucket"))
     able = written(_partners(mixed.select("node").distinct(), sets, similarity))
-    sized = mixed.join(able.join(_sketched(sets.join(able.select("node"), "node")), "node"), "node").withColumn("own", _size_class(F.col("size")))
+    sized = mixed.join(able.join(_sketched(sets.join(able.select("node"), "node")), "node").join(nodes.select("node", "bands"), "node"), "node").withColumn("own", _size_class(F.col("size")))
     wide = written(sized.withColumn("other", F.explode(F.sequence(_size_class(F.col("low")), _size_class(F.col("high"))))))
     side = lambda df, tag, own, other: df.select(
-        "bucket", F.col("own").alias(own), F.col("other").alias(other), *[F.col(c).alias(f"{tag}_{c}") for c in ("node", "root", "size", "low", "high", "sketch")])
+        "bucket", F.col("own").alias(own), F.col("other").alias(other), *[F.col(c).alias(f"{tag}_{c}") for c in ("node", "root", "size", "low", "high", "sketch", "bands")])
     differ = sum((F.bit_count(F.col("x_sketch")[i].bitwiseXOR(F.col("y_sketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
     few = side(wide.where("root <> largest"), "x", "first", "second")
     pairs = few.join(side(wide, "y", "second", "first"), ["bucket", "first", "second"]).where(
         "x_root <> y_root AND x_size BETWEEN y_low AND y_high AND y_size BETWEEN x_low AND x_high").where(differ <= sketch_limit(similarity))
+    pairs = pairs.where(F.get(F.array_intersect("x_bands", "y_bands"), F.lit(0)) == F.col("bucket"))       # each pair once, in its first bucket
     rest = pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = written(_similar(rest, sets, similarity))
     return found if more.isEmpty() else components(links.unionByName(more))
