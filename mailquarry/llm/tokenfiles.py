@@ -30,7 +30,7 @@ HEADER = struct.Struct("<4sHHI32s")
 BLOCK_BYTES = 1 << 20
 BLOCKS = "shard int, block int, before long, n_docs int, n_tokens long, min_id long, max_id long, payload binary"
 DOCUMENTS = "shard int, at long, doc_id long, n_tokens long, ids binary"
-SAMPLE_DOCS = 400               # documents that the dictionary is trained on,
+SAMPLE_DOCS = 400               # documents that the dictionary is trained on, about,
 SAMPLE_DOC_BYTES = 16_384       # each no longer than this
 DICTIONARY_BYTES = 32_768
 BROADCAST_SHARDS = 65_536       # 16 bytes each
@@ -44,9 +44,9 @@ def serialized(ids: np.ndarray) -> tuple[int, bytes]:
 
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     """Dictionary from a bounded sample of documents, chosen by a hash; empty if they are too few to train one."""
-    text = F.coalesce("text", F.lit(""))
-    sample = (docs.select(text.alias("text")).where(F.octet_length("text") <= SAMPLE_DOC_BYTES).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS))
-    texts = [r.text for r in sample.collect()]
+    short = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_DOC_BYTES)
+    draw = F.pmod(F.xxhash64(F.lit("dictionary"), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    texts = sorted(r.text for r in short.where(draw * F.lit(float(docs.count())) < SAMPLE_DOCS).limit(4 * SAMPLE_DOCS).collect())
     if not texts:
         return b""
     ids, borders = encoder(tokenizer).encode(texts)
