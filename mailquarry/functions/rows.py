@@ -14,6 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def first(values: Column | str, n: int | None) -> Column:
+    """The first ``n`` elements of an array; all of them when ``n`` is None."""
+    values = F.col(values) if isinstance(values, str) else values
+    return values if n is None else F.slice(values, 1, n)
+
+
 def explode_values(df: DataFrame, keep: Sequence[str | Column], values: Column | str, name: str) -> DataFrame:
     """One row per non-NULL element."""
     return df.select(*keep, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())

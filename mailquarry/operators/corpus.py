@@ -45,35 +45,38 @@ def source_priority(source: Column, priority: dict[str, int] | None = None,
     return out
 
 
-def dedup_key(text: Column, prefix: int = L.DEDUP_PREFIX) -> Column:
-    """Near-duplicate key: the start of the trimmed text in lower case."""
+def dedup_key(text: Column, prefix: int | None = None) -> Column:
+    """Key of equal texts: SHA-256 of the trimmed text in lower case, or its start when a ``prefix`` length is given."""
+    if prefix is None:
+        return F.sha2(F.lower(X.strip(text)), 256)
     return F.lower(F.substring(X.strip(text), 1, prefix))
 
 
-def _keepers(df: DataFrame, priority: dict[str, int] | None) -> DataFrame:
+def _keepers(df: DataFrame, priority: dict[str, int] | None, prefix: int | None) -> DataFrame:
     # Priority and id in one decimal, so the minimum stays a plain hash aggregate that is combined
     # before the shuffle: a key shared by a third of the table costs one row per task.
     rank = (source_priority(F.col("source"), priority).cast("decimal(4,0)") * F.lit("20000000000000000000").cast("decimal(20,0)")
             + F.col("mail_id").cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(19,0)"))
-    best = (df.select(dedup_key(F.col("raw_email")).alias("_key"), rank.cast("decimal(25,0)").alias("_rank"))
+    best = (df.select(dedup_key(F.col("raw_email"), prefix).alias("_key"), rank.cast("decimal(25,0)").alias("_rank"))
             .groupBy("_key").agg(F.min("_rank").alias("_rank")))
     mail_id = F.pmod("_rank", F.lit("20000000000000000000").cast("decimal(20,0)")) - F.lit("9223372036854775808").cast("decimal(19,0)")
-    return best.select(mail_id.cast("bigint").alias("mail_id"))
+    return best.select("_key", mail_id.cast("bigint").alias("mail_id"))
 
 
-def drop_near_duplicates(df: DataFrame, priority: dict[str, int] | None = None) -> DataFrame:
-    """Keep one row per prefix key: best source first, then the smallest ``mail_id``.
+def drop_near_duplicates(df: DataFrame, priority: dict[str, int] | None = None, prefix: int | None = None) -> DataFrame:
+    """Keep one row per key (see ``dedup_key``): best source first, then the smallest ``mail_id``.
 
-    The texts themselves are shuffled at most once (for the semi join on the kept ids), never sorted,
-    and no key group is ever gathered in one task.
+    The texts themselves are shuffled at most once (for the semi join on key and id), and no key group is
+    ever gathered in one task. Two mails with one id are told apart by their keys.
     """
-    return df.join(_keepers(df, priority), "mail_id", "left_semi")
+    keyed = df.withColumn("_key", dedup_key(F.col("raw_email"), prefix))
+    return keyed.join(_keepers(df, priority, prefix), ["_key", "mail_id"], "left_semi").select(*df.columns)
 
 
-def dedup_report(df: DataFrame, priority: dict[str, int] | None = None) -> DataFrame:
+def dedup_report(df: DataFrame, priority: dict[str, int] | None = None, prefix: int | None = None) -> DataFrame:
     """Rows, kept rows and removed rows per source."""
-    kept = _keepers(df, priority).withColumn("_kept", F.lit(1))
-    return (df.select("mail_id", "source").join(kept, "mail_id", "left")
+    kept = _keepers(df, priority, prefix).withColumn("_kept", F.lit(1))
+    return (df.select("mail_id", "source", dedup_key(F.col("raw_email"), prefix).alias("_key")).join(kept, ["_key", "mail_id"], "left")
             .groupBy("source")
             .agg(F.count("*").alias("total"), F.count("_kept").alias("kept"))
             .withColumn("removed", F.col("total") - F.col("kept")))

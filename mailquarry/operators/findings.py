@@ -98,14 +98,16 @@ def _any_at_least(findings: str, rank: int) -> Column:
     return F.exists(findings, lambda f: severity_rank(f["severity"]) >= rank)
 
 
-def summary_findings() -> Column:
-    """Headline codes from ``header_findings``, ``triage``, ``address_findings``, ``html_findings`` and urgency."""
+def summary_findings(width: int | None = None) -> Column:
+    """Headline codes from ``header_findings``, ``triage``, ``address_findings``, ``html_findings`` and urgency; ``width`` cuts the link shown."""
     titled = lambda word: F.exists("html_findings", lambda f: F.contains(F.lower(f["title"]), F.lit(word)))
     bad = F.filter("triage", lambda t: t["severity_rank"] >= 3)
     urgency = F.col("txt_urgency_score_normalised")
+    link = F.get(bad, F.lit(0))["url"]
+    link = link if width is None else F.substring(link, 1, width)
     return F.array_compact(F.array(
         F.when(_any_at_least("header_findings", 4), F.lit("authentication failed")),
-        F.when(F.size(bad) > 0, F.concat(F.lit("high-risk link: "), F.substring(F.get(bad, F.lit(0))["url"], 1, 55))),
+        F.when(F.size(bad) > 0, F.concat(F.lit("high-risk link: "), link)),
         F.when(_any_at_least("address_findings", 4), F.lit("sender poses as a brand")),
         F.when(titled("credential") | titled("form"), F.lit("credential form")),
         F.when(titled("hidden"), F.lit("hidden text")),

@@ -73,7 +73,7 @@ def header_features(mail: DataFrame, suffixes: Iterable[str] | None = None, stri
                     keep: Iterable[str] = ("mail_id",)) -> DataFrame:
     """``hdr_*`` columns.
 
-    ``header_injection_attempt`` looks for CR, LF or NUL in the first 2048 characters of the header dump.
+    ``header_injection_attempt`` looks for CR, LF or NUL in the header dump.
     The dump joins headers with LF, so it fires for every mail with two headers; with
     ``strict_injection`` only CR and NUL count.
     """
@@ -92,7 +92,7 @@ def header_features(mail: DataFrame, suffixes: Iterable[str] | None = None, stri
         "message_id_suspicious": message_id_suspicious(c("message_id")),
         "timezone_mismatch": timezone_mismatch(c("date"), c("received")),
         "x_mailer_suspicious": c("x_mailer").rlike("(?i)" + "|".join(L.BULK_MAILERS)).cast("int"),
-        "header_injection_attempt": F.substring("header_raw", 1, 2048).rlike(bad).cast("int"),
+        "header_injection_attempt": c("header_raw").rlike(bad).cast("int"),
     }
     return staged.select(*keep, *[cols[n].alias(f"hdr_{n}") for n in L.HEADER_FEATURES])
 

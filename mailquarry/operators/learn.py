@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from mailquarry import lists as L
 from mailquarry.operators.corpus import assign_folds, class_weights
+from mailquarry.plans.staging import written
 
 MODELS = ["lr", "rf", "gbt_depth", "gbt_leaf", "gbt_plain"]
 # Presets of the boosted-tree family: depth-wise, more and shallower splits, no row sampling.
@@ -42,12 +43,15 @@ def with_class_weight(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(F.broadcast(class_weights(df, label, digits=None).select(label, "weight")), label)
 
 
-def build(name: str, params: dict | None = None, seed: int = 42) -> Pipeline:
-    """Estimator pipeline of a model name; ``params`` override the defaults."""
+def build(name: str, params: dict | None = None, seed: int = 42, rows: int = 1) -> Pipeline:
+    """Estimator pipeline of a model name; ``params`` override the defaults.
+
+    ``C`` of the logistic regression weighs the sum of the losses of all ``rows`` against the penalty; Spark takes their mean.
+    """
     p = dict(params or {})
     if name == "lr":
         c = p.pop("C", 1.0)
-        lr = LogisticRegression(featuresCol="scaled", weightCol="weight", maxIter=p.pop("max_iter", 1000), regParam=1e-4 / c, **p)
+        lr = LogisticRegression(featuresCol="scaled", weightCol="weight", maxIter=p.pop("max_iter", 1000), regParam=1.0 / (c * max(rows, 1)), **p)
         return Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True), lr])
     if name == "rf":
         rf = {"numTrees": p.get("n_estimators", 300), "maxDepth": min(p.get("max_depth", 20), 30),
@@ -76,12 +80,12 @@ def f1_expr(label: str = "label", predicted: str = "predicted") -> Column:
 def cross_validate(name: str, df: DataFrame, k: int = 3, params: dict | None = None, seed: int = 42,
                    smote: bool = False) -> dict[str, float]:
     """F1 mean and deviation over stratified folds. Oversampling touches the training part of a fold only."""
-    folds = assign_folds(df, k, seed)
+    folds = written(assign_folds(df, k, seed))
     scores = []
     for i in range(k):
         train, test = folds.where(F.col("fold") != i).drop("fold"), folds.where(F.col("fold") == i)
         train = oversample(train, seed=seed) if smote else train
-        model = build(name, params, seed).fit(with_class_weight(train))
+        model = build(name, params, seed, train.count()).fit(with_class_weight(train))
         pred = score(model, test).withColumn("predicted", (F.col("prob") >= L.PREDICT_THRESHOLD).cast("int"))
         scores.append(pred.agg(f1_expr().alias("f1")).first()["f1"])
     return {"cv_f1_mean": float(np.mean(scores)), "cv_f1_std": float(np.std(scores))}
@@ -92,11 +96,12 @@ def train_all(df: DataFrame, names: Sequence[str] = tuple(MODELS), params: dict[
     """Fit every model on all rows; returns models, cross-validation scores and the best name."""
     params = params or {}
     full = oversample(df, seed=seed) if smote else df
-    weighted = with_class_weight(full)
+    weighted = written(with_class_weight(full))
+    rows = weighted.count()
     models, scores = {}, {}
     for name in names:
         scores[name] = cross_validate(name, df, k, params.get(name), seed, smote)
-        models[name] = build(name, params.get(name), seed).fit(weighted)
+        models[name] = build(name, params.get(name), seed, rows).fit(weighted)
     return models, scores, max(scores, key=lambda n: scores[n]["cv_f1_mean"])
 
 
@@ -125,9 +130,10 @@ def tune(name: str, df: DataFrame, trials: int = 50, k: int = 3, seed: int = 42,
     Every draw is one pipeline in a parameter grid, so Spark ML runs several at a time on shared folds.
     """
     draws = random_grid(name, trials, seed)
-    folds = with_class_weight(assign_folds(df, k, seed)).withColumn("fold", F.col("fold").cast("int"))
+    folds = written(with_class_weight(assign_folds(df, k, seed)).withColumn("fold", F.col("fold").cast("int")))
+    rows = folds.count() * (k - 1) // k        # of a training part
     shell = Pipeline(stages=[])
-    grid = [{shell.stages: build(name, d, seed).getStages()} for d in draws]
+    grid = [{shell.stages: build(name, d, seed, rows).getStages()} for d in draws]
     cv = CrossValidator(estimator=shell, estimatorParamMaps=grid, foldCol="fold", numFolds=k, parallelism=parallelism,
                         evaluator=MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0))
     means = list(cv.fit(folds).avgMetrics)
@@ -176,12 +182,12 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, id_col: str = "id", v
 
 
 def projected_neighbours(points: DataFrame, k: int, id_col: str = "id", vec: str = "vec", projections: int = 8,
-                         reach: int = 12, cell_rows: int = 4000, seed: int = 42) -> DataFrame:
+                         reach: int = 12, cell_rows: int = 100_000, seed: int = 42) -> DataFrame:
     """Near neighbours for point sets of any size: ``id, rank, neighbour``.
 
     Points are sorted along random directions and compared with the ``reach`` points on either side, so
-    work grows linearly and no group emits all its pairs. The order is cut into cells at quantiles; equal
-    values that fill several cells are spread over them by hash, so copies of one point stay balanced.
+    work grows linearly and no group emits all its pairs. The order is cut into cells by range partitioning
+    with the hash of the id as second key, so copies of one point stay balanced and the plan has one size.
     """
     head = points.agg(F.count("*").alias("n"), F.max(F.size(vec)).alias("d")).first()
     cells = max(1, math.ceil((head["n"] or 0) / cell_rows))
@@ -191,11 +197,7 @@ def projected_neighbours(points: DataFrame, k: int, id_col: str = "id", vec: str
         direction = F.array(*[F.lit(float(x)) for x in rng.normal(size=head["d"])])
         projected = points.select(F.col(id_col).alias("id"), F.col(vec).alias("vec"), F.aggregate(
             F.zip_with(vec, direction, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, b: a + b).alias("_x"))
-        borders = projected.approxQuantile("_x", [i / cells for i in range(1, cells)], 0.0005) if cells > 1 else []
-        marks = F.array(*[F.lit(b) for b in borders]) if borders else F.array().cast("array<double>")
-        low = F.size(F.filter(marks, lambda b: b < F.col("_x")))
-        high = F.size(F.filter(marks, lambda b: b <= F.col("_x")))
-        projected = projected.withColumn("_cell", low + F.pmod(F.xxhash64("id"), (high - low + 1).cast("bigint")).cast("int"))
+        projected = projected.repartitionByRange(cells, F.col("_x"), F.xxhash64("id")).withColumn("_cell", F.spark_partition_id())
         near = Window.partitionBy("_cell").orderBy("_x", "id").rowsBetween(-reach, reach)
         pairs = (projected.withColumn("_near", F.collect_list(F.struct("id", "vec")).over(near))
                  .select("id", "vec", F.explode("_near").alias("_o")).where(F.col("_o.id") != F.col("id"))
@@ -214,10 +216,7 @@ def synthetic_rows(minority: DataFrame, missing: int, k: int = 5, seed: int = 42
     if n < 2 or missing <= 0:
         return minority.select(F.col(id_col).alias("base"), F.col(id_col).alias("neighbour"), F.lit(0.0).alias("u"), vec).limit(0)
     pts = minority.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("vec"))
-    try:
-        near = nearest(pts, pts, k)
-    except ValueError:
-        near = projected_neighbours(pts, k)
+    near = projected_neighbours(pts, k)
     lists = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbour"))).alias("_near"))
     # Every point is used missing // n times; the points with the smallest hashes once more.
     from mailquarry.operators.corpus import sample_exactly

@@ -25,7 +25,6 @@ FIELDS = {
     "content_transfer_encoding": "content-transfer-encoding",
 }
 FREE_TEXT = ["from_address", "to_address", "reply_to", "return_path", "subject", "x_mailer", "user_agent", "list_unsubscribe"]
-HEADER_DUMP = 8192
 
 _HEADER_LINE = r"^(?:[!-9;-~]*:|[ \t]|From )"
 
@@ -103,8 +102,8 @@ def header_rows(df: DataFrame) -> DataFrame:
                     X.strip(F.regexp_replace("line", "^[^:]*:", "")).alias("value")))
 
 
-def with_fields(df: DataFrame) -> DataFrame:
-    """Named header fields, the relay chain and the header dump, from ``head``."""
+def with_fields(df: DataFrame, dump: int | None = None) -> DataFrame:
+    """Named header fields, the relay chain and the header dump (its first ``dump`` characters if given), from ``head``."""
     head = F.col("head")
     values = {col: header_value(head, name) for col, name in FIELDS.items()}
     values["x_priority"] = F.coalesce(F.nullif(values["x_priority"], F.lit("")), header_value(head, "priority"))
@@ -113,7 +112,7 @@ def with_fields(df: DataFrame) -> DataFrame:
         *others, *[v.alias(n) for n, v in values.items()],
         head.rlike(r"(?i)(?:^|\n)dkim-signature:").cast("int").alias("dkim_signed"),
         F.transform(header_values(head, "received"), lambda v: X.strip(v)).alias("received"),
-        F.substring(head, 1, HEADER_DUMP).alias("header_raw"))
+        (head if dump is None else F.substring(head, 1, dump)).alias("header_raw"))
     # Encoded words occur in free text only. One lambda decodes these fields, in a projection of its own.
     coded = F.array(*[F.col(n) for n in FREE_TEXT])
     raw = raw.withColumn("_text", F.transform(coded, decode_words))

@@ -39,6 +39,12 @@ def lookup_join(facts: DataFrame, dim: DataFrame, key: str, spread: str = "mail_
             .join(salted, [key, "_salt"], "left").drop("_salt"))
 
 
+def one_per_key(dim: DataFrame, *keys: str) -> DataFrame:
+    """One row per key: of several answers the largest by its columns from left to right, so no fact is doubled."""
+    values = [c for c in dim.columns if c not in keys]
+    return dim.groupBy(*keys).agg(F.max(F.struct(*values)).alias("_v")).select(*keys, "_v.*")
+
+
 def _with_defaults(defaults: dict[str, int]) -> list[Column]:
     return [F.coalesce(F.col(n), F.lit(d)).alias(n) for n, d in defaults.items()]
 
@@ -47,7 +53,7 @@ def rep_url(links: DataFrame, url_rep: DataFrame) -> DataFrame:
     """Engine counts per link from ``url_rep(url, malicious, suspicious, clean, reputation)``."""
     dim = url_rep.select("url", F.col("malicious").alias("vt_malicious"), F.col("suspicious").alias("vt_suspicious"),
                          F.col("clean").alias("vt_clean"), F.col("reputation").alias("vt_reputation"))
-    out = lookup_join(links, dim, "url")
+    out = lookup_join(links, one_per_key(dim, "url"), "url")
     return out.select(*links.columns, *_with_defaults({k: L.INTEL_DEFAULTS[k] for k in (
         "vt_malicious", "vt_suspicious", "vt_clean", "vt_reputation")}))
 
@@ -81,7 +87,7 @@ def rep_ip(mail_ips: DataFrame, ip_rep: DataFrame) -> DataFrame:
     public = mail_ips.withColumn("_key", F.when(~net.is_private_ip(F.col("ip"), L.PRIVATE_PREFIXES_REPUTATION), F.col("ip")))
     # A NULL key matches nothing, but NULLs would gather in one task: give them spread-out keys instead.
     public = public.withColumn("_key", F.coalesce("_key", F.concat(F.lit("-"), F.col("mail_id").cast("string"))))
-    out = lookup_join(public, dim.withColumnRenamed("ip", "_key"), "_key")
+    out = lookup_join(public, one_per_key(dim.withColumnRenamed("ip", "_key"), "_key"), "_key")
     return out.select(*mail_ips.columns, *_with_defaults({k: -1 for k in (
         "abuse_confidence_score", "abuse_total_reports", "abuse_is_tor")}))
 
@@ -90,7 +96,7 @@ def rep_scan(links: DataFrame, url_scan: DataFrame) -> DataFrame:
     """Scan verdict, brand flag and number of redirects from ``url_scan(url, malicious, brand, redirects)``."""
     dim = url_scan.select("url", F.col("malicious").alias("urlscan_malicious"), F.col("brand").alias("urlscan_brand_impersonated"),
                           F.col("redirects").alias("urlscan_redirect_count"))
-    out = lookup_join(links, dim, "url")
+    out = lookup_join(links, one_per_key(dim, "url"), "url")
     return out.select(*links.columns, *_with_defaults({k: -1 for k in (
         "urlscan_malicious", "urlscan_brand_impersonated", "urlscan_redirect_count")}))
 
@@ -99,7 +105,7 @@ def rep_fraud(keys: DataFrame, fraud_rep: DataFrame) -> DataFrame:
     """Fraud scores of ``keys(mail_id, kind, key)`` from ``fraud_rep(kind, key, score, flagged)``."""
     merged = fraud_rep.select(F.concat_ws(":", "kind", "key").alias("_k"), F.col("score").alias("fraud_score"),
                               F.col("flagged").alias("fraud_flag"))
-    out = lookup_join(keys.withColumn("_k", F.concat_ws(":", "kind", "key")), merged, "_k")
+    out = lookup_join(keys.withColumn("_k", F.concat_ws(":", "kind", "key")), one_per_key(merged, "_k"), "_k")
     return out.select(*keys.columns, F.coalesce("fraud_score", F.lit(-1)).alias("fraud_score"),
                       F.coalesce("fraud_flag", F.lit(-1)).alias("fraud_flag"))
 
@@ -172,7 +178,7 @@ def evidence_table(url_facts: DataFrame, ip_facts: DataFrame, address_facts: Dat
     c = F.col
     mal, sus = F.greatest(c("vt_malicious"), F.lit(0)), F.greatest(c("vt_suspicious"), F.lit(0))
     urls = url_facts.select(
-        "mail_id", F.substring("url", 1, 80).alias("ioc"), F.lit("URL").alias("type"),
+        "mail_id", F.col("url").alias("ioc"), F.lit("URL").alias("type"),
         F.when((mal > 0) | (c("urlhaus_threat") == 1), F.lit("MALICIOUS")).when(sus > 0, F.lit("SUSPICIOUS")).otherwise(F.lit("CLEAN")).alias("verdict"),
         F.concat(F.lit("engines "), mal, F.lit("/"), mal + F.greatest(c("vt_clean"), F.lit(0))).alias("detail"))
     score = c("abuse_confidence_score")

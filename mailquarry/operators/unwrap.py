@@ -146,9 +146,11 @@ def single_pass(urls: DataFrame) -> DataFrame:
     return clean_urls(urls, passes=1)
 
 
-def cleaning_summary(cleaned: DataFrame, width: int = 80) -> DataFrame:
-    """One readable line per wrapped URL."""
+def cleaning_summary(cleaned: DataFrame, width: int | None = None) -> DataFrame:
+    """One readable line per wrapped URL; ``width`` shortens the links shown."""
     def short(c: str) -> Column:
+        if width is None:
+            return F.col(c)
         return F.concat(F.substring(c, 1, width), F.when(F.length(c) > width, F.lit("…")).otherwise(F.lit("")))
 
     line = F.concat(F.lit("["), F.col("method"), F.lit("] "), short("url"), F.lit("\n  → Real destination: "), short("cleaned"))

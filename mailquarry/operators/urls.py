@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mailquarry import lists as L
 from mailquarry.functions import net, rows
 from mailquarry.functions import text as X
+from mailquarry.operators.reputation import lookup_join
 
 # Letters outside Latin that look like Latin ones (Greek and Cyrillic blocks).
 LOOKALIKE_SCRIPT = r"[\x{370}-\x{3FF}\x{400}-\x{52F}]"
@@ -74,14 +75,14 @@ def url_lexical(urls: DataFrame, suffixes: Iterable[str] | None = None) -> DataF
     return net.run_stages(urls, lexical_stages(suffixes)).select("url", *L.URL_FEATURES)
 
 
-def url_features(mail: DataFrame, suffixes: Iterable[str] | None = None, first: int = L.URLS_PER_MAIL,
+def url_features(mail: DataFrame, suffixes: Iterable[str] | None = None, first: int | None = None,
                  keep: Iterable[str] = ("mail_id",)) -> DataFrame:
-    """``url_*`` columns: maximum and mean of every lexical column over the first links of a mail.
+    """``url_*`` columns: maximum and mean of every lexical column over the links of a mail, or its ``first`` ones.
 
     The links stay in their row and are analysed by array transforms, so a mail is never exploded and
-    re-grouped. The first-20 rule is part of the definition of these features; ``url_count`` counts all.
+    re-grouped; ``url_count`` counts all links.
     """
-    arr = net.run_stages_in_array(F.slice("urls", 1, first), "url", lexical_stages(suffixes))
+    arr = net.run_stages_in_array(rows.first("urls", first), "url", lexical_stages(suffixes))
     staged = mail.select(*keep, F.size("urls").alias("url_count"), arr.alias("_u"))
     cols = []
     for f in L.URL_FEATURES:
@@ -94,30 +95,34 @@ def url_features(mail: DataFrame, suffixes: Iterable[str] | None = None, first:
 
 # --- domain look-ups ----------------------------------------------------------------------
 
-def mail_domains(mail: DataFrame, suffixes: Iterable[str] | None = None, links: int = L.DOMAIN_LINKS,
-                 limit: int = L.DOMAINS_PER_MAIL) -> DataFrame:
-    """``mail_id, domain``: the first distinct registered domains among the first links of a mail."""
-    arr = net.run_stages_in_array(F.slice("urls", 1, links), "url", net.domain_stages("url", suffixes))
+def mail_domains(mail: DataFrame, suffixes: Iterable[str] | None = None, links: int | None = None,
+                 limit: int | None = None) -> DataFrame:
+    """``mail_id, domain``: the distinct registered domains of a mail; at most ``limit`` of its first ``links`` if given."""
+    arr = net.run_stages_in_array(rows.first("urls", links), "url", net.domain_stages("url", suffixes))
     domains = F.array_distinct(F.filter(F.transform(arr, lambda s: s["domain"]), lambda d: d != ""))
-    return rows.explode_values(mail, ["mail_id"], F.slice(domains, 1, limit), "domain")
+    return rows.explode_values(mail, ["mail_id"], rows.first(domains, limit), "domain")
 
 
 def whois_risk(domains: DataFrame, whois: DataFrame, as_of: str) -> DataFrame:
-    """Age and registrar risk per domain from ``whois(domain, created, registrar)``; misses are -1 / 0.5 / 0."""
+    """Age and registrar risk per domain from ``whois(domain, created, registrar)``; misses are -1 / 0.5 / 0.
+
+    Of several records the oldest dated one counts as a whole. ``domains`` needs ``mail_id``, which spreads popular domains.
+    """
     age = F.date_diff(F.lit(as_of).cast("date"), F.col("created"))
     risk = F.when(age.isNull(), F.lit(0.5)).when(age < L.AGE_RISK_DAYS, F.lit(1.0)).when(age < L.AGE_WARN_DAYS, F.lit(0.5)).otherwise(F.lit(0.0))
     registrar = X.contains_any(F.lower(F.coalesce("registrar", F.lit(""))), L.ABUSE_REGISTRARS)
-    one = whois.groupBy("domain").agg(F.min("created").alias("created"), F.max("registrar").alias("registrar"))
-    return domains.join(one, "domain", "left").select(
+    one = whois.groupBy("domain").agg(F.min("created").alias("created"),
+                                      F.when(F.count("created") > 0, F.min_by("registrar", "created")).otherwise(F.max("registrar")).alias("registrar"))
+    return lookup_join(domains, one, "domain").select(
         *domains.columns, F.coalesce(age, F.lit(-1)).alias("domain_age_days"), risk.alias("domain_age_risk"),
         registrar.cast("double").alias("registrar_risk"))
 
 
-def cert_risk(domains: DataFrame, cert_log: DataFrame, as_of: str, cap: int | None = L.CERTS_PER_DOMAIN) -> DataFrame:
+def cert_risk(domains: DataFrame, cert_log: DataFrame, as_of: str, cap: int | None = None) -> DataFrame:
     """Certificate age, Let's Encrypt flag and foreign brand per domain.
 
-    ``cert_log(domain, entry_no, not_before, issuer, san)``; the first ``cap`` entries of a domain count,
-    as given by ``entry_no``, so the log is reduced by a plain aggregate.
+    ``cert_log(domain, entry_no, not_before, issuer, san)``; with ``cap`` only the first entries of a domain
+    count, as given by ``entry_no``. Either way the log is reduced by a plain aggregate.
     """
     used = cert_log if cap is None else cert_log.where(F.col("entry_no") <= cap)
     issuer, san = F.lower("issuer"), F.lower("san")
@@ -127,7 +132,7 @@ def cert_risk(domains: DataFrame, cert_log: DataFrame, as_of: str, cap: int | No
         F.min(age).alias("cert_age_days"),
         F.max((F.contains(issuer, F.lit("let's encrypt")) | F.contains(issuer, F.lit("lets encrypt"))).cast("int")).alias("cert_lets_encrypt"),
         F.max(brand.cast("int")).alias("cert_brand_mismatch"))
-    return domains.join(per_domain, "domain", "left").select(
+    return lookup_join(domains, per_domain, "domain").select(
         *domains.columns, F.coalesce("cert_age_days", F.lit(-1)).alias("cert_age_days"),
         F.coalesce("cert_lets_encrypt", F.lit(0)).alias("cert_lets_encrypt"),
         F.coalesce("cert_brand_mismatch", F.lit(0)).alias("cert_brand_mismatch"))
@@ -225,7 +230,7 @@ def url_triage(urls: DataFrame, suffixes: Iterable[str] | None = None) -> DataFr
         *urls.columns, F.col("nlow").alias("domain"), "severity", "severity_rank", "reasons")
 
 
-def triaged_links(urls: Column, suffixes: Iterable[str] | None = None, first: int = L.TRIAGED_PER_MAIL) -> Column:
-    """The same inside a mail row: array of structs for the first links."""
-    real = F.filter(F.slice(urls, 1, first), lambda u: ~F.contains(u, F.lit("w3.org")) & (F.length(u) >= 10))
+def triaged_links(urls: Column, suffixes: Iterable[str] | None = None, first: int | None = None) -> Column:
+    """The same inside a mail row: array of structs for all links, or the ``first`` ones."""
+    real = F.filter(rows.first(urls, first), lambda u: ~F.contains(u, F.lit("w3.org")) & (F.length(u) >= 10))
     return net.run_stages_in_array(real, "url", triage_stages(suffixes))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mailquarry import lists as L
 from mailquarry.functions import text as X
-from mailquarry.operators.reputation import TOOLS
+from mailquarry.operators.reputation import TOOLS, one_per_key
 
 AI_SCHEMA = ("is_phishing BOOLEAN, confidence DOUBLE, risk_level STRING, impersonated_brand STRING, "
              "phishing_signals ARRAY<STRING>, explanation STRING, recommended_action STRING")
@@ -19,9 +19,12 @@ def ml_verdict(prob: Column, phishing: float = L.PHISHING_THRESHOLD, uncertain:
 
 
 def ai_answers(mails: DataFrame, answers: DataFrame) -> DataFrame:
-    """Join stored JSON answers ``(mail_id, answer)``; missing or broken answers give the defaults."""
+    """Join stored JSON answers ``(mail_id, answer)``; missing or broken answers give the defaults.
+
+    Of several answers for a mail the last in text order counts.
+    """
     valid = F.col("a").isNotNull() & F.coalesce(F.col("_ok"), F.lit(False))
-    parsed = answers.select("mail_id", F.from_json("answer", AI_SCHEMA).alias("a"),
+    parsed = one_per_key(answers.select("mail_id", "answer"), "mail_id").select("mail_id", F.from_json("answer", AI_SCHEMA).alias("a"),
                             F.expr("try_parse_json(answer) IS NOT NULL").alias("_ok"))
     out = mails.join(parsed, "mail_id", "left")
     pick = lambda field, default_in, default_out: F.when(valid, F.coalesce(F.col(f"a.{field}"), default_in)).otherwise(default_out)

@@ -151,9 +151,10 @@ cte("labelled", f"""
   FROM (SELECT *, lower({strip("label")}) AS k FROM corpus)""", "corpus")
 cte("curated", f"SELECT * FROM labelled WHERE label IS NOT NULL AND {strip('raw_email')} <> ''", "labelled")
 cte("ranked", f"""
-  SELECT *, row_number() OVER (PARTITION BY lower(substr({strip("raw_email")}, 1, 200)) ORDER BY
+  SELECT *, row_number() OVER (PARTITION BY lower({strip("raw_email")}) ORDER BY
     CASE source WHEN 'chat' THEN 1 WHEN 'bench' THEN 2 WHEN 'src3' THEN 3 ELSE 6 END, mail_id) AS rn FROM curated""", "curated")
 cte("deduped", "SELECT mail_id, label, raw_email, source FROM ranked WHERE rn = 1", "ranked")
+cte("ranked200", CTES["ranked"][1].replace(f"lower({strip('raw_email')})", f"lower(substr({strip('raw_email')}, 1, 200))"), "curated")
 
 cte("mail_raw", duck(fixtures.MAIL_RAW))
 cte("mail_head", f"""
@@ -195,7 +196,7 @@ cte("url_lex", f"""
 cte("url_feat", "SELECT m.mail_id, coalesce(any_value(n.n), 0)::BIGINT AS url_url_count, " + ", ".join(
     f"coalesce(max({f}), 0)::DOUBLE AS url_{f}_max, coalesce(avg({f}), 0)::DOUBLE AS url_{f}_mean" for f in L.URL_FEATURES)
     + """ FROM mail m LEFT JOIN (SELECT mail_id, count(*) AS n FROM mail_url GROUP BY 1) n USING (mail_id)
-    LEFT JOIN (SELECT mail_id, url FROM mail_url WHERE pos < 20) u USING (mail_id) LEFT JOIN url_lex USING (url) GROUP BY m.mail_id""", "mail", "url_lex")
+    LEFT JOIN (SELECT mail_id, url FROM mail_url) u USING (mail_id) LEFT JOIN url_lex USING (url) GROUP BY m.mail_id""", "mail", "url_lex")
 
 _addr = lambda c: (f"CASE WHEN {ext(c, '[a-zA-Z0-9_.+-]+@([a-zA-Z0-9_.-]+[.][a-zA-Z]{2,})', 1)} <> '' THEN {ext(c, '[a-zA-Z0-9_.+-]+@([a-zA-Z0-9_.-]+[.][a-zA-Z]{2,})', 1)} "
                    f"ELSE {ext(strip(c), '^([a-zA-Z0-9_.-]+[.][a-zA-Z]{2,})$', 1)} END")
@@ -234,7 +235,7 @@ cte("hdr", f"""
     spf_result AS hdr_spf_result, dkim_result AS hdr_dkim_result, dmarc_result AS hdr_dmarc_result,
     (message_id = '' OR NOT {has(strip("message_id"), "^<[^@]+@[^>]+>")} OR {"(" + " OR ".join(f"starts_with({_mid_host}, {lit(d)})" for d in L.FREEMAIL) + ")"})::INT AS hdr_message_id_suspicious,
     ({ext("date", "([+-][0-9]{4})", 1)} <> '' AND coalesce({ext("origin", "([+-][0-9]{4})", 1)}, '') <> '' AND {ext("date", "([+-][0-9]{4})", 1)} <> {ext("origin", "([+-][0-9]{4})", 1)})::INT AS hdr_timezone_mismatch,
-    {has("x_mailer", "(?i)" + "|".join(L.BULK_MAILERS))}::INT AS hdr_x_mailer_suspicious, {has("substr(head, 1, 2048)", "[\\r\\n\\x00]")}::INT AS hdr_header_injection_attempt
+    {has("x_mailer", "(?i)" + "|".join(L.BULK_MAILERS))}::INT AS hdr_x_mailer_suspicious, {has("head", "[\\r\\n\\x00]")}::INT AS hdr_header_injection_attempt
   FROM mail m JOIN addr_wide USING (mail_id) JOIN geo USING (mail_id) JOIN auth USING (mail_id)
   LEFT JOIN (SELECT mail_id, arg_max(received, pos) AS origin FROM relay GROUP BY 1) o USING (mail_id)""", "mail", "addr_wide", "geo", "auth", "relay")
 
@@ -306,7 +307,7 @@ cte("fraud_key", """SELECT mail_id, 'url' AS kind, url AS key FROM mail_url WHER
   UNION ALL SELECT mail_id, 'ip', ip FROM sender""", "mail_url", "from_addr", "sender")
 cte("fraud_rep", lookups.FRAUD_REP.format(src="(SELECT DISTINCT kind, key AS item FROM fraud_key)"), "fraud_key")
 cte("mail_dom", """SELECT mail_id, domain FROM (SELECT mail_id, domain, row_number() OVER (PARTITION BY mail_id ORDER BY first) AS rn FROM (
-    SELECT mail_id, domain, min(pos) AS first FROM mail_url JOIN url_dom USING (url) WHERE pos < 10 AND domain <> '' GROUP BY 1, 2)) WHERE rn <= 5""", "mail_url", "url_dom")
+    SELECT mail_id, domain, min(pos) AS first FROM mail_url JOIN url_dom USING (url) WHERE domain <> '' GROUP BY 1, 2))""", "mail_url", "url_dom")
 cte("whois", lookups.WHOIS.format(src="dd"), "dd")
 cte("cert_log", lookups.CERT_LOG.format(src="dd"), "dd")
 cte("redirect_map", lookups.REDIRECT_MAP.format(src="du"), "du")

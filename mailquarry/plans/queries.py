@@ -42,7 +42,7 @@ def query(sql: str | None = None, *ctes: str) -> Callable[[Query], Query]:
 # --- shared inputs ------------------------------------------------------------------------
 
 def parsed(spark: SparkSession, d: str) -> DataFrame:
-    return mail.parse_mail(fx.mail_raw(spark, d), mime=False)
+    return mail.parse_mail(fx.mail_raw(spark, d), mime=False)        # these mails have one part each
 
 
 def mail_table(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +165,8 @@ def union_hetero(spark, d):
        "mail_url", "url_dom", "dd")
 def domain_allowlist(spark, d):
     hosts = urls.registered_domains(mail.link_rows(mail_table(spark, d))).where("domain <> ''").select("domain")
-    return corpora.not_in_allowlist(hosts, snapshot(spark, lookups.ALLOWLIST, hosts)).groupBy("domain").agg(F.count("*").alias("n_links"))
+    counts = hosts.groupBy("domain").agg(F.count("*").alias("n_links"))        # combined before the shuffle: one row per domain meets the list
+    return corpora.not_in_allowlist(counts, snapshot(spark, lookups.ALLOWLIST, counts.select("domain")))
 
 
 # --- projection and cleaning --------------------------------------------------------------
@@ -241,10 +242,15 @@ def source_priority(spark, d):
 
 
 @query("SELECT mail_id, label::INT AS label, source FROM deduped", "deduped")
-def dedup_prefix200(spark, d):
+def dedup_texts(spark, d):
     return deduped(spark, d).select("mail_id", "label", "source")
 
 
+@query("SELECT mail_id, label::INT AS label, source FROM ranked200 WHERE rn = 1", "ranked200")
+def dedup_prefix200(spark, d):
+    return corpus.drop_near_duplicates(curated(spark, d), PRIORITY, L.DEDUP_PREFIX).select("mail_id", "label", "source")
+
+
 @query("SELECT source, count(*) AS total, count_if(rn = 1)::BIGINT AS kept, count_if(rn > 1)::BIGINT AS removed FROM ranked GROUP BY source", "ranked")
 def dedup_report(spark, d):
     return corpus.dedup_report(curated(spark, d), PRIORITY)
@@ -321,6 +327,15 @@ def mail_parts(spark, d):
                                                          empty(F.col("sha256")).alias("sha256"), empty(F.md5("content")).alias("content_md5"))
 
 
+@query("SELECT doc_id AS mail_id, md5(text || chr(10)) AS text_md5, md5('<p>' || text || '</p>' || chr(10)) AS html_md5, 1 AS n_attachments, 'f' || doc_id || '.bin' AS filename, sha256(text) AS sha256 FROM documents")
+def mail_bodies(spark, d):
+    """Bodies and attachments of multipart mails, by the way that every job takes."""
+    p = mail.parse_mail(fx.mail_mime(spark, d))
+    file = F.get("attachments", F.lit(0))
+    return p.select("mail_id", F.md5("body_text").alias("text_md5"), F.md5("body_html").alias("html_md5"), F.size("attachments").alias("n_attachments"),
+                    file["filename"].alias("filename"), file["sha256"].alias("sha256"))
+
+
 @query("SELECT mail_id, pos::INT AS pos, url FROM mail_url", "mail_url")
 def mail_urls(spark, d):
     return links(spark, d)
@@ -462,10 +477,7 @@ def redirect_join(spark, d):
     return unwrap.clean_urls(du, snapshot(spark, lookups.REDIRECT_MAP, du))
 
 
-_CUT = lambda c: f"substr({c}, 1, 80) || CASE WHEN length({c}) > 80 THEN '…' ELSE '' END"
-
-
-@query(f"SELECT url, '[' || method || '] ' || {_CUT('url')} || chr(10) || '  → Real destination: ' || {_CUT('cur')} AS line FROM uw6 WHERE wrapped", "uw6")
+@query(f"SELECT url, '[' || method || '] ' || url || chr(10) || '  → Real destination: ' || cur AS line FROM uw6 WHERE wrapped", "uw6")
 def url_clean_summary(spark, d):
     return unwrap.cleaning_summary(unwrap.clean_urls(distinct_links(spark, d)))
 
@@ -498,10 +510,10 @@ _HTML = [f"html_{n}" for n in L.HTML_FEATURES]
 _HTML_DOUBLES = {"html_image_to_text_ratio", "html_link_domain_diversity"}
 
 
-@query(f"SELECT page_id, {r6(_HTML, _HTML_DOUBLES)} FROM ph_feat UNION ALL SELECT mail_id, {r6(_HTML, _HTML_DOUBLES)} FROM mh_feat WHERE mail_id >= 1000000000", "ph_feat", "mh_feat")
+@query(f"SELECT page_id, {r6(_HTML, _HTML_DOUBLES)} FROM ph_feat UNION ALL SELECT mail_id, {r6(_HTML, _HTML_DOUBLES)} FROM mh_feat", "ph_feat", "mh_feat")
 def html_features(spark, d):
     pages = html.html_features(fx.table(spark, d, "pages"), "html", keep=("page_id",))
-    mails = html.html_features(parsed(spark, d).where("mail_id >= 1000000000")).withColumnRenamed("mail_id", "page_id")
+    mails = html.html_features(parsed(spark, d)).withColumnRenamed("mail_id", "page_id")
     return rounded(pages.unionByName(mails))
 
 
@@ -649,17 +661,16 @@ def tool_tally(spark, d):
     return reputation.tool_tally(reputation.tool_verdicts(_tool_input(spark, d)))
 
 
-@query(f"""SELECT mail_id, substr(m.url, 1, 80) AS ioc, 'URL' AS type, CASE WHEN greatest(malicious, 0) > 0 OR listed = 1 THEN 'MALICIOUS' WHEN greatest(suspicious, 0) > 0 THEN 'SUSPICIOUS' ELSE 'CLEAN' END AS verdict,
+@query(f"""SELECT mail_id, m.url AS ioc, 'URL' AS type, CASE WHEN greatest(malicious, 0) > 0 OR listed = 1 THEN 'MALICIOUS' WHEN greatest(suspicious, 0) > 0 THEN 'SUSPICIOUS' ELSE 'CLEAN' END AS verdict,
     'engines ' || greatest(coalesce(malicious, -1), 0) || '/' || (greatest(coalesce(malicious, -1), 0) + greatest(coalesce(clean, -1), 0)) AS detail, 'HIGH' AS weight
-  FROM mail_url m LEFT JOIN url_rep r ON m.url = r.url LEFT JOIN malware_urls w ON m.url = w.url WHERE pos < 5
+  FROM mail_url m LEFT JOIN url_rep r ON m.url = r.url LEFT JOIN malware_urls w ON m.url = w.url
   UNION ALL SELECT mail_id, s.ip, 'IP', CASE WHEN score >= 50 THEN 'MALICIOUS' WHEN score >= 20 THEN 'SUSPICIOUS' ELSE 'CLEAN' END, 'confidence ' || score || '%', 'MEDIUM' FROM sender s JOIN ip_rep r ON s.ip = r.ip AND NOT {o.has('s.ip', o.PRIVATE_REP)}
   UNION ALL SELECT mail_id, key, 'Email', CASE WHEN fraud_score >= 75 THEN 'SUSPICIOUS' ELSE 'CLEAN' END, 'fraud ' || fraud_score || '/100', 'MEDIUM' FROM fraud_one WHERE kind = 'email' AND fraud_score <> -1""",
        "mail_url", "url_rep", "malware_urls", "sender", "ip_rep", "fraud_one")
 def evidence_table(spark, d):
     p = mail_table(spark, d)
     s = snapshots(spark, p)
-    shown = mail.link_rows(p.withColumn("urls", F.slice("urls", 1, 5)))      # the report shows five links per mail
-    facts = reputation.rep_malware_url(reputation.rep_url(shown, s.url_rep), s.malware_urls)
+    facts = reputation.rep_malware_url(reputation.rep_url(mail.link_rows(p), s.url_rep), s.malware_urls)
     ips = reputation.rep_ip(reputation.sender_ips(p), s.ip_rep)
     addresses = reputation.rep_fraud(scoring.fraud_keys(p).where("kind = 'email'"), s.fraud_rep)
     return reputation.evidence_table(facts, ips, addresses)
@@ -692,7 +703,7 @@ def feature_profile(spark, d):
 @query()
 def feature_vector(spark, d):
     docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("mail_id"), "text")
-    vocabulary = text.tfidf_vocabulary(docs, "mail_id", "text", size=100)
+    vocabulary = text.tfidf_vocabulary(docs, "mail_id", "text", size=500)
     terms = [r["term"] for r in vocabulary.select("term").orderBy("term").collect()]        # fixed vocabulary size
     weights = text.tfidf_map(text.tfidf_weights(docs, "mail_id", "text", vocabulary))
     vec = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("mail_id"), "embedding")
@@ -744,13 +755,14 @@ def kfold_assign(spark, d):
 
 def _fit_and_score(spark: SparkSession, d: str, name: str, params: dict) -> DataFrame:
     data = corpus.stratified_split(training(spark, d))
-    model = learn.build(name, params).fit(learn.with_class_weight(data.where("split = 'train'")))
+    train = data.where("split = 'train'")
+    model = learn.build(name, params, rows=train.count()).fit(learn.with_class_weight(train))
     return learn.score(model, data.where("split = 'test'")).withColumn("prob", F.round("prob", 4))
 
 
 @query()
 def lr_scores(spark, d):
-    return _fit_and_score(spark, d, "lr", {"max_iter": 50})
+    return _fit_and_score(spark, d, "lr", {})
 
 
 @query()
@@ -765,8 +777,9 @@ def gbt_scores(spark, d):
 
 @query()
 def smote_rows(spark, d):
-    pts = vectors(spark, d).where("label = 1")
-    made = learn.synthetic_rows(pts, 200)
+    e = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("mail_id"), "label", F.col("embedding").cast("array<double>").alias("vec"))
+    few, rest = e.where("label = 1"), e.where("label <> 1")
+    made = learn.synthetic_rows(few, rest.count() - few.count())
     return made.select("base", "neighbour", F.round("u", 6).alias("u"), F.size("vec").alias("dim"))
 
 
@@ -792,13 +805,13 @@ def cross_validation(spark, d):
 @query()
 def anomaly_scores(spark, d):
     data = vectors(spark, d)
-    return rounded(OutlierForest.fit(data, trees=100).scores(data))
+    return rounded(OutlierForest.fit(data).scores(data))
 
 
 @query()
 def anomaly_drivers(spark, d):
     data = vectors(spark, d)
-    forest = OutlierForest.fit(data, trees=25)
+    forest = OutlierForest.fit(data)
     return rounded(forest.drivers(data, [f"v{i}" for i in range(64)], top=5))
 
 
@@ -1106,10 +1119,10 @@ def html_findings(spark, d):
 o.cte("ioc_dom_parts", o.domains_of("ioc_du", "url", o.netloc("url")), "ioc_du")
 o.cte("ioc_ent", o.CTES["url_ent"][1].replace("FROM du", "FROM ioc_du"), "ioc_du")
 o.cte("ioc_triage", o.CTES["triage"][1].replace("url_dom", "ioc_dom_parts").replace("url_ent", "ioc_ent"), "ioc_dom_parts", "ioc_ent")
-o.cte("first_bad", "SELECT mail_id, arg_min(url, rn) AS bad FROM (SELECT mail_id, url, row_number() OVER (PARTITION BY mail_id ORDER BY encode(url)) AS rn FROM ioc_url) JOIN ioc_triage USING (url) WHERE rn <= 15 AND severity_rank >= 3 GROUP BY mail_id", "ioc_url", "ioc_triage")
+o.cte("first_bad", "SELECT mail_id, arg_min(url, rn) AS bad FROM (SELECT mail_id, url, row_number() OVER (PARTITION BY mail_id ORDER BY encode(url)) AS rn FROM ioc_url) JOIN ioc_triage USING (url) WHERE severity_rank >= 3 GROUP BY mail_id", "ioc_url", "ioc_triage")
 
 
-@query("SELECT mail_id, 'authentication failed' AS summary FROM hf WHERE severity = 'CRITICAL' UNION ALL SELECT mail_id, 'high-risk link: ' || substr(bad, 1, 55) FROM first_bad UNION ALL "
+@query("SELECT mail_id, 'authentication failed' AS summary FROM hf WHERE severity = 'CRITICAL' UNION ALL SELECT mail_id, 'high-risk link: ' || bad FROM first_bad UNION ALL "
        "SELECT mail_id, 'sender poses as a brand' FROM af WHERE severity = 'CRITICAL' UNION ALL SELECT DISTINCT mail_id, 'credential form' FROM xf WHERE contains(lower(title), 'credential') OR contains(lower(title), 'form') UNION ALL "
        "SELECT mail_id, 'hidden text' FROM xf WHERE contains(lower(title), 'hidden') UNION ALL SELECT mail_id, 'urgent language: ' || round_even(txt_urgency_score_normalised * 100, 0)::INT || '%' FROM txt WHERE txt_urgency_score_normalised > 0.4",
        "hf", "first_bad", "af", "xf", "txt")
@@ -1187,7 +1200,7 @@ def score_mails(spark, d):
 
 # --- exports ------------------------------------------------------------------------------
 
-@query("SELECT mail_id, CASE ioc_type WHEN 'email' THEN 'email-src' WHEN 'ip' THEN 'ip-src' ELSE ioc_type END AS type, value FROM (SELECT *, row_number() OVER (PARTITION BY mail_id, ioc_type ORDER BY encode(value)) AS rn FROM ioc_all) WHERE ioc_type IN ('email', 'ip') OR rn <= 50", "ioc_all")
+@query("SELECT mail_id, CASE ioc_type WHEN 'email' THEN 'email-src' WHEN 'ip' THEN 'ip-src' ELSE ioc_type END AS type, value FROM ioc_all", "ioc_all")
 def export_misp_attributes(spark, d):
     arrays = indicators.indicator_arrays(parsed(spark, d))
     return rows.explode_structs(exports.event_attributes(arrays), ["mail_id"], F.col("attributes"), "type").select("mail_id", "type", "value")

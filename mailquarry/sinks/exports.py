@@ -1,6 +1,6 @@
 """Exports: event JSON, CEF lines, text reports, manifests and split files.
 
-Export sections are bounded (50 entries) by the format, and are cut inside the row of a mail.
+Export sections hold every entry unless a ``cap`` is given; they are cut inside the row of a mail.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailquarry import lists as L
+from mailquarry.functions import rows
 from mailquarry.functions import text as X
 
 PRODUCT = "mailquarry"
@@ -19,14 +19,14 @@ def _attributes(values: Column, kind: str, category: str, comment: str) -> Colum
         F.lit(kind).alias("type"), F.lit(category).alias("category"), v.alias("value"), F.lit(comment).alias("comment"), F.lit(True).alias("to_ids")))
 
 
-def event_attributes(arrays: DataFrame, cap: int = L.EXPORT_CAP) -> DataFrame:
-    """Add ``attributes``: the entries of a threat-sharing event, at most ``cap`` links and domains."""
+def event_attributes(arrays: DataFrame, cap: int | None = None) -> DataFrame:
+    """Add ``attributes``: the entries of a threat-sharing event, with ``cap`` at most as many links and domains."""
     hashes = F.filter("attachment_hashes", lambda h: h.isNotNull())
     return arrays.withColumn("attributes", F.concat(
         _attributes(F.col("sender_emails"), "email-src", "Payload delivery", "sender address"),
         _attributes(F.col("sender_ips"), "ip-src", "Network activity", "relay address"),
-        _attributes(F.slice("ioc_urls", 1, cap), "url", "External analysis", "link"),
-        _attributes(F.slice("domains", 1, cap), "domain", "Network activity", "link domain"),
+        _attributes(rows.first("ioc_urls", cap), "url", "External analysis", "link"),
+        _attributes(rows.first("domains", cap), "domain", "Network activity", "link domain"),
         _attributes(hashes, "sha256", "Payload delivery", "attachment")))
 
 
@@ -48,15 +48,16 @@ def cef_lines(arrays: DataFrame, timestamp: str) -> DataFrame:
         F.size("domains").cast("string"), F.lit(" rawEmailHash="), F.col("raw_email_hash"), F.lit(" verdict="), F.col("verdict")).alias("line"))
 
 
-def text_summary(arrays: DataFrame, timestamp: str, cap: int = L.EXPORT_CAP) -> DataFrame:
+def text_summary(arrays: DataFrame, timestamp: str, cap: int | None = None) -> DataFrame:
     """``mail_id, report``: plain-text indicator report; needs ``prob`` (NULL or negative: not available)."""
     rule, thin = "═" * 60, "  " + "─" * 40
 
     def section(title: str, column: str) -> Column:
         items = F.col(column)
-        shown = F.transform(F.slice(items, 1, cap), lambda v: F.concat(F.lit("    "), v))
-        more = F.when(F.size(items) > cap, F.array(F.concat(F.lit("    ... and "), (F.size(items) - cap).cast("string"), F.lit(" more")))).otherwise(
-            F.array().cast("array<string>"))
+        shown = F.transform(rows.first(items, cap), lambda v: F.concat(F.lit("    "), v))
+        more = F.array().cast("array<string>")
+        if cap is not None:
+            more = F.when(F.size(items) > cap, F.array(F.concat(F.lit("    ... and "), (F.size(items) - cap).cast("string"), F.lit(" more")))).otherwise(more)
         lines = F.when(F.size(items) == 0, F.array(F.lit("    (none)"))).otherwise(F.concat(shown, more))
         head = F.concat(F.lit(f"\n  {title}  ("), F.size(items).cast("string"), F.lit(" found)"))
         return F.array_join(F.concat(F.array(head, F.lit(thin)), lines), "\n")
