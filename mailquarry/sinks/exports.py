@@ -30,13 +30,13 @@ def event_attributes(arrays: DataFrame, cap: int | None = None) -> DataFrame:
         _attributes(hashes, "sha256", "Payload delivery", "attachment")))
 
 
-def misp_json(arrays: DataFrame, timestamp: str, campaign: str = f"{PRODUCT} detection") -> DataFrame:
+def misp_json(arrays: DataFrame, timestamp: str, campaign: str = f"{PRODUCT} detection", cap: int | None = None) -> DataFrame:
     """``mail_id, event``: one event JSON per mail."""
     event = F.struct(
         F.lit(campaign).alias("info"), F.lit(timestamp[:10]).alias("date"), F.lit("2").alias("threat_level_id"), F.lit("1").alias("analysis"),
         F.lit("0").alias("distribution"), F.col("attributes").alias("Attribute"),
         F.array(F.struct(F.lit("phishing").alias("name")), F.struct(F.lit(PRODUCT).alias("name"))).alias("Tag"))
-    return event_attributes(arrays).select("mail_id", F.to_json(F.struct(event.alias("Event"))).alias("event"))
+    return event_attributes(arrays, cap).select("mail_id", F.to_json(F.struct(event.alias("Event"))).alias("event"))
 
 
 def cef_lines(arrays: DataFrame, timestamp: str) -> DataFrame:

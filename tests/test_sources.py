@@ -67,9 +67,10 @@ def test_models_can_be_stored(spark, tmp_path):
 def test_event_json(spark):
     arrays = spark.createDataFrame([(1, ["a@x.com"], ["8.8.8.8"], [f"http://u{i}" for i in range(60)], [], ["d.com"])],
                                    "mail_id long, sender_emails array<string>, sender_ips array<string>, ioc_urls array<string>, attachment_hashes array<string>, domains array<string>")
-    event = json.loads(exports.misp_json(arrays, "2024-06-01T00:00:00Z").first()["event"])["Event"]
-    kinds = [a["type"] for a in event["Attribute"]]
-    assert (event["date"], kinds.count("url"), kinds.count("domain")) == ("2024-06-01", 50, 1)
+    for cap, links in ((None, 60), (50, 50)):
+        event = json.loads(exports.misp_json(arrays, "2024-06-01T00:00:00Z", cap=cap).first()["event"])["Event"]
+        kinds = [a["type"] for a in event["Attribute"]]
+        assert (event["date"], kinds.count("url"), kinds.count("domain")) == ("2024-06-01", links, 1)
 
 
 @pytest.fixture(scope="module")
