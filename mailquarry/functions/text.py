@@ -28,8 +28,13 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(f"[^{SPACE}]+"), F.lit(0))
 
 
+# Blanks that \s of the JVM does not know.
+_RARE = BLANKS.translate({ord(b): None for b in "\t\n\x0b\f\r "})
+
+
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(f"[^{SPACE}]+"))
+    """Runs of characters other than blanks; the rare blanks are mapped first, so that the pattern stays a plain class."""
+    return F.regexp_count(F.translate(c, _RARE, " " * len(_RARE)), F.lit(r"\S++"))
 
 
 def any_of(conditions: Iterable[Column]) -> Column:

@@ -1,7 +1,7 @@
 """Raw mail text to header, body and link columns.
 
-Everything here is a projection over one row: no shuffle, no Python. Mails whose body needs MIME
-decoding go through :mod:`mailquarry.operators.mime`, the only part that uses Python workers.
+Everything here is a projection over one row: no shuffle. The raw text of mails whose body needs MIME
+decoding goes through :mod:`mailquarry.operators.mime`, the only part that uses Python workers.
 """
 
 from __future__ import annotations
@@ -157,15 +157,24 @@ def parse_mail(df: DataFrame, mime: bool = True) -> DataFrame:
 
     Input: ``mail_id, raw_email`` and any other columns, which are kept. With ``mime=False`` the caller
     states that no mail has parts or encoded content (body-only corpora); the plan is then free of Python.
-    Otherwise the few mails that need decoding are sent to Python workers and the rest stay in the JVM.
+    Otherwise the raw text of the mails that need decoding is sent to Python workers, and nothing of the rest.
     """
     parsed = with_fields(split_head(df))
     if not mime:
         return with_simple_body(parsed)
     from mailquarry.operators import mime as m
     hard = F.coalesce(needs_mime(), F.lit(False))
-    simple = with_simple_body(parsed.where(~hard))
-    return simple.unionByName(m.with_decoded_body(parsed.where(hard)).select(*simple.columns))
+    decoded = parsed.withColumn("_parts", m.decoded_parts(F.when(hard, F.coalesce("raw_email", F.lit("")))))
+    text, html, attached = m.body_columns(F.col("_parts"))
+    simple = F.col("_parts").isNull()
+    is_html = F.contains(F.lower("content_type"), F.lit("html"))
+    none = F.array().cast("array<struct<filename:string,sha256:string>>")
+    others = [c for c in parsed.columns if c != "body"]
+    out = decoded.select(
+        *others, F.when(simple, F.when(is_html, F.lit("")).otherwise(F.col("body"))).otherwise(text).alias("body_text"),
+        F.when(simple, F.when(is_html, F.col("body")).otherwise(F.lit(""))).otherwise(html).alias("body_html"),
+        F.when(simple, none).otherwise(attached).alias("attachments"))
+    return out.select(*others, "body_text", "body_html", links(F.col("body_text"), F.col("body_html")).alias("urls"), "attachments")
 
 
 def body_choice() -> Column:

@@ -1,22 +1,24 @@
 """MIME decoding in Python workers, for mails that have parts or encoded content.
 
-The standard library parses one mail at a time inside ``mapInPandas``; Spark keeps splitting the work.
-Only decoded parts leave the worker; hashes, links and reassembly are column expressions.
+The standard library parses one mail at a time inside an Arrow function; only the raw text of mails that need it goes
+there, and only decoded parts come back. All other columns stay in the JVM, and so do hashes, links and reassembly.
+No part is lost: one that cannot be decoded is kept with ``failed`` set and no content (``failed_parts`` lists them).
 """
 
 from __future__ import annotations
 
 import email
 import email.policy
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from mailquarry.operators.mail import links
-
-PART = "struct<part_no:int,mime:string,is_attachment:boolean,filename:string,content:string,payload:binary>"
+PART = (T.StructType().add("part_no", "integer").add("mime", "string").add("is_attachment", "boolean").add("filename", "string")
+        .add("content", "string").add("payload", "binary").add("failed", "boolean"))
+_ARROW = to_arrow_type(T.ArrayType(PART))
 
 
 def _parts(raw: str) -> list[dict]:
@@ -25,70 +27,59 @@ def _parts(raw: str) -> list[dict]:
     single = not message.is_multipart()
     for part in message.walk():
         attached = not single and "attachment" in str(part.get("Content-Disposition", ""))
+        failed = False
         try:
             payload = part.get_payload(decode=True)
         except Exception:       # a broken part must not lose the mail
-            payload = None
-        if payload is None and not attached:
+            payload, failed = None, True
+        if payload is None and not attached and not failed:
             continue
         row = {"part_no": len(out), "mime": part.get_content_type(), "is_attachment": attached,
-               "filename": part.get_filename() if attached else None, "content": None, "payload": None}
+               "filename": part.get_filename() if attached else None, "content": None, "payload": None, "failed": failed}
         if attached:
             row["payload"] = payload
-        else:
+        elif not failed:
             try:
                 row["content"] = payload.decode(part.get_content_charset() or "utf-8", "replace")
             except LookupError:
-                if not single:
-                    continue
-                row["content"] = ""
+                row["failed"] = True
         out.append(row)
     return out
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({"_id": batch["_id"], "parts": [_parts(r) for r in batch["raw_email"]]})
+@F.arrow_udf(T.ArrayType(PART))
+def decoded_parts(raw: pa.Array) -> pa.Array:
+    """The parts of every raw mail; NULL stays NULL."""
+    return pa.array([None if r is None else _parts(r) for r in raw.to_pylist()], type=_ARROW)
 
 
 def part_rows(df: DataFrame) -> DataFrame:
-    """Child table of parts: ``mail_id, part_no, mime, is_attachment, filename, sha256, n_chars, content``."""
-    decoded = (df.select(F.col("mail_id").alias("_id"), "raw_email")
-               .mapInPandas(_decode, f"_id bigint, parts array<{PART}>"))
-    return (decoded.select(F.col("_id").alias("mail_id"), F.inline("parts"))
+    """Child table of parts: ``mail_id, part_no, mime, is_attachment, filename, sha256, n_chars, content, failed``."""
+    decoded = df.select("mail_id", decoded_parts(F.coalesce("raw_email", F.lit(""))).alias("parts"))
+    return (decoded.select("mail_id", F.inline("parts"))
             .select("mail_id", "part_no", "mime", "is_attachment", "filename",
                     F.when(F.length("payload") > 0, F.sha2("payload", 256)).alias("sha256"),
-                    F.length("content").alias("n_chars"), "content"))
-
+                    F.length("content").alias("n_chars"), "content", "failed"))
 
-def _decode_rows(columns: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[columns].assign(parts=[_parts(r) for r in batch["raw_email"]])
 
-    return run
+def failed_parts(df: DataFrame) -> DataFrame:
+    """Parts that could not be decoded: ``mail_id, part_no, mime``."""
+    return part_rows(df).where("failed").select("mail_id", "part_no", "mime")
 
 
-def with_decoded_body(df: DataFrame) -> DataFrame:
-    """Body columns from the decoded parts; each mail stays in its row, so nothing is shuffled."""
-    columns = [c for c in df.columns if c != "body"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "body")
-    rows = df.select(*columns).mapInPandas(_decode_rows(columns), f"{schema}, parts array<{PART}>")
+def body_columns(parts: Column) -> tuple[Column, Column, Column]:
+    """Text body, HTML body and attachments from the decoded parts of a mail."""
+    first = F.get(parts, F.lit(0))
     # A multipart container is no part itself, unless the parser found no parts in it.
-    single = ~F.lower("content_type").rlike("^multipart/") | F.startswith(F.get("parts", F.lit(0))["mime"], F.lit("multipart/"))
+    single = ~F.lower("content_type").rlike("^multipart/") | F.startswith(first["mime"], F.lit("multipart/"))
 
-    def texts(kind: str):
-        wanted = F.filter("parts", lambda p: ~p["is_attachment"] & (p["mime"] == kind))
+    def texts(kind: str) -> Column:
+        wanted = F.filter(parts, lambda p: ~p["is_attachment"] & (p["mime"] == kind))
         return F.array_join(F.transform(wanted, lambda p: F.concat(p["content"], F.lit("\n"))), "")
 
-    whole = F.coalesce(F.get("parts", F.lit(0))["content"], F.lit(""))
-    is_html = F.contains(F.get("parts", F.lit(0))["mime"], F.lit("html"))
-    attached = F.filter("parts", lambda p: p["is_attachment"])
-    out = rows.select(
-        *columns,
-        F.when(single, F.when(is_html, F.lit("")).otherwise(whole)).otherwise(texts("text/plain")).alias("body_text"),
-        F.when(single, F.when(is_html, whole).otherwise(F.lit(""))).otherwise(texts("text/html")).alias("body_html"),
-        F.transform(attached, lambda p: F.struct(
-            p["filename"].alias("filename"),
-            F.when(F.length(p["payload"]) > 0, F.sha2(p["payload"], 256)).alias("sha256"))).alias("attachments"))
-    return out.withColumn("urls", links(F.col("body_text"), F.col("body_html")))
+    whole = F.coalesce(first["content"], F.lit(""))
+    is_html = F.contains(first["mime"], F.lit("html"))
+    attached = F.transform(F.filter(parts, lambda p: p["is_attachment"]), lambda p: F.struct(
+        p["filename"].alias("filename"), F.when(F.length(p["payload"]) > 0, F.sha2(p["payload"], 256)).alias("sha256")))
+    return (F.when(single, F.when(is_html, F.lit("")).otherwise(whole)).otherwise(texts("text/plain")),
+            F.when(single, F.when(is_html, whole).otherwise(F.lit(""))).otherwise(texts("text/html")), attached)

@@ -117,6 +117,16 @@ FROM (
   SELECT 2000000000 + item_id, '1', text, 'bench' FROM {benchmark}
 ) u"""
 
+# One mail in 13 has a text part and an attachment, one a base64 body; base64 is a call that each engine spells its way.
+_CUT = "'--cut-' || s || '-x'"
+_FRAMED = f"""CASE mail_id % 13
+    WHEN 6 THEN 'MIME-Version: 1.0' || chr(10) || 'Content-Type: multipart/mixed; boundary="cut-' || s || '-x"' || chr(10) || chr(10)
+      || {_CUT} || chr(10) || 'Content-Type: text/plain; charset=utf-8' || chr(10) || chr(10) || body || chr(10)
+      || {_CUT} || chr(10) || 'Content-Type: application/octet-stream' || chr(10) || 'Content-Disposition: attachment; filename="f' || s || '.bin"' || chr(10)
+      || 'Content-Transfer-Encoding: base64' || chr(10) || chr(10) || {{b64}}md5(s){{b64_end}} || chr(10) || {_CUT} || '--' || chr(10)
+    WHEN 7 THEN 'Content-Type: text/plain; charset=utf-8' || chr(10) || 'Content-Transfer-Encoding: base64' || chr(10) || chr(10) || {{b64}}body{{b64_end}} || chr(10)
+    ELSE chr(10) || body END"""
+
 MAIL_RAW = f"""
 WITH link_pool(t, pre, post, m) AS (VALUES
   {_POOL_ROWS}),
@@ -124,18 +134,18 @@ base AS (
   SELECT doc_id AS k, CAST(doc_id AS STRING) AS s, text, source, {_SENDER.format(k="doc_id")} AS sender FROM {{documents}}),
 page AS (
   SELECT page_id AS k, CAST(page_id AS STRING) AS s, html, {_SENDER.format(k="page_id")} AS sender FROM {{pages}})
-SELECT k AS mail_id,
-    {_HEADERS}
-    || chr(10) || text {_LINKS}
+SELECT mail_id, head || {_FRAMED} AS raw_email, label, source
+FROM (
+  SELECT k AS mail_id, s, {_HEADERS} AS head, text {_LINKS}
     || CASE WHEN k % 17 = 3 THEN {_MANY} ELSE '' END
     || CASE WHEN k % 11 = 2 THEN ' hxxp[://]defang' || CAST(k % 30 AS STRING) || '[.]example(.)ru/pay' ELSE '' END
     || CASE WHEN k % 10 = 3 THEN ' md5 ' || md5(s) || ' sha ' || md5(s) || md5('x' || s) || ' setup.exe' ELSE '' END
     || CASE k % 4 WHEN 1 THEN chr(10) || 'Urgent: click here immediately'
        WHEN 2 THEN chr(10) || 'Please verify your identity within 24 hours or your account will be closed'
-       WHEN 3 THEN chr(10) || 'final notice' ELSE '' END AS raw_email,
+       WHEN 3 THEN chr(10) || 'final notice' ELSE '' END AS body,
     CAST(CASE WHEN k % 3 = 2 OR k % 9 = 0 THEN 1 ELSE 0 END AS INT) AS label, source
-FROM base
-  {_JOINS}
+  FROM base
+  {_JOINS}) plain
 UNION ALL
 SELECT 1000000000 + k AS mail_id,
     {_HEADERS}
@@ -192,7 +202,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mail_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw mails: ``mail_id, raw_email, label, source``."""
-    return _view(spark, sf_dir, MAIL_RAW, "documents", "pages")
+    return _view(spark, sf_dir, MAIL_RAW.replace("{b64}", "base64(encode(").replace("{b64_end}", ", 'UTF-8'))"), "documents", "pages")
 
 
 def mail_mime(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,14 +156,19 @@ cte("ranked", f"""
 cte("deduped", "SELECT mail_id, label, raw_email, source FROM ranked WHERE rn = 1", "ranked")
 cte("ranked200", CTES["ranked"][1].replace(f"lower({strip('raw_email')})", f"lower(substr({strip('raw_email')}, 1, 200))"), "curated")
 
-cte("mail_raw", duck(fixtures.MAIL_RAW))
+cte("mail_raw", duck(fixtures.MAIL_RAW, b64="to_base64(encode(", b64_end="))"))
 cte("mail_head", f"""
   SELECT mail_id, label, source, raw_email, {sub("substr(raw_email, 1, instr(raw_email, chr(10) || chr(10)) - 1)", r"\n[ \t]+", " ")} AS head,
     substr(raw_email, instr(raw_email, chr(10) || chr(10)) + 2) AS body FROM mail_raw""", "mail_raw")
-cte("mail", "SELECT *, CASE WHEN contains(lower(content_type), 'html') THEN '' ELSE body END AS body_text, "
-    "CASE WHEN contains(lower(content_type), 'html') THEN body ELSE '' END AS body_html FROM (SELECT mail_id, label, source, raw_email, head, body, "
-    + ", ".join(f"{field('head', h)} AS {c}" for c, h in FIELDS.items())
-    + rf", {has('head', r'(?i)(?:^|\n)dkim-signature:')}::INT AS dkim_signed FROM mail_head)", "mail_head")
+cte("mail_field", "SELECT mail_id, label, source, raw_email, head, body AS coded, " + ", ".join(f"{field('head', h)} AS {c}" for c, h in FIELDS.items())
+    + rf", {has('head', r'(?i)(?:^|\n)dkim-signature:')}::INT AS dkim_signed FROM mail_head", "mail_head")
+cte("mail_cut", "SELECT *, CASE WHEN starts_with(lower(content_type), 'multipart/') THEN string_split(chr(10) || coded, chr(10) || '--' || "
+    + ext("content_type", 'boundary="([^"]*)"', 1) + ") END AS cut FROM mail_field", "mail_field")
+_content = lambda c: f"substr({c}, instr({c}, chr(10) || chr(10)) + 2)"
+cte("mail", "SELECT *, CASE WHEN contains(lower(content_type), 'html') THEN '' ELSE body END AS body_text, CASE WHEN contains(lower(content_type), 'html') THEN body ELSE '' END AS body_html "
+    f"FROM (SELECT * EXCLUDE (coded, cut), CASE WHEN cut IS NOT NULL THEN {_content('cut[2]')} || chr(10) WHEN lower(content_transfer_encoding) = 'base64' THEN decode(from_base64(trim(coded, chr(10)))) "
+    "ELSE coded END AS body FROM mail_cut)", "mail_cut")
+cte("attached", f"SELECT mail_id, {ext('cut[3]', 'filename="([^"]*)"', 1)} AS filename, sha256(from_base64({_content('cut[3]')})) AS sha256 FROM mail_cut WHERE cut IS NOT NULL", "mail_cut")
 cte("relay", f"""
   SELECT mail_id, unnest(r) AS received, generate_subscripts(r, 1) - 1 AS pos
   FROM (SELECT mail_id, {every("head", r"(?i)(?:^|\n)received:[ \t]*([^\n]*)", 1)} AS r FROM mail_head)""", "mail_head")
@@ -411,14 +416,17 @@ unwrap_ctes("iw", "ioc_du", "ioc_du")
 cte("ioc_dom", f"""SELECT DISTINCT mail_id, d AS value FROM (SELECT mail_id, {sub(f"lower({netloc('cur')})", "^www[.]", "")} AS d FROM ioc_url JOIN iw6 USING (url)) WHERE d <> ''""", "ioc_url", "iw6")
 cte("ioc_all", """SELECT mail_id, 'email' AS ioc_type, value, value AS cleaned, 'none' AS method, false AS was_wrapped FROM ioc_addr
   UNION ALL SELECT mail_id, 'ip', value, value, 'none', false FROM ioc_ip UNION ALL SELECT mail_id, 'url', url, cur, method, wrapped FROM ioc_url JOIN iw6 USING (url)
-  UNION ALL SELECT mail_id, 'domain', value, value, 'none', false FROM ioc_dom""", "ioc_addr", "ioc_ip", "ioc_url", "iw6", "ioc_dom")
+  UNION ALL SELECT mail_id, 'domain', value, value, 'none', false FROM ioc_dom UNION ALL SELECT mail_id, 'hash', sha256, sha256, 'none', false FROM attached""",
+    "ioc_addr", "ioc_ip", "ioc_url", "iw6", "ioc_dom", "attached")
 
 # technique rules as a long table
 _PCT1 = "printf('%.1f', round_even(prob * 100, 1)) || '%'"
-cte("rule_in", f"""SELECT feat.*, prob, CASE WHEN prob >= 0.65 THEN 'PHISHING' WHEN prob >= 0.40 THEN 'UNCERTAIN' ELSE 'LEGITIMATE' END AS verdict, coalesce(n_urls, 0) AS n_urls
-  FROM feat JOIN pscore USING (mail_id) LEFT JOIN (SELECT mail_id, count(*) AS n_urls FROM ioc_url GROUP BY 1) n USING (mail_id)""", "feat", "pscore", "ioc_url")
+cte("rule_in", f"""SELECT feat.*, prob, CASE WHEN prob >= 0.65 THEN 'PHISHING' WHEN prob >= 0.40 THEN 'UNCERTAIN' ELSE 'LEGITIMATE' END AS verdict, coalesce(n_urls, 0) AS n_urls, coalesce(n_attachments, 0) AS n_attachments
+  FROM feat JOIN pscore USING (mail_id) LEFT JOIN (SELECT mail_id, count(*) AS n_urls FROM ioc_url GROUP BY 1) n USING (mail_id)
+  LEFT JOIN (SELECT mail_id, count(*) AS n_attachments FROM attached GROUP BY 1) a USING (mail_id)""", "feat", "pscore", "ioc_url", "attached")
 cte("rule_row", """
   SELECT mail_id, 'T1566' AS technique_id, round_even(least(prob, 1.0), 2) AS confidence FROM rule_in WHERE verdict IN ('PHISHING', 'UNCERTAIN')
+  UNION ALL SELECT mail_id, 'T1566.001', 0.85 FROM rule_in WHERE n_attachments > 0
   UNION ALL SELECT mail_id, 'T1566.002', least(0.5 + 0.1 * n_urls, 0.95) FROM rule_in WHERE n_urls > 0
   UNION ALL SELECT mail_id, 'T1036', 0.8 FROM rule_in WHERE url_brand_in_subdomain_max > 0 OR url_cert_brand_mismatch > 0 OR url_punycode_detected_max > 0
   UNION ALL SELECT mail_id, 'T1204', least(txt_urgency_score_normalised, 0.9) FROM rule_in WHERE txt_urgency_score_normalised > 0.3

@@ -42,7 +42,7 @@ def query(sql: str | None = None, *ctes: str) -> Callable[[Query], Query]:
 # --- shared inputs ------------------------------------------------------------------------
 
 def parsed(spark: SparkSession, d: str) -> DataFrame:
-    return mail.parse_mail(fx.mail_raw(spark, d), mime=False)        # these mails have one part each
+    return mail.parse_mail(fx.mail_raw(spark, d))
 
 
 def mail_table(spark: SparkSession, d: str) -> DataFrame:
@@ -848,7 +848,7 @@ def metrics_by_source(spark, d):
 
 @query()
 def noise_stress(spark, d):
-    table = features.scalar_features(mail.parse_mail(fx.mail_raw(spark, d), mime=False), keep=("mail_id", "label"))
+    table = features.scalar_features(mail.parse_mail(fx.mail_raw(spark, d)), keep=("mail_id", "label"))
     noisy = evaluate.with_noise(table, ["url_tld_risk_score_max", "hdr_from_reply_to_mismatch", "hdr_spf_result", "txt_urgency_phrase_count"])
     return evaluate.confusion_metrics(noisy.withColumn("prob", fixed_probability()), ["noise_sigma"]).select("noise_sigma", "f1", "n_test")
 
@@ -867,7 +867,7 @@ def failure_modes(spark, d):
 
 def _attacked(spark: SparkSession, d: str) -> DataFrame:
     raw = written(variants.all_variants(fx.mail_raw(spark, d).where("label = 1")))
-    table = features.scalar_features(mail.parse_mail(raw, mime=False), keep=("mail_id", "label", "attack"))
+    table = features.scalar_features(mail.parse_mail(raw), keep=("mail_id", "label", "attack"))
     return table.withColumn("prob", fixed_probability())
 
 
@@ -996,9 +996,9 @@ _HASHES = {"md5": r"\b[a-fA-F0-9]{32}\b", "sha1": r"\b[a-fA-F0-9]{40}\b", "sha25
            "file": r"(?i)\b\S+\.(?:exe|vbs|bat|cmd|ps1|lnk|iso|img|msi|scr|jar|wsf|hta|vbe|jse)\b"}
 
 
-@query(" UNION ALL ".join(f"SELECT mail_id, '{k}' AS kind, unnest({o.every('body_text', p)}) AS value FROM mail" for k, p in _HASHES.items()), "mail")
+@query(" UNION ALL ".join(f"SELECT mail_id, '{k}' AS kind, unnest({o.every('body', p)}) AS value FROM mail" for k, p in _HASHES.items()), "mail")
 def ioc_hashes(spark, d):
-    found = indicators.hashes_and_files(F.col("body_text"))
+    found = indicators.hashes_and_files(mail.body_choice())
     tagged = lambda kind, e: F.transform(e, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
     pairs = F.concat(*[tagged(k, e) for k, e in found.items()])
     return rows.explode_structs(parsed(spark, d), ["mail_id"], pairs, "kind")
@@ -1013,7 +1013,9 @@ def ioc_prevalence(spark, d):
 # --- techniques ---------------------------------------------------------------------------
 
 @query("SELECT DISTINCT mail_id, 'T1566.002' AS technique_id, 'Phishing: Spearphishing Link' AS technique_name, 'Initial Access' AS tactic, 'url' AS indicator FROM ioc_url UNION ALL "
-       "SELECT DISTINCT mail_id, 'T1583.001', 'Acquire Infrastructure: Domains', 'Resource Development', 'domain' FROM ioc_dom", "ioc_url", "ioc_dom")
+       "SELECT DISTINCT mail_id, 'T1583.001', 'Acquire Infrastructure: Domains', 'Resource Development', 'domain' FROM ioc_dom UNION ALL "
+       "SELECT mail_id, 'T1566.001', 'Phishing: Spearphishing Attachment', 'Initial Access', 'attachment' FROM attached UNION ALL "
+       "SELECT mail_id, 'T1036.007', 'Masquerading: Double File Extension', 'Defense Evasion', 'attachment' FROM attached", "ioc_url", "ioc_dom", "attached")
 def attack_simple(spark, d):
     return techniques.by_presence(indicators.indicator_arrays(parsed(spark, d)))
 
@@ -1200,7 +1202,7 @@ def score_mails(spark, d):
 
 # --- exports ------------------------------------------------------------------------------
 
-@query("SELECT mail_id, CASE ioc_type WHEN 'email' THEN 'email-src' WHEN 'ip' THEN 'ip-src' ELSE ioc_type END AS type, value FROM ioc_all", "ioc_all")
+@query("SELECT mail_id, CASE ioc_type WHEN 'email' THEN 'email-src' WHEN 'ip' THEN 'ip-src' WHEN 'hash' THEN 'sha256' ELSE ioc_type END AS type, value FROM ioc_all", "ioc_all")
 def export_misp_attributes(spark, d):
     arrays = indicators.indicator_arrays(parsed(spark, d))
     return rows.explode_structs(exports.event_attributes(arrays), ["mail_id"], F.col("attributes"), "type").select("mail_id", "type", "value")
@@ -1229,7 +1231,7 @@ def export_text(spark, d):
 
 _NAME = "CASE technique_id " + " ".join(f"WHEN '{t}' THEN '{v[0]}'" for t, v in {**L.TECHNIQUES, **{x[0]: (x[1], x[2]) for x in L.FEATURE_TECHNIQUES.values() if x[0] not in L.TECHNIQUES}}.items()) + " END"
 _EV = {
-    "T1566": f"'ml_probability=' || {o._PCT1}", "T1566.002": "'url_count=' || n_urls",
+    "T1566": f"'ml_probability=' || {o._PCT1}", "T1566.001": "'attachment_count=' || n_attachments", "T1566.002": "'url_count=' || n_urls",
     "T1036": "concat_ws(', ', CASE WHEN url_brand_in_subdomain_max > 0 THEN 'brand_in_subdomain=True' END, CASE WHEN url_cert_brand_mismatch > 0 THEN 'cert_brand_mismatch=True' END, CASE WHEN url_punycode_detected_max > 0 THEN 'punycode_domain=True' END)",
     "T1204": "'urgency_score=' || printf('%.3f', txt_urgency_score_normalised)", "T1056": "'external_form_action=True'",
     "T1027": "concat_ws(', ', CASE WHEN html_base64_content_count > 0 THEN 'base64_html_content=True' END, CASE WHEN html_hidden_text_count > 0 THEN 'hidden_text=True' END, CASE WHEN html_javascript_count > 2 THEN 'javascript_obfuscation=True' END, CASE WHEN url_url_entropy_max > 4.5 THEN 'high_url_entropy=True' END)",
