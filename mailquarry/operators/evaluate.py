@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailquarry import lists as L
+from mailquarry.functions import mix
 from mailquarry.operators.features import long_form
 from mailquarry.operators.ranking import running_totals
 
@@ -79,10 +81,11 @@ def with_noise(df: DataFrame, columns: Sequence[str], sigmas: Sequence[float] =
     The noise comes from hashes of seed, row, column and sigma (Box-Muller), so retries give equal values.
     """
     out = df.withColumn("noise_sigma", F.explode(F.array(*[F.lit(float(s)) for s in sigmas])))
-    unit = lambda tag, c: (F.pmod(F.xxhash64(F.lit(f"{seed}|{tag}|{c}"), "mail_id", "noise_sigma"), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+    share = F.round(F.col("noise_sigma") * 1e6).cast("bigint")
+    unit = lambda tag, c: mix.unit(F.lit(seed), F.lit(tag), F.lit(zlib.crc32(c.encode())), F.col("mail_id"), share)
     noisy = []
     for c in columns:
-        z = F.sqrt(-2.0 * F.log(unit("r", c))) * F.cos(2.0 * 3.141592653589793 * unit("a", c))
+        z = F.sqrt(-2.0 * F.log(unit(1, c))) * F.cos(2.0 * 3.141592653589793 * unit(2, c))
         noisy.append((F.col(c).cast("double") + F.col("noise_sigma") * z).alias(c))
     return out.select(*[c for c in out.columns if c not in columns], *noisy)
 

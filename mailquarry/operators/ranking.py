@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_DIGITS = 4             # 65 536 buckets of a uniform hash
-VALUE_BUCKETS = 512
+VALUE_BUCKETS = 512         # at least; more when the table is large
+ROWS_PER_BUCKET = 1_000_000
 
 
 def order_hash(id_col: Column, seed: int | str = 42) -> Column:
@@ -47,12 +48,14 @@ def running_totals(df: DataFrame, groups: list[str], value: str, measures: list[
     """Per distinct ``value``: the sums of the measures, and their sums over all smaller values.
 
     Adds ``<measure>_before``. Equal values are merged first, so copies of one value cost one row. The
-    bucket borders are approximate quantiles; they only decide where the work is split, not the result.
+    bucket borders are approximate quantiles; they only decide where the work is split, not the result. Their
+    number follows the row count, so a bucket holds about a million rows at any size.
     """
     merged = df.groupBy(*groups, value).agg(*[F.sum(m).alias(m) for m in measures])
-    share = [F.lit(i / VALUE_BUCKETS) for i in range(1, VALUE_BUCKETS)]
+    n = max(VALUE_BUCKETS, -(-df.count() // ROWS_PER_BUCKET))
+    share = [F.lit(i / n) for i in range(1, n)]
     borders = merged.groupBy(*groups).agg(
-        F.percentile_approx(value, F.array(*share), 10000).alias("_borders"))
+        F.percentile_approx(value, F.array(*share), max(10000, 20 * n)).alias("_borders"))
     bucketed = (merged.join(F.broadcast(borders), groups)
                 .withColumn("_bucket", F.size(F.filter(F.array_distinct("_borders"), lambda b: b <= F.col(value))))
                 .drop("_borders"))

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailquarry import lists as L
+from mailquarry.functions.mix import pick
 
 
 def _pick(n: int, *parts: Column, seed: int = 42) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(n)).cast("int")
+    return pick(n, F.lit(seed), *parts)
 
 
 def _per_character(text: Column, change) -> Column:
@@ -26,8 +27,8 @@ def zero_width(raw: Column, mail_id: Column, seed: int = 42) -> Column:
     signs = F.array(*[F.lit(c) for c in L.ZERO_WIDTH])
 
     def change(ch: Column, i: Column) -> Column:
-        hit = ch.rlike(r"\p{L}") & (_pick(10, mail_id, i, F.lit("z"), seed=seed) == 0)
-        return F.when(hit, F.concat(ch, F.get(signs, _pick(len(L.ZERO_WIDTH), mail_id, i, seed=seed)))).otherwise(ch)
+        hit = ch.rlike(r"\p{L}") & (_pick(10, F.lit(1), mail_id, i, seed=seed) == 0)
+        return F.when(hit, F.concat(ch, F.get(signs, _pick(len(L.ZERO_WIDTH), F.lit(2), mail_id, i, seed=seed)))).otherwise(ch)
 
     return F.when(body.isNull(), raw).otherwise(F.concat(head, F.lit("\n\n"), _per_character(body, change)))
 
@@ -37,7 +38,7 @@ def lookalikes(raw: Column, mail_id: Column, seed: int = 42) -> Column:
     src, dst = "".join(L.LOOKALIKES), "".join(L.LOOKALIKES.values())
 
     def change(ch: Column, i: Column) -> Column:
-        return F.when(_pick(5, mail_id, i, F.lit("h"), seed=seed) == 0, F.translate(ch, src, dst)).otherwise(ch)
+        return F.when(_pick(5, F.lit(3), mail_id, i, seed=seed) == 0, F.translate(ch, src, dst)).otherwise(ch)
 
     return _per_character(raw, change)
 

@@ -202,7 +202,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mail_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw mails: ``mail_id, raw_email, label, source``."""
-    return _view(spark, sf_dir, MAIL_RAW.replace("{b64}", "base64(encode(").replace("{b64_end}", ", 'UTF-8'))"), "documents", "pages")
+    return _view(spark, sf_dir, MAIL_RAW.replace("{b64}", "replace(base64(encode(").replace("{b64_end}", ", 'UTF-8')), chr(13) || chr(10), '')"), "documents", "pages")
 
 
 def mail_mime(spark: SparkSession, sf_dir: str) -> DataFrame:

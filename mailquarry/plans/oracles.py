@@ -6,6 +6,7 @@ place of arrays in a row), so that a match means something.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable
 
 from mailquarry import lists as L
@@ -360,6 +361,25 @@ cte("scored", lookups.SCORED.format(src="documents"))
 PROB = "round(1 / (1 + exp(-(-1.2 + 1.1 * url_tld_risk_score_max + 0.8 * hdr_from_reply_to_mismatch - 0.6 * hdr_spf_result + 0.3 * txt_urgency_phrase_count))), 4)"
 cte("pscore", f"SELECT mail_id, {PROB} AS prob FROM feat", "feat")
 
+def mix(*parts: str) -> str:
+    """The same pseudo-random number as ``functions.mix``, spelled out."""
+    h = "7::BIGINT"
+    for p in parts:
+        h = f"(({h}) * 48271 + ({p})::BIGINT % 2147483647) % 2147483647"
+        h = f"(list_transform([{h}], lambda q: (q * q + 1013904223) % 2147483647)[1])"
+    return h
+
+
+def pick(n: int, *parts: str, seed: int = 42) -> str:
+    return f"(({mix(str(seed), *parts)}) >> 7) % {n}"
+
+
+def noise(c: str, sigma: str) -> str:
+    """A feature with Gaussian noise."""
+    u = lambda tag: f"(({mix('42', str(tag), str(zlib.crc32(c.encode())), 'mail_id', f'round({sigma} * 1e6)')}) + 1) / 2147483648.0::DOUBLE"
+    return f"({c}::DOUBLE + {sigma} * sqrt(-2.0::DOUBLE * ln({u(1)})) * cos(2.0::DOUBLE * pi() * {u(2)}))"
+
+
 # indicators
 cte("ioc_addr", "SELECT DISTINCT mail_id, unnest(regexp_extract_all(v, " + lit(net.ADDRESS) + ")) AS value FROM (SELECT mail_id, unnest([from_address, reply_to, return_path]) AS v FROM mail)", "mail")
 cte("ioc_ip", f"""SELECT DISTINCT mail_id, ip AS value FROM (SELECT mail_id, ip FROM relay_ip UNION ALL SELECT mail_id, unnest({every("x_originating_ip", net.IPV4_WORD)}) FROM mail)

@@ -143,6 +143,38 @@ def src_mbox(spark, d):
     return _digest(corpora.mbox(spark, out, 0, "mbox"))
 
 
+@query(_MD5_OUT.format(f"SELECT (item_id % 2)::INT AS label, 'folders' AS source, md5({o.strip('text')}) AS h FROM benchmark"))
+def src_ham_spam(spark, d):
+    """Folders with one mail per file, one folder per label."""
+    out = scratch(spark)
+    items = fx.table(spark, d, "benchmark").select((F.col("item_id") % 2).alias("y"), F.col("item_id").alias("n"), "text")
+    items.write.partitionBy("y", "n").text(out)
+    return _digest(corpora.ham_and_spam(spark, [f"{out}/y=0"], [f"{out}/y=1"], "folders"))
+
+
+@query(_MD5_OUT.format(f"SELECT label, 'pq' AS source, md5({o.strip('raw_email')}) AS h FROM curated"), "curated")
+def src_parquet_corpus(spark, d):
+    """Columnar corpus whose column names differ in case and blanks from the usual ones."""
+    out = scratch(spark)
+    fx.corpus(spark, d).select(F.col("label").alias("Class "), F.col("raw_email").alias(" BODY")).write.parquet(out)
+    return _digest(corpora.parquet_corpus(spark, [out + "-missing", out], "pq"))
+
+
+@query(_MD5_OUT.format(f"SELECT 1 AS label, 'unlabelled' AS source, md5({o.strip('text')}) AS h FROM documents WHERE {o.strip('text')} <> ''"))
+def src_optional_label(spark, d):
+    """A corpus without a label column, its text column found by a part of the name."""
+    df = fx.table(spark, d, "documents").select("doc_id", F.col("text").alias("original_message_part"))
+    return _digest(clean.to_corpus(df, "unlabelled", substring=True, label_if_missing=1))
+
+
+@query(_MD5_OUT.format(f"SELECT label, 'processed' AS source, md5({o.strip('raw_email')}) AS h FROM curated"), "curated")
+def src_prepared(spark, d):
+    """A corpus written earlier, without a source column."""
+    out = scratch(spark)
+    curated(spark, d).select("label", "raw_email").write.parquet(out)
+    return _digest(corpora.prepared_corpus(spark, out))
+
+
 @query(f"SELECT doc_id, i - 1 AS chunk_no, md5(c) AS chunk_md5, length(c) AS n_chars FROM (SELECT doc_id, {o.strip('c')} AS c, i FROM ("
        "SELECT doc_id, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(text || chr(10) || chr(10) || html_tail, chr(10) || chr(10)) AS x FROM ("
        "SELECT doc_id, text, 'tail ' || text AS html_tail FROM documents)))) WHERE length(c) >= 50")
@@ -275,6 +307,14 @@ def stratified_split(spark, d):
     return corpus.stratified_split(deduped(spark, d)).select("mail_id", "label", "source", "split")
 
 
+@query(f"SELECT split, label, count(*) AS n, min(mail_id) AS first_id, max(mail_id) AS last_id FROM ({_SPLIT}) GROUP BY split, label", "deduped")
+def split_files(spark, d):
+    """Training and test part written as Parquet folders and read back."""
+    out = scratch(spark)
+    exports.write_split(corpus.stratified_split(deduped(spark, d)), out)
+    return spark.read.parquet(out).groupBy("split", "label").agg(F.count("*").alias("n"), F.min("mail_id").alias("first_id"), F.max("mail_id").alias("last_id"))
+
+
 @query("SELECT coalesce(source, 'ALL') AS source, count(*) AS total, count_if(label = 1)::BIGINT AS phishing, count_if(label = 0)::BIGINT AS legitimate, "
        "round(count_if(label = 1)::DOUBLE / greatest(count_if(label = 0), 1), 6) AS imbalance_ratio FROM deduped GROUP BY ROLLUP (source)", "deduped")
 def class_balance(spark, d):
@@ -313,6 +353,14 @@ def mail_fields(spark, d):
     return mail.mail_fields(fx.mail_raw(spark, d)).select("mail_id", *_FIELDS, "dkim_signed", F.length("header_raw").alias("head_chars"))
 
 
+@query("SELECT doc_id AS mail_id, md5('Re: ' || text || ' end') AS h FROM documents")
+def encoded_words(spark, d):
+    """Subjects with a base64 word each."""
+    word = F.concat(F.lit("Re: =?UTF-8?B?"), F.replace(F.base64(F.encode("text", "UTF-8")), F.lit("\r\n"), F.lit("")), F.lit("?= end"))
+    coded = fx.table(spark, d, "documents").select(F.col("doc_id").alias("mail_id"), word.alias("subject"))
+    return coded.select("mail_id", F.md5(mail.decode_words(F.col("subject"))).alias("h"))
+
+
 @query(f"SELECT mail_id, pos::INT AS pos, {o.strip('received')} AS received FROM relay", "relay")
 def relay_chain(spark, d):
     return mail.relay_chain(mail.mail_fields(fx.mail_raw(spark, d)))
@@ -829,12 +877,32 @@ def confusion_metrics(spark, d):
     return evaluate.confusion_metrics(scored_mails(spark, d))
 
 
-@query("SELECT model, n_pos, n_neg, round((rs - n_pos * (n_pos + 1) / 2.0::DOUBLE) / (n_pos::DOUBLE * n_neg), 6) AS auc_roc FROM (SELECT model, count_if(label = 1)::BIGINT AS n_pos, count_if(label = 0)::BIGINT AS n_neg, "
-       "sum(CASE WHEN label = 1 THEN r ELSE 0 END) AS rs FROM (SELECT model, label, rank() OVER w + (count(*) OVER (PARTITION BY model, prob) - 1) / 2.0::DOUBLE AS r FROM scored WINDOW w AS (PARTITION BY model ORDER BY prob)) GROUP BY model)", "scored")
+_AUC = ("SELECT model, n_pos, n_neg, round((rs - n_pos * (n_pos + 1) / 2.0::DOUBLE) / (n_pos::DOUBLE * n_neg), 6) AS auc_roc FROM (SELECT model, count_if(label = 1)::BIGINT AS n_pos, count_if(label = 0)::BIGINT AS n_neg, "
+       "sum(CASE WHEN label = 1 THEN r ELSE 0 END) AS rs FROM (SELECT model, label, rank() OVER w + (count(*) OVER (PARTITION BY model, prob) - 1) / 2.0::DOUBLE AS r FROM scored WINDOW w AS (PARTITION BY model ORDER BY prob)) GROUP BY model)")
+
+
+@query(_AUC, "scored")
 def auc_rank(spark, d):
     return evaluate.auc(scored_mails(spark, d))
 
 
+_RECORD = f"SELECT *, 0.5::DOUBLE AS threshold FROM ({_CONF.format(g='model', t=0.5, s='scored')}) JOIN (SELECT model, auc_roc FROM ({_AUC})) USING (model)"
+
+
+@query(_RECORD, "scored")
+def metrics_record(spark, d):
+    """All fields of the evaluation of each model."""
+    return evaluate.evaluate(scored_mails(spark, d))
+
+
+@query(_RECORD, "scored")
+def metrics_file(spark, d):
+    """The evaluation records written as JSON lines and read back."""
+    out, record = scratch(spark), evaluate.evaluate(scored_mails(spark, d))
+    exports.write_json(record, out)
+    return spark.read.schema(record.schema).json(out)
+
+
 @query(f"SELECT model, f1, row_number() OVER (ORDER BY f1 DESC, model)::INT AS place FROM ({_CONF.format(g='model', t=0.5, s='scored')})", "scored")
 def model_compare(spark, d):
     return evaluate.compare_models(evaluate.confusion_metrics(scored_mails(spark, d)))
@@ -846,10 +914,18 @@ def metrics_by_source(spark, d):
     return evaluate.metrics_by_source(scored_mails(spark, d))
 
 
-@query()
+_SCORED_ON = ["url_tld_risk_score_max", "hdr_from_reply_to_mismatch", "hdr_spf_result", "txt_urgency_phrase_count"]
+
+
+o.cte("noisy", "SELECT mail_id, noise_sigma, " + ", ".join(f"{o.noise(c, 'noise_sigma')} AS {c}" for c in _SCORED_ON) + " FROM hdr JOIN url_feat USING (mail_id) JOIN txt USING (mail_id), "
+      "(SELECT unnest([0.0, 0.05, 0.1, 0.2]::DOUBLE[]) AS noise_sigma)", "hdr", "url_feat", "txt")
+o.cte("noisy_scored", f"SELECT noise_sigma, label, {o.PROB} AS prob FROM noisy JOIN (SELECT mail_id, label FROM mail) USING (mail_id)", "noisy", "mail")
+
+
+@query("SELECT noise_sigma, f1, n_test FROM (" + _CONF.format(g="noise_sigma", t=0.5, s="noisy_scored") + ")", "noisy_scored")
 def noise_stress(spark, d):
-    table = features.scalar_features(mail.parse_mail(fx.mail_raw(spark, d)), keep=("mail_id", "label"))
-    noisy = evaluate.with_noise(table, ["url_tld_risk_score_max", "hdr_from_reply_to_mismatch", "hdr_spf_result", "txt_urgency_phrase_count"])
+    table = features.scalar_features(parsed(spark, d), keep=("mail_id", "label"))
+    noisy = evaluate.with_noise(table, [c for c in table.columns if c not in ("mail_id", "label")])
     return evaluate.confusion_metrics(noisy.withColumn("prob", fixed_probability()), ["noise_sigma"]).select("noise_sigma", "f1", "n_test")
 
 
@@ -923,12 +999,25 @@ def variant_brand(spark, d):
     return _variant(spark, d, "brand_mutation")
 
 
-@query()
+def _chars(text: str) -> str:
+    """The characters of a text, in order, with positions from 0."""
+    return f"SELECT mail_id, head, unnest(string_split({text}, '')) AS c, generate_subscripts(string_split({text}, ''), 1) - 1 AS i"
+
+
+_SIGNS = "[" + ", ".join(o.lit(c) for c in L.ZERO_WIDTH) + "]"
+_BLANK_LINE = "instr(raw_email, chr(10) || chr(10))"
+
+
+@query("SELECT mail_id, md5(head || t) AS h, length(head || t) AS n_chars FROM (SELECT mail_id, any_value(head) AS head, string_agg(CASE WHEN regexp_matches(c, '^\\p{L}$') AND "
+       f"{o.pick(10, '1', 'mail_id', 'i')} = 0 THEN c || {_SIGNS}[({o.pick(len(L.ZERO_WIDTH), '2', 'mail_id', 'i')} + 1)::INT] ELSE c END, '' ORDER BY i) AS t FROM ("
+       + _chars(f"substr(raw_email, {_BLANK_LINE} + 2)").replace("head,", f"substr(raw_email, 1, {_BLANK_LINE} + 1) AS head,") + " FROM mail_raw) GROUP BY mail_id)", "mail_raw")
 def variant_zero_width(spark, d):
     return _variant(spark, d, "whitespace_insertion")
 
 
-@query()
+@query(f"SELECT mail_id, md5(t) AS h, length(t) AS n_chars FROM (SELECT mail_id, string_agg(CASE WHEN {o.pick(5, '3', 'mail_id', 'i')} = 0 "
+       f"THEN translate(c, {o.lit(''.join(L.LOOKALIKES))}, {o.lit(''.join(L.LOOKALIKES.values()))}) ELSE c END, '' ORDER BY i) AS t FROM ("
+       + _chars("raw_email").replace("head, ", "") + " FROM mail_raw) GROUP BY mail_id)", "mail_raw")
 def variant_lookalikes(spark, d):
     return _variant(spark, d, "homoglyph_substitution")
 
@@ -960,9 +1049,7 @@ def population_importance(spark, d):
 @query(f"SELECT mail_id, round(count_if(a AND b)::DOUBLE / count(*), 6) AS agreement FROM (SELECT mail_id, feature, bool_or(k = 1) AS a, bool_or(k = 2) AS b FROM (SELECT mail_id, feature, 1 AS k FROM ({_TOP}) WHERE rank <= 5 UNION ALL "
        "SELECT mail_id, feature, 2 FROM (SELECT mail_id, feature, row_number() OVER (PARTITION BY mail_id ORDER BY round(abs(value), 6) DESC, feature) AS r FROM contrib) WHERE r <= 5) GROUP BY 1, 2) GROUP BY mail_id", "contrib")
 def rank_agreement(spark, d):
-    c = _contributions(spark, d)
-    by_value = attribute.top_contributions(c.withColumn("contribution", F.col("value")), 5)
-    return attribute.rank_agreement(attribute.top_contributions(c, 5), by_value, 5)
+    return attribute.rank_agreement(_contributions(spark, d), "contribution", "value", 5)
 
 
 # --- indicators ---------------------------------------------------------------------------
@@ -1208,7 +1295,16 @@ def export_misp_attributes(spark, d):
     return rows.explode_structs(exports.event_attributes(arrays), ["mail_id"], F.col("attributes"), "type").select("mail_id", "type", "value")
 
 
-@query()
+o.cte("event_attribute", "SELECT mail_id, rank, value, CASE rank WHEN 0 THEN 'email-src' WHEN 1 THEN 'ip-src' WHEN 2 THEN 'url' WHEN 3 THEN 'domain' ELSE 'sha256' END AS type, "
+      "['Payload delivery', 'Network activity', 'External analysis', 'Network activity', 'Payload delivery'][rank + 1] AS category, "
+      "['sender address', 'relay address', 'link', 'link domain', 'attachment'][rank + 1] AS comment "
+      "FROM (SELECT mail_id, value, list_position(['email', 'ip', 'url', 'domain', 'hash'], ioc_type) - 1 AS rank FROM ioc_all)", "ioc_all")
+
+
+@query("SELECT m.mail_id, to_json({'Event': {'info': 'mailquarry detection', 'date': '" + STAMP[:10] + "', 'threat_level_id': '2', 'analysis': '1', 'distribution': '0', "
+       "'Attribute': coalesce(a, []), 'Tag': [{'name': 'phishing'}, {'name': 'mailquarry'}]}})::VARCHAR AS event FROM mail m LEFT JOIN ("
+       "SELECT mail_id, list({'type': type, 'category': category, 'value': value, 'comment': comment, 'to_ids': true} ORDER BY rank, encode(value)) AS a FROM event_attribute GROUP BY mail_id) USING (mail_id)",
+       "mail", "event_attribute")
 def export_misp(spark, d):
     return exports.misp_json(indicators.indicator_arrays(parsed(spark, d)), STAMP)
 
@@ -1224,7 +1320,15 @@ def export_cef(spark, d):
     return exports.cef_lines(arrays, STAMP)
 
 
-@query()
+def _section(title: str, kind: str) -> str:
+    return (f"chr(10) || '  {title}  (' || coalesce(n_{kind}, 0)::BIGINT || ' found)' || chr(10) || '  ' || repeat('─', 40) || chr(10) || coalesce(t_{kind}, '    (none)')")
+
+
+@query("SELECT m.mail_id, concat_ws(chr(10), repeat('═', 60), '  Indicator report', '  Generated : " + STAMP + "', '  Risk Score: 50.0%', repeat('═', 60), "
+       + ", ".join(_section(t, k) for t, k in (("Sender Email Addresses", "email"), ("Sender IPs", "ip"), ("URLs", "url"), ("Domains", "domain")))
+       + ", chr(10) || '  Raw Email SHA-256: ' || sha256(raw_email), repeat('═', 60)) AS report FROM mail m LEFT JOIN (SELECT mail_id, "
+       + ", ".join(f"count_if(ioc_type = '{k}') AS n_{k}, string_agg('    ' || value, chr(10) ORDER BY encode(value)) FILTER (WHERE ioc_type = '{k}') AS t_{k}" for k in ("email", "ip", "url", "domain"))
+       + " FROM ioc_all GROUP BY mail_id) USING (mail_id)", "mail", "ioc_all")
 def export_text(spark, d):
     return exports.text_summary(indicators.indicator_arrays(parsed(spark, d)).withColumn("prob", F.lit(0.5)), STAMP)
 
