@@ -20,8 +20,3 @@ def mix(*parts: Column) -> Column:
 def pick(n: int, *parts: Column) -> Column:
     """A number from 0 to n - 1."""
     return (F.shiftright(mix(*parts), 7) % n).cast("int")
-
-
-def unit(*parts: Column) -> Column:
-    """A number above 0 and below 1."""
-    return (mix(*parts) + 1) / F.lit(float(P + 1))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailquarry import lists as L
-from mailquarry.functions import mix
 from mailquarry.operators.features import long_form
 from mailquarry.operators.ranking import running_totals
 
@@ -82,7 +80,8 @@ def with_noise(df: DataFrame, columns: Sequence[str], sigmas: Sequence[float] =
     """
     out = df.withColumn("noise_sigma", F.explode(F.array(*[F.lit(float(s)) for s in sigmas])))
     share = F.round(F.col("noise_sigma") * 1e6).cast("bigint")
-    unit = lambda tag, c: mix.unit(F.lit(seed), F.lit(tag), F.lit(zlib.crc32(c.encode())), F.col("mail_id"), share)
+    digest = lambda tag, c: F.md5(F.concat_ws("|", F.lit(f"{seed}|{tag}|{c}"), F.col("mail_id").cast("string"), share.cast("string")))
+    unit = lambda tag, c: (F.conv(F.substring(digest(tag, c), 1, 8), 16, 10).cast("bigint") + 1) / F.lit(4294967297.0)
     noisy = []
     for c in columns:
         z = F.sqrt(-2.0 * F.log(unit(1, c))) * F.cos(2.0 * 3.141592653589793 * unit(2, c))

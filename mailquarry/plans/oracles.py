@@ -6,7 +6,6 @@ place of arrays in a row), so that a match means something.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable
 
 from mailquarry import lists as L
@@ -376,7 +375,8 @@ def pick(n: int, *parts: str, seed: int = 42) -> str:
 
 def noise(c: str, sigma: str) -> str:
     """A feature with Gaussian noise."""
-    u = lambda tag: f"(({mix('42', str(tag), str(zlib.crc32(c.encode())), 'mail_id', f'round({sigma} * 1e6)')}) + 1) / 2147483648.0::DOUBLE"
+    digest = lambda tag: f"md5('42|{tag}|{c}|' || mail_id || '|' || round({sigma} * 1e6)::BIGINT)"
+    u = lambda tag: f"(('0x' || substr({digest(tag)}, 1, 8))::BIGINT + 1) / 4294967297.0::DOUBLE"
     return f"({c}::DOUBLE + {sigma} * sqrt(-2.0::DOUBLE * ln({u(1)})) * cos(2.0::DOUBLE * pi() * {u(2)}))"
 
 

@@ -4,7 +4,9 @@ import base64
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
+from mailquarry.functions import text as X
 from mailquarry.operators import mail, mime
 
 PDF = b"%PDF-1.4 fake"
@@ -85,3 +87,19 @@ def test_part_rows(spark):
     df = spark.createDataFrame([(3, GOLDEN[3])], "mail_id long, raw_email string")
     got = [(r["part_no"], r["mime"], r["is_attachment"], r["filename"]) for r in mime.part_rows(df).orderBy("part_no").collect()]
     assert got == [(0, "text/plain", False, None), (1, "application/pdf", True, "f.pdf")]
+
+
+def test_undecodable_part_is_kept(spark):
+    raw = ("From: a@example.com\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=\"b\"\n\n--b\nContent-Type: text/plain; charset=no-such-set\n\nlost?\n"
+           "--b\nContent-Type: text/plain; charset=utf-8\n\nkept\n--b--\n")
+    df = spark.createDataFrame([(1, raw), (2, None), (3, "")], "mail_id bigint, raw_email string")
+    assert [(r.mail_id, r.part_no, r.mime) for r in mime.failed_parts(df).collect()] == [(1, 0, "text/plain")]
+    bodies = {r.mail_id: r for r in mail.parse_mail(df).select("mail_id", "body_text", "attachments").collect()}
+    assert bodies[1].body_text == "kept\n" and bodies[1].attachments == []
+    assert set(bodies) == {1, 2, 3}
+
+
+def test_word_count_knows_all_blanks(spark):
+    texts = ["", " ", "a", "one two three", "x\x1cy\tz\r\nw", "é　ü "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.n for r in df.select(X.word_count(F.col("t")).alias("n")).collect()] == [0, 0, 1, 3, 4, 2]
