@@ -97,19 +97,27 @@ def is_http(c: Column) -> Column:
 # --- registered domain --------------------------------------------------------------------
 
 def suffix(host: Column, suffixes: Iterable[str] | None = None) -> Column:
-    """Longest public suffix of a host, '' when unknown or when the host is an address.
+    """Longest public suffix of a host, '' when no rule fits or when the host is an address.
 
+    Rules are those of the public-suffix list: ``*.ck`` makes every name under ck a suffix, ``!www.ck`` excepts one.
     The suffix list is a literal set, so the test is a hash look-up inside generated code and needs
     neither a join nor a broadcast. Lists of about ten thousand rules are fine in this form.
     """
-    rules = sorted(set(suffixes or L.SUFFIXES))
-    by_size: dict[int, list[str]] = {}
+    rules = sorted(set(L.SUFFIXES if suffixes is None else suffixes))
+    plain, wild, spared = {}, {}, {}
     for rule in rules:
-        by_size.setdefault(rule.count(".") + 1, []).append(rule)
+        kind = wild if rule.startswith("*.") else spared if rule.startswith("!") else plain
+        kind.setdefault(rule.count(".") + 1, []).append(rule.removeprefix("*.").removeprefix("!"))
+    tail = lambda size: F.substring_index(host, ".", -size)
     out = F.lit("")
-    for size in sorted(by_size):
-        tail = F.substring_index(host, ".", -size)
-        out = F.when(tail.isin(by_size[size]), tail).otherwise(out)
+    for size in sorted({*plain, *wild}):
+        if size in plain:
+            out = F.when(tail(size).isin(plain[size]), tail(size)).otherwise(out)
+        if size in wild:
+            base = tail(size - 1)
+            out = F.when(base.isin(wild[size]) & (host != base), tail(size)).otherwise(out)
+    for size in sorted(spared):
+        out = F.when(tail(size).isin(spared[size]), tail(size - 1)).otherwise(out)
     return F.when(host.rlike(f"^{IPV4}$"), F.lit("")).otherwise(out)
 
 

@@ -1,5 +1,8 @@
 """Look-ups stay one to one, and no link is lost to a default limit."""
 
+from pyspark.sql import functions as F
+
+from mailquarry.functions import net
 from mailquarry.operators import corpus, reputation, urls, verdict
 
 
@@ -29,3 +32,12 @@ def test_texts_with_one_opening_are_kept(spark):
     df = spark.createDataFrame([(1, "a", "x" * 200 + "1"), (2, "a", "x" * 200 + "2"), (3, "a", " " + "X" * 200 + "2")], "mail_id long, source string, raw_email string")
     ids = lambda **k: sorted(r.mail_id for r in corpus.drop_near_duplicates(df, **k).collect())
     assert ids() == [1, 2] and ids(prefix=200) == [1]
+
+
+def test_all_public_suffixes_are_known(spark):
+    """Country, new, wildcard, excepted and international suffixes; a made-up ending stays without one."""
+    want = {"a.bank.pl": "bank.pl", "x.shop.co.za": "shop.co.za", "a.b.co.nz": "b.co.nz", "www.foo.app": "foo.app", "foo.dev": "foo.dev", "m.foo.com.cn": "foo.com.cn",
+            "a.b.c.ck": "b.c.ck", "x.www.ck": "www.ck", "a.city.kobe.jp": "city.kobe.jp", "a.b.c.kobe.jp": "b.c.kobe.jp", "shop.xn--p1ai": "shop.xn--p1ai", "shop.рф": "shop.рф",
+            "c.ck": "", "host.unknownzone": "", "10.0.0.1": "", "": ""}
+    got = spark.createDataFrame([(h,) for h in want], "host string").select("host", net.registered_domain(F.col("host")).alias("domain")).collect()
+    assert {r["host"]: r["domain"] for r in got} == want
