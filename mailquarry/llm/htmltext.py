@@ -3,8 +3,9 @@
 Markup is stripped to lines: one line per block element, inline markup joins without a gap. Lines of menus, headers,
 footers, sidebars, notices, adverts, forms, comments and hidden elements have no text of their own and so split the
 distribution. The text lengths are summed over windows of ``WINDOW`` lines; a surge point is where the sum rises over
-the threshold, a dive point where it falls to zero again. The lines between surge and dive are the main text. If the
-page marks its article or main element, the distribution is taken over this part, where every line of text counts.
+the threshold, a dive point where it falls to zero again. The lines from the first surge to the last dive are the main
+text, together with the lines of text next to them, across gaps, up to a menu or the end of the page. If an article or
+main element holds the larger part of the page's text, the main text is every line of text in it.
 
 Character references are decoded, white space inside a block becomes one blank, blocks are joined by one blank. Null and
 empty pages have an empty text; pages cut off in the middle of a tag lose this tag. Ties and repeated rows have no
@@ -146,15 +147,26 @@ def between(sizes: list[int], threshold: int, window: int = WINDOW) -> list[bool
     return keep
 
 
+def outer(keep: list[bool], menus: list[bool]) -> list[bool]:
+    """The range from the first to the last marked line, widened on both sides up to a menu."""
+    first, last = keep.index(True), len(keep) - 1 - keep[::-1].index(True)
+    while first and not menus[first - 1]:
+        first -= 1
+    while last + 1 < len(keep) and not menus[last + 1]:
+        last += 1
+    return [first <= i <= last for i in range(len(keep))]
+
+
 def main_text(page: str) -> str:
     found = lines(page)
-    marked = any(found.inside)
-    sizes = [len(t) - min(len(t), k) if not marked and k > LINK_SHARE * len(t) else len(t) if not marked or inside else 0
-             for t, k, inside in zip(found.text, found.linked, found.inside, strict=True)]
-    keep = between(sizes, 1 if marked else THRESHOLD)
-    if not any(keep):
-        keep = [s > 0 for s in sizes]                    # short pages without a surge
-    return " ".join(t for t, k, s in zip(found.text, keep, sizes, strict=True) if k and s and t)
+    menus = [k > LINK_SHARE * len(t) for t, k in zip(found.text, found.linked, strict=True)]
+    sizes = [len(t) - min(len(t), k) if menu else len(t) for t, k, menu in zip(found.text, found.linked, menus, strict=True)]
+    in_article = sum(s for s, inside in zip(sizes, found.inside, strict=True) if inside)
+    if any(found.inside) and 2 * in_article >= sum(sizes):
+        return " ".join(t for t, inside in zip(found.text, found.inside, strict=True) if inside and t)
+    keep = between(sizes, THRESHOLD)
+    keep = outer(keep, menus) if any(keep) else [True] * len(sizes)      # short pages without a surge
+    return " ".join(t for t, k, s in zip(found.text, keep, sizes, strict=True) if k and s)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from mailquarry.llm import decontaminate, htmltext, langid, neardup, packing, quality, repeats, suffixes, tokenfiles
+from mailquarry.llm import decontaminate, htmltext, langid, neardup, packing, quality, repeats, suffixes, tokenfiles, tokens
 from mailquarry.llm.queries import TOKENIZER
 from mailquarry.llm.tokens import Encoder
 from mailquarry.plans.staging import scratch
@@ -44,6 +44,17 @@ def test_encoder_equals_library():
     assert all(got[a:b].tolist() == [*want, 0] for a, b, want in zip(borders, borders[1:], encoder.whole(texts)))
 
 
+def test_encoder_takes_more_words_than_its_table(monkeypatch):
+    """A text of distinct words beyond the table, after a full table and next to short texts."""
+    monkeypatch.setattr(tokens, "MAX_WORDS", 100)
+    encoder = Encoder(TOKENIZER)
+    texts = [" ".join(f"w{i * 7919}x" for i in range(90)), "a b", " ".join(f"{i * 104729}y" for i in range(1000)), "", "end"]
+    for part in (texts[:1], texts, texts[2:3]):
+        got, borders = encoder.encode(part)
+        assert len(borders) == len(part) + 1
+        assert all(got[a:b].tolist() == [*want, 0] for a, b, want in zip(borders, borders[1:], encoder.whole(part), strict=False))
+
+
 def test_packing(spark, docs, ids):
     pieces = packing.pack(docs, TOKENIZER, window=64).toPandas()
     assert sorted(zlib.crc32(x) for x in (b"".join(g.sort_values("start").ids) for _, g in pieces[pieces.doc_id.isin([1, 2, 3, 7])].groupby("doc_id"))) == sorted(
@@ -152,6 +163,16 @@ def test_main_text():
     assert htmltext.main_text("") == "" and htmltext.main_text("<p>short") == "short" and htmltext.main_text("<article>a<p>b <img src='x") == "a b"
 
 
+def test_main_text_keeps_short_lines_and_bodies_outside_articles():
+    body = "word " * 100
+    page = f"<ul><li><a href=x>Home</a></ul><h1>Title</h1><p>By A<div class=ad>Buy</div><p>{body}</p><div class=ad>Buy</div><p>Short closing line.</p><ul><li><a href=x>More</a></ul>"
+    assert htmltext.main_text(page) == f"Title By A {body}Short closing line."
+    cards = "".join(f"<article><h3>Teaser {k}</h3></article>" for k in range(3))
+    got = htmltext.main_text(f"<div><p>{body}</p><p>{body}</p></div>{cards}")
+    assert got.startswith(f"{body}{body}".strip())
+    assert htmltext.main_text(f"<div>Site</div><article><p>{body}</p></article>") == body.strip()
+
+
 def test_main_text_table(spark):
     pages = spark.createDataFrame([(1, "u", None, 5), (1, "u", "<p>x</p>", 5), (None, None, "", 5)], "page_id long, url string, html string, text int")
     assert sorted(r.text for r in htmltext.extract(pages).collect()) == ["", "", "x"]
