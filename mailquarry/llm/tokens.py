@@ -133,13 +133,21 @@ class Encoder:
         stops = np.append(starts[1:], len(points))
         is_end = kind[starts] == TEXT_END
         key = span_hash(prefix_hash(points), starts, stops) | np.uint64(1)
+        parts, borders = [], [np.zeros(1, np.int64)]
+        for at in range(0, len(starts), MAX_WORDS):          # one range but for very long texts
+            part = slice(at, at + MAX_WORDS)
+            ids, last = self._range(joined, starts[part], stops[part], is_end[part], key[part])
+            borders.append(last + sum(map(len, parts)))
+            parts.append(ids)
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.concatenate(borders)
+
+    def _range(self, joined: str, starts: np.ndarray, stops: np.ndarray, is_end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of at most MAX_WORDS words, and the borders after text ends; the table always has room for them."""
         if len(self.begin) > MAX_WORDS:
             self._clear()
         number = self._find(key)
         if len(new := np.flatnonzero((number < 0) & ~is_end)):
             own, first, inverse = np.unique(key[new], return_index=True, return_inverse=True)
-            if len(self.begin) + len(own) > 2 * MAX_WORDS:
-                raise ValueError("one slice holds more words than the table; use a smaller slice")
             at = new[first]
             numbers = self._learn(own, [joined[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist(), strict=True)])
             number[new] = numbers[inverse]
@@ -151,7 +159,7 @@ class Encoder:
         out = ids[np.repeat(begin[number] - total + size, size) + np.arange(total[-1])]
         last = total[is_end]
         out[last - 1] = END_ID
-        return out, np.concatenate([[0], last])
+        return out, last
 
     def _mixed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         table = classes()
