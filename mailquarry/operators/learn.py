@@ -7,7 +7,7 @@ import random
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -143,42 +143,54 @@ def tune(name: str, df: DataFrame, trials: int = 50, k: int = 3, seed: int = 42,
 
 # --- neighbours and oversampling ----------------------------------------------------------
 
-MAX_BROADCAST_VALUES = 4_000_000        # 32 MB of doubles
+BLOCK_ROWS = 4096
+
+
+def _blocks(df: DataFrame, id_col: str, vec: str) -> DataFrame:
+    """``ids, vecs``: one row per block of about ``BLOCK_ROWS`` rows."""
+    n = max(1, math.ceil(df.count() / BLOCK_ROWS))
+    block = F.pmod(F.xxhash64(id_col, vec), F.lit(n))
+    row = F.struct(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    return df.groupBy(block.alias("_block")).agg(F.collect_list(row).alias("_rows")).select(F.col("_rows.id").alias("ids"), F.col("_rows.vec").alias("vecs"))
 
 
 def nearest(queries: DataFrame, points: DataFrame, k: int, id_col: str = "id", vec: str = "vec") -> DataFrame:
-    """Exact k nearest other points of every query: ``id, rank, neighbour``.
+    """Exact k nearest other points of every query: ``id, rank, neighbour``; ids are unique, ties go to the smaller one.
 
-    The points are broadcast as one matrix; their size is counted first and a larger set is refused.
-    Distances are computed in blocks inside tasks and only k rows per query leave them.
+    Blocks of queries meet blocks of points in tasks; k rows per query leave each pair of blocks and the best k of
+    these remain. A product picks the candidates, their distances are then summed directly, so that a distance does
+    not depend on the block.
     """
-    size = points.agg(F.count("*").alias("n"), F.max(F.size(vec)).alias("d")).first()
-    n, d = size["n"] or 0, size["d"] or 0
-    if n * d > MAX_BROADCAST_VALUES:
-        raise ValueError(f"{n} points of {d} values are too many to broadcast; use projected_neighbours")
-    rows = points.select(id_col, vec).collect()       # bounded by the check above
-    ids = np.array([r[0] for r in rows], dtype="int64")
-    data = np.array([r[1] for r in rows], dtype="float64").reshape(len(ids), d)
-    shared = queries.sparkSession.sparkContext.broadcast((ids, data))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pid, pts = shared.value
-        square = (pts * pts).sum(axis=1)
+    q = _blocks(queries, id_col, vec).select(F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"))
+    pairs = q.crossJoin(_blocks(points, id_col, vec))
+
+    def matrix(column: pa.ListArray, i: int) -> np.ndarray:
+        rows = column[i].values
+        return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.iloc[start:start + 256]
-                qid = part[id_col].to_numpy()
-                q = np.array(part[vec].tolist(), dtype="float64")
-                dist = square[None, :] - 2 * q @ pts.T + (q * q).sum(axis=1)[:, None]
-                dist[qid[:, None] == pid[None, :]] = np.inf
-                take = min(k, len(pid))
-                order = np.lexsort((np.broadcast_to(pid, dist.shape), dist), axis=1)[:, :take]
-                ok = np.isfinite(np.take_along_axis(dist, order, axis=1))
-                yield pd.DataFrame({
-                    id_col: np.repeat(qid, take)[ok.ravel()], "rank": np.tile(np.arange(1, take + 1), len(qid))[ok.ravel()].astype("int32"),
-                    "neighbour": pid[order].ravel()[ok.ravel()]})
-
-    return queries.select(id_col, vec).mapInPandas(run, f"{id_col} bigint, rank int, neighbour bigint")
+            qids, qvecs, ids, vecs = batch.columns
+            for i in range(batch.num_rows):
+                qid, pid = qids[i].values.to_numpy(), ids[i].values.to_numpy()
+                at, pts = matrix(qvecs, i), matrix(vecs, i)
+                square, own, take = (pts * pts).sum(axis=1), (at * at).sum(axis=1), min(k, len(pid))
+                for start in range(0, len(qid), 256):
+                    part, out = slice(start, start + 256), []
+                    dist = square[None, :] - 2 * at[part] @ pts.T + own[part, None]
+                    dist[(qid[part, None] == pid[None, :]) | ~np.isfinite(dist)] = np.inf
+                    limit = np.partition(dist, take - 1, axis=1)[:, take - 1] + 1e-10 * (own[part] + square.max())
+                    for j, row in enumerate(dist, start):
+                        near = np.flatnonzero((row <= limit[j - start]) & np.isfinite(row))
+                        exact = ((pts[near] - at[j]) ** 2).sum(axis=1)
+                        best = np.lexsort((pid[near], exact))[:take]
+                        out.append((np.full(len(best), qid[j]), pid[near[best]], exact[best]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["id", "neighbour", "d"])
+
+    found = pairs.mapInArrow(run, "id bigint, neighbour bigint, d double")
+    order = Window.partitionBy("id").orderBy("d", "neighbour")        # cut to k rows before the shuffle
+    return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            .select(F.col("id").alias(id_col), "rank", "neighbour"))
 
 
 def projected_neighbours(points: DataFrame, k: int, id_col: str = "id", vec: str = "vec", projections: int = 8,

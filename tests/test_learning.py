@@ -37,6 +37,15 @@ def test_nearest_is_exact(points):
         assert [got[i][k] for k in (1, 2, 3)] == [j for _, j in want]
 
 
+def test_nearest_takes_any_number_of_points(spark):
+    """More values than one 32 MB matrix, and copies of a point in several blocks."""
+    x = (F.col("id") % 20_000).cast("double")
+    pts = spark.range(70_000).select("id", F.array(x, *[F.lit(0.5)] * 63).alias("vec"))
+    got = {(r["id"], r["rank"]): r["neighbour"] for r in learn.nearest(pts.where(F.col("id").isin(5, 20_005)), pts, 4).collect()}
+    assert [got[5, r] for r in (1, 2, 3, 4)] == [20_005, 40_005, 60_005, 4]
+    assert [got[20_005, r] for r in (1, 2, 3, 4)] == [5, 40_005, 60_005, 4]
+
+
 def test_projected_neighbours_cover_most(points):
     pts = points.select(F.col("mail_id").alias("id"), "vec")
     pairs = lambda df: {(r["id"], r["neighbour"]) for r in df.collect()}
