@@ -100,24 +100,30 @@ def suffix(host: Column, suffixes: Iterable[str] | None = None) -> Column:
     """Longest public suffix of a host, '' when no rule fits or when the host is an address.
 
     Rules are those of the public-suffix list: ``*.ck`` makes every name under ck a suffix, ``!www.ck`` excepts one.
-    The suffix list is a literal set, so the test is a hash look-up inside generated code and needs
-    neither a join nor a broadcast. Lists of about ten thousand rules are fine in this form.
+    The rules are one literal, a map from the last label to its rules, so the test needs neither a join nor a
+    broadcast and a plan stays small with ten thousand rules.
     """
-    rules = sorted(set(L.SUFFIXES if suffixes is None else suffixes))
-    plain, wild, spared = {}, {}, {}
-    for rule in rules:
-        kind = wild if rule.startswith("*.") else spared if rule.startswith("!") else plain
-        kind.setdefault(rule.count(".") + 1, []).append(rule.removeprefix("*.").removeprefix("!"))
+    by_last: dict[str, list[str]] = {}
+    for rule in sorted(set(L.SUFFIXES if suffixes is None else suffixes)):
+        by_last.setdefault(rule.lstrip("!").rsplit(".", 1)[-1], []).append(rule)
+    most = max((r.count(".") + 1 for rules in by_last.values() for r in rules), default=0)
+    text = "\2".join(f"{last}\3\1" + "\1".join(rules) + "\1" for last, rules in by_last.items())
     tail = lambda size: F.substring_index(host, ".", -size)
-    out = F.lit("")
-    for size in sorted({*plain, *wild}):
-        if size in plain:
-            out = F.when(tail(size).isin(plain[size]), tail(size)).otherwise(out)
-        if size in wild:
-            base = tail(size - 1)
-            out = F.when(base.isin(wild[size]) & (host != base), tail(size)).otherwise(out)
-    for size in sorted(spared):
-        out = F.when(tail(size).isin(spared[size]), tail(size - 1)).otherwise(out)
+
+    def longest(rules: Column) -> Column:
+        has = lambda mark, size: F.contains(rules, F.concat(F.lit("\1" + mark), tail(size), F.lit("\1")))
+        out = F.lit("")
+        for size in range(1, most + 1):
+            hit = has("", size)
+            if size > 1:
+                hit = hit | (has("*.", size - 1) & (host != tail(size - 1)))
+            out = F.when(hit, tail(size)).otherwise(out)
+        for size in range(2, most + 1):
+            out = F.when(has("!", size), tail(size - 1)).otherwise(out)
+        return out
+
+    rules = F.coalesce(F.try_element_at(F.str_to_map(F.lit(text), F.lit("\2"), F.lit("\3")), tail(1)), F.lit(""))
+    out = F.transform(F.array(rules), longest)[0]
     return F.when(host.rlike(f"^{IPV4}$"), F.lit("")).otherwise(out)
 
 
