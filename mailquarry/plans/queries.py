@@ -929,7 +929,7 @@ def noise_stress(spark, d):
     return evaluate.confusion_metrics(noisy.withColumn("prob", fixed_probability()), ["noise_sigma"]).select("noise_sigma", "f1", "n_test")
 
 
-_FAIL = [c for c in features.SCALARS if not c.endswith("_mean")]
+_FAIL = [*features.SCALARS, *features.INTEL]
 o.cte("wrong", f"SELECT feat.*, CASE WHEN label = 1 THEN 'false_negative' ELSE 'false_positive' END AS mode FROM feat JOIN pscore USING (mail_id) JOIN (SELECT mail_id, label FROM mail) USING (mail_id) WHERE (label = 1) <> (prob >= 0.5)", "feat", "pscore", "mail")
 
 

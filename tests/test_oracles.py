@@ -3,6 +3,7 @@
 import pytest
 from compare import check
 
+from mailquarry.operators import features
 from mailquarry.plans import queries
 
 # One or two per family by default; ``python tests/compare.py`` runs all of them.
@@ -22,3 +23,9 @@ def test_matches_oracle(spark, con, sf, name):
 def test_registry():
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     assert len(queries.QUERIES) >= 120
+
+
+def test_failure_modes_rank_every_feature(spark, con, sf):
+    assert {*features.SCALARS, *features.INTEL} == set(queries._FAIL)
+    diff, _, _, _ = check(spark, con, "failure_modes", sf)
+    assert diff is None, diff
