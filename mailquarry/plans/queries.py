@@ -815,12 +815,22 @@ def lr_scores(spark, d):
 
 @query()
 def rf_scores(spark, d):
-    return _fit_and_score(spark, d, "rf", {"n_estimators": 30, "max_depth": 8})
+    return _fit_and_score(spark, d, "rf", {})
 
 
 @query()
 def gbt_scores(spark, d):
-    return _fit_and_score(spark, d, "gbt_depth", {"n_estimators": 8, "max_depth": 4})
+    return _fit_and_score(spark, d, "gbt_depth", {})
+
+
+@query()
+def gbt_leaf_scores(spark, d):
+    return _fit_and_score(spark, d, "gbt_leaf", {})
+
+
+@query()
+def gbt_plain_scores(spark, d):
+    return _fit_and_score(spark, d, "gbt_plain", {})
 
 
 @query()
@@ -840,13 +850,13 @@ def knn5(spark, d):
 
 @query()
 def param_grid(spark, d):
-    best, scored = learn.tune("lr", training(spark, d), trials=3, k=2)
+    best, scored = learn.tune("lr", training(spark, d), trials=50, k=3)
     return spark.createDataFrame([(i, float(p["C"]), int(p["max_iter"]), float(f), p == best) for i, (p, f) in enumerate(scored)], "trial int, c double, max_iter int, f1 double, best boolean")
 
 
 @query()
 def cross_validation(spark, d):
-    cv = learn.cross_validate("lr", training(spark, d), k=3, params={"max_iter": 30})
+    cv = learn.cross_validate("lr", training(spark, d), k=3)
     return spark.createDataFrame([("lr", cv["cv_f1_mean"], cv["cv_f1_std"])], "model string, f1_mean double, f1_std double")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mailquarry import lists as L
 from mailquarry.operators import evaluate, learn, unwrap, variants
 from mailquarry.operators.outlier import OutlierForest, average_path
+from mailquarry.plans import queries
 
 
 @pytest.fixture(scope="module")
@@ -114,3 +115,27 @@ def test_every_model_has_a_search_space_and_exact_weights(spark):
         assert len(learn.random_grid(name, trials=2)) == 2
     df = spark.createDataFrame([(0,)] * 3 + [(1,)] * 4, "label int")
     assert {r.label: r.weight for r in learn.with_class_weight(df).distinct().collect()} == {0: 7 / 6, 1: 7 / 8}
+
+
+def test_model_queries_have_the_full_size(monkeypatch):
+    """Registered with the defaults of the operators, all boosted presets included."""
+    seen = []
+    monkeypatch.setattr(queries, "_fit_and_score", lambda spark, d, name, params: seen.append((name, params)))
+    for q in ("rf_scores", "gbt_scores", "gbt_leaf_scores", "gbt_plain_scores"):
+        queries.QUERIES[q](None, "")
+    assert seen == [(n, {}) for n in ("rf", "gbt_depth", "gbt_leaf", "gbt_plain")]
+
+    class Done(Exception):
+        pass
+
+    def stop(*args, **kwargs):
+        seen.append((args[0], kwargs))
+        raise Done
+
+    monkeypatch.setattr(queries, "training", lambda spark, d: None)
+    monkeypatch.setattr(learn, "tune", stop)
+    monkeypatch.setattr(learn, "cross_validate", stop)
+    for q in ("param_grid", "cross_validation"):
+        with pytest.raises(Done):
+            queries.QUERIES[q](None, "")
+    assert seen[4:] == [("lr", {"trials": 50, "k": 3}), ("lr", {"k": 3})]
