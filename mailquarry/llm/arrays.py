@@ -11,7 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
+BATCH_BYTES = 4 << 20       # of the Arrow batches that Spark sends to Python and takes back
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 SLICE_BYTES = 1 << 19
 K1 = np.uint64(0x9E3779B97F4A7C15)      # odd multipliers of the hash functions below
 K2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -21,6 +24,12 @@ _POWERS = np.ones(1, np.uint64)
 _INVERSES = np.ones(1, np.uint64)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Limits Arrow batches by bytes, so that long texts don't make them large; a limit that the session has stays."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """The column, nulls as empty texts."""
     return pc.fill_null(batch.column(name), "")
@@ -107,3 +116,19 @@ def words(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray
     stop[last] = inside[last]
     begin = np.flatnonzero(start)
     return begin, np.flatnonzero(stop) + 1, owner(borders, begin)
+
+
+def word_hash(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of every span of at least one byte, eight bytes at a time; every chunk is mixed with its place before it is added."""
+    size = stop - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    chunks = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    n = (size + 7) >> 3
+    first = np.cumsum(n) - n
+    place = np.arange(n.sum()) - np.repeat(first, n)
+    chunk = chunks[np.repeat(start, n) + 8 * place]
+    unused = 8 * (8 * n - size).astype(np.uint64)
+    last = first + n - 1
+    chunk[last] = (chunk[last] << unused) >> unused
+    h = mix(chunk ^ mix((place + 1).astype(np.uint64) * K1))
+    return mix(np.add.reduceat(h, first) + size.astype(np.uint64) * K3) if len(size) else h

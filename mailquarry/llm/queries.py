@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailquarry.llm import decontaminate, exact, htmltext, langid, neardup, packing, quality, repeats, tokenfiles, urlrules
+from mailquarry.llm import codes, decontaminate, exact, htmltext, langid, neardup, packing, quality, repeats, setjoin, tokenfiles, urlrules, whitening
+from mailquarry.llm.arrays import small_batches
 from mailquarry.plans.staging import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -113,3 +115,49 @@ def op10_token_files(spark, sf_dir):
     path = scratch(spark)
     tokenfiles.write(table(spark, sf_dir, "documents"), path, TOKENIZER)
     return tokenfiles.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query(r"""WITH RECURSIVE split AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM split),
+single AS MATERIALIZED (SELECT r, len(s) AS n, unnest(s) AS e FROM sets),
+pairs AS (SELECT x.r AS a, y.r AS b, any_value(x.n + y.n) AS total, count(*) AS shared FROM single x JOIN single y ON x.e = y.e AND x.r <> y.r GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM pairs WHERE 100 * shared >= 80 * (total - shared)),
+walk AS (SELECT r AS a, r AS b FROM sets UNION SELECT walk.a, links.b FROM walk JOIN links ON walk.b = links.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id FROM walk JOIN sets s ON walk.a = s.r JOIN sets o ON walk.b = o.r GROUP BY s.r, s.doc_id, s.s""")
+def op11_set_join(spark, sf_dir):
+    """Component of every document under links of similar shingle sets."""
+    return setjoin.classes(table(spark, sf_dir, "documents"))
+
+
+def _codebook_rounds(parts: int, entries: int, rounds: int) -> str:
+    """Rounds of assignment and averaging as common table expressions, ``a{r}`` and ``b{r}``."""
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, label, p, any_value(v.x) AS x, min(CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v.x, b.x)]) AS BIGINT) * {entries} + b.e) AS k
+  FROM parts v JOIN b{r} b USING (p) GROUP BY vec_id, label, p)""")
+        if r < rounds:
+            out.append(f"""b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{r} b LEFT JOIN (
+  SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (
+    SELECT p, k % {entries} AS e, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM a{r}, range(1, len(x) + 1) t(i) GROUP BY ALL) GROUP BY p, e) m USING (p, e))""")
+    return ",\n".join(out)
+
+
+@query(f"""WITH kept AS (SELECT vec_id, label, [CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT) FOR c IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_sum([CASE WHEN c IS NULL OR NOT isfinite(c) THEN 1 ELSE 0 END FOR c IN embedding]) = 0),
+parts AS MATERIALIZED (SELECT vec_id, label, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS x FROM kept, range(4) t(p)),
+b0 AS MATERIALIZED (SELECT p, e, x FROM (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM parts) WHERE e < 256),
+{_codebook_rounds(codes.PARTS, codes.ENTRIES, codes.ROUNDS)},
+coded AS (SELECT vec_id, label, string_agg(format('{{:02x}}', k % 256), '' ORDER BY p) AS code, CAST(sum(k // 256) AS BIGINT) AS error FROM a4 GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(x[i] AS VARCHAR), ',' ORDER BY p, e, i)) FROM b4, range(1, len(x) + 1) t(i)) AS codebooks_sha256 FROM coded""")
+def op12_vector_codes(spark, sf_dir):
+    """Code of every vector, and the errors of the codes."""
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_whitening(spark, sf_dir):
+    """The first 32 whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
