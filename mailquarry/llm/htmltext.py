@@ -1,23 +1,25 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines: one line per block element, inline markup joins without a gap. Lines of menus, headers,
-footers, sidebars, notices, adverts, forms, comments and hidden elements have no text of their own and so split the
-distribution. The text lengths are summed over windows of ``WINDOW`` lines; a surge point is where the sum rises over
-the threshold, a dive point where it falls to zero again. The lines from the first surge to the last dive are the main
-text, together with the lines of text next to them, across gaps, up to a menu or the end of the page. If an article or
-main element holds the larger part of the page's text, the main text is every line of text in it.
+Markup is stripped to lines: one line per block element, inline markup joins without a gap, and end tags that HTML lets
+out are supplied. Lines of menus, headers, footers, sidebars, notices, adverts, forms, comments and hidden elements have
+no text of their own and so split the distribution. Elements that are told by a class name, an id or a role alone, forms and asides
+keep their lines if they hold most of the page's text and no article stands beside them. The text lengths are summed over windows of ``WINDOW`` lines; a
+surge point is where the sum rises over the threshold, a dive point where it falls to zero again. The main text reaches from
+the first surge to the last dive and, across gaps, on to the next menu or the end of the page. If article or main elements
+hold the larger part of this range, it is narrowed to them; an article that it touches is taken whole.
 
 Character references are decoded, white space inside a block becomes one blank, blocks are joined by one blank. Null and
-empty pages have an empty text; pages cut off in the middle of a tag lose this tag. Ties and repeated rows have no
-influence, other columns are ignored, pages are read whole.
+empty pages have an empty text; pages without a surge are taken whole; pages cut off in the middle of a tag lose this tag.
+Ties and repeated rows have no influence, other columns are ignored, pages are read whole, in a time that follows their length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,111 +27,198 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-THRESHOLD = 80              # characters outside links in a window, on pages without an article element
+THRESHOLD = 80              # characters outside links in a window
 LINK_SHARE = 0.5            # lines with more of their text in links are menus
 TEXTS = "page_id long, url string, text string"
 _BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-                    "header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul title head option select textarea button".split())
+                    "header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul title head option optgroup select textarea button".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-_DROPPED = frozenset("nav aside footer form head title script style noscript iframe template svg canvas object select option button textarea input label fieldset dialog menu "
-                     "audio video map math".split())
-_MARKS = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager footer sidebar aside widget widgets related recommended cookie cookies consent gdpr "
+_DROPPED = frozenset("nav footer head title script style noscript iframe template svg canvas object select option button textarea input label menu audio video map math".split())
+_DOUBTFUL = frozenset("aside form fieldset dialog".split())              # dropped unless they hold most of the text
+_MARKS = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager footer sidebar aside widget related recommended cookie cookies consent gdpr "
                    "notice notices notification notifications alert banner ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion "
-                   "comment comments disqus respond reply replies form newsletter subscribe signup login search share sharing social popup modal overlay".split())
-_HEAD_MARKS = frozenset("header masthead topbar".split())
+                   "comment comments disqus respond replies newsletter subscribe signup login search share sharing social popup modal overlay "
+                   "main-nav site-nav top-nav nav-menu nav-bar site-menu main-menu site-footer page-footer side-bar left-sidebar right-sidebar "
+                   "cookie-banner cookie-notice cookie-consent cookie-bar site-ad ad-banner banner-ad ad-container ad-slot ad-unit ad-box google-ad text-ad "
+                   "social-share share-buttons related-posts related-articles comment-list comments-area comment-section newsletter-signup".split())
+_HEAD_MARKS = frozenset("header masthead topbar site-header page-header".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog form menu menubar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)", re.DOTALL)
+# A quote opens a string only behind an equals sign; a tag whose string never ends is over at the next bracket.
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]|=\s*+(?:"[^"]*"|'[^']*'|(?!["'])[^\s>]*+))*+)>"""
+                    r"""|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
-_WORD = re.compile(r"[a-z0-9]+")
+_CELLS = frozenset(("td", "th"))
+_SCOPES = frozenset(("td", "th", "caption", "table"))                     # end tags of other elements don't reach beyond
+# Start tags that end open elements: those, and where the search for them stops.
+_ENDS = {"li": (frozenset(("li",)), frozenset(("ul", "ol", "menu", "dir"))), "dt": (frozenset(("dt", "dd")), frozenset(("dl",))), "dd": (frozenset(("dt", "dd")), frozenset(("dl",))),
+         "td": (_CELLS, frozenset(("tr", "table"))), "th": (_CELLS, frozenset(("tr", "table"))), "tr": (frozenset(("tr",)), frozenset(("table",))),
+         **{x: (frozenset(("thead", "tbody", "tfoot")), frozenset(("table",))) for x in ("thead", "tbody", "tfoot")},
+         "option": (frozenset(("option",)), frozenset(("select",))), "optgroup": (frozenset(("optgroup", "option")), frozenset(("select",)))}
+KEPT, DOUBTFUL, DROPPED = range(3)
 
 
-def _boilerplate(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is not part of an article; ``inside`` tells that it stands in one."""
+def judged(name: str, attributes: str, inside: bool) -> int:
+    """Whether an element belongs to the text; ``inside`` tells that it stands in an article."""
     if name in _DROPPED or name == "header" and not inside:
-        return True
-    if not attributes or name in ("html", "body"):
-        return False
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-    if "hidden" in found or _HIDDEN.search(found.get("style", "")) or found.get("role", "").lower() in _ROLES:
-        return True
-    marks = set(_WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
-    return bool(marks & _MARKS) or not inside and bool(marks & _HEAD_MARKS)
+        return DROPPED
+    if name in ("html", "body"):
+        return KEPT
+    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
+    if "hidden" in found or _HIDDEN.search(found.get("style", "")):
+        return DROPPED
+    marks = {*found.get("class", "").lower().split(), *found.get("id", "").lower().split()}
+    if name in _DOUBTFUL or marks & _MARKS or not inside and marks & _HEAD_MARKS or found.get("role", "").lower() in _ROLES:
+        return DOUBTFUL
+    return KEPT
 
 
 @dataclass
-class Lines:
-    """Lines of a page: text, characters in links, and whether they stand in an article element."""
-
-    text: list[str] = field(default_factory=list)
-    linked: list[int] = field(default_factory=list)
-    inside: list[bool] = field(default_factory=list)
-    _parts: list[str] = field(default_factory=list)
-    _links: int = 0
-
-    def add(self, part: str, link: bool) -> None:
-        self._parts.append(part)
-        self._links += len(part) if link else 0
-
-    def end(self, inside: bool) -> None:
-        if self._parts:
-            text = " ".join(html.unescape("".join(self._parts)).split())
+class Line:
+    """A line of a page: text, characters in links, number of its article (0: none) and of the doubtful elements around it."""
+
+    text: str
+    linked: int = 0
+    article: int = 0
+    doubtful: tuple[int, ...] = ()
+
+
+@dataclass
+class _Open:
+    """An open element; ``gate`` is what it does to the text in it."""
+
+    name: str
+    gate: int
+    article: bool
+
+
+class _Page:
+    """Lines of a page, collected tag by tag."""
+
+    def __init__(self) -> None:
+        self.lines: list[Line] = []
+        self.stack: list[_Open] = []
+        self.count: Counter[str] = Counter()
+        self.dropped = self.links = self.inside = self.articles = self.numbers = 0
+        self.doubtful: tuple[int, ...] = ()
+        self.parts: list[str] = []
+        self.linked = 0
+
+    def add(self, part: str) -> None:
+        if part and not self.dropped:
+            self.parts.append(part)
+            self.linked += len(part) if self.links else 0
+
+    def end_line(self) -> None:
+        if self.parts:
+            text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                self.text.append(text)
-                self.linked.append(self._links)
-                self.inside.append(inside)
-            self._parts, self._links = [], 0
+                self.lines.append(Line(text, self.linked, self.articles if self.inside else 0, self.doubtful))
+            self.parts, self.linked = [], 0
 
     def gap(self) -> None:
         """Dropped markup: a line without text."""
-        if self.text and self.text[-1]:
-            self.text.append("")
-            self.linked.append(0)
-            self.inside.append(False)
+        if self.lines and self.lines[-1].text:
+            self.lines.append(Line(""))
+
+    def pop(self) -> None:
+        top = self.stack.pop()
+        self.count[top.name] -= 1
+        self.dropped -= top.gate == DROPPED
+        self.links -= top.name == "a"
+        self.inside -= top.article
+        if top.gate == DOUBTFUL:
+            self.doubtful = self.doubtful[:-1]
+
+    def _end(self, names: frozenset[str], stop: frozenset[str]) -> None:
+        """Closes the innermost of these elements that stands before a stop."""
+        if not any(self.count[x] for x in names):
+            return
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k].name in names:
+                while len(self.stack) > k:
+                    self.pop()
+                return
+            if self.stack[k].name in stop:
+                return
+
+    def start(self, name: str, attributes: str) -> bool:
+        """Opens an element; tells whether it is dropped."""
+        if name in _BLOCKS and name != "br":
+            self._end(frozenset(("p",)), _SCOPES)
+        if name in _ENDS:
+            self._end(*_ENDS[name])
+        gate = judged(name, attributes, self.inside > 0)
+        if gate != KEPT and not self.dropped:
+            if name in _BLOCKS or name in _RAW:
+                self.end_line()
+            if gate == DROPPED or name in _BLOCKS:
+                self.gap()
+        if name in _VOID or name in _RAW or not (name in _BLOCKS or name == "a" or gate == DROPPED):
+            return gate == DROPPED
+        if gate == DOUBTFUL:
+            self.numbers += 1
+            self.doubtful = (*self.doubtful, self.numbers)
+        article = name in ("article", "main") and gate != DROPPED
+        if article and not self.inside:
+            self.articles += 1
+        self.stack.append(_Open(name, gate, article))
+        self.count[name] += 1
+        self.dropped += gate == DROPPED
+        self.links += name == "a"
+        self.inside += article
+        return gate == DROPPED
 
+    def end(self, name: str) -> None:
+        if not self.count[name]:
+            return
+        if name in _BLOCKS:
+            self._end(frozenset((name,)), _SCOPES - {name} if name not in ("tr", "tbody", "thead", "tfoot", "table") else frozenset(("table",)) - {name})
+        elif self.stack[-1].name == name:
+            self.pop()
+        else:                                            # inline: what was opened later stays open
+            self._end(frozenset((name,)), _BLOCKS)
 
-def lines(page: str) -> Lines:
-    out, stack, dropped, inside, links = Lines(), [], 0, 0, 0
+
+def lines(page: str) -> list[Line]:
+    """The lines of a page, gaps included."""
+    out = _Page()
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
-        if not dropped:
-            part = page[at:m.start() if m else end]
-            if part:
-                out.add(part, links > 0)
+        out.add(page[at:m.start() if m else end])
         if not m:
             break
-        at, name = m.end(), (m["name"] or "").lower()
+        at, name = m.end(), (m["name"] or m["name2"] or "").lower()
         if not name:
             continue
-        if name in _BLOCKS and not dropped:
-            out.end(inside > 0)
-        if m["close"]:
-            if any(x[0] == name for x in stack):
-                while True:
-                    top = stack.pop()
-                    dropped, inside, links = dropped - top[1], inside - top[2], links - top[3]
-                    if top[0] == name:
-                        break
+        if name in _BLOCKS and not out.dropped:
+            out.end_line()
+        if m["close"] or m["close2"]:
+            out.end(name)
             continue
-        drop = _boilerplate(name, m["attrs"], inside > 0)
-        if drop:
-            if not dropped:
-                if name in _BLOCKS or name in _RAW:
-                    out.end(inside > 0)
-                out.gap()
-        if name in _RAW and not m["attrs"].endswith("/"):
+        attributes = m["attrs"] or ""
+        out.start(name, attributes)
+        if name in _RAW and not attributes.endswith("/"):
             close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
             at = close.end() if close else end
-            continue
-        if name not in _VOID:
-            article = name in ("article", "main") and not drop
-            stack.append((name, int(drop), int(article), int(name == "a")))
-            dropped, inside, links = dropped + drop, inside + article, links + (name == "a")
-    if not dropped:
-        out.end(inside > 0)
-    return out
+    if not out.dropped:
+        out.end_line()
+    return _settled(out.lines)
+
+
+def _settled(found: list[Line]) -> list[Line]:
+    """Gaps in place of doubtful elements, but for those that hold most of the text; beside an article they hold it only with an article in them."""
+    size: Counter[int] = Counter()
+    for line in found:
+        for number in line.doubtful:
+            size[number] += len(line.text)
+    total = sum(len(line.text) for line in found)
+    main = {number for number, n in size.items() if 2 * n > total}
+    if any(line.article and not line.doubtful for line in found):
+        main &= {number for line in found if line.article for number in line.doubtful}
+    return [line if main.issuperset(line.doubtful) else Line("") for line in found]
 
 
 def between(sizes: list[int], threshold: int, window: int = WINDOW) -> list[bool]:
@@ -159,14 +248,15 @@ def outer(keep: list[bool], menus: list[bool]) -> list[bool]:
 
 def main_text(page: str) -> str:
     found = lines(page)
-    menus = [k > LINK_SHARE * len(t) for t, k in zip(found.text, found.linked, strict=True)]
-    sizes = [len(t) - min(len(t), k) if menu else len(t) for t, k, menu in zip(found.text, found.linked, menus, strict=True)]
-    in_article = sum(s for s, inside in zip(sizes, found.inside, strict=True) if inside)
-    if any(found.inside) and 2 * in_article >= sum(sizes):
-        return " ".join(t for t, inside in zip(found.text, found.inside, strict=True) if inside and t)
+    menus = [not x.article and x.linked > LINK_SHARE * len(x.text) for x in found]
+    sizes = [max(0, len(x.text) - x.linked) if menu else len(x.text) for x, menu in zip(found, menus, strict=True)]
     keep = between(sizes, THRESHOLD)
     keep = outer(keep, menus) if any(keep) else [True] * len(sizes)      # short pages without a surge
-    return " ".join(t for t, k, s in zip(found.text, keep, sizes, strict=True) if k and s)
+    reached = [(x, s) for x, s, k in zip(found, sizes, keep, strict=True) if k]
+    if 2 * sum(s for x, s in reached if x.article) >= sum(s for _, s in reached) > 0:
+        articles = {x.article for x, _ in reached if x.article}
+        return " ".join(x.text for x in found if x.article in articles and x.text)
+    return " ".join(x.text for x, s in reached if s)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -12,10 +12,11 @@ reach. Entries stand in blocks by size and by reach, and a probe meets only the
 skipped unread.
 
 Second relation, between sets: in each list all sets are compared with one, its centre, which meets most others. A set
-that is linked with the centre is in its class, and everything that the centre found needn't be searched again. The
-others are left: for two sets in different classes the overlaps with their centre bound what they share, and if that is
-not enough to decide, their overlap is derived from the centre's by the elements in which each differs from it. Whole
-sets are not compared again.
+that is linked with a centre is in its class, and what the centre found needn't be searched again; the most similar
+centre leads the set. What is left are pairs of sets in different classes. A leader is compared once with each set that
+one of its followers meets. What the leader shares, and the number of elements that the follower has beside it, bound what
+the follower can share; if that is not enough to decide, the follower's overlap is derived from the leader's by the few
+elements in which the two differ.
 
 The result is exact but for the chance that two of all n-grams have one 64-bit hash. Texts of fewer words are one element; texts
 without words, also null and empty ones, are linked with nothing. Repeated rows are linked, null ids come last. An empty
@@ -167,75 +168,88 @@ def _sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return written(texts.mapInArrow(run, "node long, elements array<long>"))
 
 
-def _index(marked: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Entries (element, node, n, position) of all lists with several sets, with the list's length and its centre."""
-    single = marked.select(F.explode("prefix").alias("element")).groupBy("element").agg(F.count("*").alias("rows")).where("rows > 1").select("element")
-    single = written(single)
-    entries = maybe(marked.select(F.col("row").alias("node"), "n", F.posexplode("prefix").alias("position", "element")), "element", bitmap(single, "element", single.count()))
-    entries = written(entries.join(nodes.select("node"), "node"))
+def _index(marked: DataFrame, nodes: DataFrame, a: int, b: int) -> DataFrame:
+    """Entries (element, node, n, reach) of all lists with several sets, with the list's length and its centre."""
+    several = marked.select(F.explode("prefix").alias("element")).groupBy("element").agg(F.count("*").alias("rows")).where("rows > 1").select("element")
+    several = written(several)
+    entries = maybe(marked.select(F.col("row").alias("node"), "n", F.posexplode("prefix").alias("position", "element")), "element", bitmap(several, "element", several.count()))
+    reach = F.floor((F.col("n") - F.col("position")) * ((a + b) / a) - F.col("n") + 1e-6)          # the largest set that can be linked, if this is the first common element
+    entries = written(entries.withColumn("reach", reach).drop("position").join(nodes.select("node"), "node"))
     sizes = entries.groupBy("element").agg(F.count("*").alias("length")).where("length > 1")
     entries = written(entries.join(sizes, "element"))
     weight = entries.groupBy("node").agg(F.sum("length").alias("weight"))              # how many others a set meets
-    centre = entries.join(weight, "node").groupBy("element").agg(F.max_by("node", F.struct("weight", "node")).alias("centre"))
+    centre = entries.join(weight, "node").groupBy("element").agg(F.max_by(F.struct("node", "n", "reach"), F.struct("weight", "node")).alias("centre"))
     return written(entries.join(centre, "element"))
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (centre, node): what they share, and the elements that only one of them has."""
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("elements").alias(f"{c}_set"))
-    both = pairs.join(side("node"), "node").join(side("centre"), "centre")
-    apart = both.select("centre", "node", F.size("centre_set").alias("m"), F.size("node_set").alias("n"),
-                        F.array_except("node_set", "centre_set").alias("more"), F.array_except("centre_set", "node_set").alias("less"))
-    return written(apart.withColumn("shared", F.col("n") - F.size("more")))
+def _with_set(pairs: DataFrame, sets: DataFrame, node: str) -> DataFrame:
+    """The pairs with the elements of one side."""
+    return pairs.join(sets.select(F.col("node").alias(node), F.col("elements").alias(f"{node}_set")), node)
+
+
+def _shared(pairs: DataFrame, sets: DataFrame, left: str, right: str) -> DataFrame:
+    """The pairs with the number of common elements."""
+    both = _with_set(_with_set(pairs, sets, right), sets, left)
+    return written(both.withColumn("shared", F.size(F.array_intersect(f"{left}_set", f"{right}_set"))).drop(f"{left}_set", f"{right}_set"))
+
+
+def _linked_by(shared: Column, n: Column, m: Column, a: int, b: int) -> Column:
+    return shared * (a + b) >= (n + m) * a
 
 
 def _class(size: Column) -> Column:
     return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / np.log(STEP))
 
 
-def _others(index: DataFrame, compared: DataFrame, found: DataFrame | None, a: int, b: int) -> DataFrame:
-    """Links between sets of different classes, derived from their centres."""
+def _meeting(index: DataFrame, found: DataFrame | None, a: int, b: int) -> DataFrame:
+    """Pairs (x, y) of sets in different classes, y not larger than x, that may be linked by their places in a list."""
     rooted = index if found is None else index.join(found, "node", "left")
     rooted = rooted.withColumn("root", F.col("node") if found is None else F.coalesce("root", "node"))
     parts = rooted.groupBy("element", "root").agg(F.count("*").alias("k")).groupBy("element").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.count("*").alias("parts"))
-    reach = F.floor((F.col("n") - F.col("position")) * ((a + b) / a) - F.col("n") + 1e-6)
-    mixed = rooted.where("length > 2 AND node <> centre").join(parts.where("parts > 1"), "element").withColumn("reach", reach)
-    mixed = mixed.join(compared.select("centre", "node", "shared"), ["centre", "node"])
-    mixed = written(mixed.select("element", "centre", "node", "root", "n", "reach", "shared", (F.col("root") == F.col("largest")).alias("large")))
-
-    blocks = mixed.where("reach >= n").select("element", "centre", _class(F.col("n")).alias("own"), _class(F.col("reach")).alias("far"),
-                                              *[F.col(c).alias(f"y_{c}") for c in ("node", "root", "n", "reach", "shared", "large")])
-    least, most = F.ceil(F.col("n") * (a / b) - 1e-6), F.least("n", "reach")
-    sized = mixed.select("*", least.alias("least"), most.alias("most")).where("least <= most")
+    mixed = rooted.where("length > 2 AND node <> centre.node").join(parts.where("parts > 1"), "element")
+    mixed = written(mixed.select("element", "node", "root", "n", "reach", (F.col("root") == F.col("largest")).alias("large")))
+    blocks = mixed.where("reach >= n").select("element", _class(F.col("n")).alias("own"), _class(F.col("reach")).alias("far"), *[F.col(c).alias(f"y_{c}") for c in ("node", "root", "n", "reach", "large")])
+    sized = mixed.select("*", F.ceil(F.col("n") * (a / b) - 1e-6).alias("least"), F.least("n", "reach").alias("most")).where("least <= most")
     probes = (sized.withColumn("own", F.explode(F.sequence(_class(F.col("least")), _class(F.col("most")))))
               .withColumn("far", F.explode(F.sequence(_class(F.col("n")), _class(F.col("n") * (b / a))))))
-    probes = probes.select("element", "centre", "own", "far", *[F.col(c).alias(f"x_{c}") for c in ("node", "root", "n", "least", "most", "shared", "large")])
-    bound = F.least("x_shared", "y_shared") + F.least(F.col("x_n") - F.col("x_shared"), F.col("y_n") - F.col("y_shared"))
-    keep = F.expr("x_root <> y_root AND y_n BETWEEN x_least AND x_most AND x_n <= y_reach") & (bound * (a + b) >= (F.col("x_n") + F.col("y_n")) * a)
-    keys = ["element", "centre", "own", "far"]
+    probes = probes.select("element", "own", "far", *[F.col(c).alias(f"x_{c}") for c in ("node", "root", "n", "least", "most", "large")])
+    keep = F.expr("x_root <> y_root AND y_n BETWEEN x_least AND x_most AND x_n <= y_reach")
+    keys = ["element", "own", "far"]
     pairs = probes.where("NOT x_large").join(blocks, keys).where(keep).unionByName(probes.where("x_large").join(blocks.where("NOT y_large"), keys).where(keep))
-    pairs = written(pairs.groupBy(F.col("x_node").alias("x"), F.col("y_node").alias("y")).agg(F.min("centre").alias("centre")))
-    side = lambda c: compared.select("centre", F.col("node").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in ("n", "shared", "more", "less")], *(["m"] if c == "x" else []))
-    both = pairs.join(side("x"), ["centre", "x"]).join(side("y"), ["centre", "y"])
-    shared = F.col("x_shared") + F.col("y_shared") - F.col("m") + F.size(F.array_intersect("x_less", "y_less")) + F.size(F.array_intersect("x_more", "y_more"))
-    return written(both.where(shared * (a + b) >= (F.col("x_n") + F.col("y_n")) * a).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return written(pairs.groupBy(F.col("x_node").alias("x"), F.col("y_node").alias("y")).agg(F.min("x_n").alias("n"), F.min("y_n").alias("m")))
+
+
+def _derived(pairs: DataFrame, leaders: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
+    """Links among the pairs, from the answers of the leaders of x."""
+    led = pairs.join(leaders.withColumnRenamed("node", "x"), "x", "left").withColumn("leader", F.coalesce("leader", "x")).withColumn("more", F.coalesce("more", F.lit(0)))
+    answers = _shared(led.select("leader", "y").distinct(), sets, "leader", "y")
+    open_ = written(led.join(answers, ["leader", "y"]).where(_linked_by(F.col("shared") + F.col("more"), F.col("n"), F.col("m"), a, b)))
+    followers = open_.where("x <> leader")
+    apart = _with_set(_with_set(followers.select("x", "leader").distinct(), sets, "x"), sets, "leader")
+    apart = written(apart.select("x", F.array_except("x_set", "leader_set").alias("own"), F.array_except("leader_set", "x_set").alias("other")))
+    exact = F.col("shared") + F.size(F.array_intersect("own", "y_set")) - F.size(F.array_intersect("other", "y_set"))
+    derived = _with_set(followers.join(apart, "x"), sets, "y").withColumn("shared", exact).select("x", "y", "n", "m", "shared")
+    every = open_.where("x = leader").select("x", "y", "n", "m", "shared").unionByName(derived)
+    return written(every.where(_linked_by(F.col("shared"), F.col("n"), F.col("m"), a, b)).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 def _linked(rows: DataFrame, marked: DataFrame, nodes: DataFrame, a: int, b: int) -> DataFrame | None:
     """Root of every node that isn't its own; None without links."""
-    index = _index(marked, nodes)
-    stars = index.where("node <> centre")
-    size = nodes.select(F.col("node").alias("centre"), F.col("n").alias("m"))
-    fits = (F.col("n") * b >= F.col("m") * a) & (F.col("m") * b >= F.col("n") * a)
-    pairs = stars.groupBy("centre", "node").agg(F.min("n").alias("n"), F.max("length").alias("length")).join(size, "centre").where(fits | (F.col("length") > 2)).select("centre", "node")
-    pairs = written(pairs)
-    if pairs.isEmpty():
-        return None
-    wanted = pairs.select("node").unionByName(pairs.select(F.col("centre").alias("node"))).distinct()
-    compared = _compared(pairs, _sets(rows, nodes, wanted))
-    links = written(compared.where(F.col("shared") * (a + b) >= (F.col("m") + F.col("n")) * a).select(F.col("centre").alias("a"), F.col("node").alias("b")))
+    index = _index(marked, nodes, a, b)
+    fits = F.expr(f"node <> centre.node AND n * {b} >= centre.n * {a} AND centre.n * {b} >= n * {a} AND n <= centre.reach AND centre.n <= reach")
+    stars = index.where(fits).groupBy(F.col("centre.node").alias("centre"), "node").agg(F.min("n").alias("n"), F.min("centre.n").alias("m"))
+    stars = written(stars)
+    sets = _sets(rows, nodes, stars.select("node").unionByName(stars.select(F.col("centre").alias("node"))).distinct())
+    linked = written(_shared(stars, sets, "centre", "node").where(_linked_by(F.col("shared"), F.col("n"), F.col("m"), a, b)))
+    links = linked.select(F.col("centre").alias("a"), F.col("node").alias("b"))
     found = components(links)
-    more = _others(index, compared, found, a, b)
+    pairs = _meeting(index, found, a, b)
+    if pairs.isEmpty():
+        return found
+    near = F.col("shared") / (F.col("n") + F.col("m"))
+    leaders = linked.groupBy("node").agg(F.max_by(F.struct(F.col("centre").alias("leader"), (F.col("n") - F.col("shared")).alias("more")), F.struct(near, "centre")).alias("best")).select("node", "best.*")
+    rest = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct().join(sets.select("node"), "node", "left_anti")
+    more = _derived(pairs, leaders, sets.unionByName(_sets(rows, nodes, rest)), a, b)
     return found if more.isEmpty() else components(links.unionByName(more))
 
 

@@ -15,12 +15,12 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-from mailquarry.llm.arrays import prefix_hash, span_hash
+from mailquarry.llm.arrays import word_hash
 
 END_ID = 0
 SAFE_LIMIT = 0x0530                      # Latin, Greek and Cyrillic
 SAFE_BLOCKS = ((0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20C0))     # punctuation, currency signs
-MAX_WORDS = 1_000_000                    # remembered words of one Python worker
+MAX_WORDS = 1 << 19                      # remembered words of one Python worker
 LETTER, NUMBER, SPACE, OTHER, TEXT_END, UNSAFE = range(6)
 _END = 0x10FFFF
 _CLASSES: np.ndarray | None = None
@@ -73,8 +73,8 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """A tokenizer file and the ids of the words seen so far.
 
-    The words are found again by a 64-bit hash in an open table. With a million words in it, a new word is taken for
-    another one with a chance of about 5e-14.
+    The words are found again by a 64-bit hash in an open table, and every word found is compared with the one that is
+    remembered. A word with the hash of another one gets its ids from the library each time.
     """
 
     def __init__(self, path: str) -> None:
@@ -85,7 +85,8 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.flat, self.begin = array("I"), array("q", [0])
+        self.flat, self.begin = array("I"), array("q", [0])              # ids of all words
+        self.points, self.point_begin = array("H"), array("q", [0])      # and their code points
         self.keys = np.zeros(4 * MAX_WORDS, np.uint64)
         self.slots = np.zeros(4 * MAX_WORDS, np.int32)
 
@@ -106,13 +107,20 @@ class Encoder:
             slot[open_] = (slot[open_] + 1) % len(self.keys)
         return number
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> np.ndarray:
-        """Numbers of new words; their ids come from the BPE model of the library."""
+    def _append(self, words: list[str]) -> np.ndarray:
+        """Numbers of words that are added; their ids come from the BPE model of the library."""
         tokenize, letters, flat, begin = self.model.tokenize, self.letters, self.flat, self.begin
         numbers = np.arange(len(words)) + len(begin) - 1
         for word in words:
             flat.extend([t.id for t in tokenize(word.encode().decode("latin1").translate(letters))])
             begin.append(len(flat))
+            self.points.frombytes(word.encode("utf-16-le"))
+            self.point_begin.append(len(self.points))
+        return numbers
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> np.ndarray:
+        """Numbers of new words, which are found by their hashes from now on."""
+        numbers = self._append(words)
         slot, left = (keys % np.uint64(len(self.keys))).astype(np.int64), np.arange(len(keys))
         while len(left):
             free = left[self.keys[slot[left]] == 0]
@@ -121,6 +129,20 @@ class Encoder:
             slot[left] = (slot[left] + 1) % len(self.keys)
         return numbers
 
+    def _differs(self, points: np.ndarray, starts: np.ndarray, stops: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Whether each word isn't the remembered one of that number."""
+        begin = np.frombuffer(self.point_begin, np.int64)
+        own, size = begin[number], stops - starts
+        out = begin[number + 1] - own != size
+        same = np.flatnonzero(~out)
+        size = size[same]
+        first = np.cumsum(size) - size
+        place = np.arange(size.sum()) - np.repeat(first, size)
+        unlike = np.frombuffer(self.points, np.uint16)[np.repeat(own[same], size) + place] != points[np.repeat(starts[same], size) + place]
+        if unlike.any():
+            out[same] = np.add.reduceat(unlike, first) > 0
+        return out
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, END_ID after each, and the ``len + 1`` borders. An empty text has the END_ID alone."""
         joined = chr(_END).join([*texts, ""])
@@ -132,25 +154,28 @@ class Encoder:
         starts = np.flatnonzero(word_starts(points, kind))
         stops = np.append(starts[1:], len(points))
         is_end = kind[starts] == TEXT_END
-        key = span_hash(prefix_hash(points), starts, stops) | np.uint64(1)
+        points = points.astype(np.uint16)                    # all are below; but for the ends, which are no words
+        key = word_hash(points.view(np.uint8), 2 * starts, 2 * stops) | np.uint64(1)
         parts, borders = [], [np.zeros(1, np.int64)]
         for at in range(0, len(starts), MAX_WORDS):          # one range but for very long texts
             part = slice(at, at + MAX_WORDS)
-            ids, last = self._range(joined, starts[part], stops[part], is_end[part], key[part])
+            ids, last = self._range(joined, points, starts[part], stops[part], is_end[part], key[part])
             borders.append(last + sum(map(len, parts)))
             parts.append(ids)
         return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.concatenate(borders)
 
-    def _range(self, joined: str, starts: np.ndarray, stops: np.ndarray, is_end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _range(self, joined: str, points: np.ndarray, starts: np.ndarray, stops: np.ndarray, is_end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of at most MAX_WORDS words, and the borders after text ends; the table always has room for them."""
         if len(self.begin) > MAX_WORDS:
             self._clear()
         number = self._find(key)
+        cut = lambda at: [joined[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist(), strict=True)]
         if len(new := np.flatnonzero((number < 0) & ~is_end)):
             own, first, inverse = np.unique(key[new], return_index=True, return_inverse=True)
-            at = new[first]
-            numbers = self._learn(own, [joined[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist(), strict=True)])
-            number[new] = numbers[inverse]
+            number[new] = self._learn(own, cut(new[first]))[inverse]
+        word = np.flatnonzero(~is_end)
+        if len(other := word[self._differs(points, starts[word], stops[word], number[word])]):
+            number[other] = self._append(cut(other))
         begin = np.frombuffer(self.begin, np.int64)
         number[is_end] = 0
         size = np.where(is_end, 1, (begin[1:] - begin[:-1])[number]) if len(begin) > 1 else np.ones(len(starts), np.int64)

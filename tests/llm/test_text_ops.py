@@ -55,6 +55,20 @@ def test_encoder_takes_more_words_than_its_table(monkeypatch):
         assert all(got[a:b].tolist() == [*want, 0] for a, b, want in zip(borders, borders[1:], encoder.whole(part), strict=False))
 
 
+def test_encoder_compares_words(monkeypatch):
+    """Words that a polynomial hash can't tell apart, and a hash that gives all words a few values."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    pair = [word, word.translate({97: 98, 98: 97})]
+    texts = [*pair, f"{pair[1]} {pair[0]}", "to be or not to be", "that is the question", " to  be", "be to", "b", ""]
+    for small in (False, True):
+        if small:
+            monkeypatch.setattr(tokens, "word_hash", lambda data, start, stop: (stop - start).astype(np.uint64) // np.uint64(8))
+        encoder = Encoder(TOKENIZER)
+        for part in (texts, texts[::-1], texts[1:]):
+            got, borders = encoder.encode(part)
+            assert all(got[a:b].tolist() == [*want, 0] for a, b, want in zip(borders, borders[1:], encoder.whole(part), strict=False))
+
+
 def test_packing(spark, docs, ids):
     pieces = packing.pack(docs, TOKENIZER, window=64).toPandas()
     assert sorted(zlib.crc32(x) for x in (b"".join(g.sort_values("start").ids) for _, g in pieces[pieces.doc_id.isin([1, 2, 3, 7])].groupby("doc_id"))) == sorted(
