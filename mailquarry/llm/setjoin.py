@@ -13,7 +13,8 @@ skipped unread.
 
 Second relation, between sets: in each list all sets are compared with one, its centre, which meets most others. A set
 that is linked with a centre is in its class, and what the centre found needn't be searched again; the most similar
-centre leads the set. What is left are pairs of sets in different classes. A leader is compared once with each set that
+centre leads the set. What is left are pairs of sets in different classes. Bitmaps of the sets bound what two of them can
+share, so that sets with a chance n-gram in common are not read. A leader is compared once with each set that
 one of its followers meets. What the leader shares, and the number of elements that the follower has beside it, bound what
 the follower can share; if that is not enough to decide, the follower's overlap is derived from the leader's by the few
 elements in which the two differ.
@@ -47,7 +48,8 @@ BLOCKS = 16                 # parts in which the table is added up
 SURE = 6.0                  # standard deviations by which a counter stands out
 STEP = 1.08                 # ratio of successive size and reach classes
 ROW_BITS = 40               # rows of one task; the bits above hold the task's partition
-MARKED = "doc_id long, locator struct<file: string, row: long>, row long, low long, high long, n long, prefix array<long>"
+BITS = 2048                 # of the bitmap of a set
+MARKED = "doc_id long, locator struct<file: string, row: long>, row long, low long, high long, n long, prefix array<long>, bits array<long>"
 
 
 def elements(data: np.ndarray, borders: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -126,6 +128,14 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
+def _bitmaps(owner: np.ndarray, element: np.ndarray, count: int) -> pa.ListArray:
+    """One bit per element in each set's bitmap, as long integers. Sets differ in as many elements as their bitmaps in bits, at least."""
+    out = np.zeros(count * BITS // 8, np.uint8)
+    bit = (element & np.uint64(BITS - 1)).astype(np.int64)
+    np.bitwise_or.at(out, owner * (BITS // 8) + (bit >> 3), np.left_shift(1, bit & 7).astype(np.uint8))
+    return pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * (BITS // 64)), pa.array(out.view("<i8")))
+
+
 def _marked(rows: DataFrame, level: np.ndarray, a: int, b: int) -> DataFrame:
     """Of every row: its number, two sums of hashes that name its set, the set's size and prefix."""
     shared = rows.sparkSession.sparkContext.broadcast(level)           # 2 ** COUNTER_BITS bytes
@@ -148,7 +158,7 @@ def _marked(rows: DataFrame, level: np.ndarray, a: int, b: int) -> DataFrame:
                 place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
                 prefix = element[order][place < taken[owner]]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("locator"), pa.array(at + np.arange(count)), *(pa.array(s.view(np.int64)) for s in sums),
-                                                  pa.array(n), _lists(prefix, taken)], ["doc_id", "locator", "row", "low", "high", "n", "prefix"])
+                                                  pa.array(n), _lists(prefix, taken), _bitmaps(owner, element, count)], ["doc_id", "locator", "row", "low", "high", "n", "prefix", "bits"])
                 at += count
 
     return rows.select("doc_id", "locator", "text").mapInArrow(run, MARKED)
@@ -182,6 +192,14 @@ def _index(marked: DataFrame, nodes: DataFrame, a: int, b: int) -> DataFrame:
     return written(entries.join(centre, "element"))
 
 
+def _able(pairs: DataFrame, nodes: DataFrame, x: str, y: str, a: int, b: int) -> DataFrame:
+    """The pairs (sizes n and m) that can be linked by their bitmaps."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("bits").alias(f"{c}_bits"))
+    differ = sum((F.bit_count(F.col(f"{x}_bits")[i].bitwiseXOR(F.col(f"{y}_bits")[i])) for i in range(BITS // 64)), F.lit(0))
+    both = pairs.join(side(y), y).join(side(x), x)
+    return written(both.where((F.col("n") + F.col("m") - differ) * (a + b) >= (F.col("n") + F.col("m")) * (2 * a)).drop(f"{x}_bits", f"{y}_bits"))
+
+
 def _with_set(pairs: DataFrame, sets: DataFrame, node: str) -> DataFrame:
     """The pairs with the elements of one side."""
     return pairs.join(sets.select(F.col("node").alias(node), F.col("elements").alias(f"{node}_set")), node)
@@ -216,7 +234,7 @@ def _meeting(index: DataFrame, found: DataFrame | None, a: int, b: int) -> DataF
     keep = F.expr("x_root <> y_root AND y_n BETWEEN x_least AND x_most AND x_n <= y_reach")
     keys = ["element", "own", "far"]
     pairs = probes.where("NOT x_large").join(blocks, keys).where(keep).unionByName(probes.where("x_large").join(blocks.where("NOT y_large"), keys).where(keep))
-    return written(pairs.groupBy(F.col("x_node").alias("x"), F.col("y_node").alias("y")).agg(F.min("x_n").alias("n"), F.min("y_n").alias("m")))
+    return pairs.groupBy(F.col("x_node").alias("x"), F.col("y_node").alias("y")).agg(F.min("x_n").alias("n"), F.min("y_n").alias("m"))
 
 
 def _derived(pairs: DataFrame, leaders: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
@@ -238,12 +256,12 @@ def _linked(rows: DataFrame, marked: DataFrame, nodes: DataFrame, a: int, b: int
     index = _index(marked, nodes, a, b)
     fits = F.expr(f"node <> centre.node AND n * {b} >= centre.n * {a} AND centre.n * {b} >= n * {a} AND n <= centre.reach AND centre.n <= reach")
     stars = index.where(fits).groupBy(F.col("centre.node").alias("centre"), "node").agg(F.min("n").alias("n"), F.min("centre.n").alias("m"))
-    stars = written(stars)
+    stars = _able(stars, nodes, "centre", "node", a, b)
     sets = _sets(rows, nodes, stars.select("node").unionByName(stars.select(F.col("centre").alias("node"))).distinct())
     linked = written(_shared(stars, sets, "centre", "node").where(_linked_by(F.col("shared"), F.col("n"), F.col("m"), a, b)))
     links = linked.select(F.col("centre").alias("a"), F.col("node").alias("b"))
     found = components(links)
-    pairs = _meeting(index, found, a, b)
+    pairs = _able(_meeting(index, found, a, b), nodes, "x", "y", a, b)
     if pairs.isEmpty():
         return found
     near = F.col("shared") / (F.col("n") + F.col("m"))
@@ -259,8 +277,8 @@ def classes(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, id_col: s
     rows = located(docs, id_col, text_col)
     marked = written(_marked(rows, levels(rows), a, b))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least")
-    nodes = marked.where("n > 0").groupBy("low", "high").agg(F.min(F.struct("row", "locator")).alias("first"), F.min("n").alias("n"), least)
-    nodes = written(nodes.select("low", "high", F.col("first.row").alias("node"), "first.locator", "n", "least"))
+    nodes = marked.where("n > 0").groupBy("low", "high").agg(F.min(F.struct("row", "locator")).alias("first"), F.min("n").alias("n"), F.min("bits").alias("bits"), least)
+    nodes = written(nodes.select("low", "high", F.col("first.row").alias("node"), "first.locator", "n", "bits", "least"))
     found = _linked(rows, marked, nodes, a, b)
     if found is None:
         named = nodes.select("low", "high", F.col("least.doc_id").alias("component_id"))
