@@ -6,7 +6,9 @@ inside an array column (one ``transform`` per stage), so a mail's links are anal
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable, Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,35 +98,47 @@ def is_http(c: Column) -> Column:
 
 # --- registered domain --------------------------------------------------------------------
 
+BUCKETS = 4096              # of the table of suffix rules; a bucket holds about two
+
+
+@cache
+def _rule_table(rules: frozenset[str]) -> tuple[str, int]:
+    """The rules dealt to buckets by the CRC-32 of their name, as one text; and the labels of the longest."""
+    buckets = [""] * BUCKETS
+    for rule in sorted(rules):
+        kind = rule[0] if rule[0] in "!*" else "="
+        name = rule.lstrip("!*.") if kind != "=" else rule
+        at = zlib.crc32(name.encode()) % BUCKETS
+        buckets[at] += ("" if buckets[at] else "\1") + f"{kind}{name}\1"
+    return "\2".join(buckets), max((r.count(".") + 1 for r in rules), default=0)
+
+
 def suffix(host: Column, suffixes: Iterable[str] | None = None) -> Column:
     """Longest public suffix of a host, '' when no rule fits or when the host is an address.
 
     Rules are those of the public-suffix list: ``*.ck`` makes every name under ck a suffix, ``!www.ck`` excepts one.
-    The rules are one literal, a map from the last label to its rules, so the test needs neither a join nor a
-    broadcast and a plan stays small with ten thousand rules.
+    The rules are a hash table in one literal array: each tail of the host is looked up in the bucket of its CRC-32, so
+    the cost of a host does not depend on the number of rules, and the test needs neither a join nor a shuffle.
     """
-    by_last: dict[str, list[str]] = {}
-    for rule in sorted(set(L.SUFFIXES if suffixes is None else suffixes)):
-        by_last.setdefault(rule.lstrip("!").rsplit(".", 1)[-1], []).append(rule)
-    most = max((r.count(".") + 1 for rules in by_last.values() for r in rules), default=0)
-    text = "\2".join(f"{last}\3\1" + "\1".join(rules) + "\1" for last, rules in by_last.items())
-    tail = lambda size: F.substring_index(host, ".", -size)
-
-    def longest(rules: Column) -> Column:
-        has = lambda mark, size: F.contains(rules, F.concat(F.lit("\1" + mark), tail(size), F.lit("\1")))
-        out = F.lit("")
-        for size in range(1, most + 1):
-            hit = has("", size)
-            if size > 1:
-                hit = hit | (has("*.", size - 1) & (host != tail(size - 1)))
-            out = F.when(hit, tail(size)).otherwise(out)
-        for size in range(2, most + 1):
-            out = F.when(has("!", size), tail(size - 1)).otherwise(out)
-        return out
-
-    rules = F.coalesce(F.try_element_at(F.str_to_map(F.lit(text), F.lit("\2"), F.lit("\3")), tail(1)), F.lit(""))
-    out = F.transform(F.array(rules), longest)[0]
-    return F.when(host.rlike(f"^{IPV4}$"), F.lit("")).otherwise(out)
+    text, most = _rule_table(frozenset(L.SUFFIXES if suffixes is None else suffixes))
+    if not most:
+        return F.lit("")
+    tail = lambda size: F.call_function("substring_index", host, F.lit("."), -size)
+    table = F.split(F.lit(text), "\2")                  # folded by the optimizer; it stands in the plan once
+    own = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    names = F.transform(F.sequence(F.lit(1), F.least(F.lit(most), own)), tail)
+    buckets = F.transform(names, lambda t: F.get(table, F.crc32(t.cast("binary")) % BUCKETS))
+
+    def labels(bucket: Column, place: Column) -> Column:
+        """Labels of the suffix by the rules of one tail; those of an exception stand above all others."""
+        t = tail(place + 1)
+        has = lambda kind: F.contains(bucket, F.concat(F.lit(f"\1{kind}"), t, F.lit("\1")))
+        return (F.when(has("!"), place + 1000).when(has("*") & (t != host), place + 2)
+                .when(has("="), place + 1).otherwise(0))
+
+    most_labels = F.array_max(F.transform(buckets, labels))
+    found = F.transform(F.array(most_labels), lambda n: F.when(n == 0, F.lit("")).otherwise(tail(n % 1000)))[0]
+    return F.when(host.rlike(f"^{IPV4}$"), F.lit("")).otherwise(found)
 
 
 def domain_label(host: Column, sfx: Column) -> Column:
@@ -147,7 +161,7 @@ def subdomain(host: Column, sfx: Column) -> Column:
 
 
 def registered_domain(host: Column, suffixes: Iterable[str] | None = None) -> Column:
-    return registered(host, suffix(host, suffixes))
+    return F.transform(F.array(suffix(host, suffixes)), lambda sfx: registered(host, sfx))[0]         # the suffix is computed once
 
 
 def domain_stages(url: str = "url", suffixes: Iterable[str] | None = None) -> list[Stage]:

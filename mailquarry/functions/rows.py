@@ -33,3 +33,8 @@ def explode_with_pos(df: DataFrame, keep: Sequence[str | Column], values: Column
 def explode_structs(df: DataFrame, keep: Sequence[str | Column], structs: Column, test: str) -> DataFrame:
     """One row per struct with its fields as columns; ``test`` names a field that is never NULL in a struct."""
     return df.select(*keep, F.inline_outer(structs)).where(F.col(test).isNotNull())
+
+
+def with_fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that filters can use without being pushed below it, so what it is made of is not computed again."""
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))

@@ -1,7 +1,7 @@
 """Raw mail text to header, body and link columns.
 
-Everything here is a projection over one row: no shuffle. The raw text of mails whose body needs MIME
-decoding goes through :mod:`mailquarry.operators.mime`, the only part that uses Python workers.
+Everything here is a projection over one row: no shuffle. Mails that expressions cannot decode are a branch of their
+own (:mod:`mailquarry.operators.mime`), the only part that uses Python workers.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from mailquarry.functions import net, rows
 from mailquarry.functions import text as X
+from mailquarry.operators import mime
 
 # column -> header name
 FIELDS = {
@@ -61,38 +62,20 @@ def header_values(head: Column, name: str) -> Column:
 
 
 def decode_words(c: Column) -> Column:
-    """Decode RFC 2047 encoded words in UTF-8, US-ASCII and ISO-8859-1; others stay as they are."""
+    """Decode RFC 2047 encoded words in UTF-8 and in all character sets of one byte; others stay as they are."""
     word = r"=\?([^?\s]+)\?([bBqQ])\?([^?]*)\?="
     joined = F.regexp_replace(c, r"(\?=)[ \t]+(=\?)", "$1$2")
 
     def decoded(w: Column) -> Column:
-        charset = F.lower(F.regexp_extract(w, word, 1))
-        kind = F.lower(F.regexp_extract(w, word, 2))
-        data = F.regexp_extract(w, word, 3)
-        hexed = F.regexp_replace(F.replace(F.replace(F.replace(data, F.lit("%"), F.lit("=25")), F.lit("_"), F.lit(" ")),
-                                           F.lit("+"), F.lit("=2B")), "=([0-9A-Fa-f]{2})", "%$1")
-        quoted_bytes = F.when(kind == "q", F.url_decode(F.regexp_replace(hexed, "%(?![0-9A-Fa-f]{2})", "%25")))
-        base64_bytes = F.try_to_binary(F.when(kind == "b", data), F.lit("base64"))
-        as_utf8 = F.coalesce(quoted_bytes, F.make_valid_utf8(base64_bytes.cast("string")))
-        as_latin = F.coalesce(
-            F.when(kind == "q", _latin_escapes(hexed)), F.decode(base64_bytes, "ISO-8859-1"))
-        return (F.when(charset.isin("utf-8", "us-ascii", "ascii", "utf8"), F.coalesce(as_utf8, w))
-                .when(charset.isin("iso-8859-1", "latin-1", "latin1"), F.coalesce(as_latin, w))
-                .otherwise(w))
+        kind, data = F.lower(F.regexp_extract(w, word, 2)), F.regexp_extract(w, word, 3)
+        raw = F.when(kind == "b", mime.base64_bytes(data)).otherwise(mime.quoted_bytes(F.replace(data, F.lit("_"), F.lit(" "))))
+        return F.coalesce(mime.text_of(raw, F.lower(F.regexp_extract(w, word, 1))), w)
 
     found = F.regexp_extract_all(joined, F.lit(word), F.lit(0))
     out = F.aggregate(found, joined, lambda acc, w: F.replace(acc, w, decoded(w)))
     return F.when(F.contains(c, F.lit("=?")), out).otherwise(c)
 
 
-def _latin_escapes(c: Column) -> Column:
-    # %E9 in ISO-8859-1 is the code point U+00E9, whose UTF-8 form is C3 A9.
-    high = F.regexp_replace(F.regexp_replace(c, "%([89ABab][0-9A-Fa-f])", "%C2%$1"), "%([C-Fc-f])([0-9A-Fa-f])(?!%)", "%C3%#$1$2")
-    for up, low in zip("CDEF", "89AB", strict=True):
-        high = F.regexp_replace(high, f"%C3%#[{up}{up.lower()}]", f"%C3%{low}")
-    return F.url_decode(F.regexp_replace(high, "%(?![0-9A-Fa-f]{2})", "%25"))
-
-
 def header_rows(df: DataFrame) -> DataFrame:
     """Child table ``mail_id, pos, name, value`` of all header lines, names in lower case."""
     lines = rows.explode_with_pos(split_head(df.select("mail_id", "raw_email")), ["mail_id"], F.split("head", "\n"), "pos", "line")
@@ -102,20 +85,27 @@ def header_rows(df: DataFrame) -> DataFrame:
                     X.strip(F.regexp_replace("line", "^[^:]*:", "")).alias("value")))
 
 
-def with_fields(df: DataFrame, dump: int | None = None) -> DataFrame:
-    """Named header fields, the relay chain and the header dump (its first ``dump`` characters if given), from ``head``."""
-    head = F.col("head")
-    values = {col: header_value(head, name) for col, name in FIELDS.items()}
-    values["x_priority"] = F.coalesce(F.nullif(values["x_priority"], F.lit("")), header_value(head, "priority"))
+def with_fields(df: DataFrame, dump: int | None = None, any_charset: bool = False) -> DataFrame:
+    """Named header fields, the relay chain and the header dump (its first ``dump`` characters if given), from ``head``.
+
+    The head is read once, into names and values. ``any_charset`` decodes encoded words of all
+    character sets, in Python workers.
+    """
+    lines = F.filter(F.split("head", "\n"), lambda l: F.contains(l, F.lit(":")))
+    names = F.transform(lines, lambda l: F.lower(F.substring_index(l, ":", 1)))
+    values = F.transform(lines, lambda l: X.strip(F.substr(l, F.length(F.substring_index(l, ":", 1)) + 2)))
+    read = df.withColumn("_names", names).withColumn("_values", values)
+    value = lambda name: F.coalesce(F.get("_values", F.array_position("_names", F.lit(name)).cast("int") - 1), F.lit(""))          # the first of several
+    found = {col: value(name) for col, name in FIELDS.items()}
+    found["x_priority"] = F.coalesce(F.nullif(found["x_priority"], F.lit("")), value("priority"))
     others = [c for c in df.columns if c != "head"]
-    raw = df.select(
-        *others, *[v.alias(n) for n, v in values.items()],
-        head.rlike(r"(?i)(?:^|\n)dkim-signature:").cast("int").alias("dkim_signed"),
-        F.transform(header_values(head, "received"), lambda v: X.strip(v)).alias("received"),
-        (head if dump is None else F.substring(head, 1, dump)).alias("header_raw"))
+    raw = read.select(
+        *others, *[v.alias(n) for n, v in found.items()], F.array_contains("_names", "dkim-signature").cast("int").alias("dkim_signed"),
+        F.filter("_values", lambda _, i: F.get("_names", i) == "received").alias("received"),
+        (F.col("head") if dump is None else F.substring("head", 1, dump)).alias("header_raw"))
     # Encoded words occur in free text only. One lambda decodes these fields, in a projection of its own.
     coded = F.array(*[F.col(n) for n in FREE_TEXT])
-    raw = raw.withColumn("_text", F.transform(coded, decode_words))
+    raw = raw.withColumn("_text", mime.decoded_headers(coded) if any_charset else F.transform(coded, decode_words))
     return raw.select(*[F.col("_text")[FREE_TEXT.index(c)].alias(c) if c in FREE_TEXT else F.col(c) for c in raw.columns if c != "_text"])
 
 
@@ -137,44 +127,40 @@ def links(text: Column, html: Column) -> Column:
     return F.array_distinct(F.filter(trimmed, lambda u: u != ""))
 
 
-def with_simple_body(df: DataFrame) -> DataFrame:
-    """Body columns of mails that are one undecoded part."""
-    html = F.contains(F.lower("content_type"), F.lit("html"))
-    out = df.withColumn("body_text", F.when(html, F.lit("")).otherwise(F.col("body"))) \
-            .withColumn("body_html", F.when(html, F.col("body")).otherwise(F.lit(""))) \
-            .drop("body")
-    return (out.withColumn("urls", links(F.col("body_text"), F.col("body_html")))
-            .withColumn("attachments", F.array().cast("array<struct<filename:string,sha256:string>>")))
-
-
 def needs_mime() -> Column:
     return (F.lower("content_type").rlike("^multipart/|charset\\s*=\\s*\"?(?!utf-?8|us-ascii)[a-z]")
             | F.lower("content_transfer_encoding").rlike("base64|quoted-printable"))
 
 
-def parse_mail(df: DataFrame, mime: bool = True) -> DataFrame:
+def _with_bodies(fields: DataFrame, parts: Column | None) -> DataFrame:
+    """Bodies, attachments and links; ``parts`` is NULL for mails that are one undecoded part."""
+    others = [c for c in fields.columns if c not in ("body", "_head")]
+    is_html = F.contains(F.lower("content_type"), F.lit("html"))
+    none = F.array().cast("array<struct<filename:string,sha256:string>>")
+    plain = [F.when(is_html, F.lit("")).otherwise(F.col("body")), F.when(is_html, F.col("body")).otherwise(F.lit("")), none]
+    if parts is not None:
+        fields = fields.withColumn("_parts", parts)
+        simple = F.col("_parts").isNull()
+        plain = [F.when(simple, p).otherwise(d) for p, d in zip(plain, mime.body_columns(F.col("_parts")), strict=True)]
+    out = fields.select(*others, *[c.alias(n) for c, n in zip(plain, ("body_text", "body_html", "attachments"), strict=True)])
+    return out.select(*others, "body_text", "body_html", links(F.col("body_text"), F.col("body_html")).alias("urls"), "attachments")
+
+
+def parse_mail(df: DataFrame, mime_parts: bool = True) -> DataFrame:
     """One row per mail with header fields, bodies, links and attachments.
 
-    Input: ``mail_id, raw_email`` and any other columns, which are kept. With ``mime=False`` the caller
-    states that no mail has parts or encoded content (body-only corpora); the plan is then free of Python.
-    Otherwise the raw text of the mails that need decoding is sent to Python workers, and nothing of the rest.
+    Input: ``mail_id, raw_email`` and any other columns, which are kept. With ``mime_parts=False`` the caller
+    states that no mail has parts or encoded content (body-only corpora).
+    Mails that only Python can decode (``mime.unusual``) are a branch of their own; all others stay in the JVM.
     """
-    parsed = with_fields(split_head(df))
-    if not mime:
-        return with_simple_body(parsed)
-    from mailquarry.operators import mime as m
+    if not mime_parts:
+        return _with_bodies(with_fields(split_head(df)), None)
+    marked = rows.with_fixed(df, "_odd", mime.unusual(F.col("raw_email")))
+    usual = with_fields(split_head(marked.where("NOT _odd").drop("_odd")).withColumn("_head", F.col("head")))
     hard = F.coalesce(needs_mime(), F.lit(False))
-    decoded = parsed.withColumn("_parts", m.decoded_parts(F.when(hard, F.coalesce("raw_email", F.lit("")))))
-    text, html, attached = m.body_columns(F.col("_parts"))
-    simple = F.col("_parts").isNull()
-    is_html = F.contains(F.lower("content_type"), F.lit("html"))
-    none = F.array().cast("array<struct<filename:string,sha256:string>>")
-    others = [c for c in parsed.columns if c != "body"]
-    out = decoded.select(
-        *others, F.when(simple, F.when(is_html, F.lit("")).otherwise(F.col("body"))).otherwise(text).alias("body_text"),
-        F.when(simple, F.when(is_html, F.col("body")).otherwise(F.lit(""))).otherwise(html).alias("body_html"),
-        F.when(simple, none).otherwise(attached).alias("attachments"))
-    return out.select(*others, "body_text", "body_html", links(F.col("body_text"), F.col("body_html")).alias("urls"), "attachments")
+    usual = _with_bodies(usual, F.when(hard, mime.native_parts(F.col("_head"), F.col("body"))))
+    rest = _with_bodies(with_fields(split_head(marked.where("_odd").drop("_odd")), any_charset=True), mime.decoded_parts("raw_email"))
+    return usual.unionByName(rest)
 
 
 def body_choice() -> Column:

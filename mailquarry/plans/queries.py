@@ -255,7 +255,8 @@ def nan_to_zero(spark, d):
 
 @query(f"SELECT mail_id, md5({o.refang('body')}) AS h, contains({o.refang('body')}, 'hxxp') AS still_defanged FROM mail", "mail")
 def refang_text(spark, d):
-    body = mail.split_head(fx.mail_raw(spark, d)).select("mail_id", X.refang(F.col("body")).alias("t"))
+    """The decoded body of every mail."""
+    body = parsed(spark, d).select("mail_id", X.refang(mail.body_choice()).alias("t"))
     return body.select("mail_id", F.md5("t").alias("h"), F.contains("t", F.lit("hxxp")).alias("still_defanged"))
 
 
@@ -353,12 +354,18 @@ def mail_fields(spark, d):
     return mail.mail_fields(fx.mail_raw(spark, d)).select("mail_id", *_FIELDS, "dkim_signed", F.length("header_raw").alias("head_chars"))
 
 
-@query("SELECT doc_id AS mail_id, md5('Re: ' || text || ' end') AS h FROM documents")
+# Encoded words in sets of one byte, of several bytes, and one that nobody knows.
+_WORDS = [("=?windows-1252?Q?=80_caf=E9?=", "€ café"), ("=?koi8-r?B?8NLJ18XU?=", "Привет"), ("=?shift_jis?B?k/qWew==?=", "日本"), ("=?gb2312?B?1tC5+g==?=", "中国"),
+          ("=?no-such-set?B?eA==?=", "=?no-such-set?B?eA==?="), ("end", "end")]
+
+
+@query("SELECT doc_id AS mail_id, md5('Re: ' || text || ' and ' || CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN {o.lit(t)}" for i, (_, t) in enumerate(_WORDS)) + " END) AS h FROM documents")
 def encoded_words(spark, d):
-    """Subjects with a base64 word each."""
-    word = F.concat(F.lit("Re: =?UTF-8?B?"), F.replace(F.base64(F.encode("text", "UTF-8")), F.lit("\r\n"), F.lit("")), F.lit("?= end"))
-    coded = fx.table(spark, d, "documents").select(F.col("doc_id").alias("mail_id"), word.alias("subject"))
-    return coded.select("mail_id", F.md5(mail.decode_words(F.col("subject"))).alias("h"))
+    """Subjects with a word in UTF-8 and one in another character set."""
+    other = F.element_at(F.array(*[F.lit(w) for w, _ in _WORDS]), (F.col("doc_id") % len(_WORDS) + 1).cast("int"))
+    word = F.concat(F.lit("Subject: Re: =?UTF-8?B?"), F.replace(F.base64(F.encode("text", "UTF-8")), F.lit("\r\n"), F.lit("")), F.lit("?= and "), other, F.lit("\n\nbody"))
+    mails = mail.parse_mail(fx.table(spark, d, "documents").select(F.col("doc_id").alias("mail_id"), word.alias("raw_email")))
+    return mails.select("mail_id", F.md5("subject").alias("h"))
 
 
 @query(f"SELECT mail_id, pos::INT AS pos, {o.strip('received')} AS received FROM relay", "relay")

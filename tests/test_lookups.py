@@ -1,7 +1,11 @@
 """Look-ups stay one to one, and no link is lost to a default limit."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
+from mailquarry import lists as L
 from mailquarry.functions import net
 from mailquarry.operators import corpus, reputation, urls, verdict
 
@@ -41,3 +45,30 @@ def test_all_public_suffixes_are_known(spark):
             "c.ck": "", "host.unknownzone": "", "10.0.0.1": "", "": ""}
     got = spark.createDataFrame([(h,) for h in want], "host string").select("host", net.registered_domain(F.col("host")).alias("domain")).collect()
     assert {r["host"]: r["domain"] for r in got} == want
+
+
+def test_suffix_by_hash_table(spark):
+    """Against the rules read one by one: plain ones, wildcards, exceptions, hosts that are suffixes, addresses, odd dots."""
+    rules = [*L.SUFFIXES]
+    plain = {r for r in rules if r[0] not in "*!"}
+
+    def want(host):
+        if re.fullmatch(net.IPV4, host):
+            return ""
+        labels = host.split(".")
+        tails = [".".join(labels[k:]) for k in range(len(labels))]
+        for t in tails:
+            if "!" + t in rules:
+                return t.split(".", 1)[1]
+        for k, t in enumerate(tails):
+            if t in plain or "." in t and "*." + t.split(".", 1)[1] in rules:
+                return t
+        return ""
+
+    rules = set(rules)
+    rnd = random.Random(1)
+    names = sorted(r.lstrip("!*.") for r in rules)
+    hosts = ["", ".", "a..com", "com", "ck", "www.ck", "a.www.ck", "x.ck", "a.x.ck", "city.kawasaki.jp", "a.city.kawasaki.jp", "b.kawasaki.jp", "c.b.kawasaki.jp", "1.2.3.4", "host.unknownzone", "co.uk", "a.b.co.uk"]
+    hosts += [".".join([rnd.choice("abc")] * rnd.randint(0, 3) + [rnd.choice(names)]) for _ in range(800)]
+    got = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", net.suffix(F.col("host")).alias("s"), net.suffix(F.col("host"), []).alias("none")).collect()
+    assert [(r.host, r.s) for r in got] == [(h, want(h)) for h in hosts] and {r.none for r in got} == {""}

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import quopri
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,3 +104,45 @@ def test_word_count_knows_all_blanks(spark):
     texts = ["", " ", "a", "one two three", "x\x1cy\tz\r\nw", "é　ü "]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r.n for r in df.select(X.word_count(F.col("t")).alias("n")).collect()] == [0, 0, 1, 3, 4, 2]
+
+
+def _mail(kind, encoding, charset, data, attached="", eol="\n"):
+    head = [f"Content-Type: {kind}" + (f"; charset={charset}" if charset else "")]
+    head += [f"Content-Transfer-Encoding: {encoding}"] * bool(encoding) + [f"Content-Disposition: attachment;\n filename=\"{attached}\""] * bool(attached)
+    return eol.join(head) + eol + eol + data
+
+
+def test_native_parts_equal_the_library(spark):
+    """Every encoding, character set and shape that expressions take, against the standard library's parser."""
+    text = "Grüße, façade = 100 %\n\n  =?x\n"
+    bodies = []
+    for charset in ("utf-8", "UTF-8", "iso-8859-1", "windows-1252", "ISO-8859-15", "us-ascii", ""):
+        raw = text.encode(charset or "utf-8", "replace")
+        bodies += [("base64", charset, base64.encodebytes(raw).decode()), ("quoted-printable", charset, quopri.encodestring(raw).decode()), ("BASE64", charset, base64.b64encode(raw).decode().rstrip("="))]
+    bodies += [("base64", "koi8-r", base64.b64encode("Привет".encode("koi8-r")).decode()), ("", "utf-8", text), ("8bit", "", text), ("quoted-printable", "utf-8", "a=\nb=ZZ =3d=\r\nc")]
+    mails = [_mail("text/plain", *b) for b in bodies] + ["Subject: x\n\njust text", "Content-Type: text/html\r\n\r\n<p>a</p>\r\n"]
+    for eol in ("\n", "\r\n"):
+        for mark in ('"a b=c"', "q1", '"x?y(z)"'):
+            cut = mark.strip('"')
+            parts = [_mail("text/plain", *bodies[k], eol=eol) for k in (0, 1, 5, 22)] + [_mail("text/html", "", "utf-8", "<p>é</p>", eol=eol), _mail("application/pdf", "base64", "", B64, "f 1.pdf", eol),
+                     eol + "no header", _mail("image/png; name=i.png", "base64", "", "AAECAw==", "", eol).replace("Content-Transfer", "Content-Disposition: attachment" + eol + "Content-Transfer")]
+            whole = f"Subject: m{eol}Content-Type: multipart/mixed; boundary={mark}{eol}{eol}preamble{eol}" + "".join(f"--{cut}{eol}{p}{eol}" for p in parts) + f"--{cut}--{eol}epilogue"
+            mails += [whole, whole.replace(f"--{cut}--", "")]
+    df = mail.split_head(spark.createDataFrame(list(enumerate(mails)), "mail_id int, raw_email string"))
+    assert df.where(mime.unusual(F.col("raw_email"))).isEmpty()
+    for r in df.select("mail_id", mime.native_parts(F.col("head"), F.col("body")).alias("parts")).collect():
+        want = mime._parts(mails[r.mail_id])
+        got = [p.asDict() | {"payload": p.payload and bytes(p.payload)} for p in r.parts]
+        assert got == want, mails[r.mail_id]
+
+
+def test_unusual_mails(spark):
+    """Nested parts, sets of several bytes, encoded file names and unknown encodings take the way through the library."""
+    raw = ["Content-Type: multipart/mixed; boundary=a\n\n--a\nContent-Type: multipart/alternative; boundary=b\n\n--b\n\nin\n--b--\n--a--\n", "Content-Type: text/plain; charset=shift_jis\n\nx",
+           "Content-Type: message/rfc822\n\nSubject: y\n\nz", "Content-Type: a/b; name*=utf-8''x\n\n", "Content-Transfer-Encoding: x-uuencode\n\nx", "Subject: =?big5?B?pKQ=?=\n\n"]
+    plain = ["Subject: =?utf-8?q?a?=\n\n", "Content-Type: text/plain; charset=\"utf-8\"\n\n", "", "text with charset in it", "Content-Type: text/plain; charset=koi8-r;\n\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(raw + plain)] + [(99, None)], "mail_id int, raw_email string")
+    assert [r.mail_id for r in df.where(mime.unusual(F.col("raw_email"))).orderBy("mail_id").collect()] == list(range(len(raw)))
+    rows = {r.mail_id: r for r in mail.parse_mail(df).collect()}
+    assert len(rows) == len(raw) + len(plain) + 1
+    assert rows[0].body_text == "in\n" and rows[5].subject == "中"

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from mailquarry.operators import corpus, evaluate, reputation
+from mailquarry.operators import corpus, evaluate, mime, reputation
 from mailquarry.plans import fixtures, queries
 
 NO_OTHER_PYTHON = ["mail_urls", "header_features", "url_mail_agg", "html_features", "urgency_score", "tfidf_weights", "url_unwrap_deep", "ioc_table", "score_mails"]
@@ -14,15 +14,23 @@ def plan(df):
 
 
 @pytest.mark.parametrize("name", NO_OTHER_PYTHON)
-def test_no_python_but_mime_and_no_cartesian(spark, sf, name):
-    # mails with parts go through the MIME decoder, once per input table (the mails are a union of two) and as raw text only (NULL for all other mails)
+def test_python_for_unusual_mails_only_and_no_cartesian(spark, sf, name):
+    # below every Python step stands the filter on unusual mails; no mail of the fixture passes it
     text = plan(queries.QUERIES[name](spark, sf)).split("Initial Plan")[0]
-    python = [line for line in text.splitlines() if "EvalPython" in line]
-    assert len(python) <= 2 and all("[decoded_parts(CASE WHEN" in line for line in python)
+    lines = text.splitlines()
+    python = [i for i, line in enumerate(lines) if "EvalPython" in line]
+    assert all("decoded_parts(raw_email" in lines[i] or "decoded_headers(" in lines[i] for i in python)
+    for i in python:
+        below = next(line for line in lines[i + 1:] if "Filter" in line)
+        assert "_odd" in below and "NOT" not in below
     for word in ("BatchEvalPython", "MapInPandas", "CartesianProduct"):
         assert word not in text
 
 
+def test_no_mail_of_the_fixture_is_unusual(spark, sf):
+    assert fixtures.mail_raw(spark, sf).where(mime.unusual(F.col("raw_email"))).isEmpty()
+
+
 @pytest.mark.parametrize("name", ["mail_urls", "header_features", "url_mail_agg", "html_features", "urgency_score"])
 def test_per_mail_work_does_not_shuffle(spark, sf, name):
     # the only exchange allowed is the fixture's round-robin spread of a small file
