@@ -97,8 +97,8 @@ def op7_main_text(spark, sf_dir):
 
 @query()
 def op8_near_duplicates(spark, sf_dir):
-    """Class of near-duplicates of every document."""
-    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+    """Class of near-duplicates of every document; a run of words weighs as often as it occurs."""
+    return neardup.classes(table(spark, sf_dir, "documents"), counted=True).select("doc_id", "class_id", "class_size", "kept")
 
 
 @query()

@@ -192,23 +192,26 @@ def _index(marked: DataFrame, nodes: DataFrame, a: int, b: int) -> DataFrame:
     return written(entries.join(centre, "element"))
 
 
+def _joined(pairs: DataFrame, table: DataFrame, value: str, *sides: str) -> DataFrame:
+    """The pairs with a value of each side, ``{side}_{value}``; rows of the table that no pair needs are not shuffled."""
+    pairs = written(pairs)
+    n, out = pairs.count(), pairs
+    for c in sides:
+        out = out.join(maybe(table.select(F.col("node").alias(c), F.col(value).alias(f"{c}_{value}")), c, bitmap(pairs.select(c), c, n)), c)
+    return out
+
+
 def _able(pairs: DataFrame, nodes: DataFrame, x: str, y: str, a: int, b: int) -> DataFrame:
     """The pairs (sizes n and m) that can be linked by their bitmaps."""
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("bits").alias(f"{c}_bits"))
     differ = sum((F.bit_count(F.col(f"{x}_bits")[i].bitwiseXOR(F.col(f"{y}_bits")[i])) for i in range(BITS // 64)), F.lit(0))
-    both = pairs.join(side(y), y).join(side(x), x)
+    both = _joined(pairs, nodes, "bits", x, y)
     return written(both.where((F.col("n") + F.col("m") - differ) * (a + b) >= (F.col("n") + F.col("m")) * (2 * a)).drop(f"{x}_bits", f"{y}_bits"))
 
 
-def _with_set(pairs: DataFrame, sets: DataFrame, node: str) -> DataFrame:
-    """The pairs with the elements of one side."""
-    return pairs.join(sets.select(F.col("node").alias(node), F.col("elements").alias(f"{node}_set")), node)
-
-
 def _shared(pairs: DataFrame, sets: DataFrame, left: str, right: str) -> DataFrame:
     """The pairs with the number of common elements."""
-    both = _with_set(_with_set(pairs, sets, right), sets, left)
-    return written(both.withColumn("shared", F.size(F.array_intersect(f"{left}_set", f"{right}_set"))).drop(f"{left}_set", f"{right}_set"))
+    both = _joined(pairs, sets, "elements", right, left)
+    return written(both.withColumn("shared", F.size(F.array_intersect(f"{left}_elements", f"{right}_elements"))).drop(f"{left}_elements", f"{right}_elements"))
 
 
 def _linked_by(shared: Column, n: Column, m: Column, a: int, b: int) -> Column:
@@ -243,10 +246,10 @@ def _derived(pairs: DataFrame, leaders: DataFrame, sets: DataFrame, a: int, b: i
     answers = _shared(led.select("leader", "y").distinct(), sets, "leader", "y")
     open_ = written(led.join(answers, ["leader", "y"]).where(_linked_by(F.col("shared") + F.col("more"), F.col("n"), F.col("m"), a, b)))
     followers = open_.where("x <> leader")
-    apart = _with_set(_with_set(followers.select("x", "leader").distinct(), sets, "x"), sets, "leader")
-    apart = written(apart.select("x", F.array_except("x_set", "leader_set").alias("own"), F.array_except("leader_set", "x_set").alias("other")))
-    exact = F.col("shared") + F.size(F.array_intersect("own", "y_set")) - F.size(F.array_intersect("other", "y_set"))
-    derived = _with_set(followers.join(apart, "x"), sets, "y").withColumn("shared", exact).select("x", "y", "n", "m", "shared")
+    apart = _joined(followers.select("x", "leader").distinct(), sets, "elements", "x", "leader")
+    apart = written(apart.select("x", F.array_except("x_elements", "leader_elements").alias("own"), F.array_except("leader_elements", "x_elements").alias("other")))
+    exact = F.col("shared") + F.size(F.array_intersect("own", "y_elements")) - F.size(F.array_intersect("other", "y_elements"))
+    derived = _joined(followers.join(apart, "x"), sets, "elements", "y").withColumn("shared", exact).select("x", "y", "n", "m", "shared")
     every = open_.where("x = leader").select("x", "y", "n", "m", "shared").unionByName(derived)
     return written(every.where(_linked_by(F.col("shared"), F.col("n"), F.col("m"), a, b)).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
