@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mailquarry.llm import decontaminate, exact, langid, neardup, packing
+from mailquarry.llm.arrays import small_batches
 from mailquarry.llm.queries import TOKENIZER, table
 from mailquarry.plans.staging import written
 
@@ -38,7 +39,17 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, TOKENIZER)
 
 
-STAGES = [("language ID", language), ("exact dedup", exact_dedup), ("near-duplicates", near_dedup), ("decontamination", decontaminated), ("packing", packed)]
+def bounded(stage):
+    """The stage in a session whose Arrow batches are limited by bytes; Python workers live on from stage to stage, and so does their memory."""
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(name, bounded(stage)) for name, stage in (("language ID", language), ("exact dedup", exact_dedup), ("near-duplicates", near_dedup),
+                                                     ("decontamination", decontaminated), ("packing", packed))]
 ORACLE_SQL = None           # language models, edit distance and tokenizers have no SQL form; tests hold every stage against a plain version
 
 
