@@ -71,6 +71,35 @@ def score(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ("mail_id",
     return model.transform(df).select(*keep, vector_to_array("probability")[1].alias("prob"))
 
 
+def linear_terms(model: PipelineModel, names: Sequence[str]) -> tuple[list[tuple[str, float]], float]:
+    """Weight of every plain feature and the intercept of a fitted logistic pipeline, its scaling taken in."""
+    scaler, lr = model.stages[0], model.stages[-1]
+    std, mean, coef = (np.asarray(v.toArray()) for v in (scaler.std, scaler.mean, lr.coefficients))
+    weight = np.where(std > 0, coef / np.where(std > 0, std, 1), 0.0)
+    return [(n, float(w)) for n, w in zip(names, weight, strict=True)], float(lr.intercept - (weight * mean).sum())
+
+
+def centroid_terms(df: DataFrame, names: Sequence[str], label: str = "label") -> tuple[list[tuple[str, float]], float]:
+    """Weights and intercept of the linear rule between the class means, with one variance per feature (the pooled one).
+
+    It needs one pass and has no iterations, so it is the model to start from. Features without variance have no weight.
+    """
+    y = F.col(label) == 1
+    stats = df.agg(F.count_if(y).alias("n1"), F.count_if(~y).alias("n0"), *[f(F.when(c, F.col(n).cast("double"))).alias(f"{k}{i}")
+                   for i, n in enumerate(names) for k, f, c in (("m1_", F.avg, y), ("m0_", F.avg, ~y), ("v1_", F.var_pop, y), ("v0_", F.var_pop, ~y))]).first()
+    if not stats["n1"] or not stats["n0"]:
+        raise ValueError("both classes are needed")
+    n1, n0 = stats["n1"], stats["n0"]
+    terms, intercept = [], math.log(n1 / n0)
+    for i, name in enumerate(names):
+        m1, m0, v1, v0 = (stats[f"{k}{i}"] for k in ("m1_", "m0_", "v1_", "v0_"))
+        pooled = (n1 * v1 + n0 * v0) / (n1 + n0)
+        weight = (m1 - m0) / pooled if pooled > 0 else 0.0
+        terms.append((name, weight))
+        intercept -= weight * (m1 + m0) / 2
+    return terms, intercept
+
+
 def f1_expr(label: str = "label", predicted: str = "predicted") -> Column:
     y, p = F.col(label) == 1, F.col(predicted) == 1
     tp, wrong = F.count_if(y & p), F.count_if(y != p)

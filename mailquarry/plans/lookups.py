@@ -64,4 +64,8 @@ ALLOWLIST = """SELECT DISTINCT domain FROM {src} WHERE """ + digit("domain", 1)
 COEF = [("hdr_from_reply_to_mismatch", 0.8, 0.4), ("hdr_spf_result", -0.6, 0.1), ("hdr_received_hop_count", 0.05, 3.5), ("url_url_count", 0.04, 3.0),
         ("url_tld_risk_score_max", 1.1, 0.3), ("url_path_depth_mean", 0.2, 1.2), ("html_total_links", 0.02, 2.0), ("txt_urgency_phrase_count", 0.5, 0.8),
         ("txt_subject_length", 0.01, 17.0), ("url_is_ip_address_max", 1.7, 0.1)]
+# Six trees of depth two over these features, by rule: thresholds at the means, leaves in steps of a twentieth.
+TREES = [row for t in range(6) for row in (
+    *((t, n, COEF[(t + 3 * n) % len(COEF)][0], COEF[(t + 3 * n) % len(COEF)][2], 2 * n + 1, 2 * n + 2, 0.0) for n in range(3)),
+    *((t, n, None, None, -1, -1, ((7 * t + 3 * n) % 11 - 5) / 20) for n in range(3, 7)))]
 COEF_ROWS = ", ".join(f"('{n}', CAST({c} AS DOUBLE), CAST({m} AS DOUBLE))" for n, c, m in COEF)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +12,10 @@ from mailquarry import lists as L
 from mailquarry.functions import net, rows
 from mailquarry.functions import text as X
 from mailquarry.operators import (attribute, clean, corpus, evaluate, features, findings, headers, html, indicators, learn, mail, mime, reputation,
-                                  techniques, text, unwrap, urls, variants, verdict)
+                                  techniques, text, trees, unwrap, urls, variants, verdict)
 from mailquarry.operators.outlier import OutlierForest, minmax_scale
 from mailquarry.plans import fixtures as fx
-from mailquarry.plans import lookups, scoring
+from mailquarry.plans import lookups, registry, scoring
 from mailquarry.plans import oracles as o
 from mailquarry.plans.staging import scratch, written
 from mailquarry.sinks import exports
@@ -1058,6 +1058,24 @@ def linear_attribution(spark, d):
     return attribute.top_contributions(_contributions(spark, d), 6)
 
 
+o.cte("tree_node", "SELECT * FROM (VALUES " + ", ".join(f"({t}, {n}, {'NULL' if f is None else o.lit(f)}, {'NULL' if c is None else c}::DOUBLE, {a}, {b}, {v}::DOUBLE)" for t, n, f, c, a, b, v in lookups.TREES)
+      + ") AS t(tree, node, feature, threshold, l, r, value)")
+o.cte("tree_case", "SELECT mail_id, replaced, feature, CASE WHEN feature = replaced THEN mean ELSE value END AS value FROM contrib JOIN coef USING (feature), (SELECT '' AS replaced UNION ALL SELECT feature FROM coef)", "contrib", "coef")
+o.cte("tree_prob", """SELECT mail_id, replaced, 1 / (1 + exp(-2 * sum(leaf.value))) AS prob FROM tree_node root JOIN tree_case a ON a.feature = root.feature
+  JOIN tree_node inner_ ON inner_.tree = root.tree AND inner_.node = CASE WHEN a.value <= root.threshold THEN root.l ELSE root.r END JOIN tree_case b USING (mail_id, replaced)
+  JOIN tree_node leaf ON leaf.tree = root.tree AND leaf.node = CASE WHEN b.value <= inner_.threshold THEN inner_.l ELSE inner_.r END WHERE root.node = 0 AND b.feature = inner_.feature GROUP BY mail_id, replaced""", "tree_node", "tree_case")
+o.cte("tree_contrib", "SELECT mail_id, feature, value, round(w.prob - x.prob, 12) AS contribution FROM contrib JOIN tree_prob x USING (mail_id) JOIN tree_prob w USING (mail_id) WHERE x.replaced = feature AND w.replaced = ''", "contrib", "tree_prob")
+
+
+@query(f"SELECT mail_id, rank::INT AS rank, feature, round(value, 6) AS value, round(contribution, 6) AS contribution, contribution > 0 AS raises_risk FROM ({_TOP.replace('FROM contrib', 'FROM tree_contrib')}) WHERE rank <= 5", "tree_contrib")
+def tree_attribution(spark, d):
+    """The features whose means in their place change a tree ensemble's probability most."""
+    place = {n: i for i, n in enumerate(_COEF)}
+    nodes = spark.createDataFrame([(t, n, place.get(f, -1), c, a, b, v) for t, n, f, c, a, b, v in lookups.TREES], trees.NODES)
+    made = trees.contributions(features.scalar_features(parsed(spark, d)), nodes, trees.LOGISTIC, _COEF, [m for _, _, m in lookups.COEF])
+    return attribute.top_contributions(made, 5)
+
+
 @query("SELECT feature, round(avg(abs(contribution)), 6) AS importance FROM contrib GROUP BY feature", "contrib")
 def population_importance(spark, d):
     return attribute.population_importance(_contributions(spark, d))
@@ -1304,6 +1322,55 @@ def score_mails(spark, d):
                       "n_urls", F.size("domains").alias("n_domains"))
 
 
+def _centroid_sql() -> str:
+    """The fitted linear rule between the class means as an expression over ``fit_terms``."""
+    return "round(1 / (1 + exp(-((SELECT ln(any_value(n1)::DOUBLE / any_value(n0)) - sum(weight * (m1 + m0) / 2) FROM fit_terms) + " + " + ".join(
+        f"(SELECT weight FROM fit_terms WHERE feature = {o.lit(c)}) * {c}" for c in _COEF) + "))), 4)"
+
+
+o.cte("fit_terms", f"""SELECT feature, n1, n0, m1, m0, CASE WHEN n1 * v1 + n0 * v0 > 0 THEN (m1 - m0) / ((n1 * v1 + n0 * v0) / (n1 + n0)) ELSE 0 END AS weight FROM (
+    SELECT feature, count_if(label = 1) AS n1, count_if(label <> 1) AS n0, avg(value) FILTER (label = 1) AS m1, avg(value) FILTER (label <> 1) AS m0,
+      var_pop(value) FILTER (label = 1) AS v1, var_pop(value) FILTER (label <> 1) AS v0
+    FROM (UNPIVOT (SELECT mail_id, {', '.join(f'{c}::DOUBLE AS {c}' for c in _COEF)} FROM feat) ON {', '.join(_COEF)} INTO NAME feature VALUE value) JOIN (SELECT mail_id, label FROM mail) USING (mail_id) GROUP BY feature)""", "feat", "mail")
+
+
+@query()
+def score_mails_fitted(spark, d):
+    """Fit a model on the mails' features, publish it, and score the mails with the published version."""
+    p = mail_table(spark, d)
+    table = written(features.scalar_features(p, keep=("mail_id", "label")))
+    terms, intercept = learn.centroid_terms(table, _COEF)
+    root = scratch(spark)
+    registry.publish(spark.createDataFrame(terms, registry.TERMS), {"kind": registry.LINEAR, "intercept": intercept, "features": _COEF}, root, "centroid")
+    model, record = registry.load(spark, root, "centroid")
+    out = scoring.score_mails(p, snapshots(spark, p), lambda: F.round(registry.linear_probability(model, record), 4))
+    return out.select("mail_id", "prob", F.round("adjusted_prob", 6).alias("adjusted_prob"), "verdict", F.array_join("reasons", "; ").alias("reasons"))
+
+
+o.cte("fit_score", f"SELECT mail_id, {_centroid_sql()} AS prob FROM feat", "feat", "fit_terms")
+ORACLES["score_mails_fitted"] = o.with_ctes("SELECT c.mail_id, p.prob, round(adjusted_prob, 6) AS adjusted_prob, verdict, reasons FROM composite c JOIN pscore p USING (mail_id)", "fit_score", "composite").replace(
+    f"pscore AS (SELECT mail_id, {o.PROB} AS prob FROM feat)", "pscore AS (SELECT * FROM fit_score)")
+
+
+@query()
+def model_registry(spark, d):
+    """Train and compare models, publish the best, and score the rows with the published tables next to the fitted pipeline."""
+    data, names = training(spark, d), [f"v{i}" for i in range(64)]
+    fitted, scores, best = learn.train_all(data, ["lr", "rf"])
+    root = scratch(spark)
+    for name in scores:
+        registry.publish_model(fitted[name], names, root, name, {"model": name, "scores": scores})
+    plain = data.select("mail_id", *[vector_to_array("features")[i].alias(n) for i, n in enumerate(names)])
+    out = None
+    for name in scores:
+        table, record = registry.load(spark, root, name)
+        both = registry.scored(plain, table, record).join(learn.score(fitted[name], data).withColumnRenamed("prob", "direct"), "mail_id")
+        row = both.agg(F.lit(name).alias("model"), F.lit(name == best).alias("best"), F.lit(record["version"]).alias("version"), F.lit(record["kind"]).alias("kind"),
+                       F.lit(round(scores[name]["cv_f1_mean"], 6)).alias("cv_f1_mean"), F.count("*").alias("n_rows"), (F.max(F.abs(F.col("prob") - F.col("direct"))) < 1e-9).alias("agrees"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # --- exports ------------------------------------------------------------------------------
 
 @query("SELECT mail_id, CASE ioc_type WHEN 'email' THEN 'email-src' WHEN 'ip' THEN 'ip-src' WHEN 'hash' THEN 'sha256' ELSE ioc_type END AS type, value FROM ioc_all", "ioc_all")
