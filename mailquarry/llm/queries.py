@@ -89,6 +89,18 @@ def op6_url_rules(spark, sf_dir):
     return urlrules.judge(pages, RULES, labelled).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query(f"""SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM (
+  SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages) p
+  LEFT JOIN (VALUES {", ".join(f"('{r.host}', '{r.path}', '{r.text}', '{r.verdict}')" for r in RULES)}) r(h, start, rule, verdict)
+    ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, start) GROUP BY page_id, host, path""")
+def url_rules_fixed(spark, sf_dir):
+    """The part of op6 that stated rules decide: host, path, rule and verdict of every page; null where no rule fits."""
+    rule, verdict = urlrules.fixed(RULES)
+    parsed = table(spark, sf_dir, "pages").select("page_id", urlrules.host().alias("host"), urlrules.path().alias("path"))
+    return parsed.select("*", rule.alias("rule"), verdict.alias("verdict"))
+
+
 @query()
 def op7_main_text(spark, sf_dir):
     """Main text of every page."""
