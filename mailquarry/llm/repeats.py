@@ -40,7 +40,7 @@ SPAN = 256                  # places among which the anchor of a window is chose
 GRAM = 16                   # bytes of a hashed place
 BUCKET_ITEMS = 20_000       # items for each bucket, about
 MOST = 50_000               # different suffixes of one core that a bucket takes
-ITEM = "th binary, anchor long, low int, high int, width int, key long, whole long"
+ITEM = "th binary, anchor long, low int, high int, width int, key long, whole long, n long"
 _HEAD = struct.Struct("<II")
 _ROW = np.dtype([("shared", "<u4"), ("rest", "<u4"), ("left", "<u4"), ("low", "<u4"), ("high", "<u4"), ("several", "u1"), ("th", "V16"), ("base", "<i8")])
 
@@ -87,14 +87,14 @@ def _items(rows: DataFrame, length: int, span: int) -> DataFrame:
                 text, anchor, low, high = anchors(data, borders, length, span)
                 if len(text):
                     key, whole = keyed(prefix_hash(data), borders[text], anchor, low, high, span, length)
-                    yield _item_batch(part.column("th").take(pa.array(text)), anchor, low, high, span, key, whole)
+                    yield _item_batch(part.column("th").take(pa.array(text)), anchor, low, high, span, key, whole, np.ones(len(key), np.int64))
 
     return rows.select("th", "text").mapInArrow(run, ITEM)
 
 
-def _item_batch(th, anchor, low, high, width, key, whole) -> pa.RecordBatch:
-    columns = [th, pa.array(anchor), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(np.full(len(key), width, np.int32)), pa.array(key), pa.array(whole)]
-    return pa.RecordBatch.from_arrays(columns, ["th", "anchor", "low", "high", "width", "key", "whole"])
+def _item_batch(th, anchor, low, high, width, key, whole, n) -> pa.RecordBatch:
+    columns = [th, pa.array(anchor), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(np.full(len(key), width, np.int32)), pa.array(key), pa.array(whole), pa.array(n)]
+    return pa.RecordBatch.from_arrays(columns, ["th", "anchor", "low", "high", "width", "key", "whole", "n"])
 
 
 def _texts(rows: DataFrame, grouped: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def _texts(rows: DataFrame, grouped: DataFrame) -> DataFrame:
 
 def _by_text(items: DataFrame) -> DataFrame:
     """Items of each text in a list, with the number of rows that have it."""
-    same = items.groupBy("th", "anchor", "low", "high", "width", "key").agg(F.count("*").alias("n"))
+    same = items.groupBy("th", "anchor", "low", "high", "width", "key").agg(F.sum("n").alias("n"))
     return written(same.groupBy("th").agg(F.collect_list(F.struct("anchor", "low", "high", "width", "n")).alias("items")))     # bounded by the text's length
 
 
@@ -123,20 +123,21 @@ def _halved(rows: DataFrame, items: DataFrame, length: int) -> DataFrame:
                         for x in own:
                             if x["width"] == width:
                                 for block in range(x["low"] // half, x["high"] // half + 1):
-                                    split += [(x["anchor"], max(x["low"], block * half), min(x["high"], block * half + half - 1))] * x["n"]
-                        anchor, low, high = (np.array(c, np.int64) for c in zip(*split, strict=True))
+                                    split.append((x["anchor"], max(x["low"], block * half), min(x["high"], block * half + half - 1), x["n"]))
+                        anchor, low, high, n = (np.array(c, np.int64) for c in zip(*split, strict=True))
                         key, whole = keyed(prefix, np.full(len(anchor), borders[k]), anchor, low, high, half, length)
                         th = part.column("th").take(pa.array(np.full(len(anchor), k)))
-                        yield _item_batch(th, anchor, low, high, half, key, whole)
+                        yield _item_batch(th, anchor, low, high, half, key, whole, n)
 
     return _texts(rows, _by_text(items)).select("th", "text", "items").mapInArrow(run, ITEM)
 
 
 def _repeated(items: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """The items whose core occurs again, and those of them with too many different suffixes."""
-    seen = items.groupBy("key", "whole").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    again = items.join(seen.where("n > 1").select("key", "kinds"), "key")
-    columns = ["th", "anchor", "low", "high", "width", "key"]
+    seen = items.groupBy("key", "whole").agg(F.sum("n").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+    seen = written(seen.where("n > 1").select("key", "kinds"))             # a table of its own, so that adaptive execution can split a key with many items
+    again = maybe(items, "key", bitmap(seen, "key", seen.count())).join(seen, "key")
+    columns = ["th", "anchor", "low", "high", "width", "key", "n"]
     return again.where(F.col("kinds") <= most).select(*columns), again.where(F.col("kinds") > most).select(*columns)
 
 
