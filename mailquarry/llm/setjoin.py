@@ -185,8 +185,10 @@ def _index(marked: DataFrame, nodes: DataFrame, a: int, b: int) -> DataFrame:
     entries = maybe(marked.select(F.col("row").alias("node"), "n", F.posexplode("prefix").alias("position", "element")), "element", bitmap(several, "element", several.count()))
     reach = F.floor((F.col("n") - F.col("position")) * ((a + b) / a) - F.col("n") + 1e-6)          # the largest set that can be linked, if this is the first common element
     entries = written(entries.withColumn("reach", reach).drop("position").join(nodes.select("node"), "node"))
-    sizes = entries.groupBy("element").agg(F.count("*").alias("length")).where("length > 1")
-    entries = written(entries.join(sizes, "element"))
+    sizes = entries.groupBy("element").agg(F.count("*").alias("length"), F.sum("n").alias("sum_n"), F.sum("reach").alias("sum_reach")).where("length > 1")
+    both = entries.join(sizes, "element").withColumn("other_n", F.col("sum_n") - F.col("n")).withColumn("other_reach", F.col("sum_reach") - F.col("reach"))
+    fits = f"n * {b} >= other_n * {a} AND other_n * {b} >= n * {a} AND n <= other_reach AND other_n <= reach"          # a list of two is one pair
+    entries = written(both.where(f"length > 2 OR {fits}").drop("sum_n", "sum_reach", "other_n", "other_reach"))
     weight = entries.groupBy("node").agg(F.sum("length").alias("weight"))              # how many others a set meets
     centre = entries.join(weight, "node").groupBy("element").agg(F.max_by(F.struct("node", "n", "reach"), F.struct("weight", "node")).alias("centre"))
     return written(entries.join(centre, "element"))
