@@ -209,8 +209,10 @@ def _sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, n_wanted: int, c
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets are at least so similar."""
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("elements").alias(f"{c}_set"))
+    """The pairs (a, b) whose sets are at least so similar; only the sets of these pairs are shuffled."""
+    pairs = written(pairs)
+    n = pairs.count()
+    side = lambda c: maybe(sets.select(F.col("node").alias(c), F.col("elements").alias(f"{c}_set")), c, bitmap(pairs.select(c), c, n))
     both = F.size(F.array_intersect("a_set", "b_set"))
     ratio = both / (F.size("a_set") + F.size("b_set") - both)
     return pairs.join(side("a"), "a").join(side("b"), "b").where(ratio >= least).select("a", "b")
