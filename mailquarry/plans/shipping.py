@@ -16,6 +16,6 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        base = os.path.join(tempfile.mkdtemp(prefix="spark-"), os.path.basename(package))        # the driver's own copy, which Spark serves
+        base = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="spark-")), os.path.basename(package))        # the driver's own copy, which Spark serves
         context.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package)))
         _SHIPPED.add(context.applicationId)
