@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailquarry import lists as L
-from mailquarry.operators import clean, headers, html, text, urls
+from mailquarry.operators import clean, headers, html, sparse, text, urls
 from mailquarry.operators.mail import body_choice
 
 SCALARS = ([f"hdr_{n}" for n in L.HEADER_FEATURES]
@@ -58,28 +57,11 @@ def text_for_model() -> Column:
     return body_choice()
 
 
-def feature_vector(table: DataFrame, names: Sequence[str] | None = None, tfidf: DataFrame | None = None,
-                   vocabulary: Sequence[str] = (), embedding: str | None = None, embedding_dim: int = L.EMBEDDING_DIM) -> DataFrame:
-    """Add ``features``: scalars, dense vector and TF-IDF terms in a fixed order, by name.
-
-    ``tfidf`` holds ``mail_id, tfidf`` (map of term weights), ``vocabulary`` the ordered terms. The vector
-    stays sparse where it pays.
-    """
-    from pyspark.ml.functions import array_to_vector
-
+def feature_vector(table: DataFrame, names: Sequence[str] | None = None, tfidf: str | None = None, n_terms: int = 0,
+                   embedding: str | None = None, embedding_dim: int = L.EMBEDDING_DIM) -> DataFrame:
+    """Adds ``features`` by :func:`sparse.feature_rows`, over all scalar features of the table by default."""
     names = list(names or [n for n in [*SCALARS, *INTEL] if n in table.columns])
-    df = table.select("*", *[clean.zero_if_not_finite(F.col(n)).alias(f"_v_{n}") for n in names])
-    inputs = [f"_v_{n}" for n in names]
-    if embedding:
-        df = df.withColumn("_embedding", array_to_vector(F.slice(F.col(embedding), 1, embedding_dim).cast("array<double>")))
-        inputs.append("_embedding")
-    if tfidf is not None:
-        weights = F.transform(F.array(*[F.lit(t) for t in vocabulary]), lambda t: F.coalesce(F.element_at("tfidf", t), F.lit(0.0)))
-        df = df.join(tfidf.withColumnRenamed("doc_id", "mail_id") if "doc_id" in tfidf.columns else tfidf, "mail_id", "left")
-        df = df.withColumn("_tfidf", array_to_vector(F.when(F.col("tfidf").isNull(), F.array_repeat(F.lit(0.0), len(vocabulary))).otherwise(weights)))
-        inputs.append("_tfidf")
-    out = VectorAssembler(inputCols=inputs, outputCol="features").transform(df)
-    return out.drop(*[c for c in out.columns if c.startswith("_v_")], "_embedding", "_tfidf", "tfidf")
+    return sparse.feature_rows(table, names, embedding, embedding_dim, tfidf, n_terms)
 
 
 def long_form(table: DataFrame, names: Sequence[str], id_col: str = "mail_id", extra: Sequence[str] = ()) -> DataFrame:

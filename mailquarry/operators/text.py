@@ -103,11 +103,6 @@ def tfidf_weights(docs: DataFrame, doc_id: str, text: str, vocabulary: DataFrame
             .select("doc_id", "term", (F.col("w") / F.col("_norm")).alias("weight")))
 
 
-def tfidf_map(weights: DataFrame) -> DataFrame:
-    """``doc_id, tfidf``: the weights of a document as a map, at most one entry per vocabulary term."""
-    return weights.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("tfidf"))
-
-
 # --- dense vectors ------------------------------------------------------------------------
 
 def attach_embeddings(mails: DataFrame, vectors: DataFrame, dim: int = L.EMBEDDING_DIM) -> DataFrame:

@@ -12,7 +12,7 @@ from mailquarry import lists as L
 from mailquarry.functions import net, rows
 from mailquarry.functions import text as X
 from mailquarry.operators import (attribute, clean, corpus, evaluate, features, findings, headers, html, indicators, learn, mail, mime, reputation,
-                                  techniques, text, trees, unwrap, urls, variants, verdict)
+                                  sparse, techniques, text, trees, unwrap, urls, variants, verdict)
 from mailquarry.operators.outlier import OutlierForest, minmax_scale
 from mailquarry.plans import fixtures as fx
 from mailquarry.plans import lookups, registry, scoring
@@ -755,18 +755,57 @@ def feature_profile(spark, d):
     return features.feature_profile(full_features(spark, d), _ALL)
 
 
-@query()
+_MAIL_BODY = "CASE WHEN body_text <> '' THEN body_text ELSE body_html END"
+o.cte("mtok", f"SELECT mail_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM (SELECT mail_id, regexp_extract_all(translate(lower({_MAIL_BODY}), {o.lit(X.ACCENTS[0])}, {o.lit(X.ACCENTS[1])}), "
+      + o.lit(r"[\p{L}\p{N}_]{2,}") + ") AS w FROM mail)", "mail")
+o.cte("mterm", "SELECT mail_id, t AS term FROM mtok UNION ALL SELECT mail_id, t || ' ' || nxt FROM (SELECT mail_id, t, lead(t) OVER (PARTITION BY mail_id ORDER BY i) AS nxt FROM mtok) WHERE nxt IS NOT NULL", "mtok")
+o.cte("mvocab", "SELECT *, row_number() OVER (ORDER BY term) - 1 AS pos FROM (SELECT term, count(*) AS tf, count(DISTINCT mail_id) AS df, "
+      "ln(((SELECT count(*) FROM mail) + 1)::DOUBLE / (count(DISTINCT mail_id) + 1)) + 1 AS idf FROM mterm GROUP BY term HAVING count(DISTINCT mail_id) >= 2 ORDER BY tf DESC, term LIMIT 500)", "mterm", "mail")
+o.cte("mweight", "SELECT mail_id, pos, w / sqrt(sum(w * w) OVER (PARTITION BY mail_id)) AS value FROM (SELECT mail_id, pos, (1 + ln(count(*))) * any_value(idf) AS w FROM mterm JOIN mvocab USING (term) GROUP BY mail_id, pos)",
+      "mterm", "mvocab")
+_DIM = 64
+
+
+def published_vocabulary(spark: SparkSession, mails: DataFrame) -> tuple[DataFrame, dict]:
+    """The vocabulary of the mails' texts as it is read back from its published version."""
+    root = scratch(spark)
+    texts = mails.select("mail_id", features.text_for_model().alias("text"))
+    registry.publish_vocabulary(sparse.ordered_vocabulary(texts, "mail_id", "text"), _ALL, _DIM, root, "mail_terms")
+    return registry.load(spark, root, "mail_terms")
+
+
+def mail_weights(mails: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    texts = mails.select("mail_id", features.text_for_model().alias("text"))
+    return sparse.tfidf_rows(texts, "mail_id", "text", vocabulary).withColumnRenamed("doc_id", "mail_id")
+
+
+@query("SELECT term, pos::INT AS pos, tf, df, round(idf, 6) AS idf, 1 AS version FROM mvocab", "mvocab")
+def vocabulary_saved(spark, d):
+    vocabulary, record = published_vocabulary(spark, mail_table(spark, d))
+    return rounded(vocabulary.select("term", "pos", "tf", "df", "idf", F.lit(record["version"]).alias("version")))
+
+
+@query("SELECT m.mail_id, count(t.term)::INT AS n_terms, count_if(t.term IS NOT NULL AND v.term IS NULL)::INT AS n_unseen, count(DISTINCT v.term)::INT AS n_known FROM mail m LEFT JOIN mterm t USING (mail_id) "
+       "LEFT JOIN mvocab v USING (term) GROUP BY m.mail_id", "mail", "mterm", "mvocab")
+def vocabulary_use(spark, d):
+    p = mail_table(spark, d)
+    return mail_weights(p, published_vocabulary(spark, p)[0]).select("mail_id", "n_terms", "n_unseen", F.size("tfidf.indices").alias("n_known"))
+
+
+@query(f"SELECT mail_id, index::INT AS index, round(value, 6) AS value, (SELECT count(*) FROM mvocab)::INT + {len(_ALL) + _DIM} AS width FROM ("
+       f"SELECT mail_id, list_position([{', '.join(map(o.lit, _ALL))}], name) - 1 AS index, value FROM (UNPIVOT (SELECT mail_id, {', '.join(f'{c}::DOUBLE AS {c}' for c in _ALL)} FROM feat) ON {', '.join(_ALL)} INTO NAME name VALUE value) "
+       f"UNION ALL SELECT vec_id, {len(_ALL)} + i, embedding[i + 1]::DOUBLE FROM embeddings JOIN feat ON vec_id = mail_id, range({_DIM}) r(i) "
+       f"UNION ALL SELECT mail_id, {len(_ALL) + _DIM} + pos, value FROM mweight) WHERE value <> 0", "feat", "mvocab", "mweight")
 def feature_vector(spark, d):
-    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("mail_id"), "text")
-    vocabulary = text.tfidf_vocabulary(docs, "mail_id", "text", size=500)
-    terms = [r["term"] for r in vocabulary.select("term").orderBy("term").collect()]        # fixed vocabulary size
-    weights = text.tfidf_map(text.tfidf_weights(docs, "mail_id", "text", vocabulary))
+    """Entries of the sparse vector of every mail: scalars, dense part and the terms of a published vocabulary."""
+    p = mail_table(spark, d)
+    vocabulary, record = published_vocabulary(spark, p)
+    size = vocabulary.count()
     vec = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("mail_id"), "embedding")
-    table = text.attach_embeddings(features.scalar_features(parsed(spark, d)), vec, dim=64)
-    from pyspark.ml.functions import vector_to_array
-    out = features.feature_vector(table, tfidf=weights, vocabulary=terms, embedding="embedding", embedding_dim=64)
-    v = vector_to_array("features")
-    return out.select("mail_id", F.size(v).alias("width"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    table = text.attach_embeddings(scoring.feature_table(p, snapshots(spark, p)), vec, dim=_DIM).join(mail_weights(p, vocabulary), "mail_id")
+    parts = features.feature_vector(table, record["features"], "tfidf", size, "embedding", record["embedding_dim"]).select("mail_id", "features")
+    vectors = sparse.as_vectors(parts, scratch(spark))
+    return sparse.vector_entries(vectors.withColumn("width", F.unwrap_udt("features")["size"]), ["mail_id", "width"]).select("mail_id", "index", F.round("value", 6).alias("value"), "width")
 
 
 # --- learning -----------------------------------------------------------------------------

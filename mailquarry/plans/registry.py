@@ -2,7 +2,7 @@
 
 A version is a folder that appears at once: its tables and its record are written beside it and then renamed, which fails
 if another publisher was first; then the next number is taken. Readers see whole versions only, and none is ever changed.
-A linear model is a table of terms, a tree ensemble a table of nodes.
+A linear model is a table of terms, a tree ensemble a table of nodes, a vocabulary a table of terms with positions and weights.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from mailquarry.operators import clean, learn, trees
 from mailquarry.plans.staging import scratch
 
-LINEAR, TREES = "linear", "trees"
+LINEAR, TREES, VOCABULARY = "linear", "trees", "vocabulary"
 TERMS = "feature string, weight double"
 
 
@@ -81,6 +81,11 @@ def publish_model(model: PipelineModel, names: Sequence[str], root: str, name: s
     return publish(table, {**(record or {}), **own, "features": list(names)}, root, name)
 
 
+def publish_vocabulary(vocabulary: DataFrame, names: Sequence[str], embedding_dim: int, root: str, name: str) -> int:
+    """Publishes a vocabulary with the layout of the vectors over it: scalar names, width of the dense part, terms."""
+    return publish(vocabulary, {"kind": VOCABULARY, "features": list(names), "embedding_dim": embedding_dim}, root, name)
+
+
 def linear_probability(table: DataFrame, record: dict) -> Column:
     """Probability as an expression over the feature columns."""
     terms = sorted(table.collect())                     # one row per feature
