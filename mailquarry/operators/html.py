@@ -1,7 +1,7 @@
 """HTML structure features from a tag scan; one projection per row, no parser, no shuffle.
 
-Comments and the contents of script and style blocks are removed first. Limits: a ``>`` inside an
-attribute value ends the tag, and an unclosed tag is read as written.
+Comments and the contents of script and style blocks are removed first, in one scan that takes tags with their quoted
+values as units. An unclosed tag is read as written.
 """
 
 from __future__ import annotations
@@ -12,20 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailquarry import lists as L
-from mailquarry.functions import net
+from mailquarry.functions import net, tags
 from mailquarry.functions import text as X
-from mailquarry.operators.mail import attribute
+from mailquarry.functions.tags import attribute, without_hidden, without_tags
 
 _DOMAIN_TEXT = r"[a-zA-Z0-9_\-]+\.[a-zA-Z]{2,}"
 
 
-def without_scripts(html: Column) -> Column:
-    c = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    return F.regexp_replace(c, r"(?is)(<(?:script|style)\b[^>]*>).*?(</(?:script|style)\s*>)", "$1$2")
-
-
 def visible_text(clean: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(clean, "<[^>]*>", ""), r"&nbsp;|&#160;", " ")
+    return F.regexp_replace(without_tags(clean), r"&nbsp;|&#160;", " ")
 
 
 def _is(tag: Column, *names: str) -> Column:
@@ -37,14 +32,14 @@ def _has(tag: Column, name: str) -> Column:
     return bare.rlike(rf"""(?i)[\s"'/]{name}(?:[\s=/]|>)""")
 
 
-def _count(tags: Column, condition) -> Column:
-    return F.size(F.filter(tags, condition))
+def _count(found: Column, condition) -> Column:
+    return F.size(F.filter(found, condition))
 
 
 def is_mismatch(anchor: Column) -> Column:
     """Does an anchor show one domain and lead to another?"""
-    href = X.strip(attribute(F.regexp_extract(anchor, r"(?i)^<a\b[^>]*>", 0), "href"))
-    shown = X.strip(F.regexp_replace(anchor, "<[^>]*>", ""))
+    href = X.strip(attribute(F.regexp_extract(anchor, tags.ANCHOR, 0), "href"))
+    shown = X.strip(without_tags(anchor))
     usable = href.rlike("^https?://") & (shown != "")
     ip_link = href.rlike(rf"^https?://{net.IPV4}") & shown.rlike(r"[a-zA-Z]{3,}\.[a-zA-Z]{2,}")
     to = F.regexp_replace(F.lower(net.netloc(href)), r"^www\.", "")
@@ -53,16 +48,16 @@ def is_mismatch(anchor: Column) -> Column:
     return usable & (ip_link | other)
 
 
-def meta_refresh(tags: Column) -> Column:
+def meta_refresh(found: Column) -> Column:
     """1 if a meta tag sends the reader on after a delay."""
-    return F.exists(tags, lambda t: _is(t, "meta") & (F.lower(attribute(t, "http-equiv")) == "refresh")
+    return F.exists(found, lambda t: _is(t, "meta") & (F.lower(attribute(t, "http-equiv")) == "refresh")
                     & F.contains(F.lower(attribute(t, "content")), F.lit("url="))).cast("int")
 
 
 def with_tags(df: DataFrame, html: str) -> DataFrame:
     """Add ``_clean`` and ``_tags``, each computed once."""
-    df = df.withColumn("_clean", without_scripts(F.col(html)))
-    return df.withColumn("_tags", F.regexp_extract_all("_clean", F.lit(r"<[a-zA-Z][^>]*>"), F.lit(0)))
+    df = df.withColumn("_clean", without_hidden(F.col(html)))
+    return df.withColumn("_tags", F.regexp_extract_all("_clean", F.lit(tags.OPEN), F.lit(0)))
 
 
 def html_features(df: DataFrame, html: str = "body_html", suffixes: Iterable[str] | None = None,
@@ -70,30 +65,30 @@ def html_features(df: DataFrame, html: str = "body_html", suffixes: Iterable[str
     """``html_*`` columns. ``max_chars`` optionally bounds the text that is scanned."""
     if max_chars is not None:
         df = df.withColumn(html, F.substring(html, 1, max_chars))
-    tags = F.col("_tags")
+    found = F.col("_tags")
     hidden = "(?i)" + "|".join(f"(?:{p})" for p in L.HIDDEN_STYLES)
     pixel = lambda t: ((attribute(t, "width") == "1") & (attribute(t, "height") == "1")) | F.contains(F.lower(attribute(t, "src")), F.lit("tracking"))
     sheet = lambda t: (_is(t, "link") & F.contains(F.lower(attribute(t, "rel")), F.lit("stylesheet"))
                        & F.startswith(attribute(t, "href"), F.lit("http")))
-    hrefs = F.transform(F.filter(tags, lambda t: _is(t, "a") & _has(t, "href")), lambda t: attribute(t, "href"))
+    hrefs = F.transform(F.filter(found, lambda t: _is(t, "a") & _has(t, "href")), lambda t: attribute(t, "href"))
     staged = with_tags(df, html).select(
         *keep, "_clean", "_tags",
-        F.regexp_extract_all("_clean", F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), F.lit(0)).alias("_anchors"),
+        F.regexp_extract_all("_clean", F.lit(tags.LINKED), F.lit(0)).alias("_anchors"),
         hrefs.alias("_hrefs"),
         X.word_count(visible_text(F.col("_clean"))).alias("_words"),
-        _count(tags, lambda t: _is(t, "img")).alias("_images"))
+        _count(found, lambda t: _is(t, "img")).alias("_images"))
     hosts = net.run_stages_in_array(F.filter("_hrefs", lambda h: F.startswith(h, F.lit("http"))), "url", net.domain_stages("url", suffixes))
     domains = F.array_distinct(F.filter(F.transform(hosts, lambda s: s["domain"]), lambda d: d != ""))
     staged = staged.withColumn("_domains", F.size(domains)).withColumn("_links", F.size("_hrefs"))
     cols = {
         "href_text_mismatch_count": _count(F.col("_anchors"), is_mismatch),
-        "external_form_action": F.exists(tags, lambda t: _is(t, "form") & attribute(t, "action").rlike("^https?://")).cast("int"),
-        "hidden_text_count": _count(tags, lambda t: attribute(t, "style").rlike(hidden)) + _count(tags, lambda t: _has(t, "hidden")),
+        "external_form_action": F.exists(found, lambda t: _is(t, "form") & attribute(t, "action").rlike("^https?://")).cast("int"),
+        "hidden_text_count": _count(found, lambda t: attribute(t, "style").rlike(hidden)) + _count(found, lambda t: _has(t, "hidden")),
         "image_to_text_ratio": F.when(F.col("_words") == 0, F.col("_images").cast("double")).otherwise(F.col("_images") / F.col("_words")),
-        "tracking_pixel_count": _count(tags, lambda t: _is(t, "img") & pixel(t)),
+        "tracking_pixel_count": _count(found, lambda t: _is(t, "img") & pixel(t)),
         "base64_content_count": F.regexp_count("_clean", F.lit(r"(?i)data:[^;]+;base64,")),
-        "javascript_count": _count(tags, lambda t: _is(t, "script")),
-        "external_css_count": _count(tags, sheet),
+        "javascript_count": _count(found, lambda t: _is(t, "script")),
+        "external_css_count": _count(found, sheet),
         "total_links": F.col("_links"),
         "unique_domains_in_links": F.col("_domains"),
         "link_domain_diversity": F.when(F.col("_links") == 0, F.lit(0.0)).otherwise(F.col("_domains") / F.col("_links")),

@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailquarry.functions import net, rows
+from mailquarry.functions import net, rows, tags
 from mailquarry.functions import text as X
 from mailquarry.operators import mime
 
@@ -109,17 +109,11 @@ def with_fields(df: DataFrame, dump: int | None = None, any_charset: bool = Fals
     return raw.select(*[F.col("_text")[FREE_TEXT.index(c)].alias(c) if c in FREE_TEXT else F.col(c) for c in raw.columns if c != "_text"])
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute in a tag text, '' when absent."""
-    pattern = rf"""(?i)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
-
-
 def links(text: Column, html: Column) -> Column:
     """Ordered distinct links: from text, from HTML source, from a[href], then from img/iframe[src]."""
-    hrefs = F.transform(F.regexp_extract_all(html, F.lit(r"(?i)<a\b[^>]*>"), F.lit(0)), lambda t: X.strip(attribute(t, "href")))
-    srcs = F.transform(F.regexp_extract_all(html, F.lit(r"(?i)<(?:img|iframe)\b[^>]*>"), F.lit(0)),
-                       lambda t: X.strip(attribute(t, "src")))
+    hrefs = F.transform(F.regexp_extract_all(html, F.lit(tags.ANCHOR), F.lit(0)), lambda t: X.strip(tags.attribute(t, "href")))
+    srcs = F.transform(F.regexp_extract_all(html, F.lit(tags.SOURCE), F.lit(0)),
+                       lambda t: X.strip(tags.attribute(t, "src")))
     absolute = F.filter(F.concat(hrefs, srcs), lambda u: u.rlike("^(?i)https?://"))
     found = F.concat(F.regexp_extract_all(text, F.lit(net.URL_IN_TEXT), F.lit(0)),
                      F.regexp_extract_all(html, F.lit(net.URL_IN_TEXT), F.lit(0)), absolute)

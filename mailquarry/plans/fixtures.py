@@ -160,6 +160,8 @@ SELECT 1000000000 + k AS mail_id,
        WHEN 6 THEN '<meta http-equiv="refresh" content="0; url=http://next.example.com/">'
        WHEN 7 THEN '<script>1</script><script>2</script><script src="http://s.example.com/x.js"></script>'
        WHEN 8 THEN '<form action="/local"></form><a href="https://one.example.com">1</a><a href="https://two.example.de/">2</a><a href="https://shop.example.com/x">3</a>'
+         || '<a title="a > b" href="https://four.example.net/q">www.bank.example.com</a><img alt="src=''http://fake.example.com/'' >" src="https://real.example.net/' || s || '.png">'
+         || '<b title="<!-- ">t</b><i title="-->">u</i><script data-x="a>b">hidden > here</script>'
        ELSE '<span style="color:#ffffff">h</span><td style="height:0;">h</td><iframe src="https://frame.example.click/in"></iframe>' END AS raw_email,
     CAST(CASE WHEN k % 3 = 2 OR k % 9 = 0 THEN 1 ELSE 0 END AS INT) AS label, 'pages' AS source
 FROM page"""

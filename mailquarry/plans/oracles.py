@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from mailquarry import lists as L
-from mailquarry.functions import net
+from mailquarry.functions import net, tags
 from mailquarry.functions import text as X
 from mailquarry.operators.mail import FIELDS
 from mailquarry.plans import fixtures, lookups
@@ -67,9 +67,16 @@ def field(head: str, name: str) -> str:
     return strip(ext(head, rf"(?i)(?:^|\n){name}:[ \t]*([^\n]*)", 1))
 
 
+def re2(pattern: str) -> str:
+    """The pattern without possessive repeats."""
+    return pattern.replace("*+", "*").replace("++", "+").replace("?+", "?")
+
+
 def attr(tag: str, name: str) -> str:
-    p = rf"""(?i)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return "(" + " || ".join(ext(tag, p, i) for i in (1, 2, 3)) + ")"
+    value = rf"""(?i)^{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)$"""
+    found = f"list_filter({every(f'substr({tag}, 2)', re2(tags.UNIT))}, lambda u: {has('u', value)})[1]"
+    bare = sub(ext(found, value, 1), "^[\"']|[\"']$", "")
+    return f"coalesce({bare}, '')"
 
 
 def has_attr(tag: str, name: str) -> str:
@@ -176,9 +183,9 @@ cte("raw_link", f"""
   SELECT mail_id, 1 AS grp, unnest(u) AS url, generate_subscripts(u, 1) AS i FROM (SELECT mail_id, {every("body_text", net.URL_IN_TEXT)} AS u FROM mail)
   UNION ALL SELECT mail_id, 2, unnest(u), generate_subscripts(u, 1) FROM (SELECT mail_id, {every("body_html", net.URL_IN_TEXT)} AS u FROM mail)
   UNION ALL SELECT mail_id, 3, {strip(attr("t", "href"))}, i FROM (SELECT mail_id, unnest(u) AS t, generate_subscripts(u, 1) AS i FROM (
-      SELECT mail_id, {every("body_html", r"(?i)<a\b[^>]*>")} AS u FROM mail)) WHERE {has(strip(attr("t", "href")), "^(?i)https?://")}
+      SELECT mail_id, {every("body_html", re2(tags.ANCHOR))} AS u FROM mail)) WHERE {has(strip(attr("t", "href")), "^(?i)https?://")}
   UNION ALL SELECT mail_id, 4, {strip(attr("t", "src"))}, i FROM (SELECT mail_id, unnest(u) AS t, generate_subscripts(u, 1) AS i FROM (
-      SELECT mail_id, {every("body_html", r"(?i)<(?:img|iframe)\b[^>]*>")} AS u FROM mail)) WHERE {has(strip(attr("t", "src")), "^(?i)https?://")}""", "mail")
+      SELECT mail_id, {every("body_html", re2(tags.SOURCE))} AS u FROM mail)) WHERE {has(strip(attr("t", "src")), "^(?i)https?://")}""", "mail")
 cte("mail_url", f"""
   SELECT mail_id, url, row_number() OVER (PARTITION BY mail_id ORDER BY first) - 1 AS pos FROM (
     SELECT mail_id, {sub("url", r'''[.,;)'"]+$''', "")} AS url, min(grp * 1000000 + i) AS first FROM raw_link GROUP BY 1, 2) WHERE url <> ''""", "raw_link")
@@ -250,21 +257,21 @@ HIDDEN_RE2 = "(?i)" + "|".join(f"(?:{p})" for p in L.HIDDEN_STYLES).replace(r"0(
 
 def html_ctes(prefix: str, src: str, key: str, column: str, *deps: str) -> None:
     p = prefix
-    cte(f"{p}_clean", f"SELECT {key}, {sub(sub(column, r'(?s)<!--.*?-->', ''), r'(?is)(<(?:script|style)\b[^>]*>).*?(</(?:script|style)\s*>)', chr(92) + '1' + chr(92) + '2')} AS clean FROM {src}", *deps)
-    cte(f"{p}_tag", f"SELECT {key}, unnest(t) AS tag FROM (SELECT {key}, {every('clean', '<[a-zA-Z][^>]*>')} AS t FROM {p}_clean)", f"{p}_clean")
+    cte(f"{p}_clean", f"SELECT {key}, {sub(column, re2(tags.HIDDEN), chr(92) + '1' + chr(92) + '2' + chr(92) + '3')} AS clean FROM {src}", *deps)
+    cte(f"{p}_tag", f"SELECT {key}, unnest(t) AS tag FROM (SELECT {key}, {every('clean', re2(tags.OPEN))} AS t FROM {p}_clean)", f"{p}_clean")
     cte(f"{p}_href", f"SELECT {key}, {attr('tag', 'href')} AS href FROM {p}_tag WHERE {has('tag', r'(?i)^<a' + chr(92) + 'b')} AND {has_attr('tag', 'href')}", f"{p}_tag")
     cte(f"{p}_hdom", domains_of(f"(SELECT DISTINCT href FROM {p}_href WHERE starts_with(href, 'http'))", "href", _host("href")), f"{p}_href")
     cte(f"{p}_links", f"SELECT {key}, count(*) AS links, count(DISTINCT CASE WHEN domain <> '' THEN domain END) AS domains FROM {p}_href LEFT JOIN {p}_hdom USING (href) GROUP BY {key}",
         f"{p}_href", f"{p}_hdom")
-    href = strip(attr(ext("a", r"(?i)^<a\b[^>]*>"), "href"))
-    cte(f"{p}_anchor", f"SELECT {key}, {href} AS href, {strip(sub('a', '<[^>]*>', ''))} AS shown FROM (SELECT {key}, unnest(x) AS a FROM (SELECT {key}, {every('clean', r'(?is)<a' + chr(92) + r'b[^>]*>.*?</a' + chr(92) + 's*>')} AS x FROM {p}_clean))", f"{p}_clean")
+    href = strip(attr(ext("a", re2(tags.ANCHOR)), "href"))
+    cte(f"{p}_anchor", f"SELECT {key}, {href} AS href, {strip(sub('a', re2(tags.ANY), ''))} AS shown FROM (SELECT {key}, unnest(x) AS a FROM (SELECT {key}, {every('clean', re2(tags.LINKED))} AS x FROM {p}_clean))", f"{p}_clean")
     to = sub(f"lower({netloc('href')})", r"^www\.", "")
     says = sub(f"lower({ext('shown', r'[a-zA-Z0-9_' + chr(92) + r'-]+' + chr(92) + '.[a-zA-Z]{2,}')})", r"^www\.", "")
     cte(f"{p}_mis", f"""SELECT {key}, count(*) AS mismatches FROM {p}_anchor WHERE {has('href', '^https?://')} AND shown <> '' AND (
         ({has('href', '^https?://' + net.IPV4)} AND {has('shown', '[a-zA-Z]{3,}[.][a-zA-Z]{2,}')})
         OR ({has('shown', '[a-zA-Z0-9][.-][a-zA-Z]{2,}')} AND {to} <> '' AND {says} <> '' AND {to} <> {says})) GROUP BY {key}""", f"{p}_anchor")
     is_ = lambda n: has("tag", rf"(?i)^<(?:{n})\b")
-    words = n_words(sub(sub("clean", "<[^>]*>", ""), "&nbsp;|&#160;", " "))
+    words = n_words(sub(sub("clean", re2(tags.ANY), ""), "&nbsp;|&#160;", " "))
     cte(f"{p}_agg", f"""SELECT {key}, coalesce(max(({is_('form')} AND {has(attr('tag', 'action'), '^https?://')})::INT), 0) AS form,
         (count_if({has(attr('tag', 'style'), HIDDEN_RE2)}) + count_if({has_attr('tag', 'hidden')}))::BIGINT AS hidden, count_if({is_('img')})::BIGINT AS images,
         count_if({is_('img')} AND (({attr('tag', 'width')} = '1' AND {attr('tag', 'height')} = '1') OR contains(lower({attr('tag', 'src')}), 'tracking')))::BIGINT AS pixels,
