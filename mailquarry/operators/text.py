@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,25 +108,3 @@ def attach_embeddings(mails: DataFrame, vectors: DataFrame, dim: int = L.EMBEDDI
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
     return (mails.join(vectors.select("mail_id", "embedding"), "mail_id", "left")
             .withColumn("embedding", F.coalesce("embedding", zeros)))
-
-
-def embed_texts(docs: DataFrame, text: str, make_model: Callable[[], Callable], dim: int = L.EMBEDDING_DIM,
-                cache: DataFrame | None = None, batch_size: int = 256) -> DataFrame:
-    """Vectors by text hash: ``text_hash, embedding`` for every distinct text.
-
-    ``make_model`` is called once per Python worker and returns a function from a batch of strings to an
-    array. Texts already in ``cache`` are not computed again; blank texts get zeros without a model call.
-    """
-    from pyspark.ml.functions import predict_batch_udf
-    from pyspark.sql import types as T
-
-    short = truncate_words(F.coalesce(F.col(text), F.lit("")))
-    distinct = docs.select(short.alias("_text")).withColumn("text_hash", F.sha2("_text", 256)) \
-        .groupBy("text_hash").agg(F.any_value("_text").alias("_text"))
-    if cache is not None:
-        distinct = distinct.join(cache, "text_hash", "left_anti")
-    run = predict_batch_udf(make_model, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
-    blank = X.strip(F.col("_text")) == ""
-    zeros = distinct.where(blank).select("text_hash", F.array_repeat(F.lit(0.0).cast("float"), dim).alias("embedding"))
-    fresh = distinct.where(~blank).select("text_hash", run("_text").alias("embedding")).unionByName(zeros)
-    return fresh if cache is None else cache.select("text_hash", "embedding").unionByName(fresh)

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from mailquarry import lists as L
 from mailquarry.functions import net, rows
 from mailquarry.functions import text as X
-from mailquarry.operators import (attribute, clean, corpus, evaluate, features, findings, headers, html, indicators, learn, mail, mime, reputation,
+from mailquarry.operators import (attribute, clean, corpus, embedding, evaluate, features, findings, headers, html, indicators, learn, mail, mime, reputation,
                                   sparse, techniques, text, trees, unwrap, urls, variants, verdict)
 from mailquarry.operators.outlier import OutlierForest, minmax_scale
 from mailquarry.plans import fixtures as fx
-from mailquarry.plans import lookups, registry, scoring
+from mailquarry.plans import lookups, registry, scoring, vectors as stored_vectors
 from mailquarry.plans import oracles as o
 from mailquarry.plans.staging import scratch, written
 from mailquarry.sinks import exports
@@ -632,6 +632,44 @@ def embedding_attach(spark, d):
     return out.select("mail_id", F.exists("embedding", lambda v: v != 0).alias("known"), F.round(first.cast("double"), 6).alias("first_value"), F.size("embedding").alias("dim"))
 
 
+_SEEN = o.every("text", f"[^{X.SPACE}]+")
+_DIGITS = "CAST(('0x' || substr(md5(w), j::INT, 1)) AS INT)"
+o.cte("all_text", "SELECT doc_id AS mail_id, 1 AS run, text FROM documents UNION ALL SELECT 1000000000 + conv_id * 1000 + turn, 2, text FROM conversations")
+o.cte("seen_text", f"SELECT mail_id, run, w, CASE WHEN len(w) > {L.EMBEDDING_WORDS} THEN array_to_string(list_slice(w, 1, {L.EMBEDDING_WORDS}), ' ') ELSE text END AS seen FROM (SELECT mail_id, run, text, coalesce({_SEEN}, []) AS w FROM all_text)", "all_text")
+
+
+def all_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of documents and of conversations: ``mail_id, text``."""
+    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("mail_id"), "text")
+    return docs.unionByName(fx.table(spark, d, "conversations").select((1000000000 + F.col("conv_id") * 1000 + F.col("turn")).alias("mail_id"), "text"))
+
+
+def refreshed(df: DataFrame, root: str) -> int:
+    return stored_vectors.refresh(df, "text", root, "digits", embedding.digest_projection)
+
+
+@query("SELECT run::INT AS run, n_new, sum(n_new) OVER (ORDER BY run)::BIGINT AS n_stored FROM (SELECT r.run, count(f.seen) AS n_new FROM (VALUES (1), (2), (3)) r(run) LEFT JOIN "
+       "(SELECT seen, min(run) AS run FROM seen_text WHERE len(w) > 0 GROUP BY seen) f USING (run) GROUP BY r.run)", "seen_text")
+def embedding_refresh(spark, d):
+    """Three refreshes: documents, then with the conversations, then nothing new."""
+    root = scratch(spark)
+    docs, both = fx.table(spark, d, "documents"), all_texts(spark, d)
+    made = [refreshed(docs, root), refreshed(both, root), refreshed(both, root)]
+    sizes = [stored_vectors.stored(spark, root, "digits", upto=n).agg(F.count("*").alias("n_stored")).select(F.lit(run).alias("run"), F.lit(made[run - 1]).cast("bigint").alias("n_new"), "n_stored")
+             for run, n in ((1, 1), (2, 2), (3, 3))]
+    return sizes[0].unionByName(sizes[1]).unionByName(sizes[2])
+
+
+@query(f"SELECT mail_id, string_agg(v, ',' ORDER BY j) AS components FROM (SELECT mail_id, j, CAST(coalesce(sum(2 * {_DIGITS} - 15) FILTER (w IS NOT NULL), 0) AS INT)::VARCHAR AS v FROM "
+       f"(SELECT mail_id, unnest(CASE WHEN len(w) = 0 THEN [NULL] ELSE list_slice(w, 1, {L.EMBEDDING_WORDS}) END) AS w FROM seen_text), range(1, {embedding.PROJECTION_DIM + 1}) r(j) GROUP BY mail_id, j) GROUP BY mail_id", "seen_text")
+def embedding_compute(spark, d):
+    """The stored vector of every text."""
+    root, both = scratch(spark), all_texts(spark, d)
+    refreshed(both, root)
+    out = embedding.with_vectors(both, "text", stored_vectors.stored(spark, root, "digits"), embedding.PROJECTION_DIM)
+    return out.select("mail_id", F.array_join(F.col("embedding").cast("array<int>"), ",").alias("components"))
+
+
 _W = o.every("text", f"[^{X.SPACE}]+")
 
 

@@ -41,24 +41,30 @@ def versions(spark: SparkSession, root: str, name: str) -> list[int]:
     return sorted(int(n[1:]) for n in found if n[0] == "v" and n[1:].isdigit())
 
 
+def appeared(spark: SparkSession, draft: str, root: str, name: str, number: int) -> bool:
+    """Renames a written draft to a version; False if that number is taken."""
+    context = _context(spark, root)
+    none = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    none[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        context.rename(_path(spark, draft), _path(spark, f"{root}/{name}/v{number}"), none)
+        return True
+    except Py4JJavaError as e:
+        if number not in versions(spark, root, name):
+            raise RuntimeError(f"version {number} of {name} can't be published") from e
+        return False
+
+
 def publish(table: DataFrame, record: dict, root: str, name: str) -> int:
     """Publishes a table of terms or nodes with its record; returns the version."""
     spark = table.sparkSession
     draft = f"{root}/{name}/_{uuid.uuid4().hex}"
     table.coalesce(1).write.parquet(f"{draft}/model")            # as large as the model
     spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string").coalesce(1).write.text(f"{draft}/record")
-    context = _context(spark, root)
-    none = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    none[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.NONE
     number = max(versions(spark, root, name), default=0) + 1
-    while True:
-        try:
-            context.rename(_path(spark, draft), _path(spark, f"{root}/{name}/v{number}"), none)
-            return number
-        except Py4JJavaError as e:
-            if number not in versions(spark, root, name):
-                raise RuntimeError(f"version {number} of {name} can't be published") from e
-            number += 1
+    while not appeared(spark, draft, root, name, number):
+        number += 1
+    return number
 
 
 def load(spark: SparkSession, root: str, name: str, version: int | None = None) -> tuple[DataFrame, dict]:
