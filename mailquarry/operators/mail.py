@@ -126,9 +126,13 @@ def needs_mime() -> Column:
             | F.lower("content_transfer_encoding").rlike("base64|quoted-printable"))
 
 
-def _with_bodies(fields: DataFrame, parts: Column | None) -> DataFrame:
+def _with_bodies(fields: DataFrame, parts: Column | None, broken_parts: bool = False) -> DataFrame:
     """Bodies, attachments and links; ``parts`` is NULL for mails that are one undecoded part."""
-    others = [c for c in fields.columns if c not in ("body", "_head")]
+    others = [c for c in fields.columns if c not in ("body", "_head", "_parts")]
+    if broken_parts:
+        lost = F.transform(F.filter("_parts", lambda p: p["failed"]), lambda p: F.struct(p["part_no"].alias("part_no"), p["mime"].alias("mime")))
+        fields = fields.withColumn("_parts", parts).withColumn("broken_parts", lost)
+        return _with_bodies(fields, F.col("_parts"))
     is_html = F.contains(F.lower("content_type"), F.lit("html"))
     none = F.array().cast("array<struct<filename:string,sha256:string>>")
     plain = [F.when(is_html, F.lit("")).otherwise(F.col("body")), F.when(is_html, F.col("body")).otherwise(F.lit("")), none]
@@ -140,7 +144,7 @@ def _with_bodies(fields: DataFrame, parts: Column | None) -> DataFrame:
     return out.select(*others, "body_text", "body_html", links(F.col("body_text"), F.col("body_html")).alias("urls"), "attachments")
 
 
-def parse_mail(df: DataFrame, mime_parts: bool = True) -> DataFrame:
+def parse_mail(df: DataFrame, mime_parts: bool = True, broken_parts: bool = False) -> DataFrame:
     """One row per mail with header fields, bodies, links and attachments.
 
     Input: ``mail_id, raw_email`` and any other columns, which are kept. With ``mime_parts=False`` the caller
@@ -152,8 +156,8 @@ def parse_mail(df: DataFrame, mime_parts: bool = True) -> DataFrame:
     marked = rows.with_fixed(df, "_odd", mime.unusual(F.col("raw_email")))
     usual = with_fields(split_head(marked.where("NOT _odd").drop("_odd")).withColumn("_head", F.col("head")))
     hard = F.coalesce(needs_mime(), F.lit(False))
-    usual = _with_bodies(usual, F.when(hard, mime.native_parts(F.col("_head"), F.col("body"))))
-    rest = _with_bodies(with_fields(split_head(marked.where("_odd").drop("_odd")), any_charset=True), mime.decoded_parts("raw_email"))
+    usual = _with_bodies(usual, F.when(hard, mime.native_parts(F.col("_head"), F.col("body"))), broken_parts)
+    rest = _with_bodies(with_fields(split_head(marked.where("_odd").drop("_odd")), any_charset=True), mime.decoded_parts("raw_email"), broken_parts)
     return usual.unionByName(rest)
 
 

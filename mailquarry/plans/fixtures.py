@@ -166,6 +166,18 @@ SELECT 1000000000 + k AS mail_id,
     CAST(CASE WHEN k % 3 = 2 OR k % 9 = 0 THEN 1 ELSE 0 END AS INT) AS label, 'pages' AS source
 FROM page"""
 
+# One mail in five has a fault, each kind in one of 30.
+MAIL_FAULTY = """
+SELECT mail_id, CASE mail_id % 30
+    WHEN 1 THEN NULL
+    WHEN 6 THEN ' ' || chr(10) || chr(10) || '  '
+    WHEN 11 THEN replace(raw_email, 'Date: Mon, 3 Jun 2024', 'Date: Mon, 33 Jun 2024')
+    WHEN 16 THEN 'Content-Type: text/plain; charset=x-nothing' || chr(10) || raw_email
+    WHEN 21 THEN raw_email || CASE WHEN mail_id % 13 IN (6, 7) THEN '' ELSE chr(10) || 'see http:///nowhere/' || CAST(mail_id AS STRING) || ' now' END
+    ELSE raw_email END AS raw_email,
+    CASE WHEN mail_id % 30 = 26 THEN 'perhaps' WHEN mail_id % 30 = 27 THEN NULL ELSE CAST(label AS STRING) END AS label, source
+FROM ({mails}) m"""
+
 MAIL_MIME = """
 SELECT doc_id AS mail_id,
     'From: a@example.com' || chr(10) || 'Subject: parts' || chr(10) || 'MIME-Version: 1.0' || chr(10)
@@ -207,6 +219,11 @@ def mail_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, MAIL_RAW.replace("{b64}", "replace(base64(encode(").replace("{b64_end}", ", 'UTF-8')), chr(13) || chr(10), '')"), "documents", "pages")
 
 
+def mail_faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw mails with planted faults."""
+    return spark.sql(MAIL_FAULTY.format(mails="SELECT * FROM {mails}"), mails=mail_raw(spark, sf_dir))
+
+
 def mail_mime(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw mails with a text part, an HTML part and an attachment each."""
     return _view(spark, sf_dir, MAIL_MIME.replace("{b64}", "base64(encode(text, 'UTF-8'))"), "documents")

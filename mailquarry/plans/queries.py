@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from mailquarry import lists as L
 from mailquarry.functions import net, rows
 from mailquarry.functions import text as X
-from mailquarry.operators import (attribute, clean, corpus, embedding, evaluate, features, findings, headers, html, indicators, learn, mail, mime, reputation,
+from mailquarry.operators import (attribute, clean, corpus, embedding, evaluate, features, findings, headers, html, indicators, learn, mail, mime, quarantine, reputation,
                                   sparse, techniques, text, trees, unwrap, urls, variants, verdict)
 from mailquarry.operators.outlier import OutlierForest, minmax_scale
 from mailquarry.plans import fixtures as fx
@@ -776,6 +776,43 @@ def private_ip(spark, d):
     return ips.select("ip", net.is_private_ip(F.col("ip")).alias("private_indicator"), net.is_private_ip(F.col("ip"), L.PRIVATE_PREFIXES_REPUTATION).alias("private_reputation"))
 
 
+# --- failed rows --------------------------------------------------------------------------
+
+o.cte("faulty", fx.MAIL_FAULTY.format(mails="SELECT * FROM mail_raw"), "mail_raw")
+_DATE = o.ext("raw_email", "(?:^|\\n)Date: [A-Za-z]+, ([^\\n]*)", 1)
+_FAULTS = ("SELECT mail_id, 'input' AS stage, 'no text' AS reason FROM faulty WHERE raw_email IS NULL OR trim(raw_email, ' ' || chr(10)) = '' "
+           f"UNION ALL SELECT mail_id, 'header', 'unreadable date: Mon, ' || {_DATE} FROM faulty WHERE {_DATE} <> '' AND try_strptime({_DATE}, '%d %b %Y %H:%M:%S %z') IS NULL "
+           "UNION ALL SELECT mail_id, 'mime', 'part 0 can''t be decoded: text/plain' FROM faulty WHERE contains(raw_email, 'charset=x-nothing') "
+           f"UNION ALL SELECT mail_id, 'link', 'no host: ' || {o.ext('raw_email', 'http:///[^ ]*')} FROM faulty WHERE contains(raw_email, 'http:///') "
+           "UNION ALL SELECT mail_id, 'label', 'unknown label: ' || label FROM faulty WHERE label NOT IN ('0', '1')")
+o.cte("fault", _FAULTS, "faulty")
+
+
+def flagged(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
+    """Parsed mails with their faults, written once, and the counts observed on the way."""
+    df, seen = quarantine.counted(quarantine.with_faults(fx.mail_faulty(spark, d), "label"))
+    return written(df), seen.get
+
+
+@query("SELECT * FROM fault", "fault")
+def failed_rows(spark, d):
+    return quarantine.failed_rows(flagged(spark, d)[0])
+
+
+@query("SELECT mail_id, md5(subject || '|' || body_text || '|' || body_html) AS h FROM mail WHERE mail_id NOT IN (SELECT mail_id FROM fault)", "mail", "fault")
+def good_rows(spark, d):
+    """Mails without a fault are as if there were no others."""
+    good = quarantine.good_rows(flagged(spark, d)[0])
+    return good.select("mail_id", F.md5(F.concat_ws("|", "subject", "body_text", "body_html")).alias("h"))
+
+
+@query("SELECT stage, n FROM (SELECT 'rows' AS stage, count(*) AS n FROM faulty UNION ALL SELECT 'failed', count(DISTINCT mail_id) FROM fault UNION ALL "
+       "SELECT s.stage, count(DISTINCT mail_id) FROM (VALUES ('input'), ('header'), ('mime'), ('link'), ('label')) s(stage) LEFT JOIN fault USING (stage) GROUP BY s.stage)", "faulty", "fault")
+def failed_counts(spark, d):
+    counts = flagged(spark, d)[1]
+    return spark.createDataFrame([(k.removeprefix("n_"), v) for k, v in counts.items()], "stage string, n long")
+
+
 # --- features -----------------------------------------------------------------------------
 
 _ALL = [*features.SCALARS, *features.INTEL]
