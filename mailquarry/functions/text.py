@@ -37,6 +37,11 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(F.translate(c, _RARE, " " * len(_RARE)), F.lit(r"\S++"))
 
 
+def first_words(c: Column, n: int) -> Column:
+    """The first ``n`` words and, if there are more, the rest of the text as one more."""
+    return F.split(strip(F.translate(c, _RARE, " " * len(_RARE))), r"\s+", n + 1)
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     out = F.lit(False)
     for cond in conditions:

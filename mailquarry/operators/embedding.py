@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailquarry import lists as L
+from mailquarry.functions import rows
 from mailquarry.functions import text as X
 from mailquarry.operators.reputation import lookup_join
 from mailquarry.operators.text import truncate_words
@@ -39,7 +40,7 @@ def fresh_vectors(docs: DataFrame, text: str, make_model: Callable[[], Model], k
     """
     from pyspark.ml.functions import predict_batch_udf
 
-    short = docs.select(model_text(F.col(text), words).alias("_text")).where(X.strip(F.col("_text")) != "")
+    short = rows.with_fixed(docs.select(F.col(text).alias("_all")), "_text", model_text(F.col("_all"), words)).where(X.strip(F.col("_text")) != "")
     texts = short.groupBy(F.sha2("_text", 256).alias("text_hash")).agg(F.any_value("_text").alias("_text"))
     if known is not None:
         texts = texts.join(known.select("text_hash"), "text_hash", "left_anti")

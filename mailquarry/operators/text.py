@@ -43,8 +43,8 @@ def text_features(mail: DataFrame, text: str = "body_text", keep: tuple[str, ...
 
 
 def truncate_words(c: Column, n: int = L.EMBEDDING_WORDS) -> Column:
-    """First ``n`` words joined by blanks; a shorter text is unchanged."""
-    w = X.words(c)
+    """First ``n`` words joined by blanks; a shorter text is unchanged. The rest of a text is not taken apart."""
+    w = X.first_words(c, n)
     return F.when(F.size(w) > n, F.array_join(F.slice(w, 1, n), " ")).otherwise(c)
 
 
