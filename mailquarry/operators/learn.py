@@ -43,6 +43,20 @@ def with_class_weight(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(F.broadcast(class_weights(df, label, digits=None).select(label, "weight")), label)
 
 
+class SummaryFreePipeline(Pipeline):
+    """A pipeline whose fitted models carry no training summary.
+
+    A summary keeps the session, and goes with the model into every task; after the session's first ``observe`` it can't be serialised.
+    """
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        model = super()._fit(dataset)
+        for stage in model.stages:
+            if getattr(stage, "hasSummary", False):
+                stage._java_obj.setSummary(dataset.sparkSession._jvm.scala.Option.empty())
+        return model
+
+
 def build(name: str, params: dict | None = None, seed: int = 42, rows: int = 1) -> Pipeline:
     """Estimator pipeline of a model name; ``params`` override the defaults.
 
@@ -52,17 +66,17 @@ def build(name: str, params: dict | None = None, seed: int = 42, rows: int = 1)
     if name == "lr":
         c = p.pop("C", 1.0)
         lr = LogisticRegression(featuresCol="scaled", weightCol="weight", maxIter=p.pop("max_iter", 1000), regParam=1.0 / (c * max(rows, 1)), **p)
-        return Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True), lr])
+        return SummaryFreePipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True), lr])
     if name == "rf":
         rf = {"numTrees": p.get("n_estimators", 300), "maxDepth": min(p.get("max_depth", 20), 30),
               "minInstancesPerNode": max(p.get("min_samples_split", 4) // 2, 1), "featureSubsetStrategy": p.get("max_features", "sqrt")}
-        return Pipeline(stages=[RandomForestClassifier(weightCol="weight", seed=seed, **rf)])
+        return SummaryFreePipeline(stages=[RandomForestClassifier(weightCol="weight", seed=seed, **rf)])
     if name in _GBT or name == "gbt":
         g = dict(_GBT.get(name, _GBT["gbt_depth"]))
         for ours, theirs in (("n_estimators", "maxIter"), ("max_depth", "maxDepth"), ("learning_rate", "stepSize"), ("subsample", "subsamplingRate")):
             if ours in p:
                 g[theirs] = p[ours]
-        return Pipeline(stages=[GBTClassifier(weightCol="weight", seed=seed, **g)])
+        return SummaryFreePipeline(stages=[GBTClassifier(weightCol="weight", seed=seed, **g)])
     raise ValueError(f"unknown model: {name}")
 
 
@@ -161,7 +175,7 @@ def tune(name: str, df: DataFrame, trials: int = 50, k: int = 3, seed: int = 42,
     draws = random_grid(name, trials, seed)
     folds = written(with_class_weight(assign_folds(df, k, seed)).withColumn("fold", F.col("fold").cast("int")))
     rows = folds.count() * (k - 1) // k        # of a training part
-    shell = Pipeline(stages=[])
+    shell = SummaryFreePipeline(stages=[])
     grid = [{shell.stages: build(name, d, seed, rows).getStages()} for d in draws]
     cv = CrossValidator(estimator=shell, estimatorParamMaps=grid, foldCol="fold", numFolds=k, parallelism=parallelism,
                         evaluator=MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0))
