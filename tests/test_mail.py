@@ -146,3 +146,17 @@ def test_unusual_mails(spark):
     rows = {r.mail_id: r for r in mail.parse_mail(df).collect()}
     assert len(rows) == len(raw) + len(plain) + 1
     assert rows[0].body_text == "in\n" and rows[5].subject == "中"
+
+
+def test_parts_are_derived_once(spark, sf):
+    """No copy of the derivation below the generator of parts, and base64 text is cleaned once."""
+    from pyspark.sql import functions as F
+    from mailquarry.operators import mime
+    from mailquarry.plans import fixtures
+    plan = mime.part_rows(fixtures.mail_mime(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Generate inline"):]
+    assert "size(" not in "".join(line for line in below.splitlines() if "Filter" in line and "transform" in line)
+    for text, want in (("aGVsbG8=", b"hello"), ("aGVs\r\nbG8", b"hello"), ("a G-V_s*bG8=junk", b"hello"), ("aGVsb", b"hel"), ("", b"")):
+        assert spark.createDataFrame([(text,)], "t string").select(mime.base64_bytes(F.col("t"))).first()[0] == want, text
+    plan = spark.range(1).select(mime.base64_bytes(F.col("id").cast("string")).alias("b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
