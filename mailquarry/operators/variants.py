@@ -2,45 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailquarry import lists as L
-from mailquarry.functions.mix import pick
+from mailquarry.functions import rows
+from mailquarry.functions.mix import begun, pick_at, picks
 
 
-def _pick(n: int, *parts: Column, seed: int = 42) -> Column:
-    return pick(n, F.lit(seed), *parts)
+def _per_character(text: Column, n: int, change: Callable[[Column, Column], Column], *parts: Column) -> Column:
+    """The text with each character changed whose number out of ``n``, from the parts and its position, is 0. What holds for a whole text is computed once."""
+    def changed(chars: Column, numbers: Column) -> Column:
+        return F.array_join(F.transform(chars, lambda ch, i: F.when(F.get(numbers, i) == 0, change(ch, i)).otherwise(ch)), "")
 
-
-def _per_character(text: Column, change) -> Column:
-    chars = F.split(text, "")
-    return F.array_join(F.transform(chars, change), "")
+    return rows.once(F.split(text, ""), lambda chars: rows.once(begun(*parts), lambda start: rows.once(
+        picks(n, start, F.size(chars)), lambda numbers: changed(chars, numbers))))
 
 
 def zero_width(raw: Column, mail_id: Column, seed: int = 42) -> Column:
     """After about one body letter in ten an invisible character."""
-    body = F.get(F.split(raw, "\n\n", 2), F.lit(1))
-    head = F.get(F.split(raw, "\n\n", 2), F.lit(0))
     signs = F.array(*[F.lit(c) for c in L.ZERO_WIDTH])
 
-    def change(ch: Column, i: Column) -> Column:
-        hit = ch.rlike(r"\p{L}") & (_pick(10, F.lit(1), mail_id, i, seed=seed) == 0)
-        return F.when(hit, F.concat(ch, F.get(signs, _pick(len(L.ZERO_WIDTH), F.lit(2), mail_id, i, seed=seed)))).otherwise(ch)
+    def spread(body: Column, start: Column) -> Column:
+        sign = lambda i: F.get(signs, pick_at(len(L.ZERO_WIDTH), start, i))
+        return _per_character(body, 10, lambda ch, i: F.when(ch.rlike(r"\p{L}"), F.concat(ch, sign(i))).otherwise(ch), F.lit(seed), F.lit(1), mail_id)
 
-    return F.when(body.isNull(), raw).otherwise(F.concat(head, F.lit("\n\n"), _per_character(body, change)))
+    whole = lambda cut: F.when(F.size(cut) < 2, raw).otherwise(F.concat(cut[0], F.lit("\n\n"), rows.once(
+        begun(F.lit(seed), F.lit(2), mail_id), lambda start: spread(F.get(cut, F.lit(1)), start))))
+    return rows.once(F.split(raw, "\n\n", 2), whole)
 
 
 def lookalikes(raw: Column, mail_id: Column, seed: int = 42) -> Column:
     """About one in five letters that has a look-alike is replaced by it."""
     src, dst = "".join(L.LOOKALIKES), "".join(L.LOOKALIKES.values())
-
-    def change(ch: Column, i: Column) -> Column:
-        return F.when(_pick(5, F.lit(3), mail_id, i, seed=seed) == 0, F.translate(ch, src, dst)).otherwise(ch)
-
-    return _per_character(raw, change)
+    return _per_character(raw, 5, lambda ch, i: F.translate(ch, src, dst), F.lit(seed), F.lit(3), mail_id)
 
 
 def redirect(raw: Column, mail_id: Column, seed: int = 42) -> Column:

@@ -150,3 +150,26 @@ def test_model_queries_have_the_full_size(monkeypatch):
         with pytest.raises(Done):
             queries.QUERIES[q](None, "")
     assert seen[4:] == [("lr", {"trials": 50, "k": 3}), ("lr", {"k": 3})]
+
+
+def test_domain_filter_copies_no_derivation(spark, sf):
+    """The test for links without a domain stays above the generator, so no registered domain is derived in a filter."""
+    plan = queries.named_domains(spark.createDataFrame([("http://a.example.com",), ("http://10.0.0.1/",)], "url string"))
+    filters = [line for line in plan._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert filters and not any("regexp_extract" in line for line in filters)
+    assert [r.domain for r in plan.collect()] == ["example.com"]
+
+
+def test_picks_equal_single_picks(spark):
+    from mailquarry.functions.mix import begun, pick, pick_at, picks
+    start = begun(F.lit(42), F.lit(1), F.col("id"))
+    row = spark.range(7, 8).select(picks(10, start, F.lit(50)).alias("many"), F.array(*[pick(10, F.lit(42), F.lit(1), F.col("id"), F.lit(i)) for i in range(50)]).alias("single"),
+                                   F.array(*[pick_at(10, start, F.lit(i)) for i in range(50)]).alias("at")).first()
+    assert row.many == row.single == row.at
+
+
+def test_variants_of_odd_mails(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "no body"), (4, "h: 1\n\n"), (5, "h: 1\n\nsome letters " * 20)], "mail_id long, raw_email string")
+    for attack in ("whitespace_insertion", "homoglyph_substitution"):
+        got = {r.mail_id: r.raw_email for r in variants.apply(df, attack).collect()}
+        assert got[1] is None and got[2] == "" and got[4].startswith("h: 1"[:1]) and got[5] != "h: 1\n\nsome letters " * 20
