@@ -160,3 +160,12 @@ def test_parts_are_derived_once(spark, sf):
         assert spark.createDataFrame([(text,)], "t string").select(mime.base64_bytes(F.col("t"))).first()[0] == want, text
     plan = spark.range(1).select(mime.base64_bytes(F.col("id").cast("string")).alias("b"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 1
+
+
+def test_halves_equal_a_split(spark):
+    from pyspark.sql import functions as F
+    from mailquarry.operators import mime
+    texts = [None, "", "a", "\n\n", "\n\nb", "a\n\n", "a\r\n\r\nb\n\nc", "a\r\r\n\nb", "a\n\r\n\r\nb", "\U0001f600 h\n\n\U0001f600 b\n\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select(mime.halves(F.col("t")).alias("got"), F.split("t", "\r?\n\r?\n", 2).alias("want")).collect():
+        assert r.got == r.want
