@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Iterator, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import vector_to_array
@@ -57,6 +59,38 @@ class SummaryFreePipeline(Pipeline):
         return model
 
 
+TREES_AT_ONCE = 25          # trees of one fit; fixed, so that a forest doesn't depend on the cluster
+FITS_AT_ONCE = 12
+PARTITION_ROWS = 100_000
+
+
+class GroupedForest(RandomForestClassifier):
+    """A random forest whose trees are grown in groups side by side, each with its own seed, and joined into one model.
+
+    Every partition holds and shuffles statistics of all open nodes, and a deep tree has nearly as many nodes as rows; so partitions
+    are few and large (``PARTITION_ROWS``), and the groups, not the partitions, keep the cores busy.
+    """
+
+    def _fit(self, dataset: DataFrame) -> RandomForestClassificationModel:
+        spark = dataset.sparkSession
+        data = written(dataset.select(self.getFeaturesCol(), self.getLabelCol(), *([self.getWeightCol()] if self.isDefined(self.weightCol) else [])))
+        data = data.coalesce(max(1, math.ceil(data.count() / PARTITION_ROWS)))
+        sizes = [min(TREES_AT_ONCE, self.getNumTrees() - start) for start in range(0, self.getNumTrees(), TREES_AT_ONCE)]
+        grow = lambda i: RandomForestClassifier._fit(self.copy({self.numTrees: sizes[i], self.seed: self.getSeed() + i}), data)
+        if len(sizes) == 1:
+            return grow(0)
+        with ThreadPool(FITS_AT_ONCE) as pool:
+            groups = pool.map(inheritable_thread_target(spark)(grow), range(len(sizes)))
+        grown = [tree for g in groups for tree in g._java_obj.trees()]
+        kind = spark._jvm.org.apache.spark.ml.classification
+        trees = spark.sparkContext._gateway.new_array(kind.DecisionTreeClassificationModel, len(grown))
+        for i, tree in enumerate(grown):
+            trees[i] = tree
+        joined = RandomForestClassificationModel(kind.RandomForestClassificationModel(self.uid, trees, groups[0].numFeatures, groups[0].numClasses))
+        self._copyValues(joined)._transfer_params_to_java()          # saving reads the number of trees there
+        return joined
+
+
 def build(name: str, params: dict | None = None, seed: int = 42, rows: int = 1) -> Pipeline:
     """Estimator pipeline of a model name; ``params`` override the defaults.
 
@@ -70,7 +104,7 @@ def build(name: str, params: dict | None = None, seed: int = 42, rows: int = 1)
     if name == "rf":
         rf = {"numTrees": p.get("n_estimators", 300), "maxDepth": min(p.get("max_depth", 20), 30),
               "minInstancesPerNode": max(p.get("min_samples_split", 4) // 2, 1), "featureSubsetStrategy": p.get("max_features", "sqrt")}
-        return SummaryFreePipeline(stages=[RandomForestClassifier(weightCol="weight", seed=seed, **rf)])
+        return SummaryFreePipeline(stages=[GroupedForest(weightCol="weight", seed=seed, **rf)])
     if name in _GBT or name == "gbt":
         g = dict(_GBT.get(name, _GBT["gbt_depth"]))
         for ours, theirs in (("n_estimators", "maxIter"), ("max_depth", "maxDepth"), ("learning_rate", "stepSize"), ("subsample", "subsamplingRate")):
