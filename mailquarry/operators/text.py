@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mailquarry import lists as L
 from mailquarry.functions import rows as R
 from mailquarry.functions import text as X
+from mailquarry.plans.staging import written
 
 
 def urgency_columns(text: Column) -> dict[str, Column]:
@@ -55,11 +56,14 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(X.strip_accents(F.lower(text)), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
-def _with_pairs(words: Column) -> Column:
+def _pairs(words: Column) -> Column:
     n = F.size(words)
-    pairs = F.when(n > 1, F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1),
-                                     lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
+    return F.when(n > 1, F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1),
+                                    lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+
+
+def _with_pairs(words: Column) -> Column:
+    return F.concat(words, _pairs(words))
 
 
 def doc_terms(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -68,18 +72,44 @@ def doc_terms(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return words.select("doc_id", _with_pairs(F.col("_w")).alias("terms"))
 
 
+BUCKETS = 1024
+KNOWN_WORDS = 5000          # what is looked up in the row ends here; with more words of equal rank all pairs are counted
+
+
+def _counted(docs: DataFrame, values: str) -> DataFrame:
+    """``term, tf, df`` of an array column: each row gives its values, then its distinct values, combined before the shuffle."""
+    one = lambda c: F.sum(c.cast("bigint"))
+    each = docs.select(F.size(values).alias("_n"), F.posexplode_outer(F.concat(values, F.array_distinct(values))).alias("_p", "term")).where("_p IS NOT NULL")
+    return each.groupBy("term").agg(one(F.col("_p") < F.col("_n")).alias("tf"), one(F.col("_p") >= F.col("_n")).alias("df"))
+
+
+def _known(words: DataFrame):
+    """A function of a word: itself if it is one of ``words``, else NULL; the words are a hash table in one literal."""
+    table: list[list[str]] = [[] for _ in range(BUCKETS)]
+    place = lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")
+    for r in words.select("term", place(F.col("term")).alias("at")).collect():          # at most KNOWN_WORDS rows
+        table[r["at"]].append(r["term"])
+    literal = "array(" + ", ".join("array(" + ", ".join(f"'{w}'" for w in b or [""]) + ")" for b in table) + ")"         # words have no quotes
+    return lambda w: F.when(F.array_contains(F.get(F.expr(literal), place(w)), w), w)
+
+
 def tfidf_vocabulary(docs: DataFrame, doc_id: str, text: str, size: int = L.TFIDF_TERMS, min_df: int = 2) -> DataFrame:
     """``term, tf, df, idf``: the most frequent terms found in at least ``min_df`` documents.
 
-    One shuffle by term: every document emits its terms, and its distinct terms with a document mark, and
-    both sums are combined before the shuffle. Ties in frequency go to the smaller term.
+    Words are counted first. A pair is never more frequent than either of its words, so only pairs whose words both reach the
+    ``size``-th word in frequency can be in the vocabulary; the others are left out in the row, and the pairs that are counted are
+    bounded by the square of these words, not by the texts. Ties in frequency go to the smaller term.
     """
-    t = doc_terms(docs, doc_id, text)
-    marks = F.concat(
-        F.transform("terms", lambda x: F.struct(x.alias("term"), F.lit(1).cast("bigint").alias("tf"), F.lit(0).cast("bigint").alias("df"))),
-        F.transform(F.array_distinct("terms"), lambda x: F.struct(x.alias("term"), F.lit(0).cast("bigint").alias("tf"), F.lit(1).cast("bigint").alias("df"))))
-    counts = (R.explode_structs(t, [], marks, "term").groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
-              .where(F.col("df") >= min_df))
+    words = docs.select(terms(F.col(text)).alias("_w"))
+    single = written(_counted(words, "_w").where(F.col("df") >= min_df))
+    head = single.orderBy(F.desc("tf"), "term").limit(size).agg(F.count("*").alias("n"), F.min("tf").alias("tf")).first()
+    least = head["tf"] if size and head["n"] == size else 0
+    frequent = single.where(F.col("tf") >= least)
+    if frequent.count() <= KNOWN_WORDS:
+        known = _known(frequent)
+        words = words.select(F.transform("_w", known).alias("_w"))
+    pairs = words.select(F.array_compact(_pairs(F.col("_w"))).alias("_w"))
+    counts = frequent.unionByName(_counted(pairs, "_w").where((F.col("df") >= min_df) & (F.col("tf") >= least)))
     top = counts.orderBy(F.desc("tf"), "term").limit(size)
     n_docs = docs.agg(F.count("*").alias("_n"))
     return (top.join(F.broadcast(n_docs))
@@ -91,8 +121,15 @@ def tfidf_weights(docs: DataFrame, doc_id: str, text: str, vocabulary: DataFrame
 
     The vocabulary has a fixed size, so it is broadcast; all other terms are dropped before the shuffle.
     """
-    hits = (R.explode_values(doc_terms(docs, doc_id, text), ["doc_id"], "terms", "term")
-            .join(F.broadcast(vocabulary.select("term", "idf")), "term")
+    vocabulary = written(vocabulary.select("term", "idf"))
+    words = docs.select(F.col(doc_id).alias("doc_id"), terms(F.col(text)).alias("_w"))
+    found = words.select("doc_id", _with_pairs(F.col("_w")).alias("terms"))
+    if vocabulary.count() <= KNOWN_WORDS:               # other terms go in the row
+        parts = vocabulary.select(F.explode(F.split("term", " ")).alias("term")).distinct()
+        words = words.select("doc_id", F.transform("_w", _known(parts)).alias("_w"))
+        kept = words.select("doc_id", F.array_compact(_with_pairs(F.col("_w"))).alias("terms"))
+        found = kept.select("doc_id", F.array_compact(F.transform("terms", _known(vocabulary))).alias("terms"))
+    hits = (R.explode_values(found, ["doc_id"], "terms", "term").join(F.broadcast(vocabulary), "term")
             .groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
             .select("doc_id", "term", ((F.log(F.col("tf").cast("double")) + 1) * F.col("idf")).alias("w")))
     # At most one row per vocabulary term and document, so a document is a bounded group here.

@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from mailquarry import lists as L
-from mailquarry.operators import evaluate, learn, unwrap, variants
+from mailquarry.operators import evaluate, learn, text, unwrap, variants
 from mailquarry.operators.outlier import OutlierForest, average_path
 from mailquarry.plans import queries
 
@@ -194,3 +194,24 @@ def test_variants_of_odd_mails(spark):
     for attack in ("whitespace_insertion", "homoglyph_substitution"):
         got = {r.mail_id: r.raw_email for r in variants.apply(df, attack).collect()}
         assert got[1] is None and got[2] == "" and got[4].startswith("h: 1"[:1]) and got[5] != "h: 1\n\nsome letters " * 20
+
+
+@pytest.mark.parametrize("size, known", [(4, 5000), (4, 0), (1000, 5000)])
+def test_vocabulary_leaves_out_rare_pairs_before_they_are_counted(spark, monkeypatch, size, known):
+    from collections import Counter
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.6, 60) % 90) for _ in range(40)] + ["", None, "once", "twice twice", "w1 w1 w1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(text, "KNOWN_WORDS", known)
+    seen, real = [], text._counted
+    monkeypatch.setattr(text, "_counted", lambda rows, values: (seen.append(rows), real(rows, values))[1])
+    words = [(t or "").split() for t in texts]
+    lists = [w + [f"{a} {b}" for a, b in zip(w, w[1:])] for w in words]
+    tf, df = Counter(t for x in lists for t in x), Counter(t for x in lists for t in set(x))
+    want = sorted(((t, n, df[t]) for t, n in tf.items() if df[t] >= 2), key=lambda r: (-r[1], r[0]))[:size]
+    vocabulary = text.tfidf_vocabulary(docs, "doc_id", "text", size)
+    assert sorted((r.term, r.tf, r.df) for r in vocabulary.collect()) == sorted(want)
+    counted = seen[1].select(F.sum(F.size("_w"))).first()[0]
+    assert counted < 0.8 * sum(max(len(w) - 1, 0) for w in words) if (size, known) == (4, 5000) else counted > 0
+    got = {(r.doc_id, r.term) for r in text.tfidf_weights(docs, "doc_id", "text", vocabulary).collect()}
+    assert got == {(i, t) for i, x in enumerate(lists) for t in set(x) & {w[0] for w in want}}
