@@ -48,7 +48,7 @@ BLOCKS = 16                 # parts in which the table is added up
 SURE = 6.0                  # standard deviations by which a counter stands out
 STEP = 1.08                 # ratio of successive size and reach classes
 ROW_BITS = 40               # rows of one task; the bits above hold the task's partition
-BITS = 2048                 # of the bitmap of a set
+BITS = 2048                 # of the bitmap of a set, at least; long sets have two to four bits an element
 MARKED = "doc_id long, locator struct<file: string, row: long>, row long, low long, high long, n long, prefix array<long>, bits array<long>"
 
 
@@ -130,10 +130,25 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
 
 def _bitmaps(owner: np.ndarray, element: np.ndarray, count: int) -> pa.ListArray:
     """One bit per element in each set's bitmap, as long integers. Sets differ in as many elements as their bitmaps in bits, at least."""
-    out = np.zeros(count * BITS // 8, np.uint8)
-    bit = (element & np.uint64(BITS - 1)).astype(np.int64)
-    np.bitwise_or.at(out, owner * (BITS // 8) + (bit >> 3), np.left_shift(1, bit & 7).astype(np.uint8))
-    return pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * (BITS // 64)), pa.array(out.view("<i8")))
+    n = np.bincount(owner, minlength=count)
+    width = np.maximum(BITS, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    start = np.concatenate([[0], np.cumsum(width)])
+    out = np.zeros(start[-1] // 8, np.uint8)
+    bit = start[owner] + (element & (width[owner] - 1).astype(np.uint64)).astype(np.int64)
+    np.bitwise_or.at(out, bit >> 3, np.left_shift(1, bit & 7).astype(np.uint8))
+    return pa.ListArray.from_arrays(pa.array((start // 64).astype(np.int32)), pa.array(out.view("<i8")))
+
+
+def _differing(x: Column, y: Column) -> Column:
+    """Bits in which two bitmaps differ; the wider one is folded to the width of the other."""
+    k = F.least(F.size(x), F.size(y))
+
+    def folded(z: Column) -> Column:
+        layers = F.sequence(F.lit(0), (F.size(z) / k).cast("int") - 1)
+        fold = F.transform(F.slice(z, F.lit(1), k), lambda v, i: F.aggregate(layers, v, lambda acc, j: acc.bitwiseOR(F.get(z, i + j * k))))
+        return F.when(F.size(z) == k, z).otherwise(fold)
+
+    return F.aggregate(F.zip_with(folded(x), folded(y), lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda acc, v: acc + v)
 
 
 def _marked(rows: DataFrame, level: np.ndarray, a: int, b: int) -> DataFrame:
@@ -180,6 +195,7 @@ def _sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _index(marked: DataFrame, nodes: DataFrame, a: int, b: int) -> DataFrame:
     """Entries (element, node, n, reach) of all lists with several sets, with the list's length and its centre."""
+    marked = maybe(marked, "row", bitmap(nodes, "node", nodes.count()))          # copies of a set make no list
     several = marked.select(F.explode("prefix").alias("element")).groupBy("element").agg(F.count("*").alias("rows")).where("rows > 1").select("element")
     several = written(several)
     entries = maybe(marked.select(F.col("row").alias("node"), "n", F.posexplode("prefix").alias("position", "element")), "element", bitmap(several, "element", several.count()))
@@ -205,7 +221,7 @@ def _joined(pairs: DataFrame, table: DataFrame, value: str, *sides: str) -> Data
 
 def _able(pairs: DataFrame, nodes: DataFrame, x: str, y: str, a: int, b: int) -> DataFrame:
     """The pairs (sizes n and m) that can be linked by their bitmaps."""
-    differ = sum((F.bit_count(F.col(f"{x}_bits")[i].bitwiseXOR(F.col(f"{y}_bits")[i])) for i in range(BITS // 64)), F.lit(0))
+    differ = _differing(F.col(f"{x}_bits"), F.col(f"{y}_bits"))
     both = _joined(pairs, nodes, "bits", x, y)
     return written(both.where((F.col("n") + F.col("m") - differ) * (a + b) >= (F.col("n") + F.col("m")) * (2 * a)).drop(f"{x}_bits", f"{y}_bits"))
 
