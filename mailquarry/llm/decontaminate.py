@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailquarry.llm.arrays import K1, _BLANK, lowered, owner, powers, prefix_hash, slices, text_column, utf8
+from mailquarry.llm.arrays import K1, _BLANK, forget, lowered, owner, powers, prefix_hash, slices, text_column, utf8
 
 ERROR_SPAN = 14             # one edit for so many bytes
 SEED = 12                   # bytes of a piece that are looked up
@@ -178,6 +178,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(index)           # bounded by BLOCK_ITEMS
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            forget()
             for batch in batches:
                 for part in slices(batch):
                     data, borders, _ = squeezed(*utf8(text_column(part)))

@@ -18,18 +18,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailquarry.llm.arrays import lowered, slices, text_column, utf8
+from mailquarry.llm.arrays import forget, lowered, slices, text_column, utf8
+
+if TYPE_CHECKING:           # not in the workers, where pandas takes over 20 MB
+    import pandas as pd
 
 TRAIN_DOCS = 4000           # documents per language, about
 MIN_CONTEXT = 8             # occurrences of a context of order three
+SLICE = 1 << 17             # bytes of text that are judged at once
 LEAST_SCORE = 0.5           # below, a text has no language in :func:`known`
 UND = "und"
 PREDICTED = "doc_id long, lang_pred string, score double"
@@ -107,6 +111,8 @@ def _below(n: np.ndarray, lower: np.ndarray) -> np.ndarray:
 
 def fit(found: pd.DataFrame) -> Model:
     """Trees and code lengths from the counts."""
+    import pandas as pd
+
     langs = sorted(found["lang"].unique())
     g = found["gram"].to_numpy(np.int64)
     parts = [(g >> (8 * k)) & 255 for k in (3, 2, 1, 0)]
@@ -187,7 +193,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 lang, score = _judged(model, text_column(part))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
@@ -201,8 +207,9 @@ def known(docs: DataFrame, model: Model | None, least: float = LEAST_SCORE) -> D
     shared = docs.sparkSession.sparkContext.broadcast(model)        # bounded by the sample, as in :func:`predict`
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 lang, score = _judged(shared.value, text_column(part))
                 yield part.filter(pa.array((lang != UND) & (score >= least)))
 

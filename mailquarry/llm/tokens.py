@@ -15,16 +15,16 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-from mailquarry.llm.arrays import word_hash
+from mailquarry.llm.arrays import kept, word_hash
 
 END_ID = 0
 SAFE_LIMIT = 0x0530                      # Latin, Greek and Cyrillic
 SAFE_BLOCKS = ((0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20C0))     # punctuation, currency signs
 MAX_WORDS = 1 << 19                      # remembered words of one Python worker
+RANGE_WORDS = MAX_WORDS >> 2             # words that are looked up at once, so at most 5/8 of the slots are used
 LETTER, NUMBER, SPACE, OTHER, TEXT_END, UNSAFE = range(6)
 _END = 0x10FFFF
 _CLASSES: np.ndarray | None = None
-_LOADED: dict[str, Encoder] = {}
 
 
 def classes() -> np.ndarray:
@@ -87,8 +87,8 @@ class Encoder:
     def _clear(self) -> None:
         self.flat, self.begin = array("I"), array("q", [0])              # ids of all words
         self.points, self.point_begin = array("H"), array("q", [0])      # and their code points
-        self.keys = np.zeros(4 * MAX_WORDS, np.uint64)
-        self.slots = np.zeros(4 * MAX_WORDS, np.int32)
+        self.keys = np.zeros(2 * MAX_WORDS, np.uint64)
+        self.slots = np.zeros(2 * MAX_WORDS, np.int32)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -157,15 +157,15 @@ class Encoder:
         points = points.astype(np.uint16)                    # all are below; but for the ends, which are no words
         key = word_hash(points.view(np.uint8), 2 * starts, 2 * stops) | np.uint64(1)
         parts, borders = [], [np.zeros(1, np.int64)]
-        for at in range(0, len(starts), MAX_WORDS):          # one range but for very long texts
-            part = slice(at, at + MAX_WORDS)
+        for at in range(0, len(starts), RANGE_WORDS):          # one range but for very long texts
+            part = slice(at, at + RANGE_WORDS)
             ids, last = self._range(joined, points, starts[part], stops[part], is_end[part], key[part])
             borders.append(last + sum(map(len, parts)))
             parts.append(ids)
         return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.concatenate(borders)
 
     def _range(self, joined: str, points: np.ndarray, starts: np.ndarray, stops: np.ndarray, is_end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of at most MAX_WORDS words, and the borders after text ends; the table always has room for them."""
+        """Ids of at most RANGE_WORDS words, and the borders after text ends; the table always has room for them."""
         if len(self.begin) > MAX_WORDS:
             self._clear()
         number = self._find(key)
@@ -201,6 +201,4 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The encoder of this Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+    return kept(path, lambda: Encoder(path))
