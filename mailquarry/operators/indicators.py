@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mailquarry.functions import net, rows
 from mailquarry.functions import text as X
-from mailquarry.operators import unwrap
+from mailquarry.operators import mime, unwrap
 from mailquarry.operators.mail import body_choice
 
 
@@ -48,7 +48,7 @@ def indicator_arrays(mail: DataFrame, keep: tuple[str, ...] = ("mail_id",)) -> D
     ``cleaning`` holds ``url, current, method, was_wrapped`` per link; domains come from the unwrapped links.
     """
     step = mail.select(*keep, addresses().alias("sender_emails"), ips().alias("sender_ips"), links().alias("ioc_urls"),
-                       F.transform("attachments", lambda a: a["sha256"]).alias("attachment_hashes"),
+                       F.transform("attachments", lambda a: F.nullif(a["sha256"], F.lit(mime.EMPTY_SHA256))).alias("attachment_hashes"),
                        F.sha2(F.col("raw_email"), 256).alias("raw_email_hash"))
     step = step.withColumn("cleaning", unwrap.cleaned_in_array(F.col("ioc_urls")))
     cleaned = _sorted_set(F.transform("cleaning", lambda s: s["current"]))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailquarry.functions import text as X
-from mailquarry.operators import mail, mime
+from mailquarry.operators import indicators, mail, mime
 
 PDF = b"%PDF-1.4 fake"
 B64 = base64.b64encode(PDF).decode()
@@ -169,3 +169,30 @@ def test_halves_equal_a_split(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in df.select(mime.halves(F.col("t")).alias("got"), F.split("t", "\r?\n\r?\n", 2).alias("want")).collect():
         assert r.got == r.want
+
+
+def _three_parts(i: int, text: str, end: str = "\n") -> str:
+    cut = f"--b{i}{end}"
+    data = base64.b64encode(text.encode()).decode()
+    return (f"From: a@example.com{end}Content-Type: multipart/mixed; boundary=b{i}{end}{end}{cut}Content-Type: text/plain; charset=utf-8{end}{end}{text}{end}{cut}"
+            f"Content-Type: application/octet-stream{end}Content-Disposition: attachment; filename=f{end}Content-Transfer-Encoding: base64{end}{end}{data}{end}--b{i}--{end}")
+
+
+TEXTS = ["", "a", "a\r", "\r", "charset=big5 a\r", "charset=big5 \ufdd0\r", "a\r\n--c\nb\r", "charset=big5\r\n--c\nb"]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_parts_keep_every_byte(spark, end):
+    """Empty parts have a hash, and a carriage return is content where the boundary's line ends without one."""
+    df = spark.createDataFrame([(i, _three_parts(i, t, end)) for i, t in enumerate(TEXTS)], "mail_id long, raw_email string")
+    want = {i: (t, hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(TEXTS)}
+    parts = {(r.mail_id, r.part_no): r for r in mime.part_rows(df).collect()}
+    assert {i: (parts[i, 0].content, parts[i, 1].sha256) for i in want} == want
+    mails = {r.mail_id: r for r in mail.parse_mail(df).collect()}
+    assert {i: (m.body_text, m.attachments[0].sha256) for i, m in mails.items()} == {i: (t + "\n", h) for i, (t, h) in want.items()}
+
+
+def test_an_empty_attachment_is_no_indicator(spark):
+    df = mail.parse_mail(spark.createDataFrame([(i, _three_parts(i, t)) for i, t in enumerate(TEXTS[:2])], "mail_id long, raw_email string"))
+    got = {r.mail_id: r.attachment_hashes for r in indicators.indicator_arrays(df).collect()}
+    assert got == {0: [None], 1: [hashlib.sha256(b"a").hexdigest()]}
