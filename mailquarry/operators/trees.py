@@ -19,8 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailquarry.operators import clean
+from mailquarry.plans.staging import written
 
 SLICE_NODES = 1 << 20       # nodes of a slice, 32 MB; a larger single tree is a slice of its own
+MOST_GROUPS, LEAST_NODES = 48, 1 << 18
 MEAN, LOGISTIC = "mean", "logistic"
 NODES = "tree int, node int, feature int, threshold double, left int, right int, value double"
 
@@ -117,9 +119,106 @@ def probability(total: Column, link: str) -> Column:
 
 def scored(table: DataFrame, nodes: DataFrame, link: str, names: Sequence[str], id_col: str = "mail_id") -> DataFrame:
     """``id, prob`` of every row."""
+    if nodes.count() > SLICE_NODES:
+        values = F.array(*[clean.zero_if_not_finite(F.col(n).cast("double")) for n in names])
+        return scored_by_groups(table, values, nodes, link, [id_col])
     return sums(table, nodes, names, None, id_col).select(id_col, probability(F.col("sums")[0], link).alias("prob"))
 
 
+def _groups(nodes: DataFrame) -> DataFrame:
+    """``tree, _group``: consecutive trees together, so that a group has about a share of 1 / MOST_GROUPS of the nodes, or LEAST_NODES."""
+    sizes = nodes.groupBy("tree").agg(F.count("*").alias("n")).orderBy("tree").collect()         # a row per tree
+    limit = max(LEAST_NODES, sum(r.n for r in sizes) / MOST_GROUPS)
+    group, n, found = 0, 0, []
+    for r in sizes:
+        if n and n + r.n > limit:
+            group, n = group + 1, 0
+        n += r.n
+        found.append((r.tree, group))
+    return nodes.sparkSession.createDataFrame(found, "tree int, _group int")
+
+
+def scored_by_groups(table: DataFrame, values: Column, nodes: DataFrame, link: str, keep: Sequence[str]) -> DataFrame:
+    """The columns ``keep`` and ``prob`` of every row, for ensembles of any size.
+
+    Trees are dealt in groups, and every group gets all rows, each feature as its rank among the ensemble's thresholds. No tree
+    passes through the driver, and a task holds one group of trees and one block of rows. A row's sums of all groups are added in one order.
+    """
+    rows = written(table.select(F.struct(*keep).alias("_keep"), values.alias("_values"), F.monotonically_increasing_id().alias("_row")))
+    deal = _groups(nodes)
+    count = (deal.agg(F.max("_group").alias("n")).first()["n"] or 0) + 1
+    dim = rows.agg(F.max(F.size("_values")).alias("n")).first()["n"] or 0
+    cuts = [np.empty(0)] * dim
+    for r in nodes.where("feature >= 0").groupBy("feature").agg(F.sort_array(F.collect_set("threshold")).alias("cuts")).collect():       # as many as the fit had bins
+        if r.feature < dim:
+            cuts[r.feature] = np.array(r.cuts)
+    kind = _rank_type(cuts)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("_values").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            made = [b.column("_row").to_numpy(), ranked(x, cuts)]
+            yield pa.RecordBatch.from_arrays([pa.array([m.tobytes()], pa.binary()) for m in made], ["_rows", "_ranks"])
+
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    blocks = written(rows.select("_row", "_values").mapInArrow(pack, "_rows binary, _ranks binary")).select(
+        F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("_group"), none(f"struct<{NODES.replace(', ', ',').replace(' ', ':')}>", "_node"), "_rows", "_ranks")
+    dealt = (nodes.join(F.broadcast(deal), "tree").select("_group", F.struct(*[F.col(c).cast(t).alias(c) for c, t in (x.split() for x in NODES.split(", "))]).alias("_node"), none("binary", "_rows"), none("binary", "_ranks"))
+             .unionByName(blocks).repartitionByRange(count, "_group").sortWithinPartitions("_group", F.col("_rows").isNotNull(), "_node.tree", "_node.node"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, parts, held = None, [], []
+        for batch in batches:
+            groups, is_row = batch.column("_group").to_numpy(), batch.column("_rows").is_valid().to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero(np.diff(groups) | np.diff(is_row)) + 1
+            for start, end in zip([0, *cut], [*cut, batch.num_rows], strict=True):
+                if groups[start] != group:
+                    group, parts, held = groups[start], [], []
+                if not is_row[start]:
+                    parts.append(batch.column("_node").slice(start, end - start))
+                    continue
+                if parts:
+                    held, parts = _ranked_trees(pa.concat_arrays(parts), cuts), []
+                for i in range(start, end):
+                    ids = np.frombuffer(batch.column("_rows")[i].as_py(), np.int64)
+                    ranks = np.frombuffer(batch.column("_ranks")[i].as_py(), kind).reshape(len(ids), -1)
+                    total = np.zeros(len(ids))
+                    for tree in held:
+                        total += tree.walk(ranks)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), group, np.int32)), pa.array(total)], ["_row", "_group", "_sum"])
+
+    if not dim:
+        return table.select(*keep, F.lit(None).cast("double").alias("prob")).limit(0)
+    found = dealt.mapInArrow(run, "_row bigint, _group int, _sum double")
+    total = F.aggregate(F.array_sort(F.collect_list(F.struct("_group", "_sum"))), F.lit(0.0), lambda a, s: a + s["_sum"])
+    return (rows.select("_keep", "_row").join(found.groupBy("_row").agg(total.alias("_total")), "_row")
+            .select("_keep.*", probability(F.col("_total"), link).alias("prob")))
+
+
+def _rank_type(cuts: Sequence[np.ndarray]) -> type:
+    return np.uint8 if max(map(len, cuts), default=0) < 256 else np.uint32
+
+
+def ranked(x: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
+    """How many cuts of its feature are below each value; so a value is at most the cut of rank k if its own rank is."""
+    out = np.empty(x.shape, _rank_type(cuts))
+    for i, c in enumerate(cuts):
+        out[:, i] = np.searchsorted(c, x[:, i])
+    return out
+
+
+def _ranked_trees(nodes: pa.StructArray, cuts: Sequence[np.ndarray]) -> list[_Tree]:
+    """The trees of a group, whose nodes are sorted, with ranks for thresholds."""
+    tree, node, feature, threshold, left, right, value = (np.nan_to_num(c.to_numpy(zero_copy_only=False)) for c in nodes.flatten())
+    rank = np.zeros(len(tree), np.int64)
+    for f in np.unique(feature[feature >= 0]):
+        own = feature == f
+        rank[own] = np.searchsorted(cuts[f], threshold[own])
+    cut = np.flatnonzero(np.diff(tree)) + 1
+    columns = [np.split(c, cut) for c in (node.astype(np.int64), feature.astype(np.int64), rank, left.astype(np.int64), right.astype(np.int64), value)]
+    return [_numbered(*c) for c in zip(*columns, strict=True)]
+
+
 def contributions(table: DataFrame, nodes: DataFrame, link: str, names: Sequence[str], baseline: Sequence[float], id_col: str = "mail_id") -> DataFrame:
     """``id, contributions`` as for linear models; a contribution is how much the probability falls when the feature gets its baseline value."""
     both = sums(table, nodes, names, list(baseline), id_col)

@@ -16,7 +16,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailquarry.operators import clean, learn, trees
+from mailquarry.operators import clean, forest, learn, trees
 from mailquarry.plans.staging import scratch
 
 LINEAR, TREES, VOCABULARY = "linear", "trees", "vocabulary"
@@ -59,7 +59,7 @@ def publish(table: DataFrame, record: dict, root: str, name: str) -> int:
     """Publishes a table of terms or nodes with its record; returns the version."""
     spark = table.sparkSession
     draft = f"{root}/{name}/_{uuid.uuid4().hex}"
-    table.coalesce(1).write.parquet(f"{draft}/model")            # as large as the model
+    (table if record["kind"] == TREES else table.coalesce(1)).write.parquet(f"{draft}/model")         # a forest can be larger than the training table
     spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string").coalesce(1).write.text(f"{draft}/record")
     number = max(versions(spark, root, name), default=0) + 1
     while not appeared(spark, draft, root, name, number):
@@ -75,10 +75,12 @@ def load(spark: SparkSession, root: str, name: str, version: int | None = None)
     return spark.read.parquet(f"{folder}/model"), record | {"version": number}
 
 
-def publish_model(model: PipelineModel, names: Sequence[str], root: str, name: str, record: dict | None = None) -> int:
+def publish_model(model: PipelineModel | forest.Forest, names: Sequence[str], root: str, name: str, record: dict | None = None) -> int:
     """Publishes a fitted pipeline of :func:`learn.build`: its terms or its nodes, in terms of the plain features."""
     spark = SparkSession.active()
-    if hasattr(model.stages[-1], "coefficients"):
+    if isinstance(model, forest.Forest):
+        table, own = model.nodes, {"kind": TREES, "link": model.link}
+    elif hasattr(model.stages[-1], "coefficients"):
         terms, intercept = learn.linear_terms(model, names)
         table, own = spark.createDataFrame(terms, TERMS), {"kind": LINEAR, "intercept": intercept}
     else:
