@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ def pick(n: int, *parts: Column) -> Column:
 
 
 def begun(*parts: Column) -> Column:
-    """The parts mixed, for :func:`pick_at` and :func:`picks`, which add a last part that is a position."""
+    """The parts mixed, for :func:`pick_at`, :func:`picks` and :func:`picked`, which add a last part that is a position."""
     return mix(*parts) * F.lit(_A)
 
 
@@ -42,3 +43,9 @@ def picks(n: int, start: Column, count: Column) -> Column:
     """``pick(n, *parts, i)`` for each i below ``count`` (1 at least), as an array, from ``begun(*parts)``."""
     steps = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: (start + i) % P)
     return F.transform(steps, lambda q: F.shiftright((q * q + F.lit(_C)) % P, 7) % n)
+
+
+def picked(n: int, start: int, at: np.ndarray) -> np.ndarray:
+    """The same for an array of positions, in tasks."""
+    q = (start + at) % P
+    return ((q * q + _C) % P >> 7) % n

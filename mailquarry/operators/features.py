@@ -20,8 +20,8 @@ INTEL = [f"intel_{n}" for n in L.INTEL_DEFAULTS]
 
 def scalar_features(mail: DataFrame, suffixes: Iterable[str] | None = None, keep: Sequence[str] = ("mail_id",),
                     whois: DataFrame | None = None, cert: DataFrame | None = None,
-                    intel: DataFrame | None = None) -> DataFrame:
-    """All named scalar features of parsed mails, one row per mail.
+                    intel: DataFrame | None = None, names: Sequence[str] | None = None) -> DataFrame:
+    """All named scalar features of parsed mails, or those in ``names``, one row per mail.
 
     The four families are chained as projections on the same row, so the mail is read once and nothing is
     shuffled. Look-up results are joined last, see :func:`with_lookups`.
@@ -30,12 +30,14 @@ def scalar_features(mail: DataFrame, suffixes: Iterable[str] | None = None, keep
     needed = ["subject", "body_text", "body_html", "urls"]
     step = headers.header_features(mail, suffixes, keep=[*carry, *[n for n in needed if n not in carry]])
     hdr = [c for c in step.columns if c.startswith("hdr_")]
-    step = urls.url_features(step, suffixes, keep=[*dict.fromkeys([*carry, *needed[:3], *hdr])])
+    wanted = [*SCALARS, *INTEL] if names is None else list(names)
+    lexical = [n for n in L.URL_FEATURES if {f"url_{n}_max", f"url_{n}_mean"} & set(wanted)]
+    step = urls.url_features(step, suffixes, keep=[*dict.fromkeys([*carry, *needed[:3], *hdr])], names=lexical)
     url = [c for c in step.columns if c.startswith("url_")]
     step = html.html_features(step, "body_html", suffixes, keep=[*dict.fromkeys([*carry, "subject", "body_text", *hdr, *url])])
     htm = [c for c in step.columns if c.startswith("html_")]
     out = text.text_features(step, "body_text", keep=tuple(dict.fromkeys([*carry, *hdr, *url, *htm])))
-    return with_lookups(out, whois, cert, intel).select(*carry, *SCALARS, *INTEL)
+    return with_lookups(out, whois, cert, intel).select(*carry, *wanted)
 
 
 def with_lookups(table: DataFrame, *answers: DataFrame | None) -> DataFrame:
